@@ -1 +1,169 @@
-"""Queries (q_vectors)."""
+"""Vector queries: normalisation, kNN, closest-in-lexicon, means, retrofitting,
+synonym/antonym tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from lexivec.operators import retrofit as R
+from lexivec.operators import vectors as V
+from lexivec.plans.catalog import query
+from lexivec.plans.sqlparts import r6
+from lexivec.sources import tables as S
+
+TOPN = 10
+N_ITER = 10
+
+VEC_SQL = """v AS (SELECT vec_id::VARCHAR AS word, label::VARCHAR AS cls, embedding::DOUBLE[] AS vec FROM embeddings)"""
+LONG_SQL = """lv AS (SELECT vec_id::VARCHAR AS word, label::VARCHAR AS cls, unnest(embedding::DOUBLE[]) AS v0,
+  unnest(generate_series(0, len(embedding) - 1))::BIGINT AS dim FROM embeddings)"""
+KNN_SQL = f"""{VEC_SQL},
+knn AS (SELECT * FROM (SELECT a.word AS query, b.word AS word, list_cosine_similarity(a.vec, b.vec) AS sim,
+          row_number() OVER (PARTITION BY a.word ORDER BY list_cosine_similarity(a.vec, b.vec) DESC, b.word) AS rank
+        FROM v a JOIN v b ON a.word <> b.word) WHERE rank <= {TOPN})"""
+
+
+def l2_normalize_q(spark, sf_dir):
+    e = S.load(spark, sf_dir, "embeddings")
+    v = e.select(F.col("vec_id").cast("string").alias("word"),
+                 V.l2_normalize(F.slice(F.col("embedding").cast("array<double>"), 1, 8), eps=1e-6).alias("vec"))
+    return V.to_long(v, "word")
+
+
+query("l2_normalize", f"""WITH x AS (SELECT vec_id::VARCHAR AS word, (embedding::DOUBLE[])[1:8] AS v FROM embeddings),
+y AS (SELECT word, unnest(v) AS x, unnest(generate_series(0, 7))::BIGINT AS dim, sqrt(list_sum(list_transform(v, lambda t: t * t)) + 1e-6) AS nrm FROM x)
+SELECT word, dim, {r6('x / nrm')} AS value FROM y""")(l2_normalize_q)
+
+
+def cosine_knn(spark, sf_dir):
+    vec = S.vectors(spark, sf_dir)
+    return V.knn(vec, vec, TOPN).select("query", "word", "rank", F.round("sim", 6).alias("sim"))
+
+
+query("cosine_knn", f"""WITH {KNN_SQL} SELECT query, word, rank, {r6('sim')} AS sim FROM knn""")(cosine_knn)
+
+
+def closest_class_score(spark, sf_dir):
+    vec = S.vectors(spark, sf_dir)
+    s = V.closest_class_scores(vec, S.vector_lexicon(spark, sf_dir))
+    return s.select("word", "cls", F.round("score", 6).alias("score"))
+
+
+query("closest_class_score", f"""WITH {VEC_SQL}
+SELECT a.word, b.cls, {r6('max(list_cosine_similarity(a.vec, b.vec))')} AS score
+FROM v a, v b GROUP BY a.word, b.cls""")(closest_class_score)
+
+
+def closest_class_rank(spark, sf_dir):
+    vec = S.vectors(spark, sf_dir)
+    lex = S.vector_lexicon(spark, sf_dir)
+    classes = sorted(r[0] for r in lex.select("cls").distinct().limit(10_001).collect())
+    nb = V.knn(vec, vec, TOPN)
+    out = V.closest_class_ranks(nb, lex, classes, TOPN, vec)
+    return out.select("word", "cls", F.round("rank_score", 6).alias("rank_score"))
+
+
+query("closest_class_rank", f"""WITH {KNN_SQL},
+hit AS (SELECT k.query, v.cls, min(k.rank) AS r FROM knn k JOIN v ON v.word = k.word GROUP BY k.query, v.cls),
+grid AS (SELECT a.word, c.cls FROM v a, (SELECT DISTINCT cls FROM v) c)
+SELECT g.word, g.cls, {r6(f'coalesce((h.r - 1) / {float(TOPN)}, 2.0)')} AS rank_score
+FROM grid g LEFT JOIN hit h ON h.query = g.word AND h.cls = g.cls""")(closest_class_rank)
+
+
+def mean_vector(spark, sf_dir):
+    e = S.load(spark, sf_dir, "embeddings").select(F.col("label").cast("string").alias("cls"),
+                                                    F.col("embedding").cast("array<double>").alias("vec"))
+    m = V.mean_vectors(e, "cls")
+    return m.select("cls", F.col("dim").cast("long").alias("dim"), F.round("value", 6).alias("value"))
+
+
+query("mean_vector", f"""WITH {LONG_SQL} SELECT cls, dim, {r6('avg(v0)')} AS value FROM lv GROUP BY cls, dim""")(mean_vector)
+
+
+def _iter_sql(step: str, n_iter: int, prev: str = "q0", cols: str = "word, cls, dim, v0, n") -> tuple[str, str]:
+    """Chain of CTEs q1..qN where ``step`` is a SELECT over ``{prev}``."""
+    parts = []
+    for i in range(1, n_iter + 1):
+        parts.append(f"q{i} AS ({step.format(prev=f'q{i - 1}')})")
+    return ",\n".join(parts), f"q{n_iter}"
+
+
+def retrofit_class(spark, sf_dir):
+    return R.retrofit_class(S.vectors(spark, sf_dir), S.vector_lexicon(spark, sf_dir), 0.5, 0.5, N_ITER)
+
+
+_R1_STEP = """SELECT p.word, p.cls, p.dim, p.v0, p.n,
+  CASE WHEN p.n > 0 THEN (p.n * 0.5 * p.v0 + 0.5 * (s.S - p.q)) / (p.n * 1.0) ELSE p.v0 END AS q
+  FROM {prev} p JOIN (SELECT cls, dim, sum(q) AS S FROM {prev} GROUP BY cls, dim) s USING (cls, dim)"""
+_r1_chain, _r1_last = _iter_sql(_R1_STEP, N_ITER)
+query("retrofit_class", f"""WITH {LONG_SQL},
+sz AS (SELECT cls, count(DISTINCT word) - 1 AS n FROM lv GROUP BY cls),
+q0 AS (SELECT lv.*, sz.n, lv.v0 AS q FROM lv JOIN sz USING (cls)),
+{_r1_chain}
+SELECT word, dim, {r6('q')} AS value FROM {_r1_last}""")(retrofit_class)
+
+
+def retrofit_repel(spark, sf_dir):
+    return R.retrofit_repel(S.vectors(spark, sf_dir), S.vector_lexicon(spark, sf_dir), 1.0, 1.0, 1.0, N_ITER)
+
+
+_R2_STEP = """SELECT p.word, p.cls, p.dim, p.v0, p.n,
+  CASE WHEN p.n > 0 THEN (p.n * 1.0 * p.v0 + 1.0 * (s.S - p.q) - 1.0 * (t.T - s.S)) / (p.n * 2.0) ELSE p.v0 END AS q
+  FROM {prev} p JOIN (SELECT cls, dim, sum(q) AS S FROM {prev} GROUP BY cls, dim) s USING (cls, dim)
+  JOIN (SELECT dim, sum(q) AS T FROM {prev} GROUP BY dim) t USING (dim)"""
+_r2_chain, _r2_last = _iter_sql(_R2_STEP, N_ITER)
+query("retrofit_repel", f"""WITH {LONG_SQL},
+sz AS (SELECT cls, count(DISTINCT word) - 1 AS n FROM lv GROUP BY cls),
+q0 AS (SELECT lv.*, sz.n, lv.v0 AS q FROM lv JOIN sz USING (cls)),
+{_r2_chain}
+SELECT word, dim, {r6('q')} AS value FROM {_r2_last}""")(retrofit_repel)
+
+
+def retrofit_graph(spark, sf_dir):
+    return R.retrofit_graph(S.vectors(spark, sf_dir), S.edges(spark, sf_dir), N_ITER)
+
+
+_R4_STEP = """SELECT p.word, p.dim, p.v0, p.n,
+  CASE WHEN p.n > 0 THEN (p.n * p.v0 + s.nsum) / (2.0 * p.n) ELSE p.v0 END AS q
+  FROM {prev} p LEFT JOIN (SELECT e.src AS word, x.dim, sum(x.q) AS nsum FROM e JOIN {prev} x ON x.word = e.dst
+                           GROUP BY e.src, x.dim) s USING (word, dim)"""
+_r4_chain, _r4_last = _iter_sql(_R4_STEP, N_ITER)
+query("retrofit_graph", f"""WITH {LONG_SQL},
+e AS (SELECT DISTINCT src, dst FROM (
+        SELECT vec_id::VARCHAR AS src, (lead(vec_id) OVER (PARTITION BY label ORDER BY vec_id))::VARCHAR AS dst FROM embeddings
+        UNION ALL
+        SELECT vec_id::VARCHAR AS src, (lag(vec_id) OVER (PARTITION BY label ORDER BY vec_id))::VARCHAR AS dst FROM embeddings)
+      WHERE dst IS NOT NULL),
+deg AS (SELECT src AS word, count(*) AS n FROM e GROUP BY src),
+q0 AS (SELECT lv.word, lv.dim, lv.v0, deg.n, lv.v0 AS q FROM lv LEFT JOIN deg USING (word)),
+{_r4_chain}
+SELECT word, dim, {r6('q')} AS value FROM {_r4_last}""")(retrofit_graph)
+
+
+def synonyms(spark, sf_dir):
+    """One line per class with all its words (sorted)."""
+    lex = S.vector_lexicon(spark, sf_dir)
+    g = lex.groupBy("cls").agg(F.array_sort(F.collect_list("term")).alias("t"), F.count(F.lit(1)).alias("n_words"))
+    return g.select("cls", F.array_join("t", " ").alias("line"), "n_words")
+
+
+query("synonyms", """SELECT label::VARCHAR AS cls, string_agg(vec_id::VARCHAR, ' ' ORDER BY vec_id::VARCHAR) AS line,
+  count(*) AS n_words FROM embeddings GROUP BY label""")(synonyms)
+
+
+def antonyms(spark, sf_dir):
+    """C4: for each word and each other class, the words of that class.
+    The other classes are exploded from the bounded class list and joined on
+    equality (no theta join)."""
+    from lexivec.session import sized_broadcast
+    lex = S.vector_lexicon(spark, sf_dir)
+    classes = sorted(r[0] for r in lex.select("cls").distinct().limit(10_001).collect())
+    lists = lex.groupBy(F.col("cls").alias("other_cls")).agg(F.array_sort(F.collect_list("term")).alias("t"))
+    w = lex.select("term", "cls", F.explode(F.array_remove(F.array(*[F.lit(c) for c in classes]), F.col("cls"))).alias("other_cls"))
+    j = w.join(sized_broadcast(lists), "other_cls")
+    return j.select("term", "cls", "other_cls", F.concat_ws(" ", F.col("term"), F.array_join("t", " ")).alias("line"))
+
+
+query("antonyms", """WITH l AS (SELECT vec_id::VARCHAR AS term, label::VARCHAR AS cls FROM embeddings),
+lists AS (SELECT cls, string_agg(term, ' ' ORDER BY term) AS t FROM l GROUP BY cls)
+SELECT a.term, a.cls, b.cls AS other_cls, a.term || ' ' || b.t AS line FROM l a JOIN lists b ON b.cls <> a.cls""")(antonyms)

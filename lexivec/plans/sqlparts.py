@@ -57,6 +57,17 @@ mk AS (
 def score_block_sql(items_cte: str, lex_sql: str) -> str:
     """Nine-value lexicon block over ``items_cte(doc_id, pos, item)`` and a
     lexicon query returning ``(term, score)``."""
+    return _score_block(items_cte, lex_sql)
+
+
+def score_block_cte(items_cte: str, lex_sql: str, name: str) -> str:
+    """Same block as a named CTE (for composition)."""
+    body = _score_block(items_cte, lex_sql)
+    cte, select = body.split("\nSELECT doc_id,", 1)
+    return f"{cte},\n{name} AS (SELECT doc_id,{select})"
+
+
+def _score_block(items_cte: str, lex_sql: str) -> str:
     return f"""sc AS (
   SELECT i.doc_id, i.pos,
          CASE WHEN contains(i.item, '_NEG') THEN -l.score ELSE l.score END AS s
