@@ -1 +1,161 @@
-"""Queries (q_eval)."""
+"""Evaluation queries: qrels/runs, IR metrics, classification reports, correlations."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from lexivec.operators import evaluate as E
+from lexivec.operators import vectors as V
+from lexivec.plans.catalog import query
+from lexivec.plans.q_text import lex_block_uni
+from lexivec.plans.q_vectors import KNN_SQL, TOPN, VEC_SQL
+from lexivec.plans.sqlparts import (CLASS_SCORE_SQL, DOC_TOKENS_CTE, LEXICON_CTE, NEG_MARK_CTE, r6,
+                                    score_block_cte)
+from lexivec.sources import tables as S
+
+
+def qrel(spark, sf_dir):
+    return E.qrels(S.vector_lexicon(spark, sf_dir))
+
+
+query("qrel", """SELECT a.vec_id::VARCHAR AS qid, 0 AS iter, b.vec_id::VARCHAR AS docno, 1 AS rel
+FROM embeddings a JOIN embeddings b ON a.label = b.label""")(qrel)
+
+
+def run(spark, sf_dir):
+    vec = S.vectors(spark, sf_dir)
+    k = V.knn(vec, vec, TOPN)
+    return k.select(F.col("query").alias("qid"), F.lit(0).alias("iter"), F.col("word").alias("docno"), "rank",
+                    F.round("sim", 6).alias("sim"), F.lit("lexivec").alias("runid"))
+
+
+query("run", f"""WITH {KNN_SQL}
+SELECT query AS qid, 0 AS iter, word AS docno, rank, {r6('sim')} AS sim, 'lexivec' AS runid FROM knn""")(run)
+
+
+def _metrics(spark, sf_dir):
+    vec = S.vectors(spark, sf_dir)
+    return E.ir_metrics(V.knn(vec, vec, TOPN), S.vector_lexicon(spark, sf_dir), TOPN)
+
+
+IR_SQL = f"""{KNN_SQL},
+sz AS (SELECT cls, count(*) AS num_rel FROM v GROUP BY cls),
+r AS (SELECT k.query, q.cls, sz.num_rel, k.rank, (w.cls = q.cls)::INTEGER AS rel
+      FROM knn k JOIN v q ON q.word = k.query JOIN v w ON w.word = k.word JOIN sz ON sz.cls = q.cls),
+c AS (SELECT *, sum(rel) OVER (PARTITION BY query ORDER BY rank) AS cum_rel FROM r),
+m AS (SELECT query, cls,
+  {r6('sum(CASE WHEN rank <= 1 THEN rel ELSE 0 END) / 1.0')} AS p1,
+  {r6('sum(CASE WHEN rank <= 5 THEN rel ELSE 0 END) / 5.0')} AS p5,
+  {r6('sum(CASE WHEN rank <= 10 THEN rel ELSE 0 END) / 10.0')} AS p10,
+  {r6('sum(CASE WHEN rel = 1 THEN cum_rel / rank ELSE 0 END) / any_value(num_rel)')} AS ap,
+  {r6('coalesce(max(CASE WHEN rel = 1 THEN 1.0 / rank END), 0)')} AS rr,
+  {r6(f'sum(CASE WHEN rel = 1 THEN 1.0 / log2(rank + 1.0) ELSE 0 END) / (SELECT sum(1.0 / log2(i + 1.0)) FROM range(1, least(any_value(num_rel), {TOPN}) + 1) t(i))')} AS ndcg
+  FROM c GROUP BY query, cls)"""
+
+
+def ir_metrics(spark, sf_dir):
+    return _metrics(spark, sf_dir)
+
+
+query("ir_metrics", f"WITH {IR_SQL} SELECT * FROM m")(ir_metrics)
+
+
+def ir_summary(spark, sf_dir):
+    return E.summarize(_metrics(spark, sf_dir))
+
+
+_MEANS = ", ".join(f"{r6(f'avg({c})')} AS mean_{c}" for c in ["p1", "p5", "p10", "ap", "rr", "ndcg"])
+query("ir_summary", f"WITH {IR_SQL} SELECT {_MEANS}, count(*) AS n_queries FROM m")(ir_summary)
+
+
+def ir_by_class(spark, sf_dir):
+    return E.summarize(_metrics(spark, sf_dir), by=["cls"])
+
+
+query("ir_by_class", f"WITH {IR_SQL} SELECT cls, {_MEANS}, count(*) AS n_queries FROM m GROUP BY cls")(ir_by_class)
+
+
+def _predictions(spark, sf_dir):
+    blk = lex_block_uni(spark, sf_dir)
+    lab = S.load(spark, sf_dir, "labels")
+    return blk.join(lab, "doc_id").select(
+        "doc_id", F.when(F.col("quality") == 1, "positive").otherwise("negative").alias("gold"),
+        F.when(F.col("net") > F.lit(100.0), "positive").otherwise("negative").alias("pred"))
+
+
+PRED_SQL = f"""{LEXICON_CTE}, {DOC_TOKENS_CTE}, {NEG_MARK_CTE},
+{score_block_cte('mk', CLASS_SCORE_SQL, 'blk')},
+pr AS (SELECT b.doc_id, CASE WHEN l.quality = 1 THEN 'positive' ELSE 'negative' END AS gold,
+         CASE WHEN b.net > 100.0 THEN 'positive' ELSE 'negative' END AS pred FROM blk b JOIN labels l USING (doc_id)),
+cl AS (SELECT gold AS cls FROM pr UNION SELECT pred FROM pr),
+rep AS (SELECT cl.cls,
+  coalesce((SELECT count(*) FROM pr WHERE gold = cl.cls AND pred = cl.cls), 0) AS tp,
+  (SELECT count(*) FROM pr WHERE pred = cl.cls) AS npred,
+  (SELECT count(*) FROM pr WHERE gold = cl.cls) AS support FROM cl),
+rep2 AS (SELECT cls, CASE WHEN npred > 0 THEN tp / npred ELSE 0 END AS p, CASE WHEN support > 0 THEN tp / support ELSE 0 END AS r,
+  support FROM rep),
+rep3 AS (SELECT cls, {r6('p')} AS precision, {r6('r')} AS recall,
+  {r6('CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END')} AS f1, support::BIGINT AS support FROM rep2)"""
+
+
+def classification_report(spark, sf_dir):
+    return E.classification_report(_predictions(spark, sf_dir))
+
+
+query("classification_report", f"WITH {PRED_SQL} SELECT * FROM rep3")(classification_report)
+
+
+def semeval_score(spark, sf_dir):
+    return E.semeval_score(E.classification_report(_predictions(spark, sf_dir)))
+
+
+query("semeval_score", f"""WITH {PRED_SQL}
+SELECT {r6("(coalesce(sum(f1) FILTER (WHERE cls = 'positive'), 0) + coalesce(sum(f1) FILTER (WHERE cls = 'negative'), 0)) / 2.0")} AS semeval_f1
+FROM rep3""")(semeval_score)
+
+
+def _pair_sims(spark, sf_dir):
+    vec = S.vectors(spark, sf_dir)
+    p = S.word_pairs(spark, sf_dir)
+    a = vec.select(F.col("word").alias("w1"), F.col("vec").alias("v1"))
+    b = vec.select(F.col("word").alias("w2"), F.col("vec").alias("v2"))
+    return p.join(a, "w1").join(b, "w2").select("w1", "w2", "score", V.cosine(F.col("v1"), F.col("v2")).alias("sim"))
+
+
+PAIRS_SQL = f"""{VEC_SQL},
+pairs AS (SELECT a.vec_id::VARCHAR AS w1, b.vec_id::VARCHAR AS w2, (a.label - b.label)::DOUBLE AS score
+          FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1),
+ps AS (SELECT p.*, list_cosine_similarity(x.vec, y.vec) AS sim FROM pairs p JOIN v x ON x.word = p.w1 JOIN v y ON y.word = p.w2)"""
+
+
+def word_pair_pearson(spark, sf_dir):
+    return E.pearson(_pair_sims(spark, sf_dir), "sim", "score")
+
+
+query("word_pair_pearson", f"WITH {PAIRS_SQL} SELECT {r6('corr(sim, score)')} AS pearson, count(*) AS n FROM ps")(word_pair_pearson)
+
+
+def word_pair_spearman(spark, sf_dir):
+    return E.spearman(_pair_sims(spark, sf_dir), "sim", "score", "w1")
+
+
+query("word_pair_spearman", f"""WITH {PAIRS_SQL},
+rk AS (SELECT *, (rank() OVER (ORDER BY sim) + count(*) OVER (PARTITION BY sim) - 1 + rank() OVER (ORDER BY sim)) / 2.0 AS rx,
+        (rank() OVER (ORDER BY score) + count(*) OVER (PARTITION BY score) - 1 + rank() OVER (ORDER BY score)) / 2.0 AS ry FROM ps)
+SELECT {r6('corr(rx, ry)')} AS spearman, count(*) AS n FROM rk""")(word_pair_spearman)
+
+
+def simlex_vad_corr(spark, sf_dir):
+    """corr(|valence difference|, pair score) over pairs joined to the VAD
+    table on both words."""
+    vad = S.vad(spark, sf_dir)
+    p = S.word_pairs(spark, sf_dir)
+    j = (p.join(vad.select(F.col("word").alias("w1"), F.col("valence").alias("v1")), "w1")
+          .join(vad.select(F.col("word").alias("w2"), F.col("valence").alias("v2")), "w2")
+          .select(F.abs(F.col("v1") - F.col("v2")).alias("dv"), "score"))
+    return E.pearson(j, "dv", "score")
+
+
+query("simlex_vad_corr", """WITH pairs AS (SELECT a.vec_id AS w1, b.vec_id AS w2, (a.label - b.label)::DOUBLE AS score,
+  abs(a.embedding[1]::DOUBLE - b.embedding[1]::DOUBLE) AS dv FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1)
+SELECT (round(corr(dv, score), 6) + 0.0) AS pearson, count(*) AS n FROM pairs""")(simlex_vad_corr)
