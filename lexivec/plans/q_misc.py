@@ -1 +1,159 @@
-"""Queries (q_misc)."""
+"""Streaming, source/sink round trips, tokenizer, HTML decoding and ML queries."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from lexivec.functions import html as H
+from lexivec.functions import text as T
+from lexivec.operators import ml as M
+from lexivec.operators import vectors as V
+from lexivec.plans.catalog import query
+from lexivec.plans.q_text import marked_tokens
+from lexivec.plans.sqlparts import DOC_TOKENS_CTE, LEXICON_CTE, r6
+from lexivec.session import ensure_checkpoint_dir
+from lexivec.sources import readers as RD
+from lexivec.sources import sinks as K
+from lexivec.sources import tables as S
+from lexivec.operators import lexicon as L
+from lexivec.streaming.label_stream import label_stream
+
+
+def scratch(spark, name: str) -> str:
+    """A fresh folder under the shared checkpoint directory."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/scratch/{name}-{uuid.uuid4().hex}"
+
+
+def stream_label(spark, sf_dir):
+    lex = S.lexicon(spark, sf_dir)
+    schema = spark.read.parquet(f"{sf_dir}/documents.parquet").schema
+    return label_stream(spark, sf_dir, schema, lex.where("cls = 'positive'"), lex.where("cls = 'negative'"),
+                        glob="documents.parquet")
+
+
+query("stream_label", f"""WITH {LEXICON_CTE}, {DOC_TOKENS_CTE}
+SELECT dt.doc_id, arg_min(CASE lex.cls WHEN 'positive' THEN 'positives' ELSE 'negatives' END, dt.pos) AS label,
+  min(dt.pos) AS first_pos
+FROM dt JOIN lex ON lex.term = dt.tok GROUP BY dt.doc_id""")(stream_label)
+
+
+def roundtrip_semeval(spark, sf_dir):
+    """Labelled corpus written as SemEval TSV and read back."""
+    c = S.corpus(spark, sf_dir).select("sid", "uid", "label", T.collapse_space("text").alias("text"))
+    path = scratch(spark, "semeval")
+    K.write_lines(c, ["sid", "uid", "label", "text"], path, sep="\t")
+    rows, _rejects = RD.read_semeval(spark, path)
+    return rows.drop("line_no")
+
+
+query("roundtrip_semeval", r"""SELECT d.doc_id::VARCHAR AS sid, d.source AS uid,
+  CASE WHEN l.quality = 1 THEN 'positive' ELSE 'negative' END AS label, trim(regexp_replace(d.text, '\s+', ' ', 'g')) AS text
+FROM documents d JOIN labels l USING (doc_id)""")(roundtrip_semeval)
+
+
+def roundtrip_vectors(spark, sf_dir):
+    """Vectors written as ``%.4f`` text and read back L2-normalised (eps)."""
+    path = scratch(spark, "vectors")
+    K.write_word_vectors(S.vectors(spark, sf_dir), path)
+    return V.to_long(RD.read_word_vectors(spark, path, normalize=True), "word")
+
+
+query("roundtrip_vectors", f"""WITH r AS (SELECT vec_id::VARCHAR AS word, list_transform(embedding::DOUBLE[], lambda x: round(x, 4)) AS v
+  FROM embeddings),
+y AS (SELECT word, unnest(v) AS x, unnest(generate_series(0, len(v) - 1))::BIGINT AS dim,
+        sqrt(list_sum(list_transform(v, lambda t: t * t)) + 1e-6) AS nrm FROM r)
+SELECT word, dim, {r6('x / nrm')} AS value FROM y""")(roundtrip_vectors)
+
+
+def roundtrip_lexicon(spark, sf_dir):
+    """Lexicon written as one-word-per-line class files (with ``;``
+    comments) and read back with later classes overriding."""
+    lex = S.lexicon(spark, sf_dir)
+    paths = {}
+    for cls in ("positive", "negative"):
+        p = scratch(spark, f"lex-{cls}")
+        words = lex.where(F.col("cls") == cls).select(F.col("term").alias("value"))
+        spark.createDataFrame([(f"; {cls} words",)], "value string").unionByName(words).write.text(p)
+        paths[cls] = p
+    return RD.read_bing_liu(spark, paths)
+
+
+query("roundtrip_lexicon", f"WITH {LEXICON_CTE} SELECT term, cls FROM lex")(roundtrip_lexicon)
+
+
+def html_unescape(spark, sf_dir):
+    p = S.load(spark, sf_dir, "pages")
+    d = p.select("page_id", H.decode_entities("html").alias("text"))
+    return d.select("page_id", F.length("text").cast("long").alias("n_chars"),
+                    F.size(F.filter(T.tweet_tokens(F.col("text")), lambda t: t.startswith("<"))).cast("long").alias("n_tags"))
+
+
+query("html_unescape")(html_unescape)
+
+
+def tweet_tokens_q(spark, sf_dir):
+    c = S.load(spark, sf_dir, "conversations")
+    t = c.select("conv_id", "turn", T.tweet_tokens(F.col("text"), preserve_case=False).alias("tok"))
+    return t.select("conv_id", "turn", F.size("tok").cast("long").alias("n_tokens"),
+                    F.array_join(F.slice("tok", 1, 8), " ").alias("head"))
+
+
+query("tweet_tokens")(tweet_tokens_q)
+
+
+def train_word2vec(spark, sf_dir):
+    d = S.documents(spark, sf_dir).select("doc_id", T.tokens("text").alias("tok"))
+    model = M.word2vec(d, "tok", vector_size=16, min_count=5, max_iter=1)
+    v = model.getVectors()
+    from pyspark.ml.functions import vector_to_array
+    return v.select("word", F.round(V.l2_norm(vector_to_array("vector")), 6).alias("norm"))
+
+
+query("train_word2vec")(train_word2vec)
+
+
+def _features(spark, sf_dir):
+    blk = L.lexicon_scores(marked_tokens(spark, sf_dir), F.col("items"), S.lexicon(spark, sf_dir).select("term", "cls"))
+    d = S.documents(spark, sf_dir).select("doc_id", "text", T.split_tokens(T.collapse_space("text")).alias("tok"))
+    syn = d.select("doc_id", T.count_all_caps("tok").alias("n_caps"), T.count_elongated("tok").alias("n_elongated"),
+                   T.punctuation_features("text")["excl_runs"].alias("excl_runs"))
+    lab = S.load(spark, sf_dir, "labels").select("doc_id", F.when(F.col("quality") == 1, "positive")
+                                                 .otherwise("negative").alias("label"))
+    return blk.join(syn, "doc_id").join(lab, "doc_id")
+
+
+FEATS = ["n_pos", "n_neg", "sum_pos", "sum_neg", "net", "max_pos", "max_neg", "last_nonzero", "last_score",
+         "n_caps", "n_elongated", "excl_runs"]
+
+
+def svm_classifier(spark, sf_dir):
+    f = _features(spark, sf_dir)
+    model = M.svm_model(FEATS).fit(f)
+    return model.transform(f).select("doc_id", "label", F.col("prediction").cast("int").alias("pred"))
+
+
+query("svm_classifier")(svm_classifier)
+
+
+def svd_features(spark, sf_dir):
+    from pyspark.ml.feature import VectorAssembler
+    f = VectorAssembler(inputCols=FEATS, outputCol="features").transform(_features(spark, sf_dir))
+    out = M.svd_projection(f, "features", 3, "doc_id")
+    return out.select("doc_id", F.transform("components", lambda x: F.round(x, 4)).alias("components"))
+
+
+query("svd_features")(svd_features)
+
+
+def bag_ngram_classifier(spark, sf_dir):
+    d = S.documents(spark, sf_dir).select("doc_id", T.tokens("text").alias("tok"))
+    lab = S.load(spark, sf_dir, "labels").select("doc_id", F.when(F.col("quality") == 1, "positive")
+                                                 .otherwise("negative").alias("label"))
+    data = d.join(lab, "doc_id")
+    model = M.mean_vector_classifier(data, "tok", "label").fit(data)
+    return model.transform(data).select("doc_id", "label", F.col("prediction").cast("int").alias("pred"))
+
+
+query("bag_ngram_classifier")(bag_ngram_classifier)

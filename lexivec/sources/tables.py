@@ -16,9 +16,25 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
+# Tables whose per-row work dominates (long texts, vectors).
+HEAVY = {"documents", "conversations", "pages", "embeddings"}
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Read one driver table (parquet: column pruning and filter pushdown apply)."""
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """Read one driver table (parquet: column pruning and filter pushdown apply).
+
+    Heavy tables are spread to the cluster's default parallelism when the scan
+    yields fewer splits (e.g. one parquet row group); on a large input the scan
+    already has more splits and nothing is added.
+    """
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread(df) if name in HEAVY else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin repartition only when the input has too few partitions."""
+    want = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
 
 
 def documents(spark, sf_dir) -> DataFrame:
