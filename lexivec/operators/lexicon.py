@@ -84,37 +84,41 @@ def pair_scores(docs: DataFrame, toks: Column, pair_lexicon: DataFrame, id_col:
     """A4 with ``use_pair``: items are ordered pairs ``g1---g2`` of grams, where
     the gram chain is all bigrams (in order) followed by all unigrams.
 
-    Pairs are never enumerated: grams are matched to the left and right sides
-    of the pair lexicon, and for each (document, pair) the number of
-    (left, right) occurrences with left before right in the chain is counted
-    from the occurrence positions.  Work is linear in lexicon hits.
+    Pairs are never enumerated.  Grams that occur on either side of the pair
+    lexicon are grouped per (document, gram) into sorted chain positions; each
+    (document, pair) then counts the (left, right) position pairs with
+    left < right by merging the two sorted lists: with rights sorting first on
+    equal positions, ``count = sum(merged index of each right) - r(r-1)/2``.
+    Work is linear in lexicon hits (plus a sort), no window, no pair table.
     Output: doc id, n_pos, n_neg, sum_pos, sum_neg, net.
     """
     lex = scored(pair_lexicon).join(pair_lexicon.select("term", "left", "right"), "term")
-    lex = lex.where(F.col("score").isNotNull())
+    # The pair lexicon is small (size-checked below); cache it so the derived
+    # side tables do not recompute it.
+    lex = lex.where(F.col("score").isNotNull()).cache()
+    sides = lex.select(F.col("left").alias("g")).union(lex.select(F.col("right").alias("g"))).distinct().cache()
     base = docs.select(id_col, toks.alias("_t"))
     n = F.size("_t")
-    chain = F.concat(
-        F.transform(T.safe_ngrams(F.col("_t"), 2), lambda g, i: F.struct(g.alias("g"), i.alias("c"))),
-        F.transform(F.col("_t"), lambda g, i: F.struct(g.alias("g"), (i + F.greatest(n - 1, F.lit(0))).alias("c"))))
+    unigrams = F.transform(F.col("_t"), lambda g, i: F.struct(g.alias("g"), (i + F.greatest(n - 1, F.lit(0))).alias("c")))
+    # Bigram grams are only built when some pair side is a bigram.
+    has_bigrams = sides.where(F.col("g").contains(" ")).limit(1).count() > 0
+    chain = F.concat(F.transform(T.safe_ngrams(F.col("_t"), 2), lambda g, i: F.struct(g.alias("g"), i.alias("c"))),
+                     unigrams) if has_bigrams else unigrams
     grams = (base.select(id_col, F.explode(chain).alias("_x"))
-                 .select(id_col, F.lower(F.col("_x.g")).alias("g"), F.col("_x.c").alias("c")))
-    left_side = sized_broadcast(lex.select("term", F.col("left").alias("g"), "score"))
-    right_side = sized_broadcast(lex.select("term", F.col("right").alias("g")))
-    occ = (grams.join(left_side, "g").select(id_col, "term", "score", "c", F.lit(1).alias("is_left"))
-           .unionByName(grams.join(right_side, "g")
-                        .select(id_col, "term", F.lit(None).cast("double").alias("score"), "c", F.lit(0).alias("is_left"))))
-    # Per (document, pair): left occurrences strictly before each right one in
-    # the chain.  At equal chain index the right side sorts first, so a gram is
-    # never paired with itself.  Partitioning by (document, pair) keeps one
-    # long document spread over many window groups.
-    w = (Window.partitionBy(id_col, "term").orderBy(F.col("c"), F.col("is_left"))
-               .rowsBetween(Window.unboundedPreceding, -1))
-    occ = occ.withColumn("lefts_before", F.coalesce(F.sum("is_left").over(w), F.lit(0)))
-    per_pair = (occ.groupBy(id_col, "term")
-                   .agg(F.sum(F.when(F.col("is_left") == 0, F.col("lefts_before")).otherwise(0)).alias("cnt"),
-                        F.max("score").alias("score"))
-                   .where(F.col("cnt") > 0))
+                 .select(id_col, F.lower(F.col("_x.g")).alias("g"), F.col("_x.c").alias("c"))
+                 .join(sized_broadcast(sides), "g", "left_semi"))
+    occ = grams.groupBy(id_col, "g").agg(F.collect_list("c").alias("ps"))
+    lefts = occ.join(sized_broadcast(lex.select("term", F.col("left").alias("g"), "score")), "g") \
+               .select(id_col, "term", "score", F.col("ps").alias("lp"))
+    rights = occ.join(sized_broadcast(lex.select("term", F.col("right").alias("g"))), "g") \
+                .select(id_col, "term", F.col("ps").alias("rp"))
+    both = lefts.join(rights, [id_col, "term"])
+    merged = F.array_sort(F.concat(F.transform("lp", lambda a: F.struct(a.alias("p"), F.lit(1).alias("t"))),
+                                   F.transform("rp", lambda b: F.struct(b.alias("p"), F.lit(0).alias("t")))))
+    idx_sum = F.aggregate(F.transform(merged, lambda e, i: F.when(e["t"] == 0, i).otherwise(0)).cast("array<long>"),
+                          F.lit(0).cast("long"), lambda acc, x: acc + x)
+    r = F.size("rp").cast("long")
+    per_pair = both.select(id_col, "score", (idx_sum - r * (r - 1) / 2).cast("long").alias("cnt")).where("cnt > 0")
     pos, neg = F.col("score") > 0, F.col("score") < 0
     agg = per_pair.groupBy(id_col).agg(
         F.sum(F.when(pos, F.col("cnt")).otherwise(0)).alias("n_pos"),
