@@ -158,3 +158,18 @@ def systematic_sample(df: DataFrame, order: list, k: int) -> DataFrame:
     """Every k-th row of the sorted frame (positions 0, k, 2k, ...)."""
     g = global_index(df, order, "_g", start=0)
     return g.where(F.col("_g") % k == 0).drop("_g")
+
+
+def sample_lexicon(lexicon: DataFrame, n: int, seed: str = "42", key: str = "term") -> DataFrame:
+    """T4: ``n`` terms without replacement in a deterministic hash order
+    (``md5(term || seed)``; the same order in any engine)."""
+    return lexicon.orderBy(hash_order(F.col(key), seed), F.col(key)).limit(n)
+
+
+def class_sample(df: DataFrame, cls: str, key: str, k: int, seed: str = "42") -> DataFrame:
+    """At most ``k`` rows per class in hash order (shuffle + truncate).
+    Per-class positions come from the global order, so a huge class is not
+    ranked inside one task."""
+    g = global_index(df, [F.col(cls), hash_order(F.col(key), seed), F.col(key)], "_g")
+    first = g.groupBy(cls).agg(F.min("_g").alias("_first"))
+    return g.join(sized_broadcast(first), cls).where(F.col("_g") - F.col("_first") < k).drop("_g", "_first")

@@ -22,7 +22,7 @@ def _long(vectors: DataFrame) -> DataFrame:
 
 
 def retrofit_class(vectors: DataFrame, lexicon: DataFrame, a: float = 0.5, b: float = 0.5,
-                   n_iter: int = 10) -> DataFrame:
+                   n_iter: int = 10, digits: int | None = 6) -> DataFrame:
     """``q <- (n a q0 + b (S - q)) / (n (a + b))`` for each lexicon word
     with ``n = |class| - 1 > 0`` in-vocabulary class neighbours; ``S`` is the
     class sum of the original vectors (invariant).  Others keep their vector.
@@ -39,7 +39,8 @@ def retrofit_class(vectors: DataFrame, lexicon: DataFrame, a: float = 0.5, b: fl
     for _ in range(n_iter):
         q = (n * a * v0 + b * (S - q)) / (n * (a + b))
     val = F.when(n > 0, q).otherwise(v0)
-    return j.select("word", F.col("dim").cast("long").alias("dim"), F.round(val, 6).alias("value"))
+    val = F.round(val, digits) if digits is not None else val
+    return j.select("word", F.col("dim").cast("long").alias("dim"), val.alias("value"))
 
 
 def retrofit_repel(vectors: DataFrame, lexicon: DataFrame, a: float = 1.0, b: float = 1.0, c: float = 1.0,
@@ -87,3 +88,27 @@ def retrofit_graph(vectors: DataFrame, edges: DataFrame, n_iter: int = 10, check
         if (it + 1) % checkpoint_every == 0:
             cur = cur.checkpoint(eager=True)
     return cur.select("word", F.col("dim").cast("long").alias("dim"), F.round("q", 6).alias("value"))
+
+
+def retrofit_spill(vectors: DataFrame, lexicon: DataFrame, neighbours: DataFrame, a: float = 0.5, b: float = 0.5,
+                   d: float = 1.0, n_iter: int = 10) -> DataFrame:
+    """R1, then each lexicon word ``i`` (``n_i > 0``) pushes an update to
+    each of its model neighbours ``k`` (``neighbours(query, word)`` from kNN):
+    ``q_k <- d (d n_i a q0_k + b (S_c(i) - q_i))`` with class sums of the
+    retrofitted vectors; no denominator.  When several words update the same
+    ``k`` the largest word id wins (explicit order for "last writer wins")."""
+    r1 = retrofit_class(vectors, lexicon, a, b, n_iter, digits=None).withColumnRenamed("value", "q")
+    lex = lexicon.select(F.col("term").alias("word"), "cls").join(vectors.select("word"), "word", "left_semi")
+    sizes = lex.groupBy("cls").agg((F.count(F.lit(1)) - 1).alias("n"))
+    members = r1.join(lex, "word")
+    sums = members.groupBy("cls", "dim").agg(F.sum("q").alias("S"))
+    src = (members.join(sized_broadcast(sizes), "cls").where(F.col("n") > 0)
+                  .join(sized_broadcast(sums), ["cls", "dim"])
+                  .select(F.col("word").alias("query"), "dim", "n", (F.col("S") - F.col("q")).alias("nsum")))
+    winner = neighbours.select("query", F.col("word").alias("k")).join(lex.select(F.col("word").alias("query")), "query") \
+        .groupBy("k").agg(F.max("query").alias("query"))
+    v0 = _long(vectors).select(F.col("word").alias("k"), F.col("dim").cast("long").alias("dim"), "v0")
+    upd = winner.join(src, "query").join(v0, ["k", "dim"]).select(
+        F.col("k").alias("word"), "dim", (d * (d * F.col("n") * a * F.col("v0") + b * F.col("nsum"))).alias("u"))
+    out = r1.join(upd, ["word", "dim"], "left")
+    return out.select("word", "dim", F.round(F.coalesce(F.col("u"), F.col("q")), 6).alias("value"))

@@ -53,19 +53,23 @@ def _bounded_matrix(df: DataFrame, key: str, vec: str, max_rows: int):
 
 
 def knn(vectors: DataFrame, queries: DataFrame, k: int, exclude_self: bool = True,
-        max_queries: int = DEFAULT_MAX_QUERIES) -> DataFrame:
+        max_queries: int = DEFAULT_MAX_QUERIES, exclude_col: str | None = None) -> DataFrame:
     """Exact cosine top-k neighbours ``(query, word, rank, sim)``.
 
     ``vectors(word, vec)`` is the searched vocabulary (any size);
-    ``queries(word, vec)`` is bounded by ``max_queries`` and broadcast.
-    Ties are broken by word; rank is 1-based.
+    ``queries(word, vec[, exclude])`` is bounded by ``max_queries`` and
+    broadcast; ``exclude_col`` names an array of words never returned for that
+    query (analogy inputs).  Ties are broken by word; rank is 1-based.
     """
     spark = vectors.sparkSession
     qkeys, qmat = _bounded_matrix(queries, "word", "vec", max_queries)
-    bq = spark.sparkContext.broadcast((qkeys, qmat))
+    excl = {}
+    if exclude_col:
+        excl = {r[0]: list(r[1] or []) for r in queries.select("word", exclude_col).limit(max_queries + 1).collect()}
+    bq = spark.sparkContext.broadcast((qkeys, qmat, excl))
 
     def partial(batches):
-        keys, q = bq.value
+        keys, q, ex = bq.value
         qidx = {w: i for i, w in enumerate(keys)}
         for pdf in batches:
             if pdf.empty or q.shape[0] == 0:
@@ -80,7 +84,16 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int, exclude_self: bool = Tru
                     j = qidx.get(w)
                     if j is not None:
                         sims[r, j] = -np.inf
+            if ex:
+                rows_of = {w: r for r, w in enumerate(words)}
+                for j, key in enumerate(keys):
+                    for w in ex.get(key, ()):
+                        r = rows_of.get(w)
+                        if r is not None:
+                            sims[r, j] = -np.inf
             kk = min(k, sims.shape[0])
+            if not np.isfinite(sims).any():
+                continue
             # threshold = k-th best per query; keep every row reaching it (ties kept,
             # so the final ordering by (sim, word) is exact).
             thr = -np.partition(-sims, kk - 1, axis=0)[kk - 1]
@@ -173,3 +186,34 @@ def to_long(df: DataFrame, key: str, vec: str = "vec", digits: int = 6) -> DataF
     """Vectors in long format ``(key, dim, value)`` rounded for comparison."""
     return df.select(key, F.posexplode(vec).alias("dim", "value")).select(
         key, F.col("dim").cast("long").alias("dim"), F.round("value", digits).alias("value"))
+
+
+def analogy_queries(questions: DataFrame, vectors: DataFrame) -> DataFrame:
+    """Query vector ``b - a + c`` over unit vectors (normalised), with
+    ``a, b, c`` excluded from the answers.  ``questions(qid, section, a, b, c, d)``;
+    questions with a word outside the vocabulary are dropped."""
+    u = vectors.select("word", l2_normalize(F.col("vec")).alias("u"))
+    j = questions
+    for w in ("a", "b", "c"):
+        j = j.join(u.select(F.col("word").alias(w), F.col("u").alias(f"u{w}")), w)
+    v = F.zip_with(F.zip_with("ub", "ua", lambda x, y: x - y), F.col("uc"), lambda x, y: x + y)
+    return j.select(F.col("qid").alias("word"), "section", "d", l2_normalize(v).alias("vec"),
+                    F.array("a", "b", "c").alias("exclude"))
+
+
+def analogy_accuracy(questions: DataFrame, vectors: DataFrame, semantic_sections: int = 5) -> DataFrame:
+    """Top-1 answer of every question; accuracy per section and
+    whether the section is semantic (the first ``semantic_sections`` sections
+    in section order) or syntactic."""
+    q = analogy_queries(questions, vectors)
+    top = knn(vectors, q.select("word", "vec", "exclude"), 1, exclude_self=False, exclude_col="exclude")
+    res = q.select(F.col("word").alias("query"), "section", "d").join(top.select("query", F.col("word").alias("answer")),
+                                                                       "query", "left")
+    per = res.groupBy("section").agg(F.count(F.lit(1)).alias("n_questions"),
+                                     F.sum((F.col("answer") == F.col("d")).cast("int")).alias("n_correct"))
+    secs = sorted(r[0] for r in per.select("section").limit(100_001).collect())
+    semantic = secs[:semantic_sections]
+    return per.select("section", F.when(F.col("section").isin(*semantic), "semantic").otherwise("syntactic").alias("kind"),
+                      F.col("n_questions").cast("long").alias("n_questions"),
+                      F.coalesce(F.col("n_correct"), F.lit(0)).cast("long").alias("n_correct"),
+                      F.round(F.coalesce(F.col("n_correct"), F.lit(0)) / F.col("n_questions"), 6).alias("accuracy"))

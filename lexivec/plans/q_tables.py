@@ -259,3 +259,24 @@ def systematic_sample(spark, sf_dir):
 query("systematic_sample", f"""WITH {DOC_TOKENS_CTE}
 SELECT word, cnt FROM (SELECT word, cnt, row_number() OVER (ORDER BY cnt DESC, word) - 1 AS r
   FROM (SELECT tok AS word, count(*) AS cnt FROM dt GROUP BY tok)) WHERE r % 7 = 0""")(systematic_sample)
+
+
+def lexicon_sample(spark, sf_dir):
+    """T4: 100 lexicon terms in hash order, sampled before the vocabulary filter."""
+    s = C.sample_lexicon(S.lexicon(spark, sf_dir).select("term", "cls"), 100)
+    v = C.vocabulary(_tokens(spark, sf_dir), F.col("tok")).select(F.col("word").alias("term"))
+    return s.join(v, "term", "left_semi")
+
+
+query("lexicon_sample", f"""WITH {LEXICON_CTE}, {DOC_TOKENS_CTE},
+s AS (SELECT term, cls FROM lex ORDER BY md5(term || '42'), term LIMIT 100)
+SELECT term, cls FROM s WHERE term IN (SELECT tok FROM dt)""")(lexicon_sample)
+
+
+def class_sample(spark, sf_dir):
+    return C.class_sample(S.vector_lexicon(spark, sf_dir), "cls", "term", 5)
+
+
+query("class_sample", """SELECT term, cls FROM (SELECT vec_id::VARCHAR AS term, label::VARCHAR AS cls,
+  row_number() OVER (PARTITION BY label ORDER BY md5(vec_id::VARCHAR || '42'), vec_id::VARCHAR) AS r FROM embeddings)
+WHERE r <= 5""")(class_sample)

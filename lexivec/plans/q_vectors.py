@@ -167,3 +167,60 @@ def antonyms(spark, sf_dir):
 query("antonyms", """WITH l AS (SELECT vec_id::VARCHAR AS term, label::VARCHAR AS cls FROM embeddings),
 lists AS (SELECT cls, string_agg(term, ' ' ORDER BY term) AS t FROM l GROUP BY cls)
 SELECT a.term, a.cls, b.cls AS other_cls, a.term || ' ' || b.t AS line FROM l a JOIN lists b ON b.cls <> a.cls""")(antonyms)
+
+
+def _questions(spark, sf_dir):
+    """Analogy questions from the vector table: four consecutive ids of a label
+    (section = label)."""
+    from pyspark.sql import Window
+    e = S.load(spark, sf_dir, "embeddings").select("vec_id", "label")
+    w = Window.partitionBy("label").orderBy("vec_id")
+    q = e.select(F.col("label").cast("string").alias("section"), F.col("vec_id").cast("string").alias("a"),
+                 F.lead("vec_id", 1).over(w).cast("string").alias("b"), F.lead("vec_id", 2).over(w).cast("string").alias("c"),
+                 F.lead("vec_id", 3).over(w).cast("string").alias("d"))
+    return q.where(F.col("d").isNotNull()).withColumn("qid", F.col("a"))
+
+
+def analogy_accuracy(spark, sf_dir):
+    return V.analogy_accuracy(_questions(spark, sf_dir), S.vectors(spark, sf_dir))
+
+
+query("analogy_accuracy", f"""WITH {VEC_SQL},
+u AS (SELECT word, list_transform(vec, lambda x: x / sqrt(list_sum(list_transform(vec, lambda t: t * t)))) AS u FROM v),
+q AS (SELECT * FROM (SELECT label::VARCHAR AS section, vec_id::VARCHAR AS a,
+        (lead(vec_id, 1) OVER (PARTITION BY label ORDER BY vec_id))::VARCHAR AS b,
+        (lead(vec_id, 2) OVER (PARTITION BY label ORDER BY vec_id))::VARCHAR AS c,
+        (lead(vec_id, 3) OVER (PARTITION BY label ORDER BY vec_id))::VARCHAR AS d FROM embeddings) WHERE d IS NOT NULL),
+qv AS (SELECT q.*, list_transform(generate_series(1, len(ua.u)), lambda i: ub.u[i] - ua.u[i] + uc.u[i]) AS qv
+       FROM q JOIN u ua ON ua.word = q.a JOIN u ub ON ub.word = q.b JOIN u uc ON uc.word = q.c),
+best AS (SELECT * FROM (SELECT qv.a, qv.section, qv.d, x.word AS answer,
+           row_number() OVER (PARTITION BY qv.a ORDER BY list_cosine_similarity(qv.qv, x.vec) DESC, x.word) AS r
+         FROM qv JOIN v x ON x.word NOT IN (qv.a, qv.b, qv.c)) WHERE r = 1),
+per AS (SELECT section, count(*) AS n_questions, sum((answer = d)::INTEGER) AS n_correct FROM best GROUP BY section),
+ranked AS (SELECT *, row_number() OVER (ORDER BY section) AS sr FROM per)
+SELECT section, CASE WHEN sr <= 5 THEN 'semantic' ELSE 'syntactic' END AS kind, n_questions::BIGINT AS n_questions,
+  n_correct::BIGINT AS n_correct, {r6('n_correct / n_questions')} AS accuracy FROM ranked""")(analogy_accuracy)
+
+
+def retrofit_spill(spark, sf_dir):
+    vec = S.vectors(spark, sf_dir)
+    lex = S.vector_lexicon(spark, sf_dir)
+    nb = V.knn(vec, vec.join(lex.withColumnRenamed("term", "word"), "word", "left_semi"), 5)
+    return R.retrofit_spill(vec, lex, nb, 0.5, 0.5, 1.0, N_ITER)
+
+
+query("retrofit_spill", f"""WITH {LONG_SQL},
+sz AS (SELECT cls, count(DISTINCT word) - 1 AS n FROM lv GROUP BY cls),
+q0 AS (SELECT lv.*, sz.n, lv.v0 AS q FROM lv JOIN sz USING (cls)),
+{_r1_chain},
+fin AS (SELECT * FROM {_r1_last}),
+cs AS (SELECT cls, dim, sum(q) AS S FROM fin GROUP BY cls, dim),
+{VEC_SQL},
+nb AS (SELECT * FROM (SELECT a.word AS query, b.word AS k,
+         row_number() OVER (PARTITION BY a.word ORDER BY list_cosine_similarity(a.vec, b.vec) DESC, b.word) AS rank
+       FROM v a JOIN v b ON a.word <> b.word) WHERE rank <= 5),
+win AS (SELECT k, max(query) AS query FROM nb GROUP BY k),
+upd AS (SELECT win.k AS word, f.dim, 1.0 * (1.0 * f.n * 0.5 * t.v0 + 0.5 * (cs.S - f.q)) AS u
+        FROM win JOIN fin f ON f.word = win.query AND f.n > 0 JOIN cs ON cs.cls = f.cls AND cs.dim = f.dim
+        JOIN lv t ON t.word = win.k AND t.dim = f.dim)
+SELECT fin.word, fin.dim, {r6('coalesce(upd.u, fin.q)')} AS value FROM fin LEFT JOIN upd USING (word, dim)""")(retrofit_spill)
