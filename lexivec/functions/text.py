@@ -264,3 +264,27 @@ def tweet_tokens(text, preserve_case: bool = True) -> Column:
     if preserve_case:
         return toks
     return F.transform(toks, lambda w: F.when(w.rlike("^" + EMOTICON_REGEX + "$"), w).otherwise(F.lower(w)))
+
+
+def url_aware_tokens(text, preserve_case: bool = True) -> Column:
+    """P10: second tokenizer mode: URLs and ``@user``/``#tag`` first, then the
+    tweet token classes (close to, not bit-exact with, NLTK's TweetTokenizer)."""
+    url = r"https?://\S+|www\.\S+"
+    toks = F.regexp_extract_all(_col(text), F.lit("(?iU)(?:" + url + "|" + _TWEET_TOKEN + ")"), 0)
+    return toks if preserve_case else F.transform(toks, lambda w: F.when(w.rlike("^" + EMOTICON_REGEX + "$"), w)
+                                                  .otherwise(F.lower(w)))
+
+
+def array_to_feature(arr, prefix: str) -> Column:
+    """Nested array -> map ``prefix-i-j -> value``."""
+    a = _col(arr)
+    entries = F.flatten(F.transform(a, lambda row, i: F.transform(
+        row, lambda v, j: F.struct(F.format_string(prefix + "-%d-%d", i, j).alias("k"), v.cast("double").alias("v")))))
+    return F.map_from_entries(entries)
+
+
+def string_to_feature(s, prefix: str) -> Column:
+    """Whitespace tokens -> map ``prefix-i -> token``."""
+    toks = F.split(F.trim(_col(s)), r"\s+")
+    return F.map_from_entries(F.transform(toks, lambda t, i: F.struct(F.format_string(prefix + "-%d", i).alias("k"),
+                                                                      t.alias("v"))))

@@ -173,3 +173,11 @@ def class_sample(df: DataFrame, cls: str, key: str, k: int, seed: str = "42") ->
     g = global_index(df, [F.col(cls), hash_order(F.col(key), seed), F.col(key)], "_g")
     first = g.groupBy(cls).agg(F.min("_g").alias("_first"))
     return g.join(sized_broadcast(first), cls).where(F.col("_g") - F.col("_first") < k).drop("_g", "_first")
+
+
+def embedding_matrix(index: DataFrame, vectors: DataFrame, max_words: int, dim: int) -> DataFrame:
+    """V4: ``(idx, vec)`` for ids below ``max_words``; words without a vector
+    get zeros."""
+    idx = index.where(F.col("idx") < max_words).select("word", "idx")
+    j = idx.join(vectors.select("word", "vec"), "word", "left")
+    return j.select("idx", "word", F.coalesce("vec", F.array_repeat(F.lit(0.0), dim)).alias("vec"))

@@ -280,3 +280,21 @@ def class_sample(spark, sf_dir):
 query("class_sample", """SELECT term, cls FROM (SELECT vec_id::VARCHAR AS term, label::VARCHAR AS cls,
   row_number() OVER (PARTITION BY label ORDER BY md5(vec_id::VARCHAR || '42'), vec_id::VARCHAR) AS r FROM embeddings)
 WHERE r <= 5""")(class_sample)
+
+
+def cnn_inputs(spark, sf_dir):
+    """Model inputs per labelled document: padded id sequence
+    and one-hot class (P26)."""
+    s = _sequences(spark, sf_dir)
+    c = _corpus3(spark, sf_dir)
+    tgt = C.encode_labels(F.col("label"), LABELS)
+    j = s.join(c, "doc_id")
+    return j.select("doc_id", _ids_str(C.pad_sequences(F.col("ids"), MAXLEN)).alias("ids"),
+                    F.array_join(F.transform(C.one_hot(tgt, 3), lambda x: x.cast("string")), ",").alias("onehot"))
+
+
+query("cnn_inputs", f"""WITH {SEQ_SQL}, {CORPUS3_SQL}
+SELECT seq.doc_id, array_to_string(list_concat(list_resize([]::INTEGER[], greatest({MAXLEN} - len(ids), 0), 0),
+  ids[greatest(len(ids) - {MAXLEN}, 0) + 1:]), ',') AS ids,
+  CASE label WHEN 'positive' THEN '1,0,0' WHEN 'negative' THEN '0,1,0' ELSE '0,0,1' END AS onehot
+FROM seq JOIN c3 USING (doc_id)""")(cnn_inputs)

@@ -178,3 +178,73 @@ def get_lexicon(spark: SparkSession, name: str) -> DataFrame:
         raise KeyError(name)
     reader, args, kwargs = _REGISTRY[name]
     return reader(spark, *args, **kwargs)
+
+
+def read_mpqa_plus(spark: SparkSession, path: str, row_tag: str = "lexical_entry") -> DataFrame:
+    """XML lexicon; per entry ``morpho/name`` -> word and
+    ``evaluation/@subtype`` -> polarity, kept when both are present (Spark's
+    built-in XML source)."""
+    df = spark.read.format("xml").option("rowTag", row_tag).load(path)
+    return (df.select(F.trim(F.col("morpho.name").cast("string")).alias("term"),
+                      F.col("evaluation._subtype").cast("string").alias("cls"))
+              .where(F.col("term").isNotNull() & F.col("cls").isNotNull()))
+
+
+def read_lidilem(spark: SparkSession, path: str, pol_col: int) -> DataFrame:
+    """``;``-separated CSV with a header; column 0 is the word and column
+    ``pol_col`` the class; empty classes dropped (S5a-c: 7 / 5 / 8)."""
+    df = spark.read.option("sep", ";").option("header", True).csv(path)
+    c = df.columns
+    out = df.select(F.trim(F.col(c[0])).alias("term"), F.trim(F.col(c[pol_col])).alias("cls"))
+    return out.where(F.col("cls").isNotNull() & (F.col("cls") != ""))
+
+
+def read_anew(spark: SparkSession, path: str) -> DataFrame:
+    """TSV ``word nb valence sd arousal sd dominance sd``; lines starting
+    with ``Word`` or ``#`` skipped."""
+    p = F.split("value", "\t")
+    lines = spark.read.text(path).where(~F.col("value").startswith("Word") & ~F.col("value").startswith("#"))
+    lines = lines.select(p.alias("p")).where(F.size("p") >= 8)
+    return lines.select(F.col("p")[0].alias("word"), F.col("p")[2].cast("double").alias("valence"),
+                        F.col("p")[4].cast("double").alias("arousal"), F.col("p")[6].cast("double").alias("dominance"))
+
+
+def tag_with_vocabulary(df: DataFrame, vocab: DataFrame, suffixes=("N", "V", "A"), word: str = "word") -> DataFrame:
+    """Suffix a word with ``___N``/``___V``/``___A``, the first variant found
+    in the vocabulary (coalesced left joins, no per-row lookups)."""
+    out = df
+    cols = []
+    for s in suffixes:
+        cand = F.concat(F.col(word), F.lit(f"___{s}"))
+        hit = vocab.select(F.col("word").alias(f"_v{s}"))
+        out = out.join(hit, cand == F.col(f"_v{s}"), "left")
+        cols.append(F.col(f"_v{s}"))
+    return out.select(*[c for c in df.columns if c != word], F.coalesce(*cols).alias(word))
+
+
+def read_sentiwordnet(spark: SparkSession, path: str) -> DataFrame:
+    """TSV ``pos id posScore negScore terms gloss``; each ``term#n`` of
+    the space-separated terms becomes a row; objective = 1 - (pos + neg); the
+    last sense of a term wins."""
+    p = F.split("value", "\t")
+    lines = _lines(spark, path).where(~F.col("value").startswith("#")).select(p.alias("p"), "line_no")
+    lines = lines.where(F.size("p") >= 5)
+    ex = lines.select(F.col("p")[0].alias("tag"), F.col("p")[2].cast("double").alias("pos"),
+                      F.col("p")[3].cast("double").alias("neg"), "line_no",
+                      F.explode(F.split(F.trim(F.col("p")[4]), " ")).alias("t"))
+    ex = ex.select(F.regexp_replace("t", "#.*$", "").alias("term"), "tag", "pos", "neg",
+                   (F.lit(1.0) - F.col("pos") - F.col("neg")).alias("obj"), "line_no")
+    return dedupe_last_wins(ex, "line_no")
+
+
+def read_nrc_class_vectors(spark: SparkSession, path: str, affects: list[str] | None = None) -> DataFrame:
+    """Per word, the ordered list of 0/1 flags of the chosen affects
+    (file order), for affect-signature relevance."""
+    p = F.split("value", "\t")
+    lines = _lines(spark, path).select(p.alias("p"), "line_no").where(F.size("p") == 3)
+    df = lines.select(F.col("p")[0].alias("word"), F.col("p")[1].alias("affect"),
+                      F.col("p")[2].cast("int").alias("flag"), "line_no")
+    if affects:
+        df = df.where(F.col("affect").isin(*affects))
+    g = df.groupBy("word").agg(F.array_sort(F.collect_list(F.struct("line_no", "flag"))).alias("_xs"))
+    return g.select("word", F.transform("_xs", lambda x: x["flag"]).alias("flags"))
