@@ -99,3 +99,15 @@ def spearman(df: DataFrame, x: str, y: str, key: str) -> DataFrame:
 
 def log2(x: float) -> float:
     return math.log2(x)
+
+
+def best_of(metrics: DataFrame, metric: str, by: list[str], choice_cols: list[str]) -> DataFrame:
+    """Per group ``by``, the row with the best ``metric``; the direction
+    follows the metric name (loss/error -> minimum, otherwise maximum).  Ties
+    go to the smallest choice tuple."""
+    lower_better = any(s in metric.lower() for s in ("loss", "error", "err"))
+    m = F.col(metric) if lower_better else -F.col(metric)
+    key = F.struct(m.alias("_m"), *[F.col(c).alias(c) for c in choice_cols])
+    best = F.min(metric) if lower_better else F.max(metric)
+    g = metrics.groupBy(*by).agg(F.min(key).alias("_k"), best.alias(f"best_{metric}"))
+    return g.select(*by, *[F.col("_k").getField(c).alias(c) for c in choice_cols], f"best_{metric}")

@@ -159,3 +159,90 @@ def simlex_vad_corr(spark, sf_dir):
 query("simlex_vad_corr", """WITH pairs AS (SELECT a.vec_id AS w1, b.vec_id AS w2, (a.label - b.label)::DOUBLE AS score,
   abs(a.embedding[1]::DOUBLE - b.embedding[1]::DOUBLE) AS dv FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1)
 SELECT (round(corr(dv, score), 6) + 0.0) AS pearson, count(*) AS n FROM pairs""")(simlex_vad_corr)
+
+
+# ---------------------------------------------------------- E10 / A16 grid
+
+def _grid_lexicons(spark, sf_dir):
+    """Three class lexicons over the vector vocabulary: label, sign of the
+    first and of the second component."""
+    e = S.load(spark, sf_dir, "embeddings")
+    term = F.col("vec_id").cast("string").alias("term")
+    sign = lambda i: F.when(F.col("embedding")[i] > 0, "positive").otherwise("negative")
+    return {"label": e.select(term, F.col("label").cast("string").alias("cls")),
+            "valence": e.select(term, sign(0).alias("cls")),
+            "arousal": e.select(term, sign(1).alias("cls"))}
+
+
+def lexicon_grid(spark, sf_dir):
+    """For every train lexicon, retrofit (R1) the vectors to it, search
+    neighbours, and score them against every other lexicon."""
+    from lexivec.operators import retrofit as R
+    vec = S.vectors(spark, sf_dir)
+    lexes = _grid_lexicons(spark, sf_dir)
+    out = None
+    for train, tl in lexes.items():
+        long = R.retrofit_class(vec, tl, 0.5, 0.5, 10, digits=None)
+        rv = (long.groupBy("word").agg(F.array_sort(F.collect_list(F.struct("dim", "value"))).alias("_xs"))
+                  .select("word", F.transform("_xs", lambda x: x["value"]).alias("vec")))
+        nb = V.knn(rv, rv, TOPN)
+        for test, te in lexes.items():
+            if test == train:
+                continue
+            s = E.summarize(E.ir_metrics(nb, te, TOPN)).select(F.lit(train).alias("train"), F.lit(test).alias("test"), "*")
+            out = s if out is None else out.unionByName(s)
+    return out
+
+
+def _grid_sql() -> str:
+    from lexivec.plans.q_vectors import LONG_SQL
+    lex = {"label": "label::VARCHAR",
+           "valence": "CASE WHEN embedding[1] > 0 THEN 'positive' ELSE 'negative' END",
+           "arousal": "CASE WHEN embedding[2] > 0 THEN 'positive' ELSE 'negative' END"}
+    ctes = [LONG_SQL, "lx AS (SELECT vec_id::VARCHAR AS term, " + ", ".join(f"{e} AS {n}" for n, e in lex.items())
+            + " FROM embeddings)"]
+    parts = []
+    for train in lex:
+        ctes.append(f"{train}_q0 AS (SELECT lv.word, lv.dim, lv.v0, lx.{train} AS cls, sz.n, lv.v0 AS q FROM lv "
+                    f"JOIN lx ON lx.term = lv.word JOIN (SELECT {train} AS cls, count(*) - 1 AS n FROM lx GROUP BY 1) sz "
+                    f"ON sz.cls = lx.{train})")
+        for i in range(1, 11):
+            p = f"{train}_q{i - 1}"
+            ctes.append(f"{train}_q{i} AS (SELECT p.word, p.dim, p.v0, p.cls, p.n, CASE WHEN p.n > 0 THEN "
+                        f"(p.n * 0.5 * p.v0 + 0.5 * (s.S - p.q)) / (p.n * 1.0) ELSE p.v0 END AS q FROM {p} p JOIN "
+                        f"(SELECT cls, dim, sum(q) AS S FROM {p} GROUP BY cls, dim) s USING (cls, dim))")
+        ctes.append(f"{train}_v AS (SELECT word, list(q ORDER BY dim) AS vec FROM {train}_q10 GROUP BY word)")
+        ctes.append(f"{train}_knn AS (SELECT * FROM (SELECT a.word AS query, b.word AS word, "
+                    f"row_number() OVER (PARTITION BY a.word ORDER BY list_cosine_similarity(a.vec, b.vec) DESC, b.word) AS rank "
+                    f"FROM {train}_v a JOIN {train}_v b ON a.word <> b.word) WHERE rank <= {TOPN})")
+        for test in lex:
+            if test == train:
+                continue
+            t = f"{train}_{test}"
+            ctes.append(f"""{t}_r AS (SELECT k.query, q.{test} AS cls, sz.num_rel, k.rank, (w.{test} = q.{test})::INTEGER AS rel
+  FROM {train}_knn k JOIN lx q ON q.term = k.query JOIN lx w ON w.term = k.word
+  JOIN (SELECT {test} AS cls, count(*) AS num_rel FROM lx GROUP BY 1) sz ON sz.cls = q.{test})""")
+            ctes.append(f"""{t}_m AS (SELECT query, cls,
+  sum(CASE WHEN rank <= 1 THEN rel ELSE 0 END) / 1.0 AS p1, sum(CASE WHEN rank <= 5 THEN rel ELSE 0 END) / 5.0 AS p5,
+  sum(CASE WHEN rank <= 10 THEN rel ELSE 0 END) / 10.0 AS p10,
+  sum(CASE WHEN rel = 1 THEN cum_rel / rank ELSE 0 END) / any_value(num_rel) AS ap,
+  coalesce(max(CASE WHEN rel = 1 THEN 1.0 / rank END), 0) AS rr,
+  sum(CASE WHEN rel = 1 THEN 1.0 / log2(rank + 1.0) ELSE 0 END) /
+    (SELECT sum(1.0 / log2(i + 1.0)) FROM range(1, least(any_value(num_rel), {TOPN}) + 1) t(i)) AS ndcg
+  FROM (SELECT *, sum(rel) OVER (PARTITION BY query ORDER BY rank) AS cum_rel FROM {t}_r) GROUP BY query, cls)""")
+            means = ", ".join(f"{r6(f'avg(round({c}, 6))')} AS mean_{c}" for c in ["p1", "p5", "p10", "ap", "rr", "ndcg"])
+            parts.append(f"SELECT '{train}' AS train, '{test}' AS test, {means}, count(*) AS n_queries FROM {t}_m")
+    return "WITH " + ",\n".join(ctes) + "\n" + "\nUNION ALL\n".join(parts)
+
+
+GRID_SQL = _grid_sql()
+query("lexicon_grid", GRID_SQL)(lexicon_grid)
+
+
+def best_model_select(spark, sf_dir):
+    """For each test lexicon, the train lexicon with the best MAP."""
+    return E.best_of(lexicon_grid(spark, sf_dir), "mean_ap", ["test"], ["train"])
+
+
+query("best_model_select", f"""WITH g AS ({GRID_SQL})
+SELECT test, arg_min(train, (-mean_ap, train)) AS train, max(mean_ap) AS best_mean_ap FROM g GROUP BY test""")(best_model_select)
