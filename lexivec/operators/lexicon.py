@@ -160,7 +160,7 @@ def distant_label(docs: DataFrame, toks: Column, positives: DataFrame, negatives
              .unionByName(negatives.select(F.col("term").alias("_key"), F.lit(2).alias("_rank"), F.lit("negatives").alias("_lab")))
              .groupBy("_key").agg(F.min_by("_lab", "_rank").alias("_lab")))
     ex = docs.select(id_col, F.posexplode(toks).alias("_pos", "_key")).join(sized_broadcast(words), "_key")
-    return ex.groupBy(id_col).agg(F.min_by("_lab", "_pos").alias("label"), F.min("_pos").alias("first_pos"))
+    return ex.groupBy(id_col).agg(F.min_by("_lab", "_pos").alias("label"), F.min("_pos").cast("long").alias("first_pos"))
 
 
 def invert(lexicon: DataFrame) -> DataFrame:
