@@ -26,18 +26,33 @@ def word_index(vocab: DataFrame) -> DataFrame:
     return global_index(vocab, [F.col("cnt").desc(), F.col("word")], "idx")
 
 
+def top_words(vocab: DataFrame, k: int) -> DataFrame:
+    """The ``k`` most frequent words with their ids 1..k (same ids as
+    :func:`word_index`).  A distributed top-k (each task keeps k rows, then
+    one merge of bounded size) instead of a global order over the vocabulary."""
+    from pyspark.sql import Window
+    top = vocab.orderBy(F.col("cnt").desc(), F.col("word")).limit(k)
+    return top.withColumn("idx", F.row_number().over(Window.orderBy(F.col("cnt").desc(), F.col("word"))).cast("long"))
+
+
 def to_ids(docs: DataFrame, toks: Column, index: DataFrame, max_words: int | None = None,
            id_col: str = "doc_id") -> DataFrame:
     """N5 texts->sequences: map tokens to ids, dropping unknown ids and ids
     ``>= max_words``.  The kept index is bounded by ``max_words``, so it is
     broadcast; the order inside a document is restored from token positions."""
-    idx = index if max_words is None else index.where(F.col("idx") < max_words)
-    idx = sized_broadcast(idx.select(F.col("word").alias("_w"), F.col("idx").cast("int").alias("_id")))
-    ex = docs.select(id_col, F.posexplode_outer(toks).alias("_pos", "_w"))
-    j = ex.join(idx, "_w", "left")
-    g = j.groupBy(id_col).agg(F.array_sort(F.collect_list(F.when(F.col("_id").isNotNull(),
-                                                                 F.struct("_pos", "_id")))).alias("_xs"))
-    return g.select(id_col, F.transform("_xs", lambda x: x["_id"]).alias("ids"))
+    if max_words is None:
+        idx = sized_broadcast(index.select(F.col("word").alias("_w"), F.col("idx").cast("int").alias("_id")))
+    else:
+        # ids are unique, so ids < max_words bound the table by construction
+        idx = F.broadcast(index.where(F.col("idx") < max_words)
+                          .select(F.col("word").alias("_w"), F.col("idx").cast("int").alias("_id")))
+    # Only kept tokens are shuffled to their document; documents without any
+    # kept token come back through a join on the document ids.
+    ex = docs.select(id_col, F.posexplode(toks).alias("_pos", "_w"))
+    j = ex.join(idx, "_w")
+    g = j.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("_pos", "_id"))).alias("_xs"))
+    out = docs.select(id_col).join(g, id_col, "left")
+    return out.select(id_col, F.coalesce(F.transform("_xs", lambda x: x["_id"]), F.array().cast("array<int>")).alias("ids"))
 
 
 def pad_sequences(ids: Column, maxlen: int, value: int = 0) -> Column:

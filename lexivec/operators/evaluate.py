@@ -62,16 +62,19 @@ def summarize(metrics: DataFrame, by: list[str] | None = None) -> DataFrame:
 
 
 def classification_report(pred: DataFrame, gold_col: str = "gold", pred_col: str = "pred") -> DataFrame:
-    """A8 (+A15 fixed): per class precision, recall, F1 = 2PR/(P+R), support."""
-    p = pred.select(F.col(gold_col).alias("g"), F.col(pred_col).alias("p"))
-    classes = p.select(F.col("g").alias("cls")).union(p.select(F.col("p").alias("cls"))).distinct()
-    tp = p.where("g = p").groupBy(F.col("g").alias("cls")).agg(F.count(F.lit(1)).alias("tp"))
-    npred = p.groupBy(F.col("p").alias("cls")).agg(F.count(F.lit(1)).alias("npred"))
-    sup = p.groupBy(F.col("g").alias("cls")).agg(F.count(F.lit(1)).alias("support"))
-    j = classes.join(tp, "cls", "left").join(npred, "cls", "left").join(sup, "cls", "left").fillna(0)
+    """A8 (+A15 fixed): per class precision, recall, F1 = 2PR/(P+R), support.
+    One confusion aggregate; everything else is derived from that small table."""
+    conf = pred.groupBy(F.col(gold_col).alias("g"), F.col(pred_col).alias("p")).agg(F.count(F.lit(1)).alias("c"))
+    per = (conf.select(F.explode(F.array(
+                F.struct(F.col("g").alias("cls"), F.when(F.col("g") == F.col("p"), F.col("c")).otherwise(0).alias("tp"),
+                         F.lit(0).cast("long").alias("npred"), F.col("c").alias("support")),
+                F.struct(F.col("p").alias("cls"), F.lit(0).cast("long").alias("tp"), F.col("c").alias("npred"),
+                         F.lit(0).cast("long").alias("support")))).alias("x"))
+               .select("x.*").groupBy("cls").agg(F.sum("tp").alias("tp"), F.sum("npred").alias("npred"),
+                                                 F.sum("support").alias("support")))
     prec = F.when(F.col("npred") > 0, F.col("tp") / F.col("npred")).otherwise(0.0)
     rec = F.when(F.col("support") > 0, F.col("tp") / F.col("support")).otherwise(0.0)
-    j = j.select("cls", prec.alias("precision"), rec.alias("recall"), F.col("support").cast("long").alias("support"))
+    j = per.select("cls", prec.alias("precision"), rec.alias("recall"), F.col("support").cast("long").alias("support"))
     f1 = F.when(F.col("precision") + F.col("recall") > 0,
                 2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall"))).otherwise(0.0)
     return j.select("cls", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"),

@@ -108,11 +108,12 @@ def pair_scores(docs: DataFrame, toks: Column, pair_lexicon: DataFrame, id_col:
                  .select(id_col, F.lower(F.col("_x.g")).alias("g"), F.col("_x.c").alias("c"))
                  .join(sized_broadcast(sides), "g", "left_semi"))
     occ = grams.groupBy(id_col, "g").agg(F.collect_list("c").alias("ps"))
-    lefts = occ.join(sized_broadcast(lex.select("term", F.col("left").alias("g"), "score")), "g") \
-               .select(id_col, "term", "score", F.col("ps").alias("lp"))
-    rights = occ.join(sized_broadcast(lex.select("term", F.col("right").alias("g"))), "g") \
-                .select(id_col, "term", F.col("ps").alias("rp"))
-    both = lefts.join(rights, [id_col, "term"])
+    # Fan out each document's left grams to their pairs, then fetch the right
+    # gram's positions of the same document with one equi-join.
+    lefts = occ.join(sized_broadcast(lex.select(F.col("left").alias("g"), "right", "score")), "g") \
+               .select(id_col, "right", "score", F.col("ps").alias("lp"))
+    rights = occ.select(id_col, F.col("g").alias("right"), F.col("ps").alias("rp"))
+    both = lefts.join(rights, [id_col, "right"])
     merged = F.array_sort(F.concat(F.transform("lp", lambda a: F.struct(a.alias("p"), F.lit(1).alias("t"))),
                                    F.transform("rp", lambda b: F.struct(b.alias("p"), F.lit(0).alias("t")))))
     idx_sum = F.aggregate(F.transform(merged, lambda e, i: F.when(e["t"] == 0, i).otherwise(0)).cast("array<long>"),
@@ -151,15 +152,22 @@ def project_lexicon(docs: DataFrame, toks: Column, lexicon: DataFrame, value_col
     return g.select(id_col, F.array_join(F.transform("_xs", lambda x: x["_v"]), " ").alias(out_col))
 
 
+def label_words(positives: DataFrame, negatives: DataFrame) -> DataFrame:
+    """W4 word table ``(_key, _lab)``; a word in both sets is positive (the
+    reference checks the positive set first)."""
+    return (positives.select(F.col("term").alias("_key"), F.lit(1).alias("_rank"), F.lit("positives").alias("_lab"))
+            .unionByName(negatives.select(F.col("term").alias("_key"), F.lit(2).alias("_rank"), F.lit("negatives").alias("_lab")))
+            .groupBy("_key").agg(F.min_by("_lab", "_rank").alias("_lab")))
+
+
 def distant_label(docs: DataFrame, toks: Column, positives: DataFrame, negatives: DataFrame,
-                  id_col: str = "doc_id") -> DataFrame:
+                  id_col: str = "doc_id", words: DataFrame | None = None) -> DataFrame:
     """Label a document by the first token found in either word set;
-    documents without a hit are dropped.  (On a tie of both sets the
-    positive set wins, as in the reference's check order.)"""
-    words = (positives.select(F.col("term").alias("_key"), F.lit(1).alias("_rank"), F.lit("positives").alias("_lab"))
-             .unionByName(negatives.select(F.col("term").alias("_key"), F.lit(2).alias("_rank"), F.lit("negatives").alias("_lab")))
-             .groupBy("_key").agg(F.min_by("_lab", "_rank").alias("_lab")))
-    ex = docs.select(id_col, F.posexplode(toks).alias("_pos", "_key")).join(sized_broadcast(words), "_key")
+    documents without a hit are dropped.  ``words`` may pass a prepared
+    (already size-checked) :func:`label_words` table."""
+    if words is None:
+        words = sized_broadcast(label_words(positives, negatives))
+    ex = docs.select(id_col, F.posexplode(toks).alias("_pos", "_key")).join(words, "_key")
     return ex.groupBy(id_col).agg(F.min_by("_lab", "_pos").alias("label"), F.min("_pos").cast("long").alias("first_pos"))
 
 

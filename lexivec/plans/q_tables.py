@@ -57,7 +57,7 @@ FROM (SELECT tok AS word, count(*) AS cnt FROM dt GROUP BY tok)""")(word_index_q
 
 def _sequences(spark, sf_dir):
     t = _tokens(spark, sf_dir)
-    idx = C.word_index(C.vocabulary(t, F.col("tok")))
+    idx = C.top_words(C.vocabulary(t, F.col("tok")), MAX_WORDS - 1)
     return C.to_ids(t, F.col("tok"), idx, max_words=MAX_WORDS)
 
 

@@ -30,8 +30,8 @@ def label_stream(spark: SparkSession, source_dir: str, schema, positives: DataFr
     base = ensure_checkpoint_dir(spark).rstrip("/")
     run = f"{base}/label_stream/{uuid.uuid4().hex}"
     out_dir = out_dir or f"{run}/out"
-    pos = sized_broadcast(positives.select("term")).cache()
-    neg = sized_broadcast(negatives.select("term")).cache()
+    # Word table prepared once (size-checked, cached) and reused by every batch.
+    words = sized_broadcast(L.label_words(positives, negatives).cache())
 
     reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger)
     if glob:
@@ -41,7 +41,7 @@ def label_stream(spark: SparkSession, source_dir: str, schema, positives: DataFr
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
         from lexivec.sources.tables import spread
-        res = L.distant_label(spread(batch), F.col("tok"), pos, neg, id_col=id_col)
+        res = L.distant_label(spread(batch), F.col("tok"), None, None, id_col=id_col, words=words)
         res.write.mode("overwrite").parquet(f"{out_dir}/batch_id={batch_id}")
 
     q = (normed.writeStream.foreachBatch(write_batch)
