@@ -114,3 +114,12 @@ def best_of(metrics: DataFrame, metric: str, by: list[str], choice_cols: list[st
     best = F.min(metric) if lower_better else F.max(metric)
     g = metrics.groupBy(*by).agg(F.min(key).alias("_k"), best.alias(f"best_{metric}"))
     return g.select(*by, *[F.col("_k").getField(c).alias(c) for c in choice_cols], f"best_{metric}")
+
+
+def filter_run(run: DataFrame, pattern: str | None = r"^[a-z]+$", qid: str = "query", docno: str = "word") -> DataFrame:
+    """Keep run documents matching ``pattern`` (non-empty), one row per
+    (query, document)."""
+    r = run.where(F.length(docno) > 0)
+    if pattern:
+        r = r.where(F.col(docno).rlike(pattern))
+    return r.dropDuplicates([qid, docno])

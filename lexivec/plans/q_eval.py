@@ -246,3 +246,19 @@ def best_model_select(spark, sf_dir):
 
 query("best_model_select", f"""WITH g AS ({GRID_SQL})
 SELECT test, arg_min(train, (-mean_ap, train)) AS train, max(mean_ap) AS best_mean_ap FROM g GROUP BY test""")(best_model_select)
+
+
+def anew_sentiwn_corr(spark, sf_dir):
+    """VAD table joined to a SentiWordNet-shaped table on the word;
+    corr(valence, pos - neg).  The second table is the absolute 4th and 5th
+    vector components."""
+    vad = S.vad(spark, sf_dir)
+    e = S.load(spark, sf_dir, "embeddings")
+    swn = e.select(F.col("vec_id").cast("string").alias("word"), F.abs(F.col("embedding")[3]).cast("double").alias("pos"),
+                   F.abs(F.col("embedding")[4]).cast("double").alias("neg"))
+    j = vad.join(swn, "word").select("valence", (F.col("pos") - F.col("neg")).alias("polarity"))
+    return E.pearson(j, "valence", "polarity")
+
+
+query("anew_sentiwn_corr", f"""SELECT {r6('corr(embedding[1]::DOUBLE, abs(embedding[4]::DOUBLE) - abs(embedding[5]::DOUBLE))')} AS pearson,
+  count(*) AS n FROM embeddings""")(anew_sentiwn_corr)

@@ -298,3 +298,13 @@ SELECT seq.doc_id, array_to_string(list_concat(list_resize([]::INTEGER[], greate
   ids[greatest(len(ids) - {MAXLEN}, 0) + 1:]), ',') AS ids,
   CASE label WHEN 'positive' THEN '1,0,0' WHEN 'negative' THEN '0,1,0' ELSE '0,0,1' END AS onehot
 FROM seq JOIN c3 USING (doc_id)""")(cnn_inputs)
+
+
+def sequence_stats(spark, sf_dir):
+    """Mean id-sequence length (and count) over the corpus."""
+    s = _sequences(spark, sf_dir)
+    return s.agg(F.round(F.avg(F.size("ids")), 6).alias("mean_len"), F.count(F.lit(1)).alias("n_docs"))
+
+
+query("sequence_stats", f"""WITH {SEQ_SQL}
+SELECT (round(avg(len(ids)), 6) + 0.0) AS mean_len, count(*) AS n_docs FROM seq""")(sequence_stats)
