@@ -13,16 +13,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexivec.operators.ordering import average_rank
+from lexivec.session import sized_broadcast
 
 CUTOFFS = (1, 5, 10)
 
 
 def qrels(lexicon: DataFrame) -> DataFrame:
-    """E1 qrel: every word of the query's class is relevant (query included):
-    ``(qid, iter, docno, rel)``."""
-    b = lexicon.select(F.col("cls"), F.col("term").alias("docno"))
-    return (lexicon.join(b, "cls")
-            .select(F.col("term").alias("qid"), F.lit(0).alias("iter"), "docno", F.lit(1).alias("rel")))
+    """E1 qrel in implicit form: every word of the query's class is relevant
+    (query included), so the judgments are ``(qid, cls, num_rel)`` and a run
+    row is relevant iff its word has the query's class.  The pairwise qrel
+    file (|class|^2 lines) is not materialised; :func:`ir_metrics` joins on
+    the class instead."""
+    sizes = lexicon.groupBy("cls").agg(F.count(F.lit(1)).alias("num_rel"))
+    return (lexicon.join(sized_broadcast(sizes), "cls")
+            .select(F.col("term").alias("qid"), F.lit(0).alias("iter"), "cls", F.col("num_rel").cast("long").alias("num_rel")))
 
 
 def ir_metrics(run: DataFrame, lexicon: DataFrame, k: int) -> DataFrame:

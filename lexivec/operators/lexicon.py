@@ -180,10 +180,12 @@ def invert(lexicon: DataFrame) -> DataFrame:
 def class_graph(lexicon: DataFrame) -> DataFrame:
     """A3: word -> neighbours = all words of its class (itself included).
 
-    Returned as an adjacency edge table ``(term, neighbour)``; built from the
-    class key join, whose output is the graph itself (|class|^2 rows)."""
-    b = lexicon.select(F.col("cls"), F.col("term").alias("neighbour"))
-    return lexicon.join(b, "cls").select("term", "neighbour", "cls")
+    The graph is kept in implicit form ``(term, cls, degree)``: a word's
+    neighbour set is its class's member list (:func:`invert`), so the
+    |class|^2 edge table is never materialised (a class may hold a third of
+    the vocabulary).  Consumers join on ``cls`` or aggregate per class."""
+    deg = lexicon.groupBy("cls").agg(F.count(F.lit(1)).alias("degree"))
+    return lexicon.select("term", "cls").join(sized_broadcast(deg), "cls").select("term", "cls", "degree")
 
 
 def union_last_wins(*lexicons: DataFrame) -> DataFrame:

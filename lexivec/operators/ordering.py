@@ -45,3 +45,20 @@ def average_rank(df: DataFrame, value: str, key: str, name: str) -> DataFrame:
 def hash_order(key: Column, seed: str = "42") -> Column:
     """Engine-neutral pseudo-random order key: ``md5(key || seed)``."""
     return F.md5(F.concat(key.cast("string"), F.lit(seed)))
+
+
+def successors(df: DataFrame, group: str, key: str, steps: list[int]) -> DataFrame:
+    """For each row, the ``key`` of the rows ``s`` places later in its group
+    (ordered by ``key``), for each ``s`` in ``steps`` (null past the end).
+
+    Same result as ``lead(key, s) over (partition by group order by key)``,
+    but skew-safe: positions come from one global order and successors are
+    found by an equi-join on (group, position + s), which spreads a huge group
+    over all tasks instead of sorting it inside one.
+    """
+    g = global_index(df.select(group, key), [F.col(group), F.col(key)], "_i")
+    out = g
+    for s in steps:
+        nxt = g.select(F.col(group), (F.col("_i") - s).alias("_i"), F.col(key).alias(f"{key}_{s}"))
+        out = out.join(nxt, [group, "_i"], "left")
+    return out.drop("_i")

@@ -75,6 +75,8 @@ def retrofit_graph(vectors: DataFrame, edges: DataFrame, n_iter: int = 10, check
     e = (edges.select("src", "dst").distinct()
          .join(vocab.withColumnRenamed("word", "src"), "src", "left_semi")
          .join(vocab.withColumnRenamed("word", "dst"), "dst", "left_semi"))
+    # the filtered graph is reused by every iteration: materialise it once
+    e = e.checkpoint(eager=True)
     deg = e.groupBy("src").agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("src", "word")
     base = _long(vectors).join(deg, "word", "left")
     cur = base.withColumn("q", F.col("v0"))

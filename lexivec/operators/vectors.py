@@ -15,7 +15,31 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_MAX_QUERIES = 200_000
+DEFAULT_MAX_QUERIES = 50_000  # broadcast chunk: 50k x 300 dims x 8 bytes = 120 MB
+
+
+def _chunked(df: DataFrame, key: str, max_rows: int, run) -> DataFrame:
+    """Apply ``run(chunk) -> DataFrame`` to ``df`` directly when it has at most
+    ``max_rows`` rows, else to consecutive ranges of a global order of ``key``
+    (each at most ``max_rows``); chunk results are written under the
+    checkpoint folder and read back together.  Exact: every row is processed."""
+    import math
+    import uuid
+    from lexivec.operators.ordering import global_index
+    from lexivec.session import ensure_checkpoint_dir
+    if df.limit(max_rows + 1).count() <= max_rows:
+        return run(df)
+    spark = df.sparkSession
+    g = global_index(df, [F.col(key)], "_ci")
+    total = g.count()
+    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/chunks/{uuid.uuid4().hex}"
+    paths = []
+    for c in range(math.ceil(total / max_rows)):
+        part = g.where((F.col("_ci") > c * max_rows) & (F.col("_ci") <= (c + 1) * max_rows)).drop("_ci")
+        path = f"{base}/chunk={c}"
+        run(part).write.mode("overwrite").parquet(path)
+        paths.append(path)
+    return spark.read.parquet(*paths)
 
 
 def l2_norm(vec: Column) -> Column:
@@ -56,11 +80,18 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int, exclude_self: bool = Tru
         max_queries: int = DEFAULT_MAX_QUERIES, exclude_col: str | None = None) -> DataFrame:
     """Exact cosine top-k neighbours ``(query, word, rank, sim)``.
 
-    ``vectors(word, vec)`` is the searched vocabulary (any size);
-    ``queries(word, vec[, exclude])`` is bounded by ``max_queries`` and
-    broadcast; ``exclude_col`` names an array of words never returned for that
-    query (analogy inputs).  Ties are broken by word; rank is 1-based.
+    ``vectors(word, vec)`` is the searched vocabulary (any size, stays
+    distributed); ``queries(word, vec[, exclude])`` is broadcast in chunks of
+    at most ``max_queries`` rows; ``exclude_col`` names an array of words never
+    returned for that query (analogy inputs).  Ties are broken by word; rank
+    is 1-based.
     """
+    return _chunked(queries, "word", max_queries,
+                    lambda q: _knn_block(vectors, q, k, exclude_self, max_queries, exclude_col))
+
+
+def _knn_block(vectors: DataFrame, queries: DataFrame, k: int, exclude_self: bool,
+               max_queries: int, exclude_col: str | None) -> DataFrame:
     spark = vectors.sparkSession
     qkeys, qmat = _bounded_matrix(queries, "word", "vec", max_queries)
     excl = {}
@@ -110,10 +141,18 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int, exclude_self: bool = Tru
 def closest_class_scores(vectors: DataFrame, lexicon: DataFrame, max_members: int = DEFAULT_MAX_QUERIES) -> DataFrame:
     """Per word and class, the max cosine to any class member in the
     vocabulary (a member scores 1.0 with itself).  Output ``(word, cls, score)``.
-    Words outside the vocabulary get -1 for every class (see :func:`oov_scores`)."""
-    spark = vectors.sparkSession
+    The member matrix is broadcast in chunks of at most ``max_members`` rows;
+    chunk maxima are combined with a final max per (word, class)."""
     members = lexicon.join(vectors.withColumnRenamed("word", "term"), "term", "left_semi")
     mem = members.join(vectors.withColumnRenamed("word", "term"), "term").select("term", "cls", "vec")
+    if mem.limit(max_members + 1).count() <= max_members:
+        return _class_max_block(vectors, mem, max_members)
+    parts = _chunked(mem, "term", max_members, lambda m: _class_max_block(vectors, m, max_members))
+    return parts.groupBy("word", "cls").agg(F.max("score").alias("score"))
+
+
+def _class_max_block(vectors: DataFrame, mem: DataFrame, max_members: int) -> DataFrame:
+    spark = vectors.sparkSession
     rows = mem.limit(max_members + 1).collect()
     if len(rows) > max_members:
         raise ValueError("lexicon side too large to broadcast")

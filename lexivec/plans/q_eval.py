@@ -18,8 +18,8 @@ def qrel(spark, sf_dir):
     return E.qrels(S.vector_lexicon(spark, sf_dir))
 
 
-query("qrel", """SELECT a.vec_id::VARCHAR AS qid, 0 AS iter, b.vec_id::VARCHAR AS docno, 1 AS rel
-FROM embeddings a JOIN embeddings b ON a.label = b.label""")(qrel)
+query("qrel", """SELECT vec_id::VARCHAR AS qid, 0 AS iter, label::VARCHAR AS cls,
+  count(*) OVER (PARTITION BY label) AS num_rel FROM embeddings""")(qrel)
 
 
 def run(spark, sf_dir):

@@ -223,8 +223,8 @@ def lexicon_graph(spark, sf_dir):
     return L.class_graph(S.vector_lexicon(spark, sf_dir))
 
 
-query("lexicon_graph", """SELECT a.vec_id::VARCHAR AS term, b.vec_id::VARCHAR AS neighbour, a.label::VARCHAR AS cls
-FROM embeddings a JOIN embeddings b ON a.label = b.label""")(lexicon_graph)
+query("lexicon_graph", """SELECT vec_id::VARCHAR AS term, label::VARCHAR AS cls,
+  count(*) OVER (PARTITION BY label) AS degree FROM embeddings""")(lexicon_graph)
 
 
 def stratified_split(spark, sf_dir):

@@ -152,32 +152,32 @@ query("synonyms", """SELECT label::VARCHAR AS cls, string_agg(vec_id::VARCHAR, '
 
 
 def antonyms(spark, sf_dir):
-    """C4: for each word and each other class, the words of that class.
-    The other classes are exploded from the bounded class list and joined on
-    equality (no theta join)."""
+    """C4: for each word, one row per other class (its antonym list is that
+    class's synonym line).  The other classes are exploded from the bounded
+    class list (no theta join); word lists are not repeated per word, which
+    would emit every cross-class word pair."""
     from lexivec.session import sized_broadcast
     lex = S.vector_lexicon(spark, sf_dir)
     classes = sorted(r[0] for r in lex.select("cls").distinct().limit(10_001).collect())
-    lists = lex.groupBy(F.col("cls").alias("other_cls")).agg(F.array_sort(F.collect_list("term")).alias("t"))
+    sizes = lex.groupBy(F.col("cls").alias("other_cls")).agg(F.count(F.lit(1)).alias("n_antonyms"))
     w = lex.select("term", "cls", F.explode(F.array_remove(F.array(*[F.lit(c) for c in classes]), F.col("cls"))).alias("other_cls"))
-    j = w.join(sized_broadcast(lists), "other_cls")
-    return j.select("term", "cls", "other_cls", F.concat_ws(" ", F.col("term"), F.array_join("t", " ")).alias("line"))
+    return w.join(sized_broadcast(sizes), "other_cls").select("term", "cls", "other_cls", "n_antonyms")
 
 
 query("antonyms", """WITH l AS (SELECT vec_id::VARCHAR AS term, label::VARCHAR AS cls FROM embeddings),
-lists AS (SELECT cls, string_agg(term, ' ' ORDER BY term) AS t FROM l GROUP BY cls)
-SELECT a.term, a.cls, b.cls AS other_cls, a.term || ' ' || b.t AS line FROM l a JOIN lists b ON b.cls <> a.cls""")(antonyms)
+sz AS (SELECT cls, count(*) AS n_antonyms FROM l GROUP BY cls)
+SELECT a.term, a.cls, b.cls AS other_cls, b.n_antonyms FROM l a JOIN sz b ON b.cls <> a.cls""")(antonyms)
 
 
 def _questions(spark, sf_dir):
     """Analogy questions from the vector table: four consecutive ids of a label
     (section = label)."""
-    from pyspark.sql import Window
+    from lexivec.operators.ordering import successors
     e = S.load(spark, sf_dir, "embeddings").select("vec_id", "label")
-    w = Window.partitionBy("label").orderBy("vec_id")
-    q = e.select(F.col("label").cast("string").alias("section"), F.col("vec_id").cast("string").alias("a"),
-                 F.lead("vec_id", 1).over(w).cast("string").alias("b"), F.lead("vec_id", 2).over(w).cast("string").alias("c"),
-                 F.lead("vec_id", 3).over(w).cast("string").alias("d"))
+    n = successors(e, "label", "vec_id", [1, 2, 3])
+    q = n.select(F.col("label").cast("string").alias("section"), F.col("vec_id").cast("string").alias("a"),
+                 F.col("vec_id_1").cast("string").alias("b"), F.col("vec_id_2").cast("string").alias("c"),
+                 F.col("vec_id_3").cast("string").alias("d"))
     return q.where(F.col("d").isNotNull()).withColumn("qid", F.col("a"))
 
 

@@ -7,7 +7,7 @@ FIXTURES.md part B), with the same definitions in Spark and in the SQL oracles.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexivec.functions import text as T
@@ -88,12 +88,12 @@ def vector_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Synonym graph ``(src, dst)``: next and previous ``vec_id`` within a label."""
+    from lexivec.operators.ordering import successors
     e = load(spark, sf_dir, "embeddings").select("vec_id", "label")
-    w = Window.partitionBy("label").orderBy("vec_id")
-    nb = e.select("vec_id", F.lead("vec_id").over(w).alias("nxt"), F.lag("vec_id").over(w).alias("prv"))
-    out = (nb.select("vec_id", F.col("nxt").alias("dst")).union(nb.select("vec_id", F.col("prv").alias("dst")))
-             .where(F.col("dst").isNotNull()))
-    return out.select(F.col("vec_id").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"))
+    nxt = successors(e, "label", "vec_id", [1]).where(F.col("vec_id_1").isNotNull())
+    fwd = nxt.select(F.col("vec_id").alias("a"), F.col("vec_id_1").alias("b"))
+    out = fwd.select(F.col("a").alias("s"), F.col("b").alias("d")).union(fwd.select(F.col("b").alias("s"), F.col("a").alias("d")))
+    return out.select(F.col("s").cast("string").alias("src"), F.col("d").cast("string").alias("dst"))
 
 
 def vad(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -60,3 +60,15 @@ def test_retrofit_graph_isolated_words_unchanged(spark):
     out = {(r.word, r.dim): r.value for r in R.retrofit_graph(df.select("word", "vec"), edges, 3).collect()}
     assert abs(out[("3", 0)] - round(m[3, 0], 6)) < 1e-9
     assert abs(out[("2", 1)] - round(m[2, 1], 6)) < 1e-9
+
+
+def test_knn_and_class_scores_chunked_equal_unchunked(spark):
+    df, m = _vecs(spark, n=40, d=6, seed=9)
+    vec = df.select("word", "vec")
+    lex = df.select(F.col("word").alias("term"), "cls")
+    a = {(r.query, r.rank): r.word for r in V.knn(vec, vec, 4).collect()}
+    b = {(r.query, r.rank): r.word for r in V.knn(vec, vec, 4, max_queries=7).collect()}
+    assert a == b and len(a) == 160
+    c = {(r.word, r.cls): round(r.score, 9) for r in V.closest_class_scores(vec, lex).collect()}
+    d = {(r.word, r.cls): round(r.score, 9) for r in V.closest_class_scores(vec, lex, max_members=6).collect()}
+    assert c == d and len(c) == 160
