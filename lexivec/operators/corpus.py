@@ -48,6 +48,7 @@ def to_ids(docs: DataFrame, toks: Column, index: DataFrame, max_words: int | Non
                           .select(F.col("word").alias("_w"), F.col("idx").cast("int").alias("_id")))
     # Only kept tokens are shuffled to their document; documents without any
     # kept token come back through a join on the document ids.
+    docs = docs.repartition(id_col)  # regroup below reuses this partitioning
     ex = docs.select(id_col, F.posexplode(toks).alias("_pos", "_w"))
     j = ex.join(idx, "_w")
     g = j.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("_pos", "_id"))).alias("_xs"))
@@ -84,7 +85,7 @@ def add_ngrams(seqs: DataFrame, ids_col: str, dictionary: DataFrame, ngram_range
     while ``i <= len - ngram_range``) and n = 2..ngram_range, in that order."""
     from lexivec.functions.text import ngrams
     dic = sized_broadcast(dictionary.select(F.col("ngram").alias("_g"), F.col("token").alias("_tok")))
-    s = seqs.select(id_col, F.col(ids_col).alias("_ids"))
+    s = seqs.select(id_col, F.col(ids_col).alias("_ids")).repartition(id_col)
     toks = F.transform("_ids", lambda x: x.cast("string"))
     # n-gram lists for n = 2..R zipped by start position, cut to the starts
     # i <= len - R; arrays are HOF arguments (never captured in a lambda), so

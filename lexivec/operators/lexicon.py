@@ -143,7 +143,9 @@ def project_lexicon(docs: DataFrame, toks: Column, lexicon: DataFrame, value_col
     ``array_sort`` over (position, value) structs after the per-document group.
     """
     lex = sized_broadcast(lexicon.select(F.col("term").alias("_key"), F.col(value_col).alias("_val")))
-    ex = docs.select(id_col, F.posexplode_outer(toks).alias("_pos", "_tok"))
+    # Partition documents (one row each) by id before exploding: the regroup
+    # below then reuses that partitioning, so tokens never cross the network.
+    ex = docs.repartition(id_col).select(id_col, F.posexplode_outer(toks).alias("_pos", "_tok"))
     key = F.col("_tok") if case_sensitive else F.lower("_tok")
     ex = ex.withColumn("_key", key).join(lex, "_key", "left")
     fallback = F.col("_tok") if not_found is None else F.lit(not_found)

@@ -214,7 +214,8 @@ def vector_sums(df: DataFrame, group: str, vec: str = "vec") -> DataFrame:
 def doc_vectors(docs: DataFrame, toks: Column, vectors: DataFrame, dim: int, id_col: str = "doc_id") -> DataFrame:
     """Concatenate the vectors of lower-cased tokens (zeros when missing),
     in token order.  Output ``(doc_id, vec)``."""
-    ex = docs.select(id_col, F.posexplode_outer(toks).alias("_pos", "_w")).withColumn("_w", F.lower("_w"))
+    ex = (docs.repartition(id_col).select(id_col, F.posexplode_outer(toks).alias("_pos", "_w"))
+              .withColumn("_w", F.lower("_w")))
     j = ex.join(vectors.select(F.col("word").alias("_w"), F.col("vec").alias("_v")), "_w", "left")
     zeros = F.array_repeat(F.lit(0.0), dim)
     g = j.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("_pos", F.coalesce("_v", zeros).alias("_v")))).alias("_xs"))
