@@ -38,8 +38,14 @@ CORPUS3_SQL = """c3 AS (SELECT d.doc_id, d.source AS uid,
   FROM documents d JOIN labels l USING (doc_id))"""
 
 
+def _docs(spark, sf_dir):
+    return S.documents(spark, sf_dir).select("doc_id", "text")
+
+
 def vocab(spark, sf_dir):
-    return C.vocabulary(_tokens(spark, sf_dir), F.col("tok"), min_count=5)
+    # tokens are exploded straight from the text expression (no intermediate
+    # array column: saves an array copy per document)
+    return C.vocabulary(_docs(spark, sf_dir), T.tokens("text"), min_count=5)
 
 
 query("vocab", f"""WITH {DOC_TOKENS_CTE}
@@ -47,7 +53,7 @@ SELECT tok AS word, count(*) AS cnt FROM dt GROUP BY tok HAVING count(*) >= 5"""
 
 
 def word_index_q(spark, sf_dir):
-    return C.word_index(C.vocabulary(_tokens(spark, sf_dir), F.col("tok")))
+    return C.word_index(C.vocabulary(_docs(spark, sf_dir), T.tokens("text")))
 
 
 query("word_index", f"""WITH {DOC_TOKENS_CTE}
@@ -56,9 +62,9 @@ FROM (SELECT tok AS word, count(*) AS cnt FROM dt GROUP BY tok)""")(word_index_q
 
 
 def _sequences(spark, sf_dir):
-    t = _tokens(spark, sf_dir)
-    idx = C.top_words(C.vocabulary(t, F.col("tok")), MAX_WORDS - 1)
-    return C.to_ids(t, F.col("tok"), idx, max_words=MAX_WORDS)
+    d = _docs(spark, sf_dir)
+    idx = C.top_words(C.vocabulary(d, T.tokens("text")), MAX_WORDS - 1)
+    return C.to_ids(d, T.tokens("text"), idx, max_words=MAX_WORDS)
 
 
 SEQ_SQL = f"""{DOC_TOKENS_CTE},
@@ -252,7 +258,7 @@ query("truncate", f"""WITH {CORPUS3_SQL} SELECT * FROM c3 ORDER BY doc_id LIMIT
 
 
 def systematic_sample(spark, sf_dir):
-    v = C.vocabulary(_tokens(spark, sf_dir), F.col("tok"))
+    v = C.vocabulary(_docs(spark, sf_dir), T.tokens("text"))
     return C.systematic_sample(v, [F.col("cnt").desc(), F.col("word")], 7)
 
 
@@ -264,7 +270,7 @@ SELECT word, cnt FROM (SELECT word, cnt, row_number() OVER (ORDER BY cnt DESC, w
 def lexicon_sample(spark, sf_dir):
     """T4: 100 lexicon terms in hash order, sampled before the vocabulary filter."""
     s = C.sample_lexicon(S.lexicon(spark, sf_dir).select("term", "cls"), 100)
-    v = C.vocabulary(_tokens(spark, sf_dir), F.col("tok")).select(F.col("word").alias("term"))
+    v = C.vocabulary(_docs(spark, sf_dir), T.tokens("text")).select(F.col("word").alias("term"))
     return s.join(v, "term", "left_semi")
 
 
