@@ -89,7 +89,10 @@ def pair_scores(docs: DataFrame, toks: Column, pair_lexicon: DataFrame, id_col:
     (document, pair) then counts the (left, right) position pairs with
     left < right by merging the two sorted lists: with rights sorting first on
     equal positions, ``count = sum(merged index of each right) - r(r-1)/2``.
-    Work is linear in lexicon hits (plus a sort), no window, no pair table.
+    Positions are encoded as one long (``2p+1`` left, ``2p`` right) so the
+    merge is a primitive ``sort_array`` of two already sorted runs (each list
+    is sorted once per (document, gram)), not a struct sort with an
+    interpreted comparator.  No window, no pair table.
     Output: doc id, n_pos, n_neg, sum_pos, sum_neg, net.
     """
     lex = scored(pair_lexicon).join(pair_lexicon.select("term", "left", "right"), "term")
@@ -107,17 +110,17 @@ def pair_scores(docs: DataFrame, toks: Column, pair_lexicon: DataFrame, id_col:
     grams = (base.select(id_col, F.explode(chain).alias("_x"))
                  .select(id_col, F.lower(F.col("_x.g")).alias("g"), F.col("_x.c").alias("c"))
                  .join(sized_broadcast(sides), "g", "left_semi"))
-    occ = grams.groupBy(id_col, "g").agg(F.collect_list("c").alias("ps"))
+    occ = grams.groupBy(id_col, "g").agg(F.sort_array(F.collect_list(F.col("c").cast("long"))).alias("ps"))
     # Fan out each document's left grams to their pairs, then fetch the right
     # gram's positions of the same document with one equi-join.
     lefts = occ.join(sized_broadcast(lex.select(F.col("left").alias("g"), "right", "score")), "g") \
                .select(id_col, "right", "score", F.col("ps").alias("lp"))
     rights = occ.select(id_col, F.col("g").alias("right"), F.col("ps").alias("rp"))
     both = lefts.join(rights, [id_col, "right"])
-    merged = F.array_sort(F.concat(F.transform("lp", lambda a: F.struct(a.alias("p"), F.lit(1).alias("t"))),
-                                   F.transform("rp", lambda b: F.struct(b.alias("p"), F.lit(0).alias("t")))))
-    idx_sum = F.aggregate(F.transform(merged, lambda e, i: F.when(e["t"] == 0, i).otherwise(0)).cast("array<long>"),
-                          F.lit(0).cast("long"), lambda acc, x: acc + x)
+    merged = F.sort_array(F.concat(F.transform("lp", lambda a: a * 2 + 1), F.transform("rp", lambda b: b * 2)))
+    zero = F.lit(0).cast("long")
+    idx_sum = F.aggregate(F.transform(merged, lambda e, i: F.when(e % 2 == 0, i.cast("long")).otherwise(zero)),
+                          zero, lambda acc, x: acc + x)
     r = F.size("rp").cast("long")
     per_pair = both.select(id_col, "score", (idx_sum - r * (r - 1) / 2).cast("long").alias("cnt")).where("cnt > 0")
     pos, neg = F.col("score") > 0, F.col("score") < 0
