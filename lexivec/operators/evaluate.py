@@ -18,23 +18,43 @@ from lexivec.session import sized_broadcast
 CUTOFFS = (1, 5, 10)
 
 
-def qrels(lexicon: DataFrame) -> DataFrame:
+def qrels(lexicon: DataFrame, include_query: bool = True) -> DataFrame:
     """E1 qrel in implicit form: every word of the query's class is relevant
     (query included), so the judgments are ``(qid, cls, num_rel)`` and a run
     row is relevant iff its word has the query's class.  The pairwise qrel
     file (|class|^2 lines) is not materialised; :func:`ir_metrics` joins on
-    the class instead."""
+    the class instead.  ``include_query=False`` (E8) leaves the query out of
+    its own relevant set; queries with nothing relevant are then dropped, as
+    they have no qrel line."""
     sizes = lexicon.groupBy("cls").agg(F.count(F.lit(1)).alias("num_rel"))
+    if not include_query:
+        sizes = sizes.select("cls", (F.col("num_rel") - 1).alias("num_rel")).where(F.col("num_rel") > 0)
     return (lexicon.join(sized_broadcast(sizes), "cls")
             .select(F.col("term").alias("qid"), F.lit(0).alias("iter"), "cls", F.col("num_rel").cast("long").alias("num_rel")))
 
 
-def ir_metrics(run: DataFrame, lexicon: DataFrame, k: int) -> DataFrame:
+def signature_lexicon(flags: DataFrame, word_col: str = "word", flags_col: str = "flags") -> DataFrame:
+    """Words with identical affect signatures are mutually relevant.  The
+    signature is the ordered 0/1 flags of a word (S25) joined into one string
+    and used as the class of ``(term, cls)``; all-zero signatures are skipped.
+    Use with ``qrels``/``ir_metrics`` and ``include_query=False``: the
+    relevance stays implicit (one join on the signature), so a signature
+    shared by a third of the vocabulary never expands into word pairs."""
+    sig = F.array_join(F.transform(F.col(flags_col), lambda x: x.cast("string")), "")
+    return (flags.where(F.exists(F.col(flags_col), lambda x: x != 0))
+                 .select(F.col(word_col).alias("term"), sig.alias("cls")))
+
+
+def ir_metrics(run: DataFrame, lexicon: DataFrame, k: int, include_query: bool = True) -> DataFrame:
     """Per-query P@c (c in 1,5,10), average precision, reciprocal rank and
     nDCG@k of a run ``(query, word, rank)`` against class relevance.
-    ``num_rel`` is the class size (the query counts, as in the qrels)."""
+    ``num_rel`` is the class size (the query counts, as in the qrels), or the
+    class size minus one with ``include_query=False`` (E8; queries without any
+    other relevant word are not evaluated)."""
     lex = lexicon.select(F.col("term"), F.col("cls"))
     sizes = lex.groupBy("cls").agg(F.count(F.lit(1)).alias("num_rel"))
+    if not include_query:
+        sizes = sizes.select("cls", (F.col("num_rel") - 1).alias("num_rel")).where(F.col("num_rel") > 0)
     qcls = lex.select(F.col("term").alias("query"), F.col("cls").alias("qcls")).join(
         sizes.withColumnRenamed("cls", "qcls"), "qcls")
     r = (run.join(qcls, "query")

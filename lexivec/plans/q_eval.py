@@ -38,11 +38,8 @@ def _metrics(spark, sf_dir):
     return E.ir_metrics(V.knn(vec, vec, TOPN), S.vector_lexicon(spark, sf_dir), TOPN)
 
 
-IR_SQL = f"""{KNN_SQL},
-sz AS (SELECT cls, count(*) AS num_rel FROM v GROUP BY cls),
-r AS (SELECT k.query, q.cls, sz.num_rel, k.rank, (w.cls = q.cls)::INTEGER AS rel
-      FROM knn k JOIN v q ON q.word = k.query JOIN v w ON w.word = k.word JOIN sz ON sz.cls = q.cls),
-c AS (SELECT *, sum(rel) OVER (PARTITION BY query ORDER BY rank) AS cum_rel FROM r),
+# Per-query metrics from r(query, cls, num_rel, rank, rel); shared by E1 and E8.
+IR_METRICS_SQL = f"""c AS (SELECT *, sum(rel) OVER (PARTITION BY query ORDER BY rank) AS cum_rel FROM r),
 m AS (SELECT query, cls,
   {r6('sum(CASE WHEN rank <= 1 THEN rel ELSE 0 END) / 1.0')} AS p1,
   {r6('sum(CASE WHEN rank <= 5 THEN rel ELSE 0 END) / 5.0')} AS p5,
@@ -52,6 +49,12 @@ m AS (SELECT query, cls,
   {r6(f'sum(CASE WHEN rel = 1 THEN 1.0 / log2(rank + 1.0) ELSE 0 END) / (SELECT sum(1.0 / log2(i + 1.0)) FROM range(1, least(any_value(num_rel), {TOPN}) + 1) t(i))')} AS ndcg
   FROM c GROUP BY query, cls)"""
 
+IR_SQL = f"""{KNN_SQL},
+sz AS (SELECT cls, count(*) AS num_rel FROM v GROUP BY cls),
+r AS (SELECT k.query, q.cls, sz.num_rel, k.rank, (w.cls = q.cls)::INTEGER AS rel
+      FROM knn k JOIN v q ON q.word = k.query JOIN v w ON w.word = k.word JOIN sz ON sz.cls = q.cls),
+{IR_METRICS_SQL}"""
+
 
 def ir_metrics(spark, sf_dir):
     return _metrics(spark, sf_dir)
@@ -262,3 +265,48 @@ def anew_sentiwn_corr(spark, sf_dir):
 
 query("anew_sentiwn_corr", f"""SELECT {r6('corr(embedding[1]::DOUBLE, abs(embedding[4]::DOUBLE) - abs(embedding[5]::DOUBLE))')} AS pearson,
   count(*) AS n FROM embeddings""")(anew_sentiwn_corr)
+
+
+# ----------------------------------------------------- E8 affect signatures
+
+def _signatures(spark, sf_dir):
+    return E.signature_lexicon(S.affect_flags(spark, sf_dir))
+
+
+SIG_SQL = """sig AS (SELECT vec_id::VARCHAR AS term,
+    array_to_string(list_transform(embedding[1:4], lambda x: (x > 0)::INTEGER), '') AS cls
+  FROM embeddings WHERE list_bool_or(list_transform(embedding[1:4], lambda x: x > 0)))"""
+SIG_SIZES_SQL = "ssz AS (SELECT cls, count(*) - 1 AS num_rel FROM sig GROUP BY cls HAVING count(*) > 1)"
+
+
+def signature_qrel(spark, sf_dir):
+    return E.qrels(_signatures(spark, sf_dir), include_query=False)
+
+
+query("signature_qrel", f"""WITH {SIG_SQL}, {SIG_SIZES_SQL}
+SELECT s.term AS qid, 0 AS iter, s.cls, ssz.num_rel::BIGINT AS num_rel FROM sig s JOIN ssz USING (cls)""")(signature_qrel)
+
+
+def _signature_metrics(spark, sf_dir):
+    vec = S.vectors(spark, sf_dir)
+    return E.ir_metrics(V.knn(vec, vec, TOPN), _signatures(spark, sf_dir), TOPN, include_query=False)
+
+
+SIG_IR_SQL = f"""{KNN_SQL}, {SIG_SQL}, {SIG_SIZES_SQL},
+r AS (SELECT k.query, q.cls, ssz.num_rel, k.rank, coalesce(w.cls = q.cls, false)::INTEGER AS rel
+      FROM knn k JOIN sig q ON q.term = k.query JOIN ssz ON ssz.cls = q.cls LEFT JOIN sig w ON w.term = k.word),
+{IR_METRICS_SQL}"""
+
+
+def signature_ir_metrics(spark, sf_dir):
+    return _signature_metrics(spark, sf_dir)
+
+
+query("signature_ir_metrics", f"WITH {SIG_IR_SQL} SELECT * FROM m")(signature_ir_metrics)
+
+
+def signature_ir_summary(spark, sf_dir):
+    return E.summarize(_signature_metrics(spark, sf_dir))
+
+
+query("signature_ir_summary", f"WITH {SIG_IR_SQL} SELECT {_MEANS}, count(*) AS n_queries FROM m")(signature_ir_summary)

@@ -105,6 +105,14 @@ def vad(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.col("embedding")[2].cast("double").alias("dominance"))
 
 
+def affect_flags(spark: SparkSession, sf_dir: str, n_affects: int = 4) -> DataFrame:
+    """NRC-style affect flags ``(word, flags ARRAY<INT>)``: one 0/1 flag per
+    affect, 1 where the vector component is positive (first ``n_affects``)."""
+    e = load(spark, sf_dir, "embeddings")
+    return e.select(F.col("vec_id").cast("string").alias("word"),
+                    F.transform(F.slice("embedding", 1, n_affects), lambda x: (x > 0).cast("int")).alias("flags"))
+
+
 def word_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Human-score stand-in ``(w1, w2, score)``: ``vec_id``, ``vec_id+1``, label difference."""
     e = load(spark, sf_dir, "embeddings").select("vec_id", "label")
