@@ -183,6 +183,18 @@ SELECT d.doc_id, coalesce(string_agg(tok, ' ' ORDER BY pos) FILTER (WHERE {_TAG_
 FROM dt d GROUP BY d.doc_id""")(drop_on_q)
 
 
+def tag_enrich(spark, sf_dir):
+    from lexivec.operators.tagging import enrich_tags, length_tagger
+    t = enrich_tags(_tokens(spark, sf_dir), length_tagger)
+    outside = F.size(F.filter(F.arrays_zip("chunk", "ner"), lambda x: (x["chunk"] == "O") & (x["ner"] == "O")))
+    return t.select("doc_id", F.array_join("pos", " ").alias("pos"), outside.cast("long").alias("n_outside"))
+
+
+query("tag_enrich", f"""WITH {DOC_TOKENS_CTE}
+SELECT doc_id, string_agg({_TAG_SQL}, ' ' ORDER BY pos) AS pos, count(*)::BIGINT AS n_outside
+FROM dt GROUP BY doc_id""")(tag_enrich)
+
+
 def _two_lexicons(spark, sf_dir):
     lex1 = S.lexicon(spark, sf_dir).select("term", "cls")
     bl = S.bigram_lexicon(spark, sf_dir)
