@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexivec.session import ensure_checkpoint_dir
+from lexivec.session import checkpointed, ensure_checkpoint_dir
 
 
 def global_index(df: DataFrame, order: list, name: str = "idx", start: int = 1) -> DataFrame:
@@ -21,7 +21,7 @@ def global_index(df: DataFrame, order: list, name: str = "idx", start: int = 1)
     ``order`` must be a total order (include a unique tie-breaker).
     """
     ensure_checkpoint_dir(df.sparkSession)
-    ck = df.sort(*order).checkpoint(eager=True)
+    ck = checkpointed(df.sort(*order))
     ck = ck.withColumn("_pid", F.spark_partition_id()).withColumn("_mid", F.monotonically_increasing_id())
     sizes = ck.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)

@@ -5,8 +5,9 @@ invariant, so every word iterates on its own against one precomputed sum
 (one aggregation, no neighbour join).  R2 couples classes through their sums,
 so each iteration aggregates a (#classes x dim) table.  R4 joins the synonym
 graph once per iteration; lineage is cut with reliable checkpoints.
-Vectors are processed in long format ``(word, dim, value)``, so hub words and
-huge classes are spread over tasks by (key, dim) partial aggregation.
+R1/R2 process vectors in long format ``(word, dim, value)``, so huge classes
+are spread over tasks by (class, dim) partial aggregation; R4 keeps whole
+arrays and sums neighbours with a partial vector aggregate.
 """
 
 from __future__ import annotations
@@ -14,7 +15,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexivec.session import ensure_checkpoint_dir, sized_broadcast
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
+
+from lexivec.session import checkpointed, ensure_checkpoint_dir, sized_broadcast
 
 
 def _long(vectors: DataFrame) -> DataFrame:
@@ -62,34 +66,39 @@ def retrofit_repel(vectors: DataFrame, lexicon: DataFrame, a: float = 1.0, b: fl
         cur = cur.join(st, ["cls", "dim"]).select("word", "cls", "dim", "n", "v0",
                                                    F.when(n > 0, new_q).otherwise(F.col("v0")).alias("q"))
         if (it + 1) % checkpoint_every == 0:
-            cur = cur.checkpoint(eager=True)
+            cur = checkpointed(cur)
     return cur.select("word", F.col("dim").cast("long").alias("dim"), F.round("q", 6).alias("value"))
 
 
 def retrofit_graph(vectors: DataFrame, edges: DataFrame, n_iter: int = 10, checkpoint_every: int = 3) -> DataFrame:
     """R4 (Faruqui et al. 2015), synchronous form:
     ``q_i <- (n_i q0_i + sum_{j in N(i)} q_j) / (2 n_i)`` with N(i) the distinct
-    in-vocabulary neighbours of ``i``; words without neighbours keep q0."""
-    ensure_checkpoint_dir(vectors.sparkSession)
+    in-vocabulary neighbours of ``i``; words without neighbours keep q0.
+
+    Vectors stay whole arrays (one row per word, not per dimension).  The
+    neighbour sum is Spark ML's ``Summarizer`` sum, a partial aggregate: each
+    map task combines its edges per source word before the shuffle, so a hub
+    word receives one partial vector per task, whatever its degree.
+    Output long ``(word, dim, value)``."""
     vocab = vectors.select(F.col("word"))
     e = (edges.select("src", "dst").distinct()
          .join(vocab.withColumnRenamed("word", "src"), "src", "left_semi")
          .join(vocab.withColumnRenamed("word", "dst"), "dst", "left_semi"))
     # the filtered graph is reused by every iteration: materialise it once
-    e = e.checkpoint(eager=True)
+    e = checkpointed(e)
     deg = e.groupBy("src").agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("src", "word")
-    base = _long(vectors).join(deg, "word", "left")
-    cur = base.withColumn("q", F.col("v0"))
+    cur = vectors.select("word", F.col("vec").alias("v0")).join(deg, "word", "left").withColumn("q", F.col("v0"))
+    n = F.col("n")
     for it in range(n_iter):
-        nb = (e.join(cur.select(F.col("word").alias("dst"), "dim", "q"), "dst")
-               .groupBy("src", "dim").agg(F.sum("q").alias("nsum")).withColumnRenamed("src", "word"))
-        n = F.col("n")
-        cur = (cur.join(nb, ["word", "dim"], "left")
-                  .select("word", "dim", "n", "v0",
-                          F.when(n > 0, (n * F.col("v0") + F.col("nsum")) / (2.0 * n)).otherwise(F.col("v0")).alias("q")))
+        nb = (e.join(cur.select(F.col("word").alias("dst"), array_to_vector("q").alias("qv")), "dst")
+               .groupBy("src").agg(Summarizer.sum(F.col("qv")).alias("s"))
+               .select(F.col("src").alias("word"), vector_to_array("s").alias("nsum")))
+        step = F.zip_with("v0", "nsum", lambda x, y: (n * x + y) / (2.0 * n))
+        cur = cur.join(nb, "word", "left").select("word", "n", "v0", F.when(n > 0, step).otherwise(F.col("v0")).alias("q"))
         if (it + 1) % checkpoint_every == 0:
-            cur = cur.checkpoint(eager=True)
-    return cur.select("word", F.col("dim").cast("long").alias("dim"), F.round("q", 6).alias("value"))
+            cur = checkpointed(cur)
+    out = cur.select("word", F.posexplode("q").alias("dim", "q"))
+    return out.select("word", F.col("dim").cast("long").alias("dim"), F.round("q", 6).alias("value"))
 
 
 def retrofit_spill(vectors: DataFrame, lexicon: DataFrame, neighbours: DataFrame, a: float = 0.5, b: float = 0.5,

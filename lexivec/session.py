@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,6 +57,22 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or conf_dir
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint of ``df`` into the shared checkpoint folder,
+    computing ``df`` once.
+
+    ``checkpoint()`` writes the files in a second job that recomputes the
+    plan unless it is persisted; persisting first lets that write read the
+    cached blocks.  The cache is dropped afterwards: the result reads the
+    checkpoint files, so a lost executor costs a re-read, not a recompute.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    held = df.persist(StorageLevel.MEMORY_AND_DISK)
+    out = held.checkpoint(eager=True)
+    held.unpersist()
+    return out
+
+
 def sized_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
     """Broadcast ``df`` only if it provably has at most ``max_rows`` rows.
 
