@@ -6,11 +6,14 @@ import os
 import tempfile
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-# Broadcast limits: a side is only broadcast when a bounded count proves it small.
+# Broadcast limits: a side is only broadcast when a bounded scan proves it small,
+# in rows and in (estimated payload) bytes.
 DEFAULT_BROADCAST_ROWS = 1_000_000
+DEFAULT_BROADCAST_BYTES = 256 << 20
 
 
 def build_session(master: str | None = None, app: str = "lexivec",
@@ -73,16 +76,40 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return out
 
 
-def sized_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``df`` only if it provably has at most ``max_rows`` rows.
-
-    The check is a bounded ``limit(max_rows + 1).count()``, so it never scans
-    more than ``max_rows + 1`` rows.  Above the bound the plain DataFrame is
-    returned and Spark shuffles both join sides (AQE may still pick a
-    broadcast at runtime from real shuffle sizes).
+def _row_bytes(df: DataFrame) -> Column:
+    """Cheap per-row payload estimate from the schema: string/binary octets,
+    8 bytes per numeric array element or scalar, JSON length for other nested
+    values, plus 16 bytes of row overhead."""
+    def nn(c):
+        return F.coalesce(c, F.lit(0))
+    total = F.lit(16)
+    for f in df.schema.fields:
+        c, t = F.col(f"`{f.name}`"), f.dataType
+        if isinstance(t, (T.StringType, T.BinaryType)):
+            total = total + nn(F.octet_length(c))
+        elif isinstance(t, T.ArrayType) and isinstance(t.elementType, (T.NumericType, T.BooleanType)):
+            total = total + nn(F.size(c)) * 8
+        elif isinstance(t, (T.ArrayType, T.MapType, T.StructType)):
+            total = total + nn(F.octet_length(F.to_json(c)))
+        else:
+            total = total + 8
+    return total
+
+
+def sized_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS,
+                    max_bytes: int = DEFAULT_BROADCAST_BYTES) -> DataFrame:
+    """Broadcast ``df`` only if it provably has at most ``max_rows`` rows and
+    about ``max_bytes`` bytes of payload.
+
+    One bounded job over ``limit(max_rows + 1)`` counts the rows and sums a
+    per-row size estimate, so it never scans more than ``max_rows + 1`` rows.
+    Above either bound the plain DataFrame is returned and Spark shuffles
+    both join sides (AQE may still pick a broadcast at runtime from real
+    shuffle sizes).
     """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    head = df.limit(max_rows + 1)
+    n, size = head.agg(F.count(F.lit(1)), F.coalesce(F.sum(_row_bytes(df)), F.lit(0))).first()
+    return F.broadcast(df) if n <= max_rows and size <= max_bytes else df
 
 
 def round6(c):

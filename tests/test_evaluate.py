@@ -84,3 +84,16 @@ def test_classification_report_brute(spark):
     score = E.semeval_score(E.classification_report(df)).collect()[0][0]
     assert abs(score - (rep[P]["f1"] + rep[N]["f1"]) / 2) < 1e-6
     assert df.select(F.count("*")).first()[0] == len(rows)
+
+
+def test_sized_broadcast_bounds(spark):
+    from lexivec.session import sized_broadcast
+    df = spark.createDataFrame([(i, "w" * 10, [1.0] * 4) for i in range(50)], "k int, s string, v array<double>")
+
+    def hinted(d):
+        return "broadcast" in d._jdf.queryExecution().logical().toString().lower()
+    assert hinted(sized_broadcast(df))
+    assert not hinted(sized_broadcast(df, max_rows=49))
+    # 50 rows x (16 + 8 + 10 + 32) bytes = 3300 bytes
+    assert hinted(sized_broadcast(df, max_bytes=3300))
+    assert not hinted(sized_broadcast(df, max_bytes=3299))
