@@ -9,16 +9,27 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lexivec.operators.ordering import global_index, hash_order
 from lexivec.session import sized_broadcast
 
 
-def vocabulary(docs: DataFrame, toks: Column, min_count: int = 1) -> DataFrame:
+def vocabulary(docs: DataFrame, toks: Column, min_count: int = 1, trim_rule=None) -> DataFrame:
     """Token frequencies ``(word, cnt)`` with ``cnt >= min_count``.
-    Map-side partial counts, then one shuffle of (word, partial count)."""
+    Map-side partial counts, then one shuffle of (word, partial count).
+
+    Y5: ``trim_rule(word, cnt) -> Column`` may return ``'keep'`` (kept
+    whatever the count), ``'discard'`` (dropped) or null (``min_count``
+    decides), like a Word2Vec vocabulary trim callback, but as a column
+    expression evaluated inside the plan."""
     ex = docs.select(F.explode(toks).alias("word"))
-    return ex.groupBy("word").agg(F.count(F.lit(1)).alias("cnt")).where(F.col("cnt") >= min_count)
+    counts = ex.groupBy("word").agg(F.count(F.lit(1)).alias("cnt"))
+    default = F.col("cnt") >= min_count
+    if trim_rule is None:
+        return counts.where(default)
+    rule = trim_rule(F.col("word"), F.col("cnt"))
+    return counts.where(F.when(rule == "keep", True).when(rule == "discard", False).otherwise(default))
 
 
 def word_index(vocab: DataFrame) -> DataFrame:
@@ -197,3 +208,28 @@ def embedding_matrix(index: DataFrame, vectors: DataFrame, max_words: int, dim:
     idx = index.where(F.col("idx") < max_words).select("word", "idx")
     j = idx.join(vectors.select("word", "vec"), "word", "left")
     return j.select("idx", "word", F.coalesce("vec", F.array_repeat(F.lit(0.0), dim)).alias("vec"))
+
+
+def dict_vectorize(df: DataFrame, map_col: str, id_col: str = "doc_id", sep: str = "=") -> tuple[DataFrame, DataFrame]:
+    """M8: feature maps ``name -> value`` as sparse vectors over sorted feature
+    names (a dictionary vectorizer with sorted names).  Numeric values are
+    kept; string values become one-hot features ``name=value`` with 1.0.
+
+    Returns ``(vectors, names)``: ``vectors(id, indices, values)`` with
+    indices ascending, and ``names(name, idx)`` from 0 (its row count is the
+    vector size).  Indices come from one global order of the distinct names
+    (no single-task window); entries are regrouped per row id, so a group
+    never holds more than one row's own map."""
+    ex = df.select(id_col, F.explode_outer(map_col).alias("_k", "_v"))
+    if isinstance(df.schema[map_col].dataType.valueType, T.StringType):
+        name, val = F.concat_ws(sep, "_k", "_v"), F.lit(1.0)
+    else:
+        name, val = F.col("_k"), F.col("_v").cast("double")
+    ex = ex.select(id_col, F.when(F.col("_k").isNotNull(), name).alias("name"), val.alias("val"))
+    names = global_index(ex.where(F.col("name").isNotNull()).select("name").distinct(), [F.col("name")], "idx", start=0)
+    j = ex.join(sized_broadcast(names), "name", "left")
+    entry = F.when(F.col("idx").isNotNull(), F.struct(F.col("idx").cast("int").alias("i"), F.col("val").alias("v")))
+    g = j.groupBy(id_col).agg(F.array_sort(F.collect_list(entry)).alias("_e"))
+    vectors = g.select(id_col, F.transform("_e", lambda e: e["i"]).alias("indices"),
+                       F.transform("_e", lambda e: e["v"]).alias("values"))
+    return vectors, names

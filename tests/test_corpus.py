@@ -49,3 +49,26 @@ def test_labels_roundtrip(spark):
     assert [x.t for x in r] == [2, 0]
     oh = df.select(C.one_hot(C.encode_labels(F.col("label"), labs), 3).alias("o")).collect()
     assert [x.o for x in oh] == [[0, 0, 1], [1, 0, 0]]
+
+
+def test_vocabulary_trim_rule(spark):
+    docs = spark.createDataFrame([(["a", "b", "b", "c", "c", "c"],)], "tok array<string>")
+
+    def rule(word, cnt):
+        return F.when(word == "a", F.lit("keep")).when(word == "c", F.lit("discard"))
+    got = {r.word: r.cnt for r in C.vocabulary(docs, F.col("tok"), min_count=2, trim_rule=rule).collect()}
+    assert got == {"a": 1, "b": 2}
+    assert {r.word for r in C.vocabulary(docs, F.col("tok"), min_count=2).collect()} == {"b", "c"}
+
+
+def test_dict_vectorize_numeric_and_strings(spark):
+    num = spark.createDataFrame([(1, {"b": 2.0, "a": 1.0}), (2, {"c": 3.0}), (3, {})], "doc_id int, f map<string,double>")
+    vecs, names = C.dict_vectorize(num, "f")
+    assert sorted((r.name, r.idx) for r in names.collect()) == [("a", 0), ("b", 1), ("c", 2)]
+    got = {r.doc_id: (r.indices, r.values) for r in vecs.collect()}
+    assert got == {1: ([0, 1], [1.0, 2.0]), 2: ([2], [3.0]), 3: ([], [])}
+    cat = spark.createDataFrame([(1, {"w-0": "x", "w-1": "y"}), (2, {"w-0": "y"})], "doc_id int, f map<string,string>")
+    vecs, names = C.dict_vectorize(cat, "f")
+    assert [r.name for r in names.orderBy("idx").collect()] == ["w-0=x", "w-0=y", "w-1=y"]
+    got = {r.doc_id: (r.indices, r.values) for r in vecs.collect()}
+    assert got == {1: ([0, 2], [1.0, 1.0]), 2: ([1], [1.0])}
