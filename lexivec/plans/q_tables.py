@@ -195,6 +195,23 @@ SELECT doc_id, string_agg({_TAG_SQL}, ' ' ORDER BY pos) AS pos, count(*)::BIGINT
 FROM dt GROUP BY doc_id""")(tag_enrich)
 
 
+def dict_vectors(spark, sf_dir):
+    """M8 over per-document feature maps ``tag -> count`` (tags present only)."""
+    t = _tagged(spark, sf_dir).select("doc_id", F.explode("pos").alias("tag"))
+    counts = t.groupBy("doc_id", "tag").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    maps = counts.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("tag", "n"))).alias("f"))
+    vecs, _names = C.dict_vectorize(maps, "f")
+    return vecs.select("doc_id", _ids_str(F.col("indices")).alias("indices"),
+                       F.array_join(F.transform("values", lambda v: v.cast("long").cast("string")), ",").alias("values"))
+
+
+query("dict_vectors", f"""WITH {DOC_TOKENS_CTE},
+c AS (SELECT doc_id, {_TAG_SQL} AS tag, count(*) AS n FROM dt GROUP BY 1, 2),
+nm AS (SELECT tag, (dense_rank() OVER (ORDER BY tag)) - 1 AS idx FROM (SELECT DISTINCT tag FROM c))
+SELECT doc_id, string_agg(idx::VARCHAR, ',' ORDER BY idx) AS indices, string_agg(n::VARCHAR, ',' ORDER BY idx) AS "values"
+FROM c JOIN nm USING (tag) GROUP BY doc_id""")(dict_vectors)
+
+
 def _two_lexicons(spark, sf_dir):
     lex1 = S.lexicon(spark, sf_dir).select("term", "cls")
     bl = S.bigram_lexicon(spark, sf_dir)
