@@ -93,6 +93,20 @@ def html_unescape(spark, sf_dir):
 query("html_unescape")(html_unescape)
 
 
+def html_decode(spark, sf_dir):
+    """P9a on whole pages: the decoded text itself."""
+    p = S.load(spark, sf_dir, "pages")
+    return p.select("page_id", H.decode_entities("html").alias("text"))
+
+
+# The oracle spells out the named entities that occur in the driver's pages
+# (amp, middot, copy, quot; no numeric ones).  None of the replacements holds
+# '&', so chained replaces equal the decoder's single left-to-right pass.
+query("html_decode", """SELECT page_id,
+  replace(replace(replace(replace(html, '&amp;', ' and '), '&middot;', '·'), '&copy;', '©'), '&quot;', '"') AS text
+FROM pages""")(html_decode)
+
+
 def tweet_tokens_q(spark, sf_dir):
     c = S.load(spark, sf_dir, "conversations")
     t = c.select("conv_id", "turn", T.tweet_tokens(F.col("text"), preserve_case=False).alias("tok"))
