@@ -111,7 +111,7 @@ def tweet_tokens_q(spark, sf_dir):
     c = S.load(spark, sf_dir, "conversations")
     t = c.select("conv_id", "turn", T.tweet_tokens(F.col("text"), preserve_case=False).alias("tok"))
     return t.select("conv_id", "turn", F.size("tok").cast("long").alias("n_tokens"),
-                    F.array_join(F.slice("tok", 1, 8), " ").alias("head"))
+                    F.array_join("tok", " ").alias("tokens"))
 
 
 query("tweet_tokens")(tweet_tokens_q)

@@ -26,12 +26,12 @@ knn AS (SELECT * FROM (SELECT a.word AS query, b.word AS word, list_cosine_simil
 def l2_normalize_q(spark, sf_dir):
     e = S.load(spark, sf_dir, "embeddings")
     v = e.select(F.col("vec_id").cast("string").alias("word"),
-                 V.l2_normalize(F.slice(F.col("embedding").cast("array<double>"), 1, 8), eps=1e-6).alias("vec"))
+                 V.l2_normalize(F.col("embedding").cast("array<double>"), eps=1e-6).alias("vec"))
     return V.to_long(v, "word")
 
 
-query("l2_normalize", f"""WITH x AS (SELECT vec_id::VARCHAR AS word, (embedding::DOUBLE[])[1:8] AS v FROM embeddings),
-y AS (SELECT word, unnest(v) AS x, unnest(generate_series(0, 7))::BIGINT AS dim, sqrt(list_sum(list_transform(v, lambda t: t * t)) + 1e-6) AS nrm FROM x)
+query("l2_normalize", f"""WITH x AS (SELECT vec_id::VARCHAR AS word, embedding::DOUBLE[] AS v FROM embeddings),
+y AS (SELECT word, unnest(v) AS x, unnest(generate_series(0, len(v) - 1))::BIGINT AS dim, sqrt(list_sum(list_transform(v, lambda t: t * t)) + 1e-6) AS nrm FROM x)
 SELECT word, dim, {r6('x / nrm')} AS value FROM y""")(l2_normalize_q)
 
 
