@@ -97,3 +97,13 @@ def test_sized_broadcast_bounds(spark):
     # 50 rows x (16 + 8 + 10 + 32) bytes = 3300 bytes
     assert hinted(sized_broadcast(df, max_bytes=3300))
     assert not hinted(sized_broadcast(df, max_bytes=3299))
+
+
+def test_checkpointed_releases_cache_and_keeps_rows(spark):
+    from lexivec.session import checkpointed
+    df = spark.range(0, 1000).withColumn("sq", F.col("id") * F.col("id")).orderBy(F.col("id").desc())
+    out = checkpointed(df)
+    assert [tuple(r) for r in out.collect()] == [tuple(r) for r in df.collect()]
+    assert not df.is_cached
+    # the result reads the checkpoint files, not the original plan
+    assert "Range" not in out._jdf.queryExecution().optimizedPlan().toString()
