@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,7 +50,7 @@ def groups(batches: Iterator[pa.RecordBatch], by: list[str], rows: int = 20_000)
             c = t.column(name).combine_chunks()
             if isinstance(c, pa.ChunkedArray):
                 c = pa.concat_arrays(c.chunks)
-            new[1:] |= np.asarray(pa.compute.not_equal(c[1:], c[:-1]).to_numpy(zero_copy_only=False), bool)
+            new[1:] |= np.asarray(pc.not_equal(c[1:], c[:-1]).to_numpy(zero_copy_only=False), bool)
         return new
 
     for b in batches:
