@@ -22,7 +22,7 @@ from lexivec.llm.common import shuffle_parts
 
 START, MIDDLE, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>"
 # Heads and tails of control strings: <|...  <s> </s> <<SYS>> <</SYS>> [INST] [/INST].  A backslash after the head takes them apart.
-_TAIL = r"(?=\||/?s>|/?SYS>>|</?SYS>>|/?INST\])"
+_TAIL = r"(?=\||/?s>|/?SYS>>|/?INST\])"
 _CONTROL = re.compile(rf"([<\[])(\\*){_TAIL}")
 _ESCAPED = re.compile(rf"([<\[])\\(\\*){_TAIL}")
 LOSS_ROLE = "assistant"

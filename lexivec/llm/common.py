@@ -41,6 +41,22 @@ def in_slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Recor
             yield b.slice(at, rows)
 
 
+def packed(docs: DataFrame, *own: Column) -> DataFrame:
+    """Whole rows of ``docs`` as the struct ``_row`` beside an operator's own
+    columns, so that no name of theirs can clash; :func:`unpacked` undoes it."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), *own)
+
+
+def unpacked(df: DataFrame, columns: list[str], changed: dict[str, Column] | None = None, *more: Column) -> DataFrame:
+    """The named columns of ``_row``, some of them changed, then ``more``."""
+    changed = changed or {}
+    return df.select(*[changed.get(c, F.col("_row")[c]).alias(c) for c in columns], *more)
+
+
+def text_hash(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
+
+
 def shuffle_parts(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 

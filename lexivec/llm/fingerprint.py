@@ -123,9 +123,10 @@ def _in_order(docs: DataFrame, n: int) -> DataFrame:
     spark = docs.sparkSession
     key = (-F.col("doc_id")).cast("double")
     marks = docs.select(F.percentile_approx(key, [i / n for i in range(1, n)], 100 * n).alias("q")).first()["q"] or []
+    # Null ids make a range after all others.
     splits = [-float("inf"), *(sorted(set(marks)) or [0.0]), float("inf")]
-    cut = Bucketizer(splits=splits, inputCol="_key", outputCol="_range", handleInvalid="keep")  # null: a range after all others
-    ranged = cut.transform(docs.withColumn("_key", key)).withColumn("_range", F.col("_range").cast("int")).drop("_key")
+    cut = Bucketizer(splits=splits, inputCol="_key", outputCol="_range", handleInvalid="keep")
+    ranged = cut.transform(docs.withColumn("_key", key)).withColumn("_range", F.coalesce(F.col("_range").cast("int"), F.lit(len(splits)))).drop("_key")
     heads = sorted((r["_range"], r["id"]) for r in ranged.groupBy("_range").agg(F.max("doc_id").alias("id")).collect())  # at most n + 1 rows
     before = [(heads[k][0], heads[k][1], heads[k - 1][0]) for k in range(len(heads))]  # the first range's head follows the last range
     heads = spark.createDataFrame(before, "_range int, _id long, _to int")

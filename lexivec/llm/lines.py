@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexivec.llm.common import batch, id_and_text, in_slices, plain_key, words
+from lexivec.llm.common import batch, id_and_text, in_slices, packed, plain_key, text_hash, unpacked, words
 from lexivec.session import checkpointed
 
 LEAST_WORDS = 50  # of a run that is removed
@@ -104,12 +104,10 @@ def remove_repeats(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
     Rows that agree in doc_id and text count as one document: what repeats an
     earlier document goes from each of them, and they don't repeat each other.
     """
-    keyed = docs.select("*", plain_key(F.col("doc_id").cast("long")).alias("_key"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("_hash"))
+    keyed = packed(docs, plain_key(F.col("doc_id").cast("long")).alias("_key"), text_hash(F.col("text")).alias("_hash"))
     found = repeats(docs).select(F.col("key").alias("_key"), F.col("text_hash").alias("_hash"), F.col("lines").alias("_lines"))
-    joined = keyed.join(found, ["_key", "_hash"], "left")
-
-    return joined.withColumn("_cut", _cutter(least)("text", "_lines")).select(
-        *[F.coalesce(F.col("_cut.text"), F.col("text")).alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns], F.coalesce("_cut.removed", F.array()).alias("_removed"))
+    joined = keyed.join(found, ["_key", "_hash"], "left").withColumn("_cut", _cutter(least)(F.col("_row.text"), F.col("_lines")))
+    return unpacked(joined, docs.columns, {"text": F.coalesce(F.col("_cut.text"), F.col("_row.text"))}, F.coalesce("_cut.removed", F.array()).alias("_removed"))
 
 
 def _cutter(least: int):

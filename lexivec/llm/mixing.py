@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexivec.llm.common import WORD
+from lexivec.llm.common import WORD, packed, plain_key, text_hash, unpacked
 from lexivec.operators.ordering import global_index
 from lexivec.session import checkpointed, sized_broadcast
 
@@ -72,9 +72,8 @@ def placed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     target, start``.  The order is that of md5(doc_id), ties by doc_id and a
     hash of the text: reruns agree.
     """
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    sized = checkpointed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.xxhash64(text).alias("text_hash"),
-                                     n_words(text).alias("size")))
+    sized = checkpointed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), text_hash(F.col("text")).alias("text_hash"),
+                                     n_words(F.col("text")).alias("size")))
     to = targets(sized)
     own = sized.join(sized_broadcast(to.select(F.col("source").alias("_s"), "source_no", "source_size", "target")), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     order = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
@@ -159,13 +158,18 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     them together (rounded down to words).
     """
     n = taken(docs).groupBy("doc_id", "source", "text_hash").agg(F.sum("taken").alias("_taken"), F.count(F.lit(1)).alias("_rows"), F.max("size").alias("_size")).where("_taken > 0")
-    n = n.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("text_hash").alias("_hash"), "_size", F.floor(F.col("_taken") / F.col("_rows")).alias("_each"))
-    here = docs.select("*", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("_text_hash"))
-    same = here["doc_id"].cast("long").eqNullSafe(n["_id"]) & here["source"].cast("string").eqNullSafe(n["_source"]) & (here["_text_hash"] == n["_hash"])
-    j = here.join(n, same)
+    n = n.select(plain_key(F.col("doc_id")).alias("_key"), F.col("doc_id").isNull().alias("_no_id"), F.coalesce("source", F.lit("")).alias("_source"), F.col("source").isNull().alias("_no_source"),
+                 F.col("text_hash").alias("_hash"), "_size", F.floor(F.col("_taken") / F.col("_rows")).alias("_each"))
+    doc_id, source = F.col("doc_id").cast("long"), F.col("source").cast("string")
+    here = packed(docs, plain_key(doc_id).alias("_key"), doc_id.isNull().alias("_no_id"), F.coalesce(source, F.lit("")).alias("_source"), source.isNull().alias("_no_source"), text_hash(F.col("text")).alias("_hash"))
+    j = here.join(n, ["_key", "_no_id", "_source", "_no_source", "_hash"])
     whole, part = F.floor(F.col("_each") / F.col("_size")).cast("int"), (F.col("_each") % F.col("_size")).cast("int")
     takes = F.concat(F.array_repeat(F.lit(0), whole), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<int>")))  # 0: whole
     j = j.withColumn("_take", F.explode(takes))
-    some = F.rtrim(F.array_join(F.slice(F.regexp_extract_all("text", F.lit(rf"({WORD}[\x20\x09-\x0D]*)"), F.lit(1)), 1, F.greatest("_take", F.lit(1))), ""), F.lit(" \t\n\x0b\x0c\r"))
-    text = F.when(F.col("_take") == 0, F.col("text")).otherwise(some)
-    return j.withColumn("text", text).select(*[F.when(F.col("_take") == 0, F.col("n_chars")).otherwise(F.length("text")).cast(dict(docs.dtypes)[c]).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
+    some = F.slice(F.regexp_extract_all("_row.text", F.lit(rf"({WORD}[\x20\x09-\x0D]*)"), F.lit(1)), 1, F.greatest("_take", F.lit(1)))
+    text = F.when(F.col("_take") == 0, F.col("_row.text")).otherwise(F.rtrim(F.array_join(some, ""), F.lit(" \t\n\x0b\x0c\r")))
+    j = j.withColumn("_text", text)
+    changed = {"text": F.col("_text")}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.when(F.col("_take") == 0, F.col("_row.n_chars")).otherwise(F.length("_text")).cast(dict(docs.dtypes)["n_chars"])
+    return unpacked(j, docs.columns, changed)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexivec.llm.blocks import block_pairs, groups
-from lexivec.llm.common import id_and_text, in_slices, plain_key, words
+from lexivec.llm.common import id_and_text, in_slices, packed, plain_key, text_hash, unpacked, words
 from lexivec.llm.components import components, least_labels
 from lexivec.session import checkpointed
 
@@ -169,5 +169,5 @@ def one_of_each(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS) -> D
     key = plain_key(F.col("doc_id").cast("long")).alias("_key")
     # A null id is a group's least only if all its ids are null: such groups differ by fingerprint.
     first = first.groupBy(key, F.when(F.col("doc_id").isNull(), F.col("fp")).alias("_fp")).agg(F.min("text_hash").alias("_hash")).select("_key", "_hash")
-    here = docs.select("*", key, F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("_hash"))
-    return here.join(first, ["_key", "_hash"], "left_semi").dropDuplicates(["_key", "_hash"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    here = packed(docs, key, text_hash(F.col("text")).alias("_hash"))
+    return unpacked(here.join(first, ["_key", "_hash"], "left_semi").dropDuplicates(["_key", "_hash"]), docs.columns)
