@@ -15,14 +15,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexivec.llm import bpe, lines, mixing, quality, simhash
-from lexivec.llm.common import table
+from lexivec.llm.common import WORD, packed, table, unpacked
 from lexivec.session import ensure_checkpoint_dir
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
-    scored = quality.scores(docs, table(spark, sf_dir, "labels"))
-    return scored.where(F.col("_score") >= quality.CUT).select(*[F.col(f"`{c}`") for c in docs.columns])
+    scored = quality.scores(packed(docs, F.col("doc_id"), F.col("text")), table(spark, sf_dir, "labels"))
+    return unpacked(scored.where(F.col("_score") >= quality.CUT), docs.columns)
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,12 +33,12 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the runs of lines that earlier documents hold; a document
     of which nothing is left goes."""
-    had = F.length(F.coalesce("text", F.lit(""))) > 0
-    cut = lines.remove_repeats(docs.withColumn("_had", had))
-    left = cut.where(~F.col("_had") | (F.size("_removed") == 0) | (F.trim("text") != ""))
+    whole = packed(docs, F.col("doc_id"), F.col("text"))
+    cut = lines.remove_repeats(whole)
+    changed = {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        left = left.withColumn("n_chars", F.when(F.size("_removed") > 0, F.length("text").cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("n_chars")))
-    return left.select(*[F.col(f"`{c}`") for c in docs.columns])
+        changed["n_chars"] = F.when(F.size("_removed") > 0, F.length("text").cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("_row.n_chars"))
+    return unpacked(cut.where((F.size("_removed") == 0) | F.col("text").rlike(WORD)), docs.columns, changed)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
