@@ -1,7 +1,7 @@
 """Candidate groups in blocks of bounded size.
 
 Similarity joins meet in buckets, and one bucket may hold a third of all rows.
-``block_pairs`` cuts each bucket into blocks of about ``size`` members and
+:func:`block_pairs` cuts each bucket into blocks of about ``size`` members and
 deals every pair of blocks to its own group, so that a bucket's work spreads
 over all tasks and a group holds at most two blocks.  No pair is dropped.
 """
@@ -20,21 +20,26 @@ from lexivec.llm.common import shuffle_parts
 from lexivec.session import checkpointed
 
 
-def block_pairs(members: DataFrame, key: str, member: str, size: int) -> DataFrame:
-    """``members`` with ``_i``, ``_j`` (block pair, ``_i <= _j``) and
-    ``_block`` (own block); partitioned by (key, _i, _j) and sorted by it.
-
-    Buckets with one member are left out: they have no pair.  ``member``
-    decides a row's block.
-    """
+def in_blocks(members: DataFrame, key: str, member: str, size: int) -> DataFrame:
+    """``members`` of buckets with two members or more, with ``_blocks`` (of
+    the bucket) and ``_block`` (own one, by ``member``)."""
     # The sizes are written out: both sides of the join are then plain shuffles, which Spark can split where a key is hot.
     sizes = checkpointed(members.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1"))
-    own = members.join(sizes, key).withColumn("_nb", F.ceil(F.col("_n") / size).cast("long"))
-    own = own.withColumn("_block", F.pmod(F.xxhash64(member), F.col("_nb")))
-    dealt = own.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_nb") - 1)))
+    own = members.join(sizes, key).withColumn("_blocks", F.ceil(F.col("_n") / size).cast("long")).drop("_n")
+    return own.withColumn("_block", F.pmod(F.xxhash64(member), F.col("_blocks")))
+
+
+def paired(own: DataFrame, key: str) -> DataFrame:
+    """:func:`in_blocks` dealt to pairs of blocks ``_i <= _j``: partitioned by
+    (key, _i, _j) and sorted by it."""
+    dealt = own.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)))
     dealt = dealt.withColumn("_i", F.least("_block", "_other")).withColumn("_j", F.greatest("_block", "_other"))
     by = [key, "_i", "_j"]
-    return dealt.drop("_n", "_nb", "_other").repartition(shuffle_parts(members), *by).sortWithinPartitions(*by)
+    return dealt.drop("_blocks", "_other").repartition(shuffle_parts(own), *by).sortWithinPartitions(*by)
+
+
+def block_pairs(members: DataFrame, key: str, member: str, size: int) -> DataFrame:
+    return paired(in_blocks(members, key, member, size), key)
 
 
 def groups(batches: Iterator[pa.RecordBatch], by: list[str], rows: int = 20_000) -> Iterator[tuple[pa.Table, np.ndarray]]:
