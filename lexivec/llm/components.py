@@ -1,16 +1,20 @@
 """Connected components by contraction, as Spark joins and aggregates.
 
-Each round every node points at the neighbour (or itself) of least random
-priority, and edges are rewritten to what their ends point at.  Priorities
-change each round, so chains and stars shrink by a constant factor in
-expectation and the rounds are logarithmic.  Nothing is gathered in one task
+Each round, every task first turns the edges it has into stars around the
+node of least random priority; then every node points at the neighbour (or
+itself) of least priority, and edges are rewritten to what their ends point
+at.  Priorities change each round, so chains and stars shrink by a constant
+factor in expectation and the rounds are logarithmic.  Nothing is gathered in one task
 or on the driver, and each round's tables are reliable checkpoints, so that a
 lost executor costs a re-read.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +35,22 @@ def least_labels(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
             return label
 
 
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges ``a, b`` with their ends' priorities ``pa, pb``, as stars."""
+    for b in batches:
+        ends = np.concatenate([b.column(0).to_numpy(), b.column(1).to_numpy()])
+        if not len(ends):
+            continue
+        node, first, at = np.unique(ends, return_index=True, return_inverse=True)
+        order = np.argsort(np.concatenate([b.column(2).to_numpy(), b.column(3).to_numpy()])[first], kind="stable")
+        rank = np.empty(len(node), np.int64)
+        rank[order] = np.arange(len(node))
+        i, j = rank[at[: b.num_rows]], rank[at[b.num_rows :]]
+        label = least_labels(i, j, len(node))
+        far = np.flatnonzero(label != np.arange(len(node)))
+        yield pa.RecordBatch.from_arrays([pa.array(node[order[label[far]]]), pa.array(node[order[far]])], names=["a", "b"])
+
+
 def components(edges: DataFrame, values: DataFrame) -> DataFrame:
     """``(node, least)`` for every node of ``values``: the least ``value``
     (nulls ignored) over all nodes it is connected with.
@@ -39,11 +59,13 @@ def components(edges: DataFrame, values: DataFrame) -> DataFrame:
     ``values(node, value)``: one row per node.  A node without edges keeps its
     own value; edges of nodes that ``values`` lacks connect all the same.
     """
-    live = checkpointed(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    live = checkpointed(edges.where("a <> b").select("a", "b"))
     levels = []
     value = values.select("node", "value")
     while not live.isEmpty():
         seed = F.lit(len(levels))
+        stars = live.select("a", "b", F.xxhash64("a", seed).alias("pa"), F.xxhash64("b", seed).alias("pb")).mapInArrow(_stars, "a long, b long")
+        live = checkpointed(stars.distinct())
         sides = live.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(
             live.select(F.col("b").alias("node"), F.col("a").alias("other")))
         best = sides.groupBy("node").agg(F.min(F.struct(F.xxhash64("other", seed).alias("p"), F.col("other"))).alias("best"))
