@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from lexivec.llm.common import id_and_text, in_slices
 
 #: Distinct words that a worker remembers from batch to batch; beyond it, it starts afresh.
-REMEMBERED = 1 << 19
+REMEMBERED = 1 << 17
 #: White space as the file's normaliser sees it, and its pre-token pattern.
 SPACE = "[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+"
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"

@@ -16,9 +16,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of an Arrow batch: texts are wide, and a worker holds a batch whole.
+BATCH_ROWS = 1000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lowers the session's rows per Arrow batch to ``BATCH_ROWS`` if it has
+    more, so that a worker's memory doesn't follow the texts' length."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def id_and_text(docs: DataFrame) -> DataFrame:
     """``doc_id`` and ``text`` (null text: empty); extra columns are left out,
     so clashing names cannot reach an operator's own columns."""
+    bounded_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"),
                        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
@@ -44,6 +57,7 @@ def in_slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Recor
 def packed(docs: DataFrame, *own: Column) -> DataFrame:
     """Whole rows of ``docs`` as the struct ``_row`` beside an operator's own
     columns, so that no name of theirs can clash; :func:`unpacked` undoes it."""
+    bounded_batches(docs.sparkSession)
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), *own)
 
 

@@ -35,20 +35,27 @@ def least_labels(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
             return label
 
 
-def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Edges ``a, b`` with their ends' priorities ``pa, pb``, as stars."""
-    for b in batches:
-        ends = np.concatenate([b.column(0).to_numpy(), b.column(1).to_numpy()])
-        if not len(ends):
-            continue
-        node, first, at = np.unique(ends, return_index=True, return_inverse=True)
-        order = np.argsort(np.concatenate([b.column(2).to_numpy(), b.column(3).to_numpy()])[first], kind="stable")
+def _stars(batches: Iterator[pa.RecordBatch], rows: int = 50_000) -> Iterator[pa.RecordBatch]:
+    """Edges ``a, b`` with their ends' priorities ``pa, pb``, as stars of each
+    ``rows`` edges."""
+    def star(t: pa.Table) -> pa.RecordBatch:
+        a, b, first_a, first_b = (t.column(k).to_numpy() for k in range(4))
+        node, first, at = np.unique(np.concatenate([a, b]), return_index=True, return_inverse=True)
+        order = np.argsort(np.concatenate([first_a, first_b])[first], kind="stable")
         rank = np.empty(len(node), np.int64)
         rank[order] = np.arange(len(node))
-        i, j = rank[at[: b.num_rows]], rank[at[b.num_rows :]]
-        label = least_labels(i, j, len(node))
+        label = least_labels(rank[at[: len(a)]], rank[at[len(a) :]], len(node))
         far = np.flatnonzero(label != np.arange(len(node)))
-        yield pa.RecordBatch.from_arrays([pa.array(node[order[label[far]]]), pa.array(node[order[far]])], names=["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array(node[order[label[far]]]), pa.array(node[order[far]])], names=["a", "b"])
+
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        held.append(b)
+        if sum(x.num_rows for x in held) >= rows:
+            yield star(pa.Table.from_batches(held))
+            held = []
+    if held:
+        yield star(pa.Table.from_batches(held))
 
 
 def components(edges: DataFrame, values: DataFrame) -> DataFrame:

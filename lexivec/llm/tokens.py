@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from lexivec.llm.common import batch, id_and_text, in_slices
 
 #: Distinct pre-tokens that a worker remembers from batch to batch; beyond it, it starts afresh.
-REMEMBERED = 1 << 19
+REMEMBERED = 1 << 18
 
 
 @lru_cache(maxsize=2)
