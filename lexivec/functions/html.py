@@ -22,7 +22,11 @@ _NAMED = re.compile(r"&(\w+);")
 def _decode_one(s: str | None) -> str | None:
     if s is None:
         return None
-    s = _DIGIT.sub(lambda m: chr(int(m.group(1))) if int(m.group(1)) < 0x110000 else m.group(0), s)
+
+    def numbered(m):
+        cp = int(m.group(1)) if len(m.group(1)) < 8 else -1
+        return chr(cp) if 0 <= cp < 0xD800 or 0xDFFF < cp < 0x110000 else m.group(0)  # surrogates are no characters
+    s = _DIGIT.sub(numbered, s)
 
     def named(m):
         name = m.group(1)

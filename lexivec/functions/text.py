@@ -217,9 +217,6 @@ def ngrams(toks, n: int, sep: str = " ") -> Column:
     return F.filter(grams, lambda g: g.isNotNull())
 
 
-safe_ngrams = ngrams
-
-
 def char_ngrams(text, n: int) -> Column:
     """M3: character n-grams of a whole text (whitespace collapsed, lower)."""
     chars = F.split(F.lower(collapse_space(_col(text))), "", -1)
@@ -234,36 +231,55 @@ def sklearn_words(text) -> Column:
 
 # --------------------------------------------------------------- tokenizers
 
-# Token classes of the tweet tokenizer, written from the class description
-# (phone, emoticon, HTML tag, @user, #hashtag, word with inner ' or -,
-# number with one separator, plain word, ellipsis, any other non-space).
-_EMOTICON = r"(?:[<>]?[:;=8][\-o\*']?[\)\]\(\[dDpP/:\}\{@\|\\]|[\)\]\(\[dDpP/:\}\{@\|\\][\-o\*']?[:;=8][<>]?)"
-_TWEET_TOKEN = "|".join([
-    r"(?:\+?[01][\-\s.]*)?(?:[\(]?\d{3}[\-\s.\)]*)?\d{3}[\-\s.]*\d{4}",
-    _EMOTICON,
-    r"<[^>\s]+>",
-    r"@[\w_]+",
-    r"#+[\w_]+[\w'_\-]*[\w_]+",
-    r"[a-z][a-z'\-_]+[a-z]",
-    r"[+\-]?\d+(?:[,/.:-]\d+[+\-]?)?",
-    r"[\w_]+",
-    r"(?:\.(?:\s*\.){1,})",
-    r"\S",
-])
-TWEET_TOKEN_REGEX = "(?iU)(?:" + _TWEET_TOKEN + ")"
-EMOTICON_REGEX = "(?iU)" + _EMOTICON
+# What an emoticon is made of.
+BROWS, EYES, NOSES, MOUTHS = "<>", ":;=8", "-o*'", ")]([dDpP/:}{@|\\"
+
+
+def _any_of(chars: str) -> str:
+    """Character class of single characters."""
+    return "[" + "".join("\\" + ch if not ch.isalnum() else ch for ch in chars) + "]"
+
+
+def _token_classes() -> dict[str, str]:
+    """Patterns by token class; where several match, the first one counts."""
+    brow, eyes, nose, mouth = map(_any_of, (BROWS, EYES, NOSES, MOUTHS))
+    gap, digits = r"[\s.-]*", r"\d{%d}"
+    country, area = rf"\+?[01]{gap}", rf"\(?{digits % 3}[\s.)-]*"
+    letter, inner = "[a-z]", "[a-z_'-]"
+    return {
+        "phone": f"(?:{country})?(?:{area})?{digits % 3}{gap}{digits % 4}",
+        "face": f"{brow}?{eyes}{nose}?{mouth}",
+        "mirrored face": f"{mouth}{nose}?{eyes}{brow}?",
+        "markup tag": r"<[^<>\s][^<>]*>",
+        "user": r"@\w+",
+        "topic": r"#+\w[\w'-]*\w",
+        "word": f"{letter}{inner}+{letter}",  # may hold ' and - inside
+        "number": r"[+-]?\d+[,/.:-]\d+[+-]?",  # one separator; bare digits are plain words
+        "plain": r"\w+",
+        "dots": r"\.(?:\s*\.)+",
+        "other": r"\S",
+    }
+
+
+TOKEN_CLASSES = _token_classes()
+_TWEET_TOKEN = "|".join(TOKEN_CLASSES.values())
+TWEET_TOKEN_REGEX = f"(?iU)(?:{_TWEET_TOKEN})"
+EMOTICON_REGEX = f"(?iU)(?:{TOKEN_CLASSES['face']}|{TOKEN_CLASSES['mirrored face']})"
+
+
+def _lowered(toks: Column) -> Column:
+    """Lower case but for tokens that bear an emoticon."""
+    return F.transform(toks, lambda w: F.when(w.rlike(EMOTICON_REGEX), w).otherwise(F.lower(w)))
 
 
 def tweet_tokens(text, preserve_case: bool = True) -> Column:
     """Tweet tokenizer (ordered alternation, first class wins).
 
     HTML entities should be decoded first (:func:`lexivec.functions.html.decode_entities`).
-    With ``preserve_case=False`` every token except emoticons is lower-cased.
+    With ``preserve_case=False`` every token that bears no emoticon is lower-cased.
     """
     toks = F.regexp_extract_all(_col(text), F.lit(TWEET_TOKEN_REGEX), 0)
-    if preserve_case:
-        return toks
-    return F.transform(toks, lambda w: F.when(w.rlike("^" + EMOTICON_REGEX + "$"), w).otherwise(F.lower(w)))
+    return toks if preserve_case else _lowered(toks)
 
 
 def url_aware_tokens(text, preserve_case: bool = True) -> Column:
@@ -271,8 +287,7 @@ def url_aware_tokens(text, preserve_case: bool = True) -> Column:
     tweet token classes (close to, not bit-exact with, NLTK's TweetTokenizer)."""
     url = r"https?://\S+|www\.\S+"
     toks = F.regexp_extract_all(_col(text), F.lit("(?iU)(?:" + url + "|" + _TWEET_TOKEN + ")"), 0)
-    return toks if preserve_case else F.transform(toks, lambda w: F.when(w.rlike("^" + EMOTICON_REGEX + "$"), w)
-                                                  .otherwise(F.lower(w)))
+    return toks if preserve_case else _lowered(toks)
 
 
 def array_to_feature(arr, prefix: str) -> Column:

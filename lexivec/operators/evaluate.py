@@ -141,9 +141,12 @@ def best_of(metrics: DataFrame, metric: str, by: list[str], choice_cols: list[st
 
 
 def filter_run(run: DataFrame, pattern: str | None = r"^[a-z]+$", qid: str = "query", docno: str = "word") -> DataFrame:
-    """Keep run documents matching ``pattern`` (non-empty), one row per
-    (query, document)."""
+    """Keep run documents matching ``pattern`` (non-empty), each query's
+    best-ranked row per document, and number the ranks anew from 1."""
     r = run.where(F.length(docno) > 0)
     if pattern:
         r = r.where(F.col(docno).rlike(pattern))
-    return r.dropDuplicates([qid, docno])
+    rest = [c for c in r.columns if c not in (qid, docno, "rank")]
+    best = r.groupBy(qid, docno).agg(F.min("rank").alias("rank"), *[F.min_by(c, "rank").alias(c) for c in rest])
+    again = F.row_number().over(Window.partitionBy(qid).orderBy("rank", docno))
+    return best.withColumn("rank", again).select(*run.columns)

@@ -251,9 +251,8 @@ def analogy_accuracy(questions: DataFrame, vectors: DataFrame, semantic_sections
                                                                        "query", "left")
     per = res.groupBy("section").agg(F.count(F.lit(1)).alias("n_questions"),
                                      F.sum((F.col("answer") == F.col("d")).cast("int")).alias("n_correct"))
-    secs = sorted(r[0] for r in per.select("section").limit(100_001).collect())
-    semantic = secs[:semantic_sections]
-    return per.select("section", F.when(F.col("section").isin(*semantic), "semantic").otherwise("syntactic").alias("kind"),
+    per = global_index(per, [F.col("section")], "_no")
+    return per.select("section", F.when(F.col("_no") <= semantic_sections, "semantic").otherwise("syntactic").alias("kind"),
                       F.col("n_questions").cast("long").alias("n_questions"),
                       F.coalesce(F.col("n_correct"), F.lit(0)).cast("long").alias("n_correct"),
                       F.round(F.coalesce(F.col("n_correct"), F.lit(0)) / F.col("n_questions"), 6).alias("accuracy"))

@@ -57,7 +57,7 @@ FROM v a, v b GROUP BY a.word, b.cls""")(closest_class_score)
 def closest_class_rank(spark, sf_dir):
     vec = S.vectors(spark, sf_dir)
     lex = S.vector_lexicon(spark, sf_dir)
-    classes = sorted(r[0] for r in lex.select("cls").distinct().limit(10_001).collect())
+    classes = sorted(r[0] for r in lex.select("cls").distinct().collect())
     nb = V.knn(vec, vec, TOPN)
     out = V.closest_class_ranks(nb, lex, classes, TOPN, vec)
     return out.select("word", "cls", F.round("rank_score", 6).alias("rank_score"))
@@ -153,12 +153,12 @@ query("synonyms", """SELECT label::VARCHAR AS cls, string_agg(vec_id::VARCHAR, '
 
 def antonyms(spark, sf_dir):
     """C4: for each word, one row per other class (its antonym list is that
-    class's synonym line).  The other classes are exploded from the bounded
+    class's synonym line).  The other classes are exploded from the
     class list (no theta join); word lists are not repeated per word, which
     would emit every cross-class word pair."""
     from lexivec.session import sized_broadcast
     lex = S.vector_lexicon(spark, sf_dir)
-    classes = sorted(r[0] for r in lex.select("cls").distinct().limit(10_001).collect())
+    classes = sorted(r[0] for r in lex.select("cls").distinct().collect())
     sizes = lex.groupBy(F.col("cls").alias("other_cls")).agg(F.count(F.lit(1)).alias("n_antonyms"))
     w = lex.select("term", "cls", F.explode(F.array_remove(F.array(*[F.lit(c) for c in classes]), F.col("cls"))).alias("other_cls"))
     return w.join(sized_broadcast(sizes), "other_cls").select("term", "cls", "other_cls", "n_antonyms")

@@ -26,34 +26,45 @@ def build_session(master: str | None = None, app: str = "lexivec",
     b = SparkSession.builder.appName(app)
     if master:
         b = b.master(master)
+    # On a cluster, partitions and memory are the cluster's settings.
     cpus = os.environ.get("BENCH_CPUS")
-    parts = shuffle_partitions or (int(cpus) if cpus else 8)
-    b = (b.config("spark.sql.shuffle.partitions", str(parts))
-          .config("spark.sql.adaptive.enabled", "true")
+    parts = shuffle_partitions or (int(cpus) if cpus else 8 if is_local(master) else None)
+    if parts:
+        b = b.config("spark.sql.shuffle.partitions", str(parts))
+    if is_local(master):
+        b = b.config("spark.driver.memory", "8g")
+    b = (b.config("spark.sql.adaptive.enabled", "true")
           .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
           .config("spark.sql.adaptive.skewJoin.enabled", "true")
           .config("spark.sql.session.timeZone", "UTC")
           .config("spark.sql.execution.arrow.pyspark.enabled", "true")
           .config("spark.ui.enabled", "false")
-          .config("spark.ui.showConsoleProgress", "false")
-          .config("spark.driver.memory", "8g"))
+          .config("spark.ui.showConsoleProgress", "false"))
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
     return spark
 
 
+def is_local(master: str | None) -> bool:
+    """Whether the master runs all tasks in the driver's process."""
+    return bool(master) and master.split("[")[0] == "local"
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster the setting names a shared file system folder and is used as
-    is.  Only when it is unset (local runs, tests) a fresh folder is created.
+    is.  Where it is unset, a local master (tests) gets a fresh folder; any
+    other raises, as executors would not see a folder of the driver's machine.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    if not conf_dir and not is_local(sc.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not conf_dir:
         conf_dir = tempfile.mkdtemp(prefix="lexivec-ckpt-", dir="/tmp")
     sc.setCheckpointDir(conf_dir)

@@ -8,12 +8,21 @@ Malformed lines go to a rejects frame instead of duplicating a neighbour (D1).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import ast
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as Ty
 
 from lexivec.functions import text as T
 from lexivec.operators.lexicon import dedupe_last_wins
+from lexivec.operators.ordering import global_index
+
+
+def _strip(c) -> Column:
+    """White space of any kind off both ends."""
+    return F.regexp_replace(F.col(c) if isinstance(c, str) else c, r"^\s+|\s+$", "")
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
@@ -61,9 +70,11 @@ def read_mpqa(spark: SparkSession, path: str) -> DataFrame:
     return dedupe_last_wins(lines.select(val(2).alias("term"), val(5).alias("cls"), "line_no"), "line_no")
 
 
-def read_two_columns(spark: SparkSession, path: str, sep: str = r"\s+") -> DataFrame:
-    """``term<sep>class`` (split on the first separator run)."""
-    p = F.split(F.trim("value"), sep, 2)
+def read_two_columns(spark: SparkSession, path: str, sep: str | None = None) -> DataFrame:
+    """``term<sep>class``, split on the first separator run; without
+    ``sep`` on tabs where the line has one, else on white space."""
+    own = _strip("value")
+    p = F.split(own, sep, 2) if sep else F.when(F.contains(own, F.lit("\t")), F.split(own, r"\t+", 2)).otherwise(F.split(own, r"\s+", 2))
     lines = _lines(spark, path).select(p.alias("p"), "line_no").where(F.size("p") == 2)
     return dedupe_last_wins(lines.select(F.col("p")[0].alias("term"), F.col("p")[1].alias("cls"), "line_no"), "line_no")
 
@@ -75,7 +86,7 @@ SCORE_SCHEMA = Ty.StructType([Ty.StructField("term", Ty.StringType()), Ty.Struct
 def read_nrc_scores(spark: SparkSession, path: str, strict: bool = False, pair: bool = False) -> DataFrame:
     """TSV ``term score n m``; malformed rows dropped (S8) or
     failing (``strict``, S9/S10).  ``pair`` splits ``g1---g2`` keys."""
-    df = (spark.read.option("sep", "\t").option("mode", "FAILFAST" if strict else "DROPMALFORMED")
+    df = (spark.read.option("sep", "\t").option("quote", "").option("mode", "FAILFAST" if strict else "DROPMALFORMED")
           .schema(SCORE_SCHEMA).csv(path))
     if pair:
         parts = F.split("term", "---", 2)
@@ -105,23 +116,35 @@ def read_clusters(spark: SparkSession, path: str) -> DataFrame:
 
 def read_tweet_log(spark: SparkSession, path: str) -> DataFrame:
     """Lines ``('id', u'ID')<TAB>('text', u'TWEET')``; exactly two tab
-    fields, the text is the quoted literal of the second tuple (simple escapes
-    decoded)."""
+    fields, the text is the decoded string literal of the second tuple.  Lines
+    that aren't such tuples are skipped."""
     p = F.split("value", "\t")
     lines = spark.read.text(path).select(p.alias("p")).where(F.size("p") == 2)
-    lit = F.regexp_extract(F.col("p")[1], r"^\('text',\s*u?(['\"])(.*)\1\)$", 2)
-    decoded = F.regexp_replace(F.regexp_replace(F.regexp_replace(lit, r"\\n", "\n"), r"\\'", "'"), r"\\\\", r"\\")
-    return lines.select(decoded.alias("text"))
+    return lines.select(_second_literal(F.col("p")[1]).alias("text")).where("text is not null")
+
+
+def _literal(s: str | None) -> str | None:
+    try:
+        name, text = ast.literal_eval(s)
+    except (ValueError, SyntaxError, TypeError, MemoryError, RecursionError):
+        return None
+    ok = name == "text" and isinstance(text, str)
+    return text.encode("utf-8", "replace").decode() if ok else None
+
+
+@F.pandas_udf(Ty.StringType())
+def _second_literal(s: pd.Series) -> pd.Series:
+    return s.map(_literal)
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """Stripped lines (blank lines kept)."""
-    return spark.read.text(path).select(F.trim("value").alias("text"))
+    return spark.read.text(path).select(_strip("value").alias("text"))
 
 
-def read_word_vectors(spark: SparkSession, path: str, normalize: bool = True, header: bool = False) -> DataFrame:
+def read_word_vectors(spark: SparkSession, path: str, normalize: bool = True, header: bool = False, lower: bool | None = None) -> DataFrame:
     """Text vectors ``word v1 ... vd`` (gz read natively); words are
-    lower-cased and, with ``normalize``, vectors divided by
+    lower-cased (S16; with ``header``, S17, only if ``lower`` says so) and, with ``normalize``, vectors divided by
     ``sqrt(sum(v^2) + 1e-6)``.  ``header`` skips a word2vec ``n d`` line."""
     from lexivec.operators.vectors import l2_normalize
     p = F.split(F.trim("value"), " ")
@@ -129,7 +152,7 @@ def read_word_vectors(spark: SparkSession, path: str, normalize: bool = True, he
     if header:
         lines = lines.where(F.size("p") > 2)
     vec = F.transform(F.slice("p", 2, F.size("p") - 1), lambda x: x.cast("double"))
-    df = lines.select(F.lower(F.col("p")[0]).alias("word"), vec.alias("vec"))
+    df = lines.select((F.lower(F.col("p")[0]) if (not header if lower is None else lower) else F.col("p")[0]).alias("word"), vec.alias("vec"))
     return df.select("word", l2_normalize(F.col("vec"), 1e-6).alias("vec")) if normalize else df
 
 
@@ -138,14 +161,14 @@ def read_graph_lexicon(spark: SparkSession, path: str) -> DataFrame:
     :func:`norm_word`; the last line of a word wins."""
     p = F.split(F.lower(F.trim("value")), r"\s+")
     lines = _lines(spark, path).select(p.alias("p"), "line_no").where(F.size("p") >= 1)
-    src = lines.select(T.norm_word(F.col("p")[0]).alias("src"), F.slice("p", 2, 1 << 20).alias("nb"), "line_no")
+    src = lines.select(T.norm_word(F.col("p")[0]).alias("src"), F.slice("p", 2, F.size("p")).alias("nb"), "line_no")
     last = src.groupBy("src").agg(F.max_by("nb", "line_no").alias("nb"))
     return last.select("src", F.explode("nb").alias("dst")).select("src", T.norm_word("dst").alias("dst"))
 
 
 def read_simlex(spark: SparkSession, path: str) -> DataFrame:
     """TSV with header; ``w1 w2 POS score`` (``A`` -> ``ADJ``)."""
-    df = spark.read.option("sep", "\t").option("header", True).csv(path)
+    df = spark.read.option("sep", "\t").option("quote", "").option("header", True).csv(path)
     c = df.columns
     return df.select(F.col(c[0]).alias("w1"), F.col(c[1]).alias("w2"),
                      F.when(F.col(c[2]) == "A", "ADJ").otherwise(F.col(c[2])).alias("tag"),
@@ -155,13 +178,15 @@ def read_simlex(spark: SparkSession, path: str) -> DataFrame:
 def read_analogies(spark: SparkSession, path: str) -> DataFrame:
     """``: section`` lines followed by 4-word questions; the section is
     carried forward by line order (max section start <= line)."""
-    lines = _lines(spark, path).select(F.trim("value").alias("l"), "line_no")
-    sec = lines.where(F.col("l").startswith(":")).select(F.trim(F.substring("l", 2, 1 << 20)).alias("section"),
-                                                         F.col("line_no").alias("start"))
-    q = lines.where(~F.col("l").startswith(":")).select(F.split("l", " ").alias("w"), "line_no").where(F.size("w") == 4)
-    j = q.join(sec, sec.start < q.line_no)
-    best = j.groupBy("line_no").agg(F.max_by("section", "start").alias("section"), F.first("w").alias("w"))
-    return best.select("section", *[F.col("w")[i].alias(n) for i, n in enumerate("abcd")], "line_no")
+    lines = global_index(_lines(spark, path).select(_strip("value").alias("l"), "line_no"), [F.col("line_no")], "pos")
+    head = F.col("l").startswith(":")
+    # The table of sections alone is ordered in one task; questions meet their section by line position.
+    sec = lines.where(head).select(_strip(F.expr("substring(l, 2)")).alias("section"), F.col("pos").alias("start"))
+    sec = sec.withColumn("end", F.lead("start").over(Window.orderBy("start")))
+    n = lines.count()
+    at = sec.select("section", F.explode(F.sequence("start", F.coalesce(F.col("end") - 1, F.lit(n)))).alias("pos"))
+    q = lines.where(~head).select(F.split("l", r"\s+").alias("w"), "line_no", "pos").where(F.size("w") == 4)
+    return q.join(at, "pos").select("section", *[F.col("w")[i].alias(c) for i, c in enumerate("abcd")], "line_no")
 
 
 # Lexicon registry -------------------------------------------------------
@@ -195,8 +220,8 @@ def read_lidilem(spark: SparkSession, path: str, pol_col: int) -> DataFrame:
     ``pol_col`` the class; empty classes dropped (S5a-c: 7 / 5 / 8)."""
     df = spark.read.option("sep", ";").option("header", True).csv(path)
     c = df.columns
-    out = df.select(F.trim(F.col(c[0])).alias("term"), F.trim(F.col(c[pol_col])).alias("cls"))
-    return out.where(F.col("cls").isNotNull() & (F.col("cls") != ""))
+    out = df.select(_strip(F.col(c[0])).alias("term"), _strip(F.col(c[pol_col])).alias("cls"), F.monotonically_increasing_id().alias("line_no"))
+    return dedupe_last_wins(out.where(F.col("cls").isNotNull() & (F.col("cls") != "")), "line_no")
 
 
 def read_anew(spark: SparkSession, path: str) -> DataFrame:

@@ -28,8 +28,10 @@ def write_vocab(vocab: DataFrame, path: str) -> None:
 
 
 def write_qrels(qrels: DataFrame, path: str) -> None:
-    """K8: TREC qrel lines ``qid iter docno rel``."""
-    write_lines(qrels, ["qid", "iter", "docno", "rel"], path)
+    """K8: TREC qrel lines ``qid iter docno rel``; judgments in implicit form
+    (``evaluate.qrels``) are written as ``qid iter cls num_rel``."""
+    explicit = {"docno", "rel"} <= set(qrels.columns)
+    write_lines(qrels, ["qid", "iter", "docno", "rel"] if explicit else ["qid", "iter", "cls", "num_rel"], path)
 
 
 def write_run(run: DataFrame, path: str) -> None:
@@ -59,8 +61,8 @@ def materialize(spark: SparkSession, path: str, build, sources: list[str] | None
     have = _mtime(spark, path)
     stale = have is None or force
     if not stale and sources:
-        newest = max((_mtime(spark, s) or 0) for s in sources)
-        stale = newest > have
+        times = [_mtime(spark, s) for s in sources]
+        stale = any(t is not None and t > have for t in times)
     if stale:
         build().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)

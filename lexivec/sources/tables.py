@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexivec.functions import text as T
+from lexivec.session import is_local
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
@@ -23,16 +24,18 @@ HEAVY = {"documents", "conversations", "pages", "embeddings"}
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Read one driver table (parquet: column pruning and filter pushdown apply).
 
-    Heavy tables are spread to the cluster's default parallelism when the scan
-    yields fewer splits (e.g. one parquet row group); on a large input the scan
-    already has more splits and nothing is added.
+    On a local master heavy tables are spread to the default parallelism when
+    the scan yields fewer splits (e.g. one parquet row group).
     """
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
     return spread(df) if name in HEAVY else df
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Round-robin repartition only when the input has too few partitions."""
+    """On a local master, round-robin repartition where the input has too few
+    partitions; a cluster's scans are left as they are."""
+    if not is_local(df.sparkSession.sparkContext.master):
+        return df
     want = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(want) if df.rdd.getNumPartitions() < want else df
 
