@@ -64,4 +64,48 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_fingerprints, op2_token_counts, op3_bpe, op4_mixing, op5_near_vectors, op6_simhash, op7_html_text, op8_quality, op9_chat, op10_line_dedup)}
 
-ORACLE_SQL: dict[str, str] = {}
+_WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_ESCAPED = r"regexp_replace({}, '([<\[])(\\*)(\||/?s>|/?SYS>>|/?INST\])', '\1\2\\\3', 'g')"
+
+_MIXING_SQL = f"""WITH d AS (SELECT doc_id, source, len({_WORDS.format("coalesce(text, '')")})::BIGINT AS size, md5(doc_id::VARCHAR) AS o FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS total FROM d GROUP BY source),
+w AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS no, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight, sum(total) OVER ()::BIGINT AS everything FROM s),
+c AS (SELECT *, 3.0::DOUBLE * total / weight AS room, (everything - coalesce(sum(3 * total) OVER (ORDER BY 3.0::DOUBLE * total / weight, no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
+  / sum(weight) OVER (ORDER BY 3.0::DOUBLE * total / weight, no ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)::DOUBLE AS level FROM w),
+t AS (SELECT *, least(3.0::DOUBLE * total, (SELECT level FROM c WHERE room >= level ORDER BY room, no LIMIT 1) * weight) AS target FROM w),
+u AS (SELECT *, coalesce(sum(target) OVER (ORDER BY no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lo, sum(target) OVER (ORDER BY no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS hi,
+  greatest(1, least({mixing.BLOCK}, everything // {mixing.LEAST_SLOTS}))::BIGINT AS block FROM t),
+p AS (SELECT (k % {mixing.PERIOD}) * {mixing.GOLDEN} % {mixing.PERIOD} / {mixing.PERIOD}::DOUBLE AS x FROM (SELECT unnest(range((everything + block // 2) // block)) AS k FROM u WHERE no = 1)),
+n AS (SELECT u.no, count(*) AS slots FROM p JOIN u ON p.x * u.everything >= u.lo AND (p.x * u.everything < u.hi OR u.no = (SELECT max(no) FROM u)) GROUP BY u.no),
+a AS (SELECT d.doc_id, d.size, u.total, u.target, coalesce(n.slots, 0) * u.block AS upto,
+  coalesce(sum(d.size) OVER (PARTITION BY u.no ORDER BY d.o, d.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos
+  FROM d JOIN u ON d.source IS NOT DISTINCT FROM u.source LEFT JOIN n ON n.no = u.no)
+SELECT doc_id, size, total AS source_size, target, (greatest(0, least(size, upto - pos)) + greatest(0, least(size, upto - pos - total)) + greatest(0, least(size, upto - pos - 2 * total)))::BIGINT AS taken FROM a"""
+
+_VECTORS_SQL = f"""WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS vec FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL),
+e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.vec, b.vec) >= {near_vectors.LEAST_COSINE}),
+r(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+n AS (SELECT a, count(*) AS n FROM e GROUP BY a), m AS (SELECT a, min(b) AS least FROM r GROUP BY a)
+SELECT vec_id, coalesce(n.n, 0)::BIGINT AS n_links, least(vec_id, coalesce(m.least, vec_id)) AS component_id, vec_id <= coalesce(m.least, vec_id) AS kept
+FROM embeddings LEFT JOIN n ON n.a = vec_id LEFT JOIN m ON m.a = vec_id"""
+
+_CHAT_SQL = f"""WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS told,
+  coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = '{chat.LOSS_ROLE}'), '') AS loss,
+  sum({len(chat.START + chat.MIDDLE + chat.END)} + length({_ESCAPED.format("role")}) + length({_ESCAPED.format("text")})) AS chars FROM c GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(told) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, chars::BIGINT AS formatted_chars FROM g"""
+
+_LINES_SQL = f"""WITH l AS (SELECT doc_id, length(coalesce(text, '')) AS size, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS k FROM documents),
+f AS (SELECT *, {_WORDS.format(_LOWER.format("line"))} AS w, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM l),
+h AS (SELECT doc_id, k, line, size, pos, len(w) AS n, row_number() OVER (PARTITION BY array_to_string(w, ' ') ORDER BY doc_id, k) > 1 AS again FROM f WHERE len(w) > 0),
+i AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY k) - row_number() OVER (PARTITION BY doc_id, again ORDER BY k) AS run FROM h),
+r AS (SELECT doc_id, min(k) AS a, max(k) AS b, min(pos) AS s, max(pos + length(line)) AS e, any_value(size) AS size FROM i WHERE again GROUP BY doc_id, run HAVING sum(n) >= {lines.LEAST_WORDS}),
+x AS (SELECT doc_id, a, b, (CASE WHEN e < size THEN s ELSE greatest(s - 1, 0) END)::BIGINT AS s, (CASE WHEN e < size THEN e + 1 ELSE e END)::BIGINT AS e FROM r),
+kept AS (SELECT l.doc_id, string_agg(l.line, chr(10) ORDER BY l.k) AS text FROM l LEFT JOIN x ON x.doc_id = l.doc_id AND l.k BETWEEN x.a AND x.b WHERE x.a IS NULL GROUP BY l.doc_id),
+q AS (SELECT doc_id, sum(e - s) AS n, string_agg(s::VARCHAR || '-' || e::VARCHAR, ',' ORDER BY s) AS spans FROM x GROUP BY doc_id)
+SELECT d.doc_id, coalesce(kept.text, '') AS text, coalesce(q.n, 0)::BIGINT AS removed_chars, coalesce(q.spans, '') AS removed_spans FROM documents d LEFT JOIN kept USING (doc_id) LEFT JOIN q USING (doc_id)"""
+
+#: The other operators have no SQL: sketches, tokenizers, XXH64, page markup and trained scores are tested against brute force.
+ORACLE_SQL: dict[str, str] = {"op4_mixing": _MIXING_SQL, "op5_near_vectors": _VECTORS_SQL, "op9_chat": _CHAT_SQL, "op10_line_dedup": _LINES_SQL}
