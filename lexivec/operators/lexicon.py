@@ -105,7 +105,7 @@ def pair_scores(docs: DataFrame, toks: Column, pair_lexicon: DataFrame, id_col:
     unigrams = F.transform(F.col("_t"), lambda g, i: F.struct(g.alias("g"), (i + F.greatest(n - 1, F.lit(0))).alias("c")))
     # Bigram grams are only built when some pair side is a bigram.
     has_bigrams = sides.where(F.col("g").contains(" ")).limit(1).count() > 0
-    chain = F.concat(F.transform(T.safe_ngrams(F.col("_t"), 2), lambda g, i: F.struct(g.alias("g"), i.alias("c"))),
+    chain = F.concat(F.transform(T.ngrams(F.col("_t"), 2), lambda g, i: F.struct(g.alias("g"), i.alias("c"))),
                      unigrams) if has_bigrams else unigrams
     grams = (base.select(id_col, F.explode(chain).alias("_x"))
                  .select(id_col, F.lower(F.col("_x.g")).alias("g"), F.col("_x.c").alias("c"))

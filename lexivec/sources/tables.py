@@ -61,7 +61,7 @@ def bigram_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bigram lexicon ``(term, score)``: distinct adjacent pairs of lexicon-shaped
     tokens of ``benchmark``; ``score=(len(term)-10)/10``."""
     toks = load(spark, sf_dir, "benchmark").select(T.tokens("text").alias("t"))
-    pairs = toks.select(F.explode(T.safe_ngrams("t", 2)).alias("term"))
+    pairs = toks.select(F.explode(T.ngrams("t", 2)).alias("term"))
     return (pairs.where(F.col("term").rlike("^[a-z]{2,} [a-z]{2,}$")).distinct()
                  .select("term", ((F.length("term") - 10) / 10.0).alias("score")))
 
