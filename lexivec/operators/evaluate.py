@@ -7,8 +7,6 @@ by the run depth k; corpus-level ranks use the global ordering helper.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +14,8 @@ from lexivec.operators.ordering import average_rank
 from lexivec.session import sized_broadcast
 
 CUTOFFS = (1, 5, 10)
+# Precision cutoffs of a full evaluation.
+TREC_CUTOFFS = (1, 2, 5, 10, 25, 50, 100, 200, 500, 1000)
 
 
 def qrels(lexicon: DataFrame, include_query: bool = True) -> DataFrame:
@@ -45,9 +45,14 @@ def signature_lexicon(flags: DataFrame, word_col: str = "word", flags_col: str =
                  .select(F.col(word_col).alias("term"), sig.alias("cls")))
 
 
-def ir_metrics(run: DataFrame, lexicon: DataFrame, k: int, include_query: bool = True) -> DataFrame:
-    """Per-query P@c (c in 1,5,10), average precision, reciprocal rank and
-    nDCG@k of a run ``(query, word, rank)`` against class relevance.
+def ir_metrics(run: DataFrame, lexicon: DataFrame, k: int, include_query: bool = True,
+               cutoffs: tuple[int, ...] = CUTOFFS, full: bool = False) -> DataFrame:
+    """Per-query P@c for each of ``cutoffs``, average precision, reciprocal
+    rank and nDCG@k of a run ``(query, word, rank)`` against class relevance.
+    ``full`` adds the numbers of relevant and of retrieved relevant words,
+    recall at the run's depth, R-precision and bpref.  The judgments name
+    relevant words only, so no judged word can be ranked wrongly above one and
+    bpref equals the recall.
     ``num_rel`` is the class size (the query counts, as in the qrels), or the
     class size minus one with ``include_query=False`` (E8; queries without any
     other relevant word are not evaluated)."""
@@ -62,19 +67,28 @@ def ir_metrics(run: DataFrame, lexicon: DataFrame, k: int, include_query: bool =
             .withColumn("rel", (F.col("wcls") == F.col("qcls")).cast("int")).fillna(0, ["rel"]))
     w = Window.partitionBy("query").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
     r = r.withColumn("cum_rel", F.sum("rel").over(w))
-    aggs = [(F.sum(F.when(F.col("rank") <= c, F.col("rel")).otherwise(0)) / F.lit(float(c))).alias(f"p{c}") for c in CUTOFFS]
+    aggs = [(F.sum(F.when(F.col("rank") <= c, F.col("rel")).otherwise(0)) / F.lit(float(c))).alias(f"p{c}") for c in cutoffs]
     aggs += [
         (F.sum(F.when(F.col("rel") == 1, F.col("cum_rel") / F.col("rank")).otherwise(0.0)) / F.first("num_rel")).alias("ap"),
         F.coalesce(F.max(F.when(F.col("rel") == 1, 1.0 / F.col("rank"))), F.lit(0.0)).alias("rr"),
         F.sum(F.when(F.col("rel") == 1, 1.0 / F.log2(F.col("rank") + 1.0)).otherwise(0.0)).alias("dcg"),
         F.first("num_rel").alias("num_rel"), F.first("qcls").alias("cls"),
+        F.sum("rel").alias("num_rel_ret"),
+        F.sum(F.when(F.col("rank") <= F.col("num_rel"), F.col("rel")).otherwise(0)).alias("_at_r"),
     ]
     m = r.groupBy("query").agg(*aggs)
     # ideal DCG over min(k, num_rel) relevant documents (closed-form prefix sums)
     ideal = F.aggregate(F.sequence(F.lit(1), F.least(F.col("num_rel"), F.lit(k)).cast("int")), F.lit(0.0),
                         lambda acc, i: acc + 1.0 / F.log2(i + 1.0))
     m = m.withColumn("ndcg", F.col("dcg") / ideal)
-    cols = [f"p{c}" for c in CUTOFFS] + ["ap", "rr", "ndcg"]
+    cols = [f"p{c}" for c in cutoffs] + ["ap", "rr", "ndcg"]
+    if full:
+        share = F.col("num_rel_ret") / F.col("num_rel")
+        m = (m.withColumn("recall", share).withColumn("bpref", share)
+              .withColumn("rprec", F.col("_at_r") / F.col("num_rel"))
+              .withColumn("num_rel", F.col("num_rel").cast("double"))
+              .withColumn("num_rel_ret", F.col("num_rel_ret").cast("double")))
+        cols += ["num_rel", "num_rel_ret", "recall", "rprec", "bpref"]
     return m.select("query", "cls", *[F.round(c, 6).alias(c) for c in cols])
 
 
@@ -124,15 +138,13 @@ def spearman(df: DataFrame, x: str, y: str, key: str) -> DataFrame:
     return rx.join(ry, key).agg(F.round(F.corr("rx", "ry"), 6).alias("spearman"), F.count(F.lit(1)).alias("n"))
 
 
-def log2(x: float) -> float:
-    return math.log2(x)
-
-
 def best_of(metrics: DataFrame, metric: str, by: list[str], choice_cols: list[str]) -> DataFrame:
-    """Per group ``by``, the row with the best ``metric``; the direction
-    follows the metric name (loss/error -> minimum, otherwise maximum).  Ties
-    go to the smallest choice tuple."""
-    lower_better = any(s in metric.lower() for s in ("loss", "error", "err"))
+    """Per group ``by``, the row with the best ``metric``.  Accuracies,
+    F-measures and the retrieval metrics here are maximised; any other name
+    counts as a loss and is minimised.  Ties go to the smallest choice tuple."""
+    higher = ("acc", "fmeasure", "f1", "precision", "recall", "ap", "rr", "ndcg", "rprec", "bpref")
+    name = metric.lower().removeprefix("mean_")
+    lower_better = not (any(s in name for s in ("acc", "fmeasure")) or name in higher or name[:1] == "p" and name[1:].isdigit())
     m = F.col(metric) if lower_better else -F.col(metric)
     key = F.struct(m.alias("_m"), *[F.col(c).alias(c) for c in choice_cols])
     best = F.min(metric) if lower_better else F.max(metric)

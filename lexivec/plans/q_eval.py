@@ -78,6 +78,31 @@ def ir_by_class(spark, sf_dir):
 query("ir_by_class", f"WITH {IR_SQL} SELECT cls, {_MEANS}, count(*) AS n_queries FROM m GROUP BY cls")(ir_by_class)
 
 
+DEPTH = 100
+
+
+def trec_metrics(spark, sf_dir):
+    """E1 at the depth and with the metric set of a full evaluation."""
+    vec = S.vectors(spark, sf_dir)
+    return E.ir_metrics(V.knn(vec, vec, DEPTH), S.vector_lexicon(spark, sf_dir), DEPTH,
+                        cutoffs=E.TREC_CUTOFFS, full=True)
+
+
+query("trec_metrics", f"""WITH {KNN_SQL.replace(f'rank <= {TOPN}', f'rank <= {DEPTH}')},
+sz AS (SELECT cls, count(*) AS num_rel FROM v GROUP BY cls),
+r AS (SELECT k.query, q.cls, sz.num_rel, k.rank, (w.cls = q.cls)::INTEGER AS rel
+      FROM knn k JOIN v q ON q.word = k.query JOIN v w ON w.word = k.word JOIN sz ON sz.cls = q.cls),
+c AS (SELECT *, sum(rel) OVER (PARTITION BY query ORDER BY rank) AS cum_rel FROM r)
+SELECT query, cls,
+  {", ".join(f"{r6(f'sum(CASE WHEN rank <= {n} THEN rel ELSE 0 END) / {n}.0')} AS p{n}" for n in E.TREC_CUTOFFS)},
+  {r6('sum(CASE WHEN rel = 1 THEN cum_rel / rank ELSE 0 END) / num_rel')} AS ap,
+  {r6('coalesce(max(CASE WHEN rel = 1 THEN 1.0 / rank END), 0)')} AS rr,
+  {r6(f'sum(CASE WHEN rel = 1 THEN 1.0 / log2(rank + 1.0) ELSE 0 END) / (SELECT sum(1.0 / log2(i + 1.0)) FROM range(1, least(any_value(num_rel), {DEPTH}) + 1) t(i))')} AS ndcg,
+  num_rel::DOUBLE AS num_rel, sum(rel)::DOUBLE AS num_rel_ret, {r6('sum(rel) / num_rel')} AS recall,
+  {r6('sum(CASE WHEN rank <= num_rel THEN rel ELSE 0 END) / num_rel')} AS rprec, {r6('sum(rel) / num_rel')} AS bpref
+FROM c GROUP BY query, cls, num_rel""")(trec_metrics)
+
+
 def _predictions(spark, sf_dir):
     blk = lex_block_uni(spark, sf_dir)
     lab = S.load(spark, sf_dir, "labels")

@@ -57,9 +57,8 @@ FROM v a, v b GROUP BY a.word, b.cls""")(closest_class_score)
 def closest_class_rank(spark, sf_dir):
     vec = S.vectors(spark, sf_dir)
     lex = S.vector_lexicon(spark, sf_dir)
-    classes = sorted(r[0] for r in lex.select("cls").distinct().collect())
     nb = V.knn(vec, vec, TOPN)
-    out = V.closest_class_ranks(nb, lex, classes, TOPN, vec)
+    out = V.closest_class_ranks(nb, lex, TOPN, vec)
     return out.select("word", "cls", F.round("rank_score", 6).alias("rank_score"))
 
 
@@ -158,9 +157,8 @@ def antonyms(spark, sf_dir):
     would emit every cross-class word pair."""
     from lexivec.session import sized_broadcast
     lex = S.vector_lexicon(spark, sf_dir)
-    classes = sorted(r[0] for r in lex.select("cls").distinct().collect())
     sizes = lex.groupBy(F.col("cls").alias("other_cls")).agg(F.count(F.lit(1)).alias("n_antonyms"))
-    w = lex.select("term", "cls", F.explode(F.array_remove(F.array(*[F.lit(c) for c in classes]), F.col("cls"))).alias("other_cls"))
+    w = V.with_classes(lex, lex).select("term", "cls", F.explode(F.array_remove("_classes", F.col("cls"))).alias("other_cls"))
     return w.join(sized_broadcast(sizes), "other_cls").select("term", "cls", "other_cls", "n_antonyms")
 
 
@@ -202,25 +200,33 @@ SELECT section, CASE WHEN sr <= 5 THEN 'semantic' ELSE 'syntactic' END AS kind,
   n_correct::BIGINT AS n_correct, {r6('n_correct / n_questions')} AS accuracy FROM ranked""")(analogy_accuracy)
 
 
+SPILL_ITER, SPILL_D = 4, 0.1
+
+
 def retrofit_spill(spark, sf_dir):
     vec = S.vectors(spark, sf_dir)
     lex = S.vector_lexicon(spark, sf_dir)
     nb = V.knn(vec, vec.join(lex.withColumnRenamed("term", "word"), "word", "left_semi"), 5)
-    return R.retrofit_spill(vec, lex, nb, 0.5, 0.5, 1.0, N_ITER)
+    return R.retrofit_spill(vec, lex, nb, 0.5, 0.5, SPILL_D, SPILL_ITER)
+
 
+# One iteration: class step (r), class sums after it (c), then the spill (q).
+_R3_CHAIN = ",\n".join(f"""r{i} AS (SELECT p.word, p.cls, p.dim, p.v0, p.n,
+  CASE WHEN p.n > 0 THEN (p.n * 0.5 * p.v0 + 0.5 * (s.S - p.q)) / (p.n * 1.0) ELSE p.q END AS q
+  FROM q{i - 1} p JOIN (SELECT cls, dim, sum(q) AS S FROM q{i - 1} GROUP BY cls, dim) s USING (cls, dim)),
+c{i} AS (SELECT cls, dim, sum(q) AS S FROM r{i} GROUP BY cls, dim),
+q{i} AS (SELECT r.word, r.cls, r.dim, r.v0, r.n,
+  CASE WHEN w.k IS NULL THEN r.q ELSE {SPILL_D} * ({SPILL_D} * o.n * 0.5 * r.v0 + 0.5 * (c.S - o.q)) END AS q
+  FROM r{i} r LEFT JOIN win w ON w.k = r.word LEFT JOIN r{i} o ON o.word = w.query AND o.dim = r.dim
+  LEFT JOIN c{i} c ON c.cls = o.cls AND c.dim = o.dim)""" for i in range(1, SPILL_ITER + 1))
 
 query("retrofit_spill", f"""WITH {LONG_SQL},
 sz AS (SELECT cls, count(DISTINCT word) - 1 AS n FROM lv GROUP BY cls),
 q0 AS (SELECT lv.*, sz.n, lv.v0 AS q FROM lv JOIN sz USING (cls)),
-{_r1_chain},
-fin AS (SELECT * FROM {_r1_last}),
-cs AS (SELECT cls, dim, sum(q) AS S FROM fin GROUP BY cls, dim),
 {VEC_SQL},
-nb AS (SELECT * FROM (SELECT a.word AS query, b.word AS k,
+nb AS (SELECT * FROM (SELECT a.word AS query, a.cls, b.word AS k,
          row_number() OVER (PARTITION BY a.word ORDER BY list_cosine_similarity(a.vec, b.vec) DESC, b.word) AS rank
        FROM v a JOIN v b ON a.word <> b.word) WHERE rank <= 5),
-win AS (SELECT k, max(query) AS query FROM nb GROUP BY k),
-upd AS (SELECT win.k AS word, f.dim, 1.0 * (1.0 * f.n * 0.5 * t.v0 + 0.5 * (cs.S - f.q)) AS u
-        FROM win JOIN fin f ON f.word = win.query AND f.n > 0 JOIN cs ON cs.cls = f.cls AND cs.dim = f.dim
-        JOIN lv t ON t.word = win.k AND t.dim = f.dim)
-SELECT fin.word, fin.dim, {r6('coalesce(upd.u, fin.q)')} AS value FROM fin LEFT JOIN upd USING (word, dim)""")(retrofit_spill)
+win AS (SELECT k, max(query) AS query FROM nb JOIN sz ON sz.cls = nb.cls AND sz.n > 0 GROUP BY k),
+{_R3_CHAIN}
+SELECT word, dim, {r6('q')} AS value FROM q{SPILL_ITER}""")(retrofit_spill)

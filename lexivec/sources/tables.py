@@ -130,11 +130,12 @@ def clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexicon(spark, sf_dir).select(F.col("term").alias("word"), F.substring("term", 1, 1).alias("cluster"))
 
 
-def pos_tag(tok) -> "F.Column":
-    """Stand-in part-of-speech tag: token length class S (<=3), M (<=6), L."""
+def pos_tag(tok, names: tuple[str, str, str] = ("S", "M", "L")) -> "F.Column":
+    """Stand-in part-of-speech tag: token length class, short (<=3), medium (<=6), long."""
     c = F.col(tok) if isinstance(tok, str) else tok
     n = F.length(c)
-    return F.when(n <= 3, F.lit("S")).when(n <= 6, F.lit("M")).otherwise(F.lit("L"))
+    short, medium, long = map(F.lit, names)
+    return F.when(n <= 3, short).when(n <= 6, medium).otherwise(long)
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
