@@ -101,25 +101,41 @@ def retrofit_graph(vectors: DataFrame, edges: DataFrame, n_iter: int = 10, check
     return out.select("word", F.col("dim").cast("long").alias("dim"), F.round("q", 6).alias("value"))
 
 
+def _class_sums(cur: DataFrame) -> DataFrame:
+    """``(cls, S)``: the sum of ``q`` per class, a partial aggregate of whole vectors."""
+    sums = cur.where(F.col("cls").isNotNull()).groupBy("cls").agg(Summarizer.sum(array_to_vector("q")).alias("S"))
+    return sums.select("cls", vector_to_array("S").alias("S"))
+
+
 def retrofit_spill(vectors: DataFrame, lexicon: DataFrame, neighbours: DataFrame, a: float = 0.5, b: float = 0.5,
-                   d: float = 1.0, n_iter: int = 10) -> DataFrame:
-    """R1, then each lexicon word ``i`` (``n_i > 0``) pushes an update to
-    each of its model neighbours ``k`` (``neighbours(query, word)`` from kNN):
-    ``q_k <- d (d n_i a q0_k + b (S_c(i) - q_i))`` with class sums of the
-    retrofitted vectors; no denominator.  When several words update the same
-    ``k`` the largest word id wins (explicit order for "last writer wins")."""
-    r1 = retrofit_class(vectors, lexicon, a, b, n_iter, digits=None).withColumnRenamed("value", "q")
+                   d: float = 1.0, n_iter: int = 10, checkpoint_every: int = 2) -> DataFrame:
+    """Every iteration makes one class step (R1), then each lexicon word
+    ``i`` with ``n_i > 0`` pushes an update to its neighbours ``k`` in the
+    original vectors (``neighbours(query, word)`` from kNN):
+    ``q_k <- d (d n_i a q0_k + b (S_c(i) - q_i))`` with the sums and vectors
+    after the class step; no denominator.  Updates are synchronous; when
+    several words update the same ``k`` the largest word wins (an explicit
+    order for "last writer wins").  Words outside the lexicon change by spill
+    only.  Output long ``(word, dim, value)``."""
     lex = lexicon.select(F.col("term").alias("word"), "cls").join(vectors.select("word"), "word", "left_semi")
-    sizes = lex.groupBy("cls").agg((F.count(F.lit(1)) - 1).alias("n"))
-    members = r1.join(lex, "word")
-    sums = members.groupBy("cls", "dim").agg(F.sum("q").alias("S"))
-    src = (members.join(sized_broadcast(sizes), "cls").where(F.col("n") > 0)
-                  .join(sized_broadcast(sums), ["cls", "dim"])
-                  .select(F.col("word").alias("query"), "dim", "n", (F.col("S") - F.col("q")).alias("nsum")))
-    winner = neighbours.select("query", F.col("word").alias("k")).join(lex.select(F.col("word").alias("query")), "query") \
-        .groupBy("k").agg(F.max("query").alias("query"))
-    v0 = _long(vectors).select(F.col("word").alias("k"), F.col("dim").cast("long").alias("dim"), "v0")
-    upd = winner.join(src, "query").join(v0, ["k", "dim"]).select(
-        F.col("k").alias("word"), "dim", (d * (d * F.col("n") * a * F.col("v0") + b * F.col("nsum"))).alias("u"))
-    out = r1.join(upd, ["word", "dim"], "left")
-    return out.select("word", "dim", F.round(F.coalesce(F.col("u"), F.col("q")), 6).alias("value"))
+    sizes = sized_broadcast(lex.groupBy("cls").agg((F.count(F.lit(1)) - 1).alias("n")))
+    sized = lex.join(sizes, "cls")
+    winner = checkpointed(neighbours.select("query", F.col("word").alias("k"))
+                          .join(sized.where(F.col("n") > 0).select(F.col("word").alias("query")), "query", "left_semi")
+                          .groupBy("k").agg(F.max("query").alias("query")))
+    cur = vectors.select("word", F.col("vec").alias("v0")).join(sized, "word", "left").withColumn("q", F.col("v0"))
+    n = F.col("n")
+    rest = F.zip_with("S", "q", lambda s, q: s - q)
+    for it in range(n_iter):
+        pulled = F.zip_with("v0", rest, lambda v, x: (n * a * v + b * x) / (n * (a + b)))
+        cur = cur.join(_class_sums(cur), "cls", "left").select(
+            "word", "cls", "n", "v0", F.when(n > 0, pulled).otherwise(F.col("q")).alias("q"))
+        push = (winner.join(cur.select(F.col("word").alias("query"), "cls", F.col("n").alias("m"), "q"), "query")
+                      .join(_class_sums(cur), "cls").select(F.col("k").alias("word"), "m", rest.alias("x")))
+        spilt = F.zip_with("v0", "x", lambda v, x: d * (d * F.col("m") * a * v + b * x))
+        cur = cur.join(push, "word", "left").select(
+            "word", "cls", "n", "v0", F.when(F.col("m").isNotNull(), spilt).otherwise(F.col("q")).alias("q"))
+        if (it + 1) % checkpoint_every == 0:
+            cur = checkpointed(cur)
+    out = cur.select("word", F.posexplode("q").alias("dim", "q"))
+    return out.select("word", F.col("dim").cast("long").alias("dim"), F.round("q", 6).alias("value"))

@@ -2,10 +2,10 @@
 closest-in-lexicon scores and ranks, mean vectors.
 
 Similarity search keeps the big side (the vocabulary) distributed: its
-partitions are multiplied against a bounded, size-checked query matrix
-(lexicon words or a sample) with NumPy inside ``mapInPandas``; each partition
-emits only its partial top-k (or per-class maxima), and a final window per
-query keeps the global top-k.  No cross join, no pair table.
+partitions are multiplied block by block against a bounded, size-checked query
+matrix (lexicon words or a sample) with NumPy inside ``mapInPandas``; each
+partition emits its top-k once, and a final window per query keeps the global
+top-k.  No cross join, no pair table.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DEFAULT_MAX_QUERIES = 50_000  # broadcast chunk: 50k x 300 dims x 8 bytes = 120 MB
+ROW_BLOCK, QUERY_BLOCK = 4_096, 1_024  # one block of cosines: 32 MB
 
 
 def _chunked(df: DataFrame, key: str, max_rows: int, run) -> DataFrame:
@@ -77,119 +78,152 @@ def _bounded_matrix(df: DataFrame, key: str, vec: str, max_rows: int):
 
 
 def knn(vectors: DataFrame, queries: DataFrame, k: int, exclude_self: bool = True,
-        max_queries: int = DEFAULT_MAX_QUERIES, exclude_col: str | None = None) -> DataFrame:
+        max_queries: int = DEFAULT_MAX_QUERIES, exclude_col: str | None = None,
+        row_block: int = ROW_BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
     """Exact cosine top-k neighbours ``(query, word, rank, sim)``.
 
     ``vectors(word, vec)`` is the searched vocabulary (any size, stays
     distributed); ``queries(word, vec[, exclude])`` is broadcast in chunks of
     at most ``max_queries`` rows; ``exclude_col`` names an array of words never
-    returned for that query (analogy inputs).  Ties are broken by word; rank
-    is 1-based.
+    returned for that query (analogy inputs).  A task multiplies at most
+    ``row_block`` words by ``query_block`` queries at once, keeps a running
+    top-k, and emits it once.  Ties are broken by word; rank is 1-based.
     """
     return _chunked(queries, "word", max_queries,
-                    lambda q: _knn_block(vectors, q, k, exclude_self, max_queries, exclude_col))
+                    lambda q: _knn_chunk(vectors, q, k, exclude_self, max_queries, exclude_col, row_block, query_block))
+
+
+class _TopK:
+    """The k best words so far of each query in one block of queries."""
+
+    def __init__(self, k: int, n: int):
+        self.k, self.floor = k, np.full(n, -np.inf)
+        self.query, self.sim, self.word = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, "U1")
+
+    def add(self, sims: np.ndarray, words: np.ndarray) -> None:
+        """Fold in ``sims`` (words x queries); -inf marks excluded pairs."""
+        spare = max(sims.shape[0] - self.k, 0)
+        floor = np.maximum(self.floor, np.partition(sims, spare, axis=0)[spare])
+        r, c = np.nonzero((sims >= floor) & np.isfinite(sims))
+        query = np.concatenate([self.query, c])
+        sim = np.concatenate([self.sim, sims[r, c]])
+        word = np.concatenate([self.word, words[r]])
+        order = np.lexsort((word, -sim, query))
+        query = query[order]
+        place = np.arange(len(query)) - np.searchsorted(query, query)
+        kept = order[place < self.k]
+        last = place == self.k - 1
+        self.floor[query[last]] = sim[order[last]]
+        self.query, self.sim, self.word = query[place < self.k], sim[kept], word[kept]
+
+
+def _unit(rows) -> np.ndarray:
+    """Rows of unit length; zero rows stay."""
+    m = np.stack(rows).astype(np.float64)
+    n = np.linalg.norm(m, axis=1, keepdims=True)
+    return m / np.where(n == 0, 1.0, n)
+
+
+def _slices(n: int, size: int):
+    return [slice(i, min(i + size, n)) for i in range(0, n, size)]
 
 
-def _knn_block(vectors: DataFrame, queries: DataFrame, k: int, exclude_self: bool,
-               max_queries: int, exclude_col: str | None) -> DataFrame:
+def _knn_chunk(vectors: DataFrame, queries: DataFrame, k: int, exclude_self: bool, max_queries: int,
+               exclude_col: str | None, row_block: int, query_block: int) -> DataFrame:
     spark = vectors.sparkSession
     qkeys, qmat = _bounded_matrix(queries, "word", "vec", max_queries)
-    excl = {}
+    barred: dict[str, list[int]] = {}
+    if exclude_self:
+        for i, w in enumerate(qkeys):
+            barred.setdefault(w, []).append(i)
     if exclude_col:
-        excl = {r[0]: list(r[1] or []) for r in queries.select("word", exclude_col).limit(max_queries + 1).collect()}
-    bq = spark.sparkContext.broadcast((qkeys, qmat, excl))
-
-    def partial(batches):
-        keys, q, ex = bq.value
-        qidx = {w: i for i, w in enumerate(keys)}
+        at = {w: i for i, w in enumerate(qkeys)}
+        for key, words in queries.select("word", exclude_col).limit(max_queries + 1).collect():
+            for w in words or []:
+                barred.setdefault(w, []).append(at[key])
+    bq = spark.sparkContext.broadcast((qkeys, qmat, barred))
+
+    def best(batches):
+        keys, q, bars = bq.value
+        blocks = _slices(len(keys), query_block)
+        tops = [_TopK(k, b.stop - b.start) for b in blocks]
         for pdf in batches:
-            if pdf.empty or q.shape[0] == 0:
-                continue
-            v = np.stack(pdf["vec"].to_numpy()).astype(np.float64)
-            nv = np.linalg.norm(v, axis=1, keepdims=True)
-            nv[nv == 0] = 1.0
-            sims = (v / nv) @ q.T  # rows: block words, cols: queries
-            words = pdf["word"].to_numpy()
-            if exclude_self:
-                for r, w in enumerate(words):
-                    j = qidx.get(w)
-                    if j is not None:
-                        sims[r, j] = -np.inf
-            if ex:
-                rows_of = {w: r for r, w in enumerate(words)}
-                for j, key in enumerate(keys):
-                    for w in ex.get(key, ()):
-                        r = rows_of.get(w)
-                        if r is not None:
-                            sims[r, j] = -np.inf
-            kk = min(k, sims.shape[0])
-            if not np.isfinite(sims).any():
-                continue
-            # threshold = k-th best per query; keep every row reaching it (ties kept,
-            # so the final ordering by (sim, word) is exact).
-            thr = -np.partition(-sims, kk - 1, axis=0)[kk - 1]
-            rr, cc = np.nonzero((sims >= thr[None, :]) & np.isfinite(sims))
-            yield pd.DataFrame({"query": np.asarray(keys, dtype=object)[cc], "word": words[rr],
-                                "sim": sims[rr, cc]})
-
-    part = vectors.select("word", "vec").mapInPandas(partial, "query string, word string, sim double")
+            for rows in _slices(len(pdf), row_block):
+                words = pdf["word"].to_numpy()[rows]
+                v = _unit(pdf["vec"].to_numpy()[rows])
+                hits = [(r, j) for r, w in enumerate(words) for j in bars.get(w, ())]
+                hr, hj = np.array(hits, dtype=np.int64).reshape(-1, 2).T
+                for b, top in zip(blocks, tops):
+                    sims = v @ q[b].T
+                    here = (hj >= b.start) & (hj < b.stop)
+                    sims[hr[here], hj[here] - b.start] = -np.inf
+                    top.add(sims, words.astype(str))
+        names = np.asarray(keys, dtype=object)
+        for b, top in zip(blocks, tops):
+            yield pd.DataFrame({"query": names[b][top.query], "word": top.word.astype(object), "sim": top.sim})
+
+    part = vectors.select("word", "vec").mapInPandas(best, "query string, word string, sim double")
     w = Window.partitionBy("query").orderBy(F.col("sim").desc(), F.col("word"))
     top = part.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     return top.select("query", "word", F.col("rank").cast("long").alias("rank"), "sim")
 
 
-def closest_class_scores(vectors: DataFrame, lexicon: DataFrame, max_members: int = DEFAULT_MAX_QUERIES) -> DataFrame:
+def with_classes(df: DataFrame, lexicon: DataFrame, name: str = "_classes") -> DataFrame:
+    """Add the sorted list of a lexicon's classes to every row: a one-row
+    table is broadcast, nothing passes through the driver's program."""
+    one = lexicon.select("cls").distinct().agg(F.array_sort(F.collect_list("cls")).alias(name))
+    return df.join(F.broadcast(one))
+
+
+def closest_class_scores(vectors: DataFrame, lexicon: DataFrame, max_members: int = DEFAULT_MAX_QUERIES,
+                         words: DataFrame | None = None) -> DataFrame:
     """Per word and class, the max cosine to any class member in the
     vocabulary (a member scores 1.0 with itself).  Output ``(word, cls, score)``.
     The member matrix is broadcast in chunks of at most ``max_members`` rows;
-    chunk maxima are combined with a final max per (word, class)."""
+    chunk maxima are combined with a final max per (word, class).  ``words``
+    may name the words to score: those outside the vocabulary get -1 for every
+    class.  A lexicon without a word in the vocabulary gives no rows for the
+    words inside it."""
     members = lexicon.join(vectors.withColumnRenamed("word", "term"), "term", "left_semi")
     mem = members.join(vectors.withColumnRenamed("word", "term"), "term").select("term", "cls", "vec")
-    if mem.limit(max_members + 1).count() <= max_members:
-        return _class_max_block(vectors, mem, max_members)
-    parts = _chunked(mem, "term", max_members, lambda m: _class_max_block(vectors, m, max_members))
-    return parts.groupBy("word", "cls").agg(F.max("score").alias("score"))
+    asked = vectors if words is None else vectors.join(words.select("word").distinct(), "word", "left_semi")
+    parts = _chunked(mem, "term", max_members, lambda m: _class_max_chunk(asked, m, max_members))
+    out = parts.groupBy("word", "cls").agg(F.max("score").alias("score"))
+    if words is None:
+        return out
+    unknown = words.select("word").distinct().join(vectors.select("word"), "word", "left_anti")
+    none = with_classes(unknown, mem).select("word", F.explode("_classes").alias("cls"), F.lit(-1.0).alias("score"))
+    return out.unionByName(none)
 
 
-def _class_max_block(vectors: DataFrame, mem: DataFrame, max_members: int) -> DataFrame:
-    spark = vectors.sparkSession
+def _class_max_chunk(vectors: DataFrame, mem: DataFrame, max_members: int) -> DataFrame:
     rows = mem.limit(max_members + 1).collect()
     if len(rows) > max_members:
         raise ValueError("lexicon side too large to broadcast")
-    classes = sorted({r["cls"] for r in rows})
-    order = sorted(range(len(rows)), key=lambda i: (rows[i]["cls"], rows[i]["term"]))
-    m = np.array([rows[i]["vec"] for i in order], dtype=np.float64)
-    m /= np.where(np.linalg.norm(m, axis=1, keepdims=True) == 0, 1.0, np.linalg.norm(m, axis=1, keepdims=True))
-    cls_sorted = [rows[i]["cls"] for i in order]
-    starts = np.array([cls_sorted.index(c) for c in classes])
-    bq = spark.sparkContext.broadcast((classes, starts, m))
+    members: dict[str, list] = {}
+    for r in rows:
+        members.setdefault(r["cls"], []).append(r["vec"])
+    bq = vectors.sparkSession.sparkContext.broadcast({c: _unit(v) for c, v in members.items()})
 
     def per_class_max(batches):
-        cl, st, mat = bq.value
+        classes = bq.value
         for pdf in batches:
-            if pdf.empty:
-                continue
-            v = np.stack(pdf["vec"].to_numpy()).astype(np.float64)
-            nv = np.linalg.norm(v, axis=1, keepdims=True)
-            nv[nv == 0] = 1.0
-            sims = (v / nv) @ mat.T
-            mx = np.maximum.reduceat(sims, st, axis=1)  # (words, classes)
-            n, c = mx.shape
-            yield pd.DataFrame({"word": np.repeat(pdf["word"].to_numpy(), c),
-                                "cls": np.tile(np.asarray(cl, dtype=object), n),
-                                "score": mx.reshape(-1)})
+            for rows in _slices(len(pdf), ROW_BLOCK):
+                v = _unit(pdf["vec"].to_numpy()[rows])
+                for cls, m in classes.items():
+                    score = np.max([np.max(v @ m[b].T, axis=1) for b in _slices(len(m), QUERY_BLOCK)], axis=0)
+                    yield pd.DataFrame({"word": pdf["word"].to_numpy()[rows], "cls": cls, "score": score})
 
     return vectors.select("word", "vec").mapInPandas(per_class_max, "word string, cls string, score double")
 
 
-def closest_class_ranks(neighbours: DataFrame, lexicon: DataFrame, classes: list[str], topn: int,
-                        words: DataFrame) -> DataFrame:
+def closest_class_ranks(neighbours: DataFrame, lexicon: DataFrame, topn: int, words: DataFrame) -> DataFrame:
     """For each word and class, ``(rank-1)/topn`` of the closest top-n
     neighbour in that class (D8 fixed: first hit), default 2.0 when the class
     has no word among the neighbours.  ``neighbours`` comes from :func:`knn`."""
     hits = (neighbours.join(lexicon.select(F.col("term").alias("word"), "cls"), "word")
             .groupBy("query", "cls").agg(F.min("rank").alias("r")))
-    grid = words.select(F.col("word").alias("query"), F.explode(F.array(*[F.lit(c) for c in classes])).alias("cls"))
+    grid = with_classes(words.select(F.col("word").alias("query")), lexicon).select("query", F.explode("_classes").alias("cls"))
     out = grid.join(hits, ["query", "cls"], "left")
     return out.select(F.col("query").alias("word"), "cls",
                       F.coalesce((F.col("r") - 1) / F.lit(float(topn)), F.lit(2.0)).alias("rank_score"))
@@ -202,15 +236,6 @@ def mean_vectors(df: DataFrame, group: str, vec: str = "vec") -> DataFrame:
     return ex.groupBy(group, "dim").agg(F.avg("x").alias("value"))
 
 
-def vector_sums(df: DataFrame, group: str, vec: str = "vec") -> DataFrame:
-    """Per-dimension sums per group as arrays ``(group, sum_vec, n)``."""
-    ex = df.select(group, F.posexplode(vec).alias("dim", "x"))
-    s = ex.groupBy(group, "dim").agg(F.sum("x").alias("x"))
-    arr = s.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("dim", "x"))).alias("_xs"))
-    n = df.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
-    return arr.select(group, F.transform("_xs", lambda e: e["x"]).alias("sum_vec")).join(n, group)
-
-
 def doc_vectors(docs: DataFrame, toks: Column, vectors: DataFrame, dim: int, id_col: str = "doc_id") -> DataFrame:
     """Concatenate the vectors of lower-cased tokens (zeros when missing),
     in token order.  Output ``(doc_id, vec)``."""
