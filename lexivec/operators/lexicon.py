@@ -80,60 +80,87 @@ def lexicon_scores(docs: DataFrame, items: Column, lexicon: DataFrame, id_col: s
                       r("max_pos"), r("max_neg"), r("last_nonzero"), r("last_score"))
 
 
-def pair_scores(docs: DataFrame, toks: Column, pair_lexicon: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """A4 with ``use_pair``: items are ordered pairs ``g1---g2`` of grams, where
-    the gram chain is all bigrams (in order) followed by all unigrams.
+def _count_before(left: Column, right: Column) -> Column:
+    """Number of pairs with a left position below a right one, both arrays
+    sorted.  Encoded as one long each (``2p+1`` left, ``2p`` right), the two
+    sorted runs merge in a primitive sort with rights first on equal
+    positions; a right's index in the merge counts what precedes it, rights
+    among them, whose own number is r(r-1)/2."""
+    merged = F.sort_array(F.concat(F.transform(left, lambda a: a * 2 + 1), F.transform(right, lambda b: b * 2)))
+    zero = F.lit(0).cast("long")
+    places = F.transform(merged, lambda e, i: F.when(e % 2 == 0, i.cast("long")).otherwise(zero))
+    r = F.size(right).cast("long")
+    return F.aggregate(places, zero, lambda acc, x: acc + x) - (r * (r - 1) / 2).cast("long")
+
+
+def _clear(gram: Column) -> Column:
+    """Lookup form of a gram: lower case, without negation marks."""
+    return F.lower(F.replace(gram, F.lit(T.NEG_SUFFIX), F.lit("")))
+
+
+def pair_scores(docs: DataFrame, items: Column, pair_lexicon: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """A4 with ``use_pair``: the nine values of :func:`lexicon_scores` over
+    ordered pairs ``g1---g2`` of grams, where the gram chain is all bigrams (in
+    order) followed by all unigrams of the (possibly ``_NEG``-marked) tokens.
+    A pair with a mark on either side is negated and flips the sign.
 
     Pairs are never enumerated.  Grams that occur on either side of the pair
-    lexicon are grouped per (document, gram) into sorted chain positions; each
-    (document, pair) then counts the (left, right) position pairs with
-    left < right by merging the two sorted lists: with rights sorting first on
-    equal positions, ``count = sum(merged index of each right) - r(r-1)/2``.
-    Positions are encoded as one long (``2p+1`` left, ``2p`` right) so the
-    merge is a primitive ``sort_array`` of two already sorted runs (each list
-    is sorted once per (document, gram)), not a struct sort with an
-    interpreted comparator.  No window, no pair table.
-    Output: doc id, n_pos, n_neg, sum_pos, sum_neg, net.
+    lexicon are grouped per (document, gram) into sorted chain positions,
+    negated ones marked; each (document, lexicon pair) counts its position
+    pairs by a merge of the two lists, once for all and once for the unmarked
+    positions.  Its last occurrence is the greatest right position with the
+    greatest left one below it.  No window, no pair table, no cache.
     """
-    lex = scored(pair_lexicon).join(pair_lexicon.select("term", "left", "right"), "term")
-    # The pair lexicon is small (size-checked below); cache it so the derived
-    # side tables do not recompute it.
-    lex = lex.where(F.col("score").isNotNull()).cache()
-    sides = lex.select(F.col("left").alias("g")).union(lex.select(F.col("right").alias("g"))).distinct().cache()
-    base = docs.select(id_col, toks.alias("_t"))
-    n = F.size("_t")
-    unigrams = F.transform(F.col("_t"), lambda g, i: F.struct(g.alias("g"), (i + F.greatest(n - 1, F.lit(0))).alias("c")))
-    # Bigram grams are only built when some pair side is a bigram.
-    has_bigrams = sides.where(F.col("g").contains(" ")).limit(1).count() > 0
-    chain = F.concat(F.transform(T.ngrams(F.col("_t"), 2), lambda g, i: F.struct(g.alias("g"), i.alias("c"))),
-                     unigrams) if has_bigrams else unigrams
-    grams = (base.select(id_col, F.explode(chain).alias("_x"))
-                 .select(id_col, F.lower(F.col("_x.g")).alias("g"), F.col("_x.c").alias("c"))
-                 .join(sized_broadcast(sides), "g", "left_semi"))
-    occ = grams.groupBy(id_col, "g").agg(F.sort_array(F.collect_list(F.col("c").cast("long"))).alias("ps"))
-    # Fan out each document's left grams to their pairs, then fetch the right
-    # gram's positions of the same document with one equi-join.
-    lefts = occ.join(sized_broadcast(lex.select(F.col("left").alias("g"), "right", "score")), "g") \
-               .select(id_col, "right", "score", F.col("ps").alias("lp"))
-    rights = occ.select(id_col, F.col("g").alias("right"), F.col("ps").alias("rp"))
-    both = lefts.join(rights, [id_col, "right"])
-    merged = F.sort_array(F.concat(F.transform("lp", lambda a: a * 2 + 1), F.transform("rp", lambda b: b * 2)))
-    zero = F.lit(0).cast("long")
-    idx_sum = F.aggregate(F.transform(merged, lambda e, i: F.when(e % 2 == 0, i.cast("long")).otherwise(zero)),
-                          zero, lambda acc, x: acc + x)
-    r = F.size("rp").cast("long")
-    per_pair = both.select(id_col, "score", (idx_sum - r * (r - 1) / 2).cast("long").alias("cnt")).where("cnt > 0")
-    pos, neg = F.col("score") > 0, F.col("score") < 0
-    agg = per_pair.groupBy(id_col).agg(
-        F.sum(F.when(pos, F.col("cnt")).otherwise(0)).alias("n_pos"),
-        F.sum(F.when(neg, F.col("cnt")).otherwise(0)).alias("n_neg"),
-        F.sum(F.when(pos, F.col("cnt") * F.col("score")).otherwise(0.0)).alias("sum_pos"),
-        F.sum(F.when(neg, -F.col("cnt") * F.col("score")).otherwise(0.0)).alias("sum_neg"))
-    out = (docs.select(id_col).join(agg, id_col, "left")
-               .na.fill(0, ["n_pos", "n_neg"]).na.fill(0.0, ["sum_pos", "sum_neg"]))
-    return out.select(id_col, F.col("n_pos").cast("long").alias("n_pos"), F.col("n_neg").cast("long").alias("n_neg"),
-                      F.round("sum_pos", 6).alias("sum_pos"), F.round("sum_neg", 6).alias("sum_neg"),
-                      F.round(F.col("sum_pos") - F.col("sum_neg"), 6).alias("net"))
+    lex = (scored(pair_lexicon).join(pair_lexicon.select("term", "left", "right"), "term")
+           .where(F.col("score").isNotNull()).select("left", "right", "score"))
+    by_left = sized_broadcast(lex.select(F.col("left").alias("g"), "right", "score"))
+    sides = sized_broadcast(lex.select(F.explode(F.array("left", "right")).alias("g")).distinct())
+    base = docs.select(id_col, items.alias("_t"))
+    marked = lambda g: F.contains(g, F.lit(T.NEG_SUFFIX)).cast("long")
+    # A unigram's chain position follows all bigrams, which are only built when
+    # some side of the lexicon is one.  A gram's place in the chain and its
+    # mark travel as one long (2 * position + mark).
+    shift = F.greatest(F.size("_t") - 1, F.lit(0))
+    grams = base.select(id_col, shift.alias("_s"), F.posexplode("_t").alias("_p", "_g")).select(
+        id_col, "_g", (F.col("_p") + F.col("_s")).alias("c"))
+    if sides.where(F.col("g").contains(" ")).limit(1).count():
+        grams = grams.unionByName(base.select(id_col, F.posexplode(T.ngrams(F.col("_t"), 2)).alias("c", "_g")))
+    occ = (grams.select(id_col, _clear(F.col("_g")).alias("g"), (F.col("c") * 2 + marked(F.col("_g"))).alias("e"))
+               .join(sides, "g", "left_semi")
+               .groupBy(id_col, "g").agg(F.sort_array(F.collect_list("e")).alias("es"), F.max(F.col("e") % 2).alias("any")))
+    lefts = occ.join(by_left, "g").select(id_col, "right", "score", F.col("es").alias("le"), F.col("any").alias("la"))
+    rights = occ.select(id_col, F.col("g").alias("right"), F.col("es").alias("re"), F.col("any").alias("ra"))
+    place = lambda es: F.transform(es, lambda e: F.shiftright(e, 1))
+    plain = lambda es: place(F.filter(es, lambda e: e % 2 == 0))
+    both = lefts.join(rights, [id_col, "right"]).select(
+        id_col, "score", "le", F.element_at("re", -1).alias("r1"), _count_before(place("le"), place("re")).alias("n"),
+        F.when(F.greatest("la", "ra") > 0, _count_before(plain("le"), plain("re"))).alias("_plain"))
+    both = both.withColumn("n_plain", F.coalesce("_plain", "n"))
+    below = F.zip_with("le", F.array_repeat("r1", F.size("le")),
+                       lambda x, r: F.when(F.shiftright(x, 1) < F.shiftright(r, 1), x))
+    pairs = both.where(F.col("n") > 0).select(id_col, "score", "n_plain", (F.col("n") - F.col("n_plain")).alias("n_neg"),
+                                              F.struct(F.array_max(below).alias("l"), F.col("r1").alias("r")).alias("last"))
+    s, up, down = F.col("score"), F.col("n_plain"), F.col("n_neg")
+    n_for = lambda side: F.sum(F.when(side * s > 0, up).when(side * s < 0, down).otherwise(0))
+    most = lambda side: F.max(F.when(((side * s > 0) & (up > 0)) | ((side * s < 0) & (down > 0)), F.abs(s)))
+    total = lambda side: F.sum(F.when(side * s > 0, up).when(side * s < 0, down).otherwise(0) * F.abs(s))
+    agg = pairs.groupBy(id_col).agg(
+        n_for(1).alias("n_pos"), n_for(-1).alias("n_neg"), total(1).alias("sum_pos"), total(-1).alias("sum_neg"),
+        most(1).alias("max_pos"), most(-1).alias("max_neg"),
+        F.max_by(F.abs(s), F.when(s != 0, F.col("last"))).alias("last_nonzero"))
+    # The chain's last pair is that of the last two tokens.
+    end = F.slice("_t", -2, 2)
+    tail = base.select(id_col, F.when(F.size("_t") > 1, end).alias("_e"))
+    tail = tail.select(id_col, _clear(F.col("_e")[0]).alias("left"), _clear(F.col("_e")[1]).alias("right"),
+                       F.exists("_e", lambda w: w.contains(T.NEG_SUFFIX)).alias("_neg"))
+    final = tail.join(sized_broadcast(lex), ["left", "right"], "left").select(
+        id_col, F.when(F.col("_neg"), -s).otherwise(s).alias("last_score"))
+    out = final.join(agg, id_col, "left")
+    long = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
+    real = lambda c: F.round(F.coalesce(F.col(c).cast("double"), F.lit(0.0)), 6)
+    return out.select(id_col, long("n_pos"), long("n_neg"), real("sum_pos").alias("sum_pos"), real("sum_neg").alias("sum_neg"),
+                      F.round(F.coalesce("sum_pos", F.lit(0.0)) - F.coalesce("sum_neg", F.lit(0.0)), 6).alias("net"),
+                      *[real(c).alias(c) for c in ("max_pos", "max_neg", "last_nonzero", "last_score")])
 
 
 def project_lexicon(docs: DataFrame, toks: Column, lexicon: DataFrame, value_col: str = "cls",

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from lexivec.functions import html as H
 from lexivec.functions import text as T
+from lexivec.operators import corpus as C
+from lexivec.operators import evaluate as E
 from lexivec.operators import ml as M
 from lexivec.operators import vectors as V
 from lexivec.plans.catalog import query
@@ -121,13 +124,40 @@ def train_word2vec(spark, sf_dir):
     d = S.documents(spark, sf_dir).select("doc_id", T.tokens("text").alias("tok"))
     model = M.word2vec(d, "tok", vector_size=16, min_count=5, max_iter=1)
     v = model.getVectors()
-    from pyspark.ml.functions import vector_to_array
     return v.select("word", F.round(V.l2_norm(vector_to_array("vector")), 6).alias("norm"))
 
 
 query("train_word2vec")(train_word2vec)
 
 
+def _model_words(model, tokens, min_count):
+    """What training fixes whatever the weights: the model's words, their counts."""
+    words = model.getVectors().select("word", F.size(vector_to_array("vector")).cast("long").alias("dim"))
+    return words.join(C.vocabulary(tokens, F.col("tok"), min_count), "word")
+
+
+def word2vec_vocab(spark, sf_dir):
+    d = S.documents(spark, sf_dir).select(T.tokens("text").alias("tok"))
+    return _model_words(M.word2vec(d, "tok", vector_size=8, min_count=5, max_iter=1), d, 5)
+
+
+query("word2vec_vocab", f"""WITH {DOC_TOKENS_CTE}
+SELECT tok AS word, 8::BIGINT AS dim, count(*) AS cnt FROM dt GROUP BY tok HAVING count(*) >= 5""")(word2vec_vocab)
+
+
+def projected_word2vec_vocab(spark, sf_dir):
+    """Every lexicon word is its class in the corpus the model trains on."""
+    lex = S.lexicon(spark, sf_dir)
+    d = S.documents(spark, sf_dir).select("doc_id", T.tokens("text").alias("tok"))
+    model = M.projected_word2vec(d, F.col("tok"), lex, vector_size=8, min_count=5, max_iter=1)
+    return _model_words(model, L.project_lexicon(d, F.col("tok"), lex).select(F.split("projected", " ").alias("tok")), 5)
+
+
+query("projected_word2vec_vocab", f"""WITH {LEXICON_CTE}, {DOC_TOKENS_CTE}
+SELECT coalesce(lex.cls, dt.tok) AS word, 8::BIGINT AS dim, count(*) AS cnt
+FROM dt LEFT JOIN lex ON lex.term = dt.tok GROUP BY 1 HAVING count(*) >= 5""")(projected_word2vec_vocab)
+
+
 def _features(spark, sf_dir):
     blk = L.lexicon_scores(marked_tokens(spark, sf_dir), F.col("items"), S.lexicon(spark, sf_dir).select("term", "cls"))
     d = S.documents(spark, sf_dir).select("doc_id", "text", T.split_tokens(T.collapse_space("text")).alias("tok"))
@@ -142,15 +172,41 @@ FEATS = ["n_pos", "n_neg", "sum_pos", "sum_neg", "net", "max_pos", "max_neg", "l
          "n_caps", "n_elongated", "excl_runs"]
 
 
+def _split(spark, sf_dir):
+    """Labelled feature rows: a tenth by hash order for the test, the rest to train."""
+    return C.holdout_split(_features(spark, sf_dir), "doc_id", 0.1)
+
+
 def svm_classifier(spark, sf_dir):
-    f = _features(spark, sf_dir)
-    model = M.svm_model(FEATS).fit(f)
-    return model.transform(f).select("doc_id", "label", F.col("prediction").cast("int").alias("pred"))
+    """M7: fitted on the train rows, predicts the test rows only."""
+    f = _split(spark, sf_dir)
+    model = M.svm_model(FEATS, max_iter=25).fit(f.where("split = 'train'"))
+    return model.transform(f.where("split = 'valid'")).select(
+        "doc_id", F.col("label").alias("gold"), C.decode_labels(F.col("prediction").cast("int"), model.stages[0].labels).alias("pred"))
 
 
 query("svm_classifier")(svm_classifier)
 
 
+def svm_report(spark, sf_dir):
+    """A8 over the held-out predictions."""
+    return E.classification_report(svm_classifier(spark, sf_dir))
+
+
+query("svm_report")(svm_report)
+
+
+def svm_test_rows(spark, sf_dir):
+    """Which rows the classifier is tested on, and their labels."""
+    return _split(spark, sf_dir).where("split = 'valid'").select("doc_id", "label")
+
+
+query("svm_test_rows", """WITH l AS (SELECT doc_id, CASE WHEN quality = 1 THEN 'positive' ELSE 'negative' END AS label,
+  row_number() OVER (ORDER BY md5(doc_id::VARCHAR || '42'), doc_id) AS i, count(*) OVER () AS n
+  FROM labels JOIN documents USING (doc_id))
+SELECT doc_id, label FROM l WHERE i <= floor(n * 0.1)""")(svm_test_rows)
+
+
 def svd_features(spark, sf_dir):
     from pyspark.ml.feature import VectorAssembler
     f = VectorAssembler(inputCols=FEATS, outputCol="features").transform(_features(spark, sf_dir))

@@ -156,23 +156,28 @@ bi AS (SELECT a.doc_id, a.pos, a.item || ' ' || b.item AS item
 
 
 def lex_block_pair(spark, sf_dir):
-    d = S.documents(spark, sf_dir).select("doc_id", T.tokens("text").alias("tok"))
-    return L.pair_scores(d, F.col("tok"), S.pair_lexicon(spark, sf_dir))
+    return L.pair_scores(marked_tokens(spark, sf_dir), F.col("items"), S.pair_lexicon(spark, sf_dir))
 
 
+# Enumerates every pair of chain positions whose grams are in the lexicon.
 query("lex_block_pair", f"""WITH {BIGRAM_LEXICON_CTE},
 plex AS (SELECT split_part(term, ' ', 1) AS l, split_part(term, ' ', 2) AS r, max(score) AS score FROM blex GROUP BY 1, 2),
-{DOC_TOKENS_CTE},
-n AS (SELECT doc_id, count(*) AS n FROM dt GROUP BY doc_id),
-g AS (SELECT dt.doc_id, dt.tok || ' ' || b.tok AS g, dt.pos AS c FROM dt JOIN dt b ON b.doc_id = dt.doc_id AND b.pos = dt.pos + 1
-      UNION ALL SELECT dt.doc_id, dt.tok AS g, dt.pos + n.n - 1 AS c FROM dt JOIN n USING (doc_id)),
-m AS (SELECT a.doc_id, p.score FROM plex p JOIN g a ON a.g = p.l JOIN g b ON b.g = p.r AND b.doc_id = a.doc_id AND a.c < b.c),
-agg AS (SELECT doc_id, (count(*) FILTER (WHERE score > 0))::BIGINT AS n_pos, (count(*) FILTER (WHERE score < 0))::BIGINT AS n_neg,
-          coalesce(sum(score) FILTER (WHERE score > 0), 0) AS sp, coalesce(sum(-score) FILTER (WHERE score < 0), 0) AS sn
-        FROM m GROUP BY doc_id)
+{DOC_TOKENS_CTE}, {NEG_MARK_CTE},
+n AS (SELECT doc_id, count(*) AS n FROM mk GROUP BY doc_id),
+g0 AS (SELECT a.doc_id, a.item || ' ' || b.item AS g, a.pos AS c FROM mk a JOIN mk b ON b.doc_id = a.doc_id AND b.pos = a.pos + 1
+      UNION ALL SELECT mk.doc_id, mk.item AS g, mk.pos + n.n - 1 AS c FROM mk JOIN n USING (doc_id)),
+g AS (SELECT doc_id, lower(replace(g, '_NEG', '')) AS g, c, contains(g, '_NEG') AS neg FROM g0),
+m AS (SELECT a.doc_id, a.c AS c1, b.c AS c2, CASE WHEN a.neg OR b.neg THEN -p.score ELSE p.score END AS s
+      FROM plex p JOIN g a ON a.g = p.l JOIN g b ON b.g = p.r AND b.doc_id = a.doc_id AND a.c < b.c),
+agg AS (SELECT doc_id, count(*) FILTER (WHERE s > 0) AS n_pos, count(*) FILTER (WHERE s < 0) AS n_neg,
+          sum(s) FILTER (WHERE s > 0) AS sp, sum(-s) FILTER (WHERE s < 0) AS sn, max(s) FILTER (WHERE s > 0) AS mp,
+          max(-s) FILTER (WHERE s < 0) AS mn, arg_max(abs(s), (c1, c2)) FILTER (WHERE s <> 0) AS lz FROM m GROUP BY doc_id),
+fin AS (SELECT m.doc_id, m.s FROM m JOIN n ON n.doc_id = m.doc_id AND m.c2 = 2 * n.n - 2 AND m.c1 = 2 * n.n - 3)
 SELECT d.doc_id, coalesce(n_pos, 0)::BIGINT AS n_pos, coalesce(n_neg, 0)::BIGINT AS n_neg,
-  {r6('coalesce(sp, 0)')} AS sum_pos, {r6('coalesce(sn, 0)')} AS sum_neg, {r6('coalesce(sp, 0) - coalesce(sn, 0)')} AS net
-FROM documents d LEFT JOIN agg USING (doc_id)""")(lex_block_pair)
+  {r6('coalesce(sp, 0)')} AS sum_pos, {r6('coalesce(sn, 0)')} AS sum_neg, {r6('coalesce(sp, 0) - coalesce(sn, 0)')} AS net,
+  {r6('coalesce(mp, 0)')} AS max_pos, {r6('coalesce(mn, 0)')} AS max_neg, {r6('coalesce(lz, 0)')} AS last_nonzero,
+  {r6('coalesce(fin.s, 0)')} AS last_score
+FROM documents d LEFT JOIN agg USING (doc_id) LEFT JOIN fin ON fin.doc_id = d.doc_id""")(lex_block_pair)
 
 
 # --------------------------------------------------------------- projection
