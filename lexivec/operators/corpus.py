@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lexivec.operators.lookup import lookup_tokens
 from lexivec.operators.ordering import global_index, hash_order
 from lexivec.session import sized_broadcast
 
@@ -49,22 +50,11 @@ def top_words(vocab: DataFrame, k: int) -> DataFrame:
 def to_ids(docs: DataFrame, toks: Column, index: DataFrame, max_words: int | None = None,
            id_col: str = "doc_id") -> DataFrame:
     """N5 texts->sequences: map tokens to ids, dropping unknown ids and ids
-    ``>= max_words``.  The kept index is bounded by ``max_words``, so it is
-    broadcast; the order inside a document is restored from token positions."""
-    if max_words is None:
-        idx = sized_broadcast(index.select(F.col("word").alias("_w"), F.col("idx").cast("int").alias("_id")))
-    else:
-        # ids are unique, so ids < max_words bound the table by construction
-        idx = F.broadcast(index.where(F.col("idx") < max_words)
-                          .select(F.col("word").alias("_w"), F.col("idx").cast("int").alias("_id")))
-    # Only kept tokens are shuffled to their document; documents without any
-    # kept token come back through a join on the document ids.
-    docs = docs.repartition(id_col)  # regroup below reuses this partitioning
-    ex = docs.select(id_col, F.posexplode(toks).alias("_pos", "_w"))
-    j = ex.join(idx, "_w")
-    g = j.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("_pos", "_id"))).alias("_xs"))
-    out = docs.select(id_col).join(g, id_col, "left")
-    return out.select(id_col, F.coalesce(F.transform("_xs", lambda x: x["_id"]), F.array().cast("array<int>")).alias("ids"))
+    ``>= max_words``.  Documents are not shuffled while the index fits a
+    broadcast (:func:`lookup_tokens`); a null token array gives no ids."""
+    kept = index if max_words is None else index.where(F.col("idx") < max_words)
+    found = lookup_tokens(docs, toks, kept.select(F.col("word").alias("key"), F.col("idx").cast("int").alias("value")), id_col)
+    return found.select(id_col, F.array_compact("found").alias("ids"))
 
 
 def pad_sequences(ids: Column, maxlen: int, value: int = 0) -> Column:

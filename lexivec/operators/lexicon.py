@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexivec.functions import text as T
+from lexivec.operators.lookup import lookup_tokens
 from lexivec.session import sized_broadcast
 
 # Class names and their scores in categorical lexicons.
@@ -169,19 +170,14 @@ def project_lexicon(docs: DataFrame, toks: Column, lexicon: DataFrame, value_col
     """Replace each token by its lexicon class (or cluster).
 
     ``not_found=None`` keeps unknown tokens (P17); a string replaces them (P16,
-    which also lower-cases tokens).  Token order is restored with an ordered
-    ``array_sort`` over (position, value) structs after the per-document group.
+    which also lower-cases tokens).  Documents are not shuffled while the
+    lexicon fits a broadcast (:func:`lookup_tokens`).  A null token array
+    gives an empty string.
     """
-    lex = sized_broadcast(lexicon.select(F.col("term").alias("_key"), F.col(value_col).alias("_val")))
-    # Partition documents (one row each) by id before exploding: the regroup
-    # below then reuses that partitioning, so tokens never cross the network.
-    ex = docs.repartition(id_col).select(id_col, F.posexplode_outer(toks).alias("_pos", "_tok"))
-    key = F.col("_tok") if case_sensitive else F.lower("_tok")
-    ex = ex.withColumn("_key", key).join(lex, "_key", "left")
-    fallback = F.col("_tok") if not_found is None else F.lit(not_found)
-    ex = ex.select(id_col, "_pos", F.coalesce("_val", fallback).alias("_v"))
-    g = ex.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("_pos", "_v"))).alias("_xs"))
-    return g.select(id_col, F.array_join(F.transform("_xs", lambda x: x["_v"]), " ").alias(out_col))
+    keys = toks if case_sensitive else F.transform(toks, lambda w: F.lower(w))
+    table = lexicon.select(F.col("term").alias("key"), F.col(value_col).cast("string").alias("value"))
+    found = lookup_tokens(docs, keys, table, id_col, fallback=toks if not_found is None else None)
+    return found.select(id_col, F.array_join("found", " ", not_found).alias(out_col))
 
 
 def label_words(positives: DataFrame, negatives: DataFrame) -> DataFrame:
