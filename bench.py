@@ -24,6 +24,7 @@ HEADLINE = [
     "lex_block_uni", "neg_mark", "lex_block_bi", "lex_block_pair", "syntax_features", "word_ngrams",
     "vocab", "word_index", "pad_sequences", "cosine_knn", "closest_class_score", "retrofit_class",
     "retrofit_graph", "ir_summary", "classification_report", "stream_label",
+    "retrofit_repel", "retrofit_spill", "train_word2vec", "word_ngram_features", "trec_metrics",
 ]
 
 

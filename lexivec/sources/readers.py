@@ -250,7 +250,7 @@ def tag_with_vocabulary(df: DataFrame, vocab: DataFrame, suffixes=("N", "V", "A"
 def read_sentiwordnet(spark: SparkSession, path: str) -> DataFrame:
     """TSV ``pos id posScore negScore terms gloss``; each ``term#n`` of
     the space-separated terms becomes a row; objective = 1 - (pos + neg); the
-    last sense of a term wins."""
+    last sense of a term and part of speech wins."""
     p = F.split("value", "\t")
     lines = _lines(spark, path).where(~F.col("value").startswith("#")).select(p.alias("p"), "line_no")
     lines = lines.where(F.size("p") >= 5)
@@ -259,7 +259,7 @@ def read_sentiwordnet(spark: SparkSession, path: str) -> DataFrame:
                       F.explode(F.split(F.trim(F.col("p")[4]), " ")).alias("t"))
     ex = ex.select(F.regexp_replace("t", "#.*$", "").alias("term"), "tag", "pos", "neg",
                    (F.lit(1.0) - F.col("pos") - F.col("neg")).alias("obj"), "line_no")
-    return dedupe_last_wins(ex, "line_no")
+    return ex.groupBy("term", "tag").agg(*[F.max_by(c, "line_no").alias(c) for c in ("pos", "neg", "obj")])
 
 
 def read_nrc_class_vectors(spark: SparkSession, path: str, affects: list[str] | None = None) -> DataFrame:
