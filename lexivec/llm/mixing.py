@@ -6,6 +6,10 @@ source, so that any stretch of the mix is near the targets.  Slots are ranked
 within their source, and slot rank ``r`` takes block ``r`` of the source's
 shuffled word stream, which repeats from its start when it is used up.
 
+The points miss a source's number of slots by a few, which a small source
+cannot bear: below ``SETTLED`` blocks a source gets evenly spread slots for
+its target to the word, the last block cut to it.
+
 DataFrame operations only.
 """
 
@@ -19,6 +23,7 @@ from lexivec.operators.ordering import global_index
 from lexivec.session import checkpointed, sized_broadcast
 
 BLOCK = 64  # words of a slot
+SETTLED = 64  # blocks of a target; below, a source's words are settled exactly
 LEAST_SLOTS = 4096  # smaller corpora get smaller blocks
 MOST_REPEATS = 3
 BUCKETS = 1024  # of a source's shuffled order, for sums without a task that holds a source
@@ -91,9 +96,15 @@ def block_words(total: int) -> int:
     return max(1, min(BLOCK, total // LEAST_SLOTS))
 
 
+def settled_words(block: int) -> Column:
+    """A small source's target in whole words; null for the others."""
+    return F.when(F.col("target") < SETTLED * block, F.floor(F.col("target") + 0.5).cast("long"))
+
+
 def schedule(to: DataFrame) -> tuple[DataFrame, int]:
     """``slot, source_no, rank`` for every slot of the mix, and the words of a
-    block.  ``rank`` counts a source's slots from 0."""
+    block.  ``rank`` counts a source's slots from 0.  A settled source's slots
+    stand beside drawn ones, so they share numbers."""
     r = to.agg(F.sum("source_size").alias("all"), F.count(F.lit(1)).alias("n")).first()
     total = r["all"] or 0
     block = block_words(total)
@@ -104,7 +115,8 @@ def schedule(to: DataFrame) -> tuple[DataFrame, int]:
     slots = slots.withColumn("_cell", F.floor(F.col("_at") / total * cells).cast("long") if total else F.lit(0).cast("long"))
     reach = [F.least(F.floor(c / F.lit(total or 1) * cells), F.lit(cells - 1)).cast("long") for c in (F.col("upto"), F.col("upto") + F.col("target"))]
     last = F.col("source_no") == r["n"] - 1  # sums of doubles may end a hair below the total
-    spans = to.where("target > 0").select("source_no", F.col("upto").alias("_lo"), F.when(last, F.lit(float("inf"))).otherwise(F.col("upto") + F.col("target")).alias("_hi"),
+    words = settled_words(block)
+    spans = to.where((F.col("target") > 0) & words.isNull()).select("source_no", F.col("upto").alias("_lo"), F.when(last, F.lit(float("inf"))).otherwise(F.col("upto") + F.col("target")).alias("_hi"),
                                           F.explode(F.sequence(reach[0], F.when(last, F.lit(cells - 1).cast("long")).otherwise(reach[1]))).alias("_cell"))
     drawn = slots.join(spans, "_cell").where("_at >= _lo and _at < _hi").select("slot", "source_no")
     # Ranks: within stretches of about the square root of all slots, then over the stretches.
@@ -115,7 +127,13 @@ def schedule(to: DataFrame) -> tuple[DataFrame, int]:
     counts = counts.select("source_no", "_part", F.coalesce(F.sum("_n").over(outer), F.lit(0)).alias("_before"))
     inner = Window.partitionBy("source_no", "_part").orderBy("slot")
     ranked = drawn.withColumn("_r", F.row_number().over(inner) - 1).join(counts, ["source_no", "_part"])
-    return ranked.select("slot", "source_no", (F.col("_before") + F.col("_r")).alias("rank")), block
+    ranked = ranked.select("slot", "source_no", (F.col("_before") + F.col("_r")).alias("rank"))
+    # Settled sources: spread evenly, each from a golden-ratio point of its own.
+    small = to.select("source_no", words.alias("_words")).where("_words > 0").withColumn("_n", F.ceil(F.col("_words") / block))
+    small = small.withColumn("rank", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)))
+    phase = (F.col("source_no") % PERIOD) * GOLDEN % PERIOD / PERIOD
+    at = F.least(F.floor((F.col("rank") + phase) / F.col("_n") * n), F.lit(n - 1)).cast("long")
+    return ranked.unionByName(small.select(at.alias("slot"), "source_no", "rank")), block
 
 
 def mix(own: DataFrame, to: DataFrame) -> DataFrame:
@@ -128,7 +146,7 @@ def mix(own: DataFrame, to: DataFrame) -> DataFrame:
     copies = own.where("size > 0").select("source_no", "source_size", "target", "start", "size", F.explode(F.sequence(F.lit(0), F.lit(MOST_REPEATS - 1))).alias("repeat"))
     # A source gets its target's slots and a few more or less; later repeats are left out early.
     copies = copies.withColumn("_from", F.col("start") + F.col("repeat") * F.col("source_size")).where(F.col("_from") <= F.col("target") * 1.5 + 64 * block)
-    copies = copies.withColumn("_upto", F.col("_from") + F.col("size"))
+    copies = copies.withColumn("_upto", F.least(F.col("_from") + F.col("size"), settled_words(block))).where("_from < _upto")  # least() skips nulls
     number = F.sequence(F.floor(F.col("_from") / block).cast("long"), F.floor((F.col("_upto") - 1) / block).cast("long"))
     pieces = copies.withColumn("rank", F.explode(number))
     lo, hi = F.greatest("_from", F.col("rank") * block), F.least("_upto", (F.col("rank") + 1) * block)

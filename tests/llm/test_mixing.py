@@ -71,6 +71,17 @@ def test_many_sources_meet_their_targets(spark):
     assert abs(sum(sums.values()) - sum(to.values())) < 0.1 * sum(to.values())
 
 
+def test_a_long_tail_of_tiny_sources_meets_each_target(spark):
+    tail = [1, 2, 5, 10, 12, 21, 40, 64, 150, 600, 1300]
+    rows = [doc(i, "w " * tail[i % len(tail)], f"s{i:04}") for i in range(330)]
+    rows += [doc(1000 + i, "w " * 1000, f"t{i % 3}") for i in range(400)]
+    assert mixing.block_words(sum(size(r[1]) for r in rows)) == mixing.BLOCK
+    sums, to = check(spark.createDataFrame(rows, DOCS), rows)
+    small = [s for s in to if s[0] == "s"]
+    assert all(to[s] < mixing.SETTLED * mixing.BLOCK and abs(sums[s] - to[s]) <= 0.5 for s in small) and len(small) == 330
+    assert all(abs(sums[s] - t) <= 0.03 * t for s, t in to.items())
+
+
 def test_slots_are_low_discrepancy(spark):
     docs = spark.createDataFrame([doc(i, "w " * 50, "abc"[i % 3]) for i in range(600)], DOCS)
     _, to = mixing.placed(docs)
