@@ -147,6 +147,12 @@ def links(fps: DataFrame, radius: int = RADIUS, parts: int = PARTS, block: int =
     return dealt.select("shard.choice", "shard.bits", "fp", "_i", "_j", "_block").mapInArrow(run, "a long, b long")
 
 
+def _parted(own: DataFrame, value: F.Column, radius: int, parts: int, block: int) -> DataFrame:
+    """``(node, least)``: the least ``value`` of each fingerprint's component."""
+    nodes = checkpointed(own.groupBy("fp").agg(F.min(value).alias("value")))
+    return components(links(nodes, radius, parts, block), nodes.withColumnRenamed("fp", "node"))
+
+
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS, parts: int = PARTS, block: int = BLOCK) -> DataFrame:
     """``doc_id, text_hash, fp, component_id`` for each row of ``docs``.
 
@@ -155,19 +161,18 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS,
     Equal fingerprints are one node, so copies cost one row, however many.
     """
     own = checkpointed(fingerprints(docs, size))
-    nodes = checkpointed(own.groupBy("fp").agg(F.min("doc_id").alias("value")))
-    parted = components(links(nodes, radius, parts, block), nodes.withColumnRenamed("fp", "node"))
+    parted = _parted(own, F.col("doc_id"), radius, parts, block)
     return own.join(parted.select(F.col("node").alias("fp"), F.col("least").alias("component_id")), "fp").select("doc_id", "text_hash", "fp", "component_id")
 
 
 def one_of_each(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is their component's least; of rows
-    that repeat that doc_id, the one with the least text hash, once.  A group
-    whose ids are all null keeps one of them."""
-    near = near_duplicates(docs, size, radius)
-    first = near.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    key = plain_key(F.col("doc_id").cast("long")).alias("_key")
-    # A null id is a group's least only if all its ids are null: such groups differ by fingerprint.
-    first = first.groupBy(key, F.when(F.col("doc_id").isNull(), F.col("fp")).alias("_fp")).agg(F.min("text_hash").alias("_hash")).select("_key", "_hash")
-    here = packed(docs, key, text_hash(F.col("text")).alias("_hash"))
-    return unpacked(here.join(first, ["_key", "_hash"], "left_semi").dropDuplicates(["_key", "_hash"]), docs.columns)
+    """One row of ``docs`` for each component: that of least doc_id (null
+    last), then of least text hash; of rows that agree in both, one."""
+    own = checkpointed(fingerprints(docs, size))
+    rank = F.struct(F.col("doc_id").isNull().alias("_no_id"), plain_key(F.col("doc_id")).alias("_key"), F.col("text_hash").alias("_hash"))
+    # Equal doc_id and text have one fingerprint, so no two components share their least.
+    first = _parted(own, rank, radius, PARTS, BLOCK).select("least.*").distinct()
+    doc_id = F.col("doc_id").cast("long")
+    here = packed(docs, doc_id.isNull().alias("_no_id"), plain_key(doc_id).alias("_key"), text_hash(F.col("text")).alias("_hash"))
+    by = ["_no_id", "_key", "_hash"]
+    return unpacked(here.join(first, by, "left_semi").dropDuplicates(by), docs.columns)

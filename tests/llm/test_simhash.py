@@ -105,3 +105,18 @@ def test_odd_rows(odd, empty, spark):
     assert {(r["fp"], r["component_id"]) for r in sh.near_duplicates(nothing).collect()} == {(0, 2)}
     with pytest.raises(ValueError):
         sh.links(spark.createDataFrame([(1,)], "fp long"), radius=6, parts=6)
+
+
+def test_one_row_of_each_component_under_repeated_and_null_ids(spark):
+    def near(k, n):
+        """A text and one whose fingerprint differs by 1 to RADIUS bits."""
+        text = " ".join(f"{k}{i}" for i in range(n))
+        more = next(m for m in (f"{text} end{i}" for i in range(99)) if 0 < (plain(text) ^ plain(m)).bit_count() <= sh.RADIUS)
+        return text, more
+
+    (a, a2), (b, b2), (c, c2) = near("a", 600), near("b", 600), near("c", 600)
+    rows = [doc(5, a), doc(5, b), doc(6, a2), doc(7, b2), doc(None, c), doc(None, c2), doc(None, c), doc(2**63 - 1, "an id as great as any")]
+    df = spark.createDataFrame(rows, DOCS)
+    kept = [(r["doc_id"], r["text"]) for r in sh.one_of_each(df).collect()]
+    assert sorted(x for x in kept if x[0]) == [(5, a), (5, b), (2**63 - 1, rows[-1][1])]
+    assert len(kept) == 4 and [t in (c, c2) for i, t in kept if i is None] == [True]
