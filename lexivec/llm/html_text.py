@@ -147,17 +147,30 @@ FEATURES = ["words", "links", "words_before", "links_before", "words_after", "li
 
 def described(found: list[Block]) -> list[tuple[str, list[float]]]:
     """``(text, features)`` of each block with text; white space in it is one
-    space.  ``outside``: the page has an article and the block isn't in it."""
+    space.  ``main``: of the page's unlinked words, the share in articles, for
+    a block in one.  ``outside``: the share on the other side of an article's
+    bounds; half of it for a block before the articles' words.  So small
+    articles (cards of other stories) say little about the rest."""
     own = []
     for b in found:
         if text := " ".join("".join(b.text).split()):
             words = len(text.split())
             own.append((text, words, min(1.0, sum(len(t.split()) for t in b.linked) / words), b))
+    plain = [0.0 if b.chrome else n * (1 - d) for _, n, d, b in own]
+    held = [p if b.main else 0.0 for p, (*_, b) in zip(plain, own)]
     article = any(b.main and not b.chrome for *_, b in own)
+    share = sum(held) / sum(plain) if sum(plain) else 1.0
+    outside, to_come = [], sum(held)
+    for (*_, b), h in zip(own, held):
+        to_come -= h
+        outside.append((1 - share if b.main else share * (1 - to_come / sum(held) / 2) if sum(held) else 1.0) if article else 0.0)
     sizes = [(0, 0.0), *((n, d) for _, n, d, _ in own), (0, 0.0)]
-    return [(text, [n, d, *sizes[k], *sizes[k + 2], float(b.chrome), float(b.main), float(article and not b.main)]) for k, (text, n, d, b) in enumerate(own)]
+    return [(text, [n, d, *sizes[k], *sizes[k + 2], float(b.chrome), share if b.main and article else float(b.main), outside[k]]) for k, (text, n, d, b) in enumerate(own)]
 
 
+#: ``main`` and ``outside`` of a kind of holder.
+HOLDS = {"article": (1.0, 0.0), "half": (0.8, 0.2), "card": (0.15, 0.85), "outside": (0.0, 0.9), "before": (0.0, 0.45), "beside": (0.0, 0.15), "above": (0.0, 0.08)}
+
 #: The labelled table: kind of holder; words and link density of a block, of the one before, of the one after; 1: main text.
 LABELLED = [
     ("article", (9, 0.0), (0, 0.0), (60, 0.0), 1), ("article", (60, 0.0), (9, 0.0), (80, 0.05), 1), ("article", (80, 0.05), (60, 0.0), (1, 0.0), 1),
@@ -178,6 +191,20 @@ LABELLED = [
     ("plain", (1, 1.0), (0, 0.0), (1, 1.0), 0), ("plain", (2, 1.0), (1, 1.0), (2, 1.0), 0), ("plain", (3, 1.0), (2, 1.0), (8, 0.0), 0),
     ("plain", (12, 0.8), (3, 1.0), (4, 1.0), 0), ("plain", (6, 0.9), (90, 0.0), (5, 1.0), 0), ("plain", (25, 0.7), (5, 1.0), (0, 0.0), 0),
     ("plain", (4, 1.0), (60, 0.0), (5, 1.0), 0), ("plain", (40, 0.8), (60, 0.0), (60, 0.0), 0),
+    ("before", (30, 0.0), (9, 0.0), (80, 0.0), 1), ("before", (25, 0.0), (8, 0.0), (9, 0.0), 1), ("before", (60, 0.05), (0, 0.0), (12, 0.0), 1),
+    ("before", (18, 0.0), (3, 1.0), (60, 0.0), 1), ("before", (40, 0.0), (25, 0.0), (8, 0.0), 1), ("before", (9, 0.0), (2, 1.0), (28, 0.0), 1),
+    ("before", (3, 0.0), (2, 1.0), (9, 0.0), 0), ("before", (6, 1.0), (0, 0.0), (30, 0.0), 0), ("before", (2, 1.0), (2, 1.0), (25, 0.0), 0),
+    ("half", (60, 0.0), (9, 0.0), (80, 0.05), 1), ("half", (3, 0.0), (50, 0.0), (50, 0.0), 1), ("half", (14, 0.6), (90, 0.1), (70, 0.0), 1),
+    ("above", (60, 0.0), (8, 0.0), (70, 0.0), 1), ("above", (90, 0.1), (60, 0.0), (40, 0.0), 1), ("above", (8, 0.0), (0, 0.0), (70, 0.0), 1),
+    ("above", (45, 0.0), (60, 0.0), (5, 1.0), 1), ("above", (4, 0.0), (50, 0.0), (60, 0.0), 1), ("above", (3, 1.0), (60, 0.0), (5, 1.0), 0),
+    ("beside", (60, 0.0), (8, 0.0), (70, 0.0), 1), ("beside", (120, 0.0), (14, 0.0), (0, 0.0), 1), ("beside", (30, 0.05), (90, 0.0), (3, 1.0), 1),
+    ("beside", (8, 0.0), (15, 0.0), (70, 0.0), 1), ("beside", (4, 0.0), (50, 0.0), (60, 0.0), 1), ("beside", (2, 1.0), (14, 0.0), (2, 1.0), 0),
+    ("card", (5, 1.0), (70, 0.0), (14, 0.0), 0), ("card", (14, 0.0), (5, 1.0), (6, 1.0), 0), ("card", (20, 0.0), (6, 1.0), (0, 0.0), 0),
+    ("card", (18, 0.0), (7, 1.0), (7, 1.0), 0), ("card", (7, 0.0), (60, 0.0), (15, 0.0), 0), ("card", (15, 0.0), (7, 0.0), (6, 0.0), 0),
+    ("card", (25, 0.0), (6, 0.0), (7, 0.0), 0), ("card", (6, 0.0), (15, 0.0), (16, 0.0), 0), ("card", (80, 0.0), (9, 0.0), (90, 0.0), 1), ("card", (90, 0.0), (80, 0.0), (0, 0.0), 1),
+    ("card", (60, 0.0), (7, 0.0), (40, 0.0), 1), ("outside", (90, 0.0), (60, 0.0), (12, 0.0), 0), ("outside", (60, 0.0), (80, 0.0), (0, 0.0), 0), ("outside", (45, 0.0), (20, 0.0), (50, 0.0), 0),
+    ("article", (12, 0.0), (6, 1.0), (5, 0.0), 1), ("article", (20, 0.0), (5, 1.0), (0, 0.0), 1), ("article", (3, 0.0), (6, 1.0), (4, 0.0), 1), ("half", (30, 0.0), (5, 1.0), (6, 1.0), 1),
+    ("plain", (25, 0.0), (4, 1.0), (6, 0.0), 1), ("plain", (9, 0.0), (2, 1.0), (7, 0.0), 1), ("above", (9, 0.0), (1, 1.0), (8, 0.0), 1),
 ]
 
 
@@ -185,7 +212,7 @@ def trained_tree(spark: SparkSession) -> list:
     """The tree as nested lists: ``[feature, threshold, low, high]`` or 0/1."""
     rows = []
     for kind, (n, d), before, after, label in LABELLED:
-        features = [n, d, *before, *after, "chrome" in kind, "article" in kind, "outside" in kind]
+        features = [n, d, *before, *after, "chrome" in kind, *HOLDS.get(kind.split()[0], (0.0, 0.0))]
         rows.append((float(label), Vectors.dense([float(x) for x in features])))
     model = DecisionTreeClassifier(maxDepth=5, maxBins=64, minInstancesPerNode=1, seed=1).fit(spark.createDataFrame(rows, ["label", "features"]))
     lines = model.toDebugString.splitlines()[1:]

@@ -27,6 +27,22 @@ def test_page_without_article_element(tree):
     assert ht.main_text(page, tree) == f"Heading words here\n\n{WORDS}\n\n{WORDS} again"
 
 
+def test_story_beside_small_articles(tree):
+    cards = "".join(f"<article class=card><h3><a href={k}>Another headline number {k}</a></h3><p>A short teaser of story {k} in a few words only.</p></article>" for k in range(4))
+    story = ["Heading of the story here", f"Opening {WORDS}, and so {WORDS}.", "In between", f"Then {WORDS}, and so {WORDS}.", f"Last {WORDS}, as {WORDS}."]
+    content = f"<div id=content><h1>{story[0]}</h1><p>{story[1]}</p><h2>{story[2]}</h2><p>{story[3]}</p><p>{story[4]}</p></div>"
+    nav = "<nav><a href=1>Home</a></nav>"
+    assert ht.main_text(f"<body>{nav}{content}{cards}</body>", tree).split("\n\n") == story
+    assert ht.main_text(f"<body>{nav}{cards}{content}</body>", tree).split("\n\n") == story
+
+
+def test_standfirst_before_the_article(tree):
+    inside = "".join(f"<p>Part {k} {WORDS}, and so {WORDS}.</p>" for k in range(6))
+    lead = f"In short {WORDS}."
+    page = f"<body><nav><a href=1>Home</a></nav><p>{lead}</p><article><h1>The heading of it all</h1>{inside}</article><p>Imprint and <a href=2>more links</a></p></body>"
+    assert ht.main_text(page, tree).split("\n\n") == [lead, "The heading of it all", *(f"Part {k} {WORDS}, and so {WORDS}." for k in range(6))]
+
+
 @pytest.mark.parametrize("page, text", [
     ("", ""), ("   ", ""), ("<", "<"), ("a < b and c > d", "a < b and c > d"), ("<p>x<p", "x"), ("<article><p>one<!-- open", "one"), ("<article><p title=\"a>b\">in</p><p title='q>in2</p>", "in\n\nin2"),
     ("<article>&#0;&#55296;&notareal; &amp</article>", "��¬areal; &"), ("<article><p>a</div>b</p></article>", "a\n\nb"), ("<article><![CDATA[raw & x]]> y</article>", "raw & x y"), ("<ARTICLE><P>Up</P></ARTICLE>", "Up"),
