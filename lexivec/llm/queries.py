@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexivec.llm import bpe, chat, fingerprint, html_text, lines, mixing, near_vectors, quality, simhash, tokens
+from lexivec.llm import bpe, chat, fingerprint, hard_negatives, html_text, lines, mixing, near_vectors, pii, quality, simhash, tokens, whitening
 from lexivec.llm.common import table
 
 
@@ -61,8 +61,22 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), n.cast("long").alias("removed_chars"), spans.alias("removed_spans"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.col("label").cast("long").alias("label"), "embedding")
+    rows = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return hard_negatives.mine(rows, F.col("vec_id") % 50 == 0)
+
+
+def op12_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(pii.find(table(spark, sf_dir, "documents")))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_fingerprints, op2_token_counts, op3_bpe, op4_mixing, op5_near_vectors, op6_simhash, op7_html_text, op8_quality, op9_chat, op10_line_dedup)}
+    f.__name__: f for f in (op1_fingerprints, op2_token_counts, op3_bpe, op4_mixing, op5_near_vectors, op6_simhash, op7_html_text, op8_quality, op9_chat, op10_line_dedup, op11_hard_negatives, op12_pii, op13_whitening)}
 
 _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -107,5 +121,13 @@ kept AS (SELECT l.doc_id, string_agg(l.line, chr(10) ORDER BY l.k) AS text FROM
 q AS (SELECT doc_id, sum(e - s) AS n, string_agg(s::VARCHAR || '-' || e::VARCHAR, ',' ORDER BY s) AS spans FROM x GROUP BY doc_id)
 SELECT d.doc_id, coalesce(kept.text, '') AS text, coalesce(q.n, 0)::BIGINT AS removed_chars, coalesce(q.spans, '') AS removed_spans FROM documents d LEFT JOIN kept USING (doc_id) LEFT JOIN q USING (doc_id)"""
 
-#: The other operators have no SQL: sketches, tokenizers, XXH64, page markup and trained scores are tested against brute force.
-ORACLE_SQL: dict[str, str] = {"op4_mixing": _MIXING_SQL, "op5_near_vectors": _VECTORS_SQL, "op9_chat": _CHAT_SQL, "op10_line_dedup": _LINES_SQL}
+_NEGATIVES_SQL = f"""WITH v AS (SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda c: floor(256 * c::DOUBLE)) AS x
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, v.vec_id, a.label = v.label AS same, list_inner_product(a.x, v.x)::BIGINT AS score FROM v a JOIN v ON a.vec_id <> v.vec_id AND len(a.x) = len(v.x) WHERE a.vec_id % 50 = 0),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= {hard_negatives.POSITIVES}),
+n AS (SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score, row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.vec_id) AS rank
+  FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND {hard_negatives.LOW} * positive_score <= {hard_negatives.UNIT} * s.score AND {hard_negatives.UNIT} * s.score <= {hard_negatives.HIGH} * positive_score)
+SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= {hard_negatives.NEGATIVES}"""
+
+#: The other operators have no SQL: sketches, tokenizers, XXH64, page markup, eigenvectors, disguises and trained scores are tested against brute force.
+ORACLE_SQL: dict[str, str] = {"op4_mixing": _MIXING_SQL, "op5_near_vectors": _VECTORS_SQL, "op9_chat": _CHAT_SQL, "op10_line_dedup": _LINES_SQL, "op11_hard_negatives": _NEGATIVES_SQL}
