@@ -1,99 +1,238 @@
-"""Substring dedup by line hashing.
-
-A text's lines are its units.  Each is normalised (A-Z lower-cased, white
-space collapsed) and digested; digests are grouped over the whole corpus; the
-occurrence of least rank (doc_id, then text hash, then line) stays, and all
-others repeat it.  Runs of repeated lines are removed where they hold at least
-``LEAST_WORDS`` words together, so that passages of several short lines go
-and a stock phrase on a line of its own stays.
+"""Substring dedup by hashing lines and their sentences.
+
+A text's units are the sentences of its lines.  Each is normalised (A-Z
+lower-cased, white space collapsed) and digested; digests are grouped over the
+whole corpus; the occurrence of least rank (doc_id, then text hash, then unit)
+stays, and all others repeat it.  Repeated units in a row, over line ends too,
+make a run.  A passage may begin or end inside a sentence, so a run reaches on
+into the units at its ends by the words they have in common with the units
+beside the occurrence that stays.  Runs of ``LEAST_WORDS`` words go, so that a
+stock phrase stays; the spans removed are kept as offsets in the source text.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexivec.llm.common import batch, id_and_text, in_slices, packed, plain_key, text_hash, unpacked, words
-from lexivec.session import checkpointed
+from lexivec.session import checkpointed, sized_broadcast
 
 LEAST_WORDS = 50  # of a run that is removed
+LEAST_REACH = 3  # words of a unit beside a run; fewer in common are chance and stay
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32 << 20  # documents with runs beyond either meet the texts in a shuffle
+
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")
+_ENDS = re.compile(r"(?<=[.!?])[\x20\x09-\x0D]+|\n")
 
 
-def units(text: str) -> list[tuple[int, int, int, bytes]]:
-    """``(start, end, words, normal form)`` of each line, in code points; a
-    line ends before its line feed."""
+def units(text: str) -> list[tuple[int, int, list[bytes]]]:
+    """``(start, end, words)`` of each unit that has words: a unit ends with a
+    line, or with a word that ends in ``.``, ``!`` or ``?``."""
     out, at = [], 0
-    for line in text.split("\n"):
-        w = words(line)
-        out.append((at, at + len(line), len(w), b" ".join(w)))
-        at += len(line) + 1
+    for m in _ENDS.finditer(text):
+        if w := words(text[at : m.start()]):
+            out.append((at, m.start(), w))
+        at = m.end()
+    if w := words(text[at:]):
+        out.append((at, len(text), w))
     return out
 
 
-def runs(text: str, repeated: set[int], least: int = LEAST_WORDS) -> list[tuple[int, int]]:
-    """Spans of the runs to remove, each with the line feed after it (before
-    it at the end of the text).  Lines without words neither start, break nor
-    end a run."""
-    found: list[list[int]] = []  # first line, last line, words
-    going = False
-    lines = units(text)
-    for k, (_, _, n, _) in enumerate(lines):
-        if not n:
-            continue
-        if k not in repeated:
-            going = False
-        elif going:
-            found[-1][1:] = [k, found[-1][2] + n]
-        else:
-            found.append([k, k, n])
-            going = True
-    spans = []
-    for a, b, n in found:
-        if n >= least:
-            start, end = lines[a][0], lines[b][1]
-            spans.append((start, end + 1) if end < len(text) else (max(start - 1, 0), end))
-    return spans
+def _form(w: list[bytes]) -> bytes:
+    return b" ".join(w)
 
 
-def cut(text: str, spans: list[tuple[int, int]]) -> str:
-    at, out = 0, []
-    for a, b in spans:
-        out.append(text[at:a])
-        at = max(at, b)
-    return "".join([*out, text[at:]])
+def _name(w: list[bytes]) -> int:
+    return xxhash.xxh3_64_intdigest(_form(w)) - (1 << 63)
 
 
-def line_digests(docs: DataFrame) -> DataFrame:
-    """``key, text_hash, line, d1, d2`` for each line with words; no shuffle."""
-    out = pa.schema([("key", pa.int64()), ("text_hash", pa.int64()), ("line", pa.int32()), ("d1", pa.int64()), ("d2", pa.int64())])
+def unit_digests(docs: DataFrame) -> DataFrame:
+    """``key, text_hash, unit, n, before, after, d1, d2`` for each unit: its
+    number, its words, those of its neighbours, its digest; no shuffle."""
+    fields = [("key", pa.int64()), ("text_hash", pa.int64()), *[(c, pa.int32()) for c in ("unit", "n", "before", "after")], ("d1", pa.int64()), ("d2", pa.int64())]
+    out = pa.schema(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in in_slices(batches, 1000):
+        for b in in_slices(batches, 500):
             rows = []
             for key, h, text in zip(*(c.to_pylist() for c in b.columns)):
-                for k, (_, _, n, form) in enumerate(units(text)):
-                    if n:
-                        d = hashlib.blake2b(form, digest_size=16).digest()
-                        rows.append((key, h, k, int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True)))
+                found = [w for *_, w in units(text)]
+                sizes = [0, *map(len, found), 0]
+                for k, w in enumerate(found):
+                    d = hashlib.blake2b(_form(w), digest_size=16).digest()
+                    rows.append((key, h, k, len(w), sizes[k], sizes[k + 2], int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True)))
+            yield batch(out, rows)
+
+    return _texts(docs).mapInArrow(run, "key long, text_hash long, unit int, n int, before int, after int, d1 long, d2 long")
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return id_and_text(docs).select(plain_key(F.col("doc_id")).alias("key"), F.xxhash64("text").alias("text_hash"), "text")
+
+
+def runs(repeated: list[tuple[int, int, int, int, tuple]], least: int) -> list[tuple[int, int, int, tuple]]:
+    """``(first, last, words, source)`` of each run of repeated units that may
+    reach ``least`` words with its neighbours.  ``repeated``: ``(unit, words,
+    words before, words after, first occurrence)``, sorted.  ``source`` is
+    where the run's longest unit first occurs, moved to the run's first unit."""
+    out = []
+    at = 0
+    while at < len(repeated):
+        end = at + 1
+        while end < len(repeated) and repeated[end][0] == repeated[end - 1][0] + 1:
+            end += 1
+        own = repeated[at:end]
+        n = sum(r[1] for r in own)
+        if n + own[0][2] + own[-1][3] >= least:
+            unit, _, _, _, (key, h, first) = max(own, key=lambda r: (r[1], -r[0]))
+            out.append((own[0][0], own[-1][0], n, (key, h, first - (unit - own[0][0]))))
+        at = end
+    return out
+
+
+def run_table(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
+    """``key, text_hash, first, last, words, s_key, s_hash, s_first`` for each
+    run of units that repeat occurrences of lower rank."""
+    found = unit_digests(docs).withColumn("rank", F.struct("key", "text_hash", "unit"))
+    # A frequent unit meets as one row per task; both sides of the join are plain shuffles, which Spark can split where a unit is hot.
+    first = checkpointed(found.groupBy("d1", "d2").agg(F.min("rank").alias("source"), F.max("rank").alias("last")).where("source <> last").select("d1", "d2", "source"))
+    later = found.join(first, ["d1", "d2"]).where("rank <> source")
+    per_doc = later.groupBy("key", "text_hash").agg(F.sort_array(F.collect_set(F.struct("unit", "n", "before", "after", "source"))).alias("units"))  # at most a text's units
+    out = pa.schema([(c, pa.int32() if c in ("first", "last", "words", "s_first") else pa.int64()) for c in ("key", "text_hash", "first", "last", "words", "s_key", "s_hash", "s_first")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in in_slices(batches, 500):
+            rows = []
+            for key, h, given in zip(*(c.to_pylist() for c in b.columns)):
+                repeated = [(u["unit"], u["n"], u["before"], u["after"], tuple(u["source"].values())) for u in given]
+                rows += [(key, h, a, z, n, *source) for a, z, n, source in runs(repeated, least)]
+            yield batch(out, rows)
+
+    return per_doc.mapInArrow(run, "key long, text_hash long, first int, last int, words int, s_key long, s_hash long, s_first int")
+
+
+def _in_common(a: list[bytes], b: list[bytes]) -> int:
+    """Length of the common start of two lists, 0 if below ``LEAST_REACH``."""
+    n = 0
+    for x, y in zip(a, b):
+        if x != y:
+            break
+        n += 1
+    return n if n >= LEAST_REACH else 0
+
+
+def _beside(docs: DataFrame, at: DataFrame) -> DataFrame:
+    """For ``at(key, text_hash, first, last)``, stretches of units in texts:
+    the same and ``left, right`` (normal forms of the units beside, empty at a
+    text's ends), ``head, tail`` (names of its first and last unit; null where
+    the text has no such unit)."""
+    out = pa.schema([("key", pa.int64()), ("text_hash", pa.int64()), ("first", pa.int32()), ("last", pa.int32()), ("left", pa.binary()), ("right", pa.binary()), ("head", pa.int64()), ("tail", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in in_slices(batches, 500):
+            rows = []
+            for key, h, text, wanted in zip(*(c.to_pylist() for c in b.columns)):
+                found = [w for *_, w in units(text)]
+
+                def form(k: int) -> bytes:
+                    return _form(found[k]) if 0 <= k < len(found) else b""
+
+                def name(k: int) -> int | None:
+                    return _name(found[k]) if 0 <= k < len(found) else None
+
+                rows += [(key, h, s["first"], s["last"], form(s["first"] - 1), form(s["last"] + 1), name(s["first"]), name(s["last"])) for s in wanted]
             yield batch(out, rows)
 
-    slim = id_and_text(docs).select(plain_key(F.col("doc_id")).alias("key"), F.xxhash64("text").alias("text_hash"), "text")
-    return slim.mapInArrow(run, "key long, text_hash long, line int, d1 long, d2 long")
+    per_doc = checkpointed(at.groupBy("key", "text_hash").agg(F.collect_set(F.struct("first", "last")).alias("wanted")))
+    joined = _texts(docs).join(sized_broadcast(per_doc, BROADCAST_ROWS, BROADCAST_BYTES), ["key", "text_hash"])
+    named = joined.mapInArrow(run, "key long, text_hash long, first int, last int, left binary, right binary, head long, tail long")
+    return named.dropDuplicates(["key", "text_hash", "first", "last"])  # rows that agree in id and text
+
 
+def spans_by_words(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
+    """``key, text_hash, runs``: for each document with something to remove
+    the runs as ``first, last`` (units), ``before, after`` (words of the units
+    beside that go as well)."""
+    found = checkpointed(run_table(docs, least).withColumn("s_last", F.col("s_first") + F.col("last") - F.col("first")))
+    own = _beside(docs, found.select("key", "text_hash", "first", "last"))
+    source = _beside(docs, found.select(F.col("s_key").alias("key"), F.col("s_hash").alias("text_hash"), F.col("s_first").alias("first"), F.col("s_last").alias("last")))
+    source = source.select(*[F.col(c).alias(f"s_{c}") for c in ("key", "first", "last", "left", "right", "head", "tail")], F.col("text_hash").alias("s_hash"))
+    met = found.join(own, ["key", "text_hash", "first", "last"]).join(source, ["s_key", "s_hash", "s_first", "s_last"], "left")
+    same = (F.col("key") == F.col("s_key")) & (F.col("text_hash") == F.col("s_hash"))
+    # In one text, a run doesn't reach into the occurrence that stays, nor compare itself with itself.
+    left = F.when(F.col("head").eqNullSafe(F.col("s_head")) & ~(same & (F.col("first") - 1 <= F.col("s_last"))), F.col("s_left"))
+    right = F.when(F.col("tail").eqNullSafe(F.col("s_tail")) & ~(same & (F.col("s_last") + 1 >= F.col("first"))), F.col("s_right"))
 
-def repeats(docs: DataFrame) -> DataFrame:
-    """``key, text_hash, lines``: for each document the numbers of its lines
-    that repeat an occurrence of lower rank."""
-    lines = line_digests(docs).withColumn("rank", F.struct("key", "text_hash", "line"))
-    # A frequent line meets as one row per task; both sides of the join are plain shuffles, which Spark can split where a line is hot.
-    first = checkpointed(lines.groupBy("d1", "d2").agg(F.min("rank").alias("first"), F.max("rank").alias("last")).where("first <> last").select("d1", "d2", "first"))
-    later = lines.join(first, ["d1", "d2"]).where("rank <> first")
-    return later.groupBy("key", "text_hash").agg(F.sort_array(F.collect_set("line")).alias("lines"))
+    def reach(before: pd.Series, s_before: pd.Series, after: pd.Series, s_after: pd.Series) -> pd.DataFrame:
+        rows = []
+        for b, sb, a, sa in zip(before, s_before, after, s_after):
+            rows.append((0 if sb is None else _in_common(b.split()[::-1], sb.split()[::-1]), 0 if sa is None else _in_common(a.split(), sa.split())))
+        return pd.DataFrame(rows, columns=["before", "after"], dtype="int32")
+
+    grown = met.withColumn("more", F.pandas_udf(reach, "before int, after int")(F.col("left"), left, F.col("right"), right))
+    grown = grown.where(F.col("words") + F.col("more.before") + F.col("more.after") >= least)
+    return grown.groupBy("key", "text_hash").agg(F.sort_array(F.collect_set(F.struct("first", "last", "more.before", "more.after"))).alias("runs"))
+
+
+def spans(text: str, found: list[tuple[int, int, int, int]]) -> list[tuple[int, int]]:
+    """Spans that go for runs ``(first, last, words before, words after)``,
+    sorted and apart.  Lines that go whole take their line feed with them
+    (the one before, at the end of the text); others leave one gap."""
+    own = units(text)
+    out: list[list[int]] = []
+    for first, last, before, after in found:
+        a, b = own[first][0], own[last][1]
+        if before:
+            a = [m.start() for m in _WORD.finditer(text, *own[first - 1][:2])][-before]
+        else:
+            a = _WORD.search(text, a).start()
+        if after:
+            b = [m.end() for m in _WORD.finditer(text, *own[last + 1][:2])][after - 1]
+        else:
+            b = a + len(text[a:b].rstrip(_SPACE))
+        if out and a <= _over_space(text, out[-1][1]):
+            out[-1][1] = max(out[-1][1], b)
+        else:
+            out.append([a, b])
+    return [_with_gap(text, a, b) for a, b in out]
+
+
+_SPACE = " \t\n\v\f\r"
+_BLANK = " \t\v\f\r"
+
+
+def _over_space(text: str, at: int) -> int:
+    while at < len(text) and text[at] in _SPACE:
+        at += 1
+    return at
+
+
+def _with_gap(text: str, a: int, b: int) -> tuple[int, int]:
+    start, end = a, b
+    while start and text[start - 1] in _BLANK:
+        start -= 1
+    while end < len(text) and text[end] in _BLANK:
+        end += 1
+    opens, closes = not start or text[start - 1] == "\n", end == len(text) or text[end] == "\n"
+    if opens and closes:
+        return (start, end + 1) if end < len(text) else (max(start - 1, 0), end)
+    return (start, end) if closes else (a, end)
+
+
+def cut(text: str, found: list[tuple[int, int]]) -> str:
+    at, out = 0, []
+    for a, b in found:
+        out.append(text[at:a])
+        at = max(at, b)
+    return "".join([*out, text[at:]])
 
 
 def remove_repeats(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
@@ -103,21 +242,22 @@ def remove_repeats(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
 
     Rows that agree in doc_id and text count as one document: what repeats an
     earlier document goes from each of them, and they don't repeat each other.
+    Null ids rank last; rows of one id rank by a hash of the text.  A text is
+    held whole in one task; equal units never are, however many.
     """
     keyed = packed(docs, plain_key(F.col("doc_id").cast("long")).alias("_key"), text_hash(F.col("text")).alias("_hash"))
-    found = repeats(docs).select(F.col("key").alias("_key"), F.col("text_hash").alias("_hash"), F.col("lines").alias("_lines"))
-    joined = keyed.join(found, ["_key", "_hash"], "left").withColumn("_cut", _cutter(least)(F.col("_row.text"), F.col("_lines")))
+    found = checkpointed(spans_by_words(docs, least).select(F.col("key").alias("_key"), F.col("text_hash").alias("_hash"), F.col("runs").alias("_runs")))
+    joined = keyed.join(sized_broadcast(found, BROADCAST_ROWS, BROADCAST_BYTES), ["_key", "_hash"], "left").withColumn("_cut", _cutter()(F.col("_row.text"), F.col("_runs")))
     return unpacked(joined, docs.columns, {"text": F.coalesce(F.col("_cut.text"), F.col("_row.text"))}, F.coalesce("_cut.removed", F.array()).alias("_removed"))
 
 
-def _cutter(least: int):
-    """Pandas UDF (text, repeated lines) -> (text, removed spans); null where
-    nothing goes."""
-    def removed(text: pd.Series, lines: pd.Series) -> pd.DataFrame:
+def _cutter():
+    """Pandas UDF (text, runs) -> (text, removed spans); null where nothing goes."""
+    def removed(text: pd.Series, given: pd.Series) -> pd.DataFrame:
         out: list[tuple] = []
-        for t, k in zip(text, lines):
-            spans = runs(t, set(k), least) if t is not None and k is not None else []
-            out.append((cut(t, spans), [{"start": a, "end": b} for a, b in spans]) if spans else (None, None))
+        for t, k in zip(text, given):
+            gone = spans(t, [(r["first"], r["last"], r["before"], r["after"]) for r in k]) if t is not None and k is not None else []
+            out.append((cut(t, gone), [{"start": a, "end": b} for a, b in gone]) if gone else (None, None))
         return pd.DataFrame(out, columns=["text", "removed"])
 
     return F.pandas_udf(removed, "struct<text: string, removed: array<struct<start: int, end: int>>>")

@@ -79,7 +79,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_fingerprints, op2_token_counts, op3_bpe, op4_mixing, op5_near_vectors, op6_simhash, op7_html_text, op8_quality, op9_chat, op10_line_dedup, op11_hard_negatives, op12_pii, op13_whitening)}
 
 _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
-_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _ESCAPED = r"regexp_replace({}, '([<\[])(\\*)(\||/?s>|/?SYS>>|/?INST\])', '\1\2\\\3', 'g')"
 
 _MIXING_SQL = f"""WITH d AS (SELECT doc_id, source, len({_WORDS.format("coalesce(text, '')")})::BIGINT AS size, md5(doc_id::VARCHAR) AS o FROM documents),
@@ -111,16 +110,6 @@ g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text ||
   sum({len(chat.START + chat.MIDDLE + chat.END)} + length({_ESCAPED.format("role")}) + length({_ESCAPED.format("text")})) AS chars FROM c GROUP BY conv_id)
 SELECT conv_id, n_turns, sha256(told) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, chars::BIGINT AS formatted_chars FROM g"""
 
-_LINES_SQL = f"""WITH l AS (SELECT doc_id, length(coalesce(text, '')) AS size, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS k FROM documents),
-f AS (SELECT *, {_WORDS.format(_LOWER.format("line"))} AS w, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM l),
-h AS (SELECT doc_id, k, line, size, pos, len(w) AS n, row_number() OVER (PARTITION BY array_to_string(w, ' ') ORDER BY doc_id, k) > 1 AS again FROM f WHERE len(w) > 0),
-i AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY k) - row_number() OVER (PARTITION BY doc_id, again ORDER BY k) AS run FROM h),
-r AS (SELECT doc_id, min(k) AS a, max(k) AS b, min(pos) AS s, max(pos + length(line)) AS e, any_value(size) AS size FROM i WHERE again GROUP BY doc_id, run HAVING sum(n) >= {lines.LEAST_WORDS}),
-x AS (SELECT doc_id, a, b, (CASE WHEN e < size THEN s ELSE greatest(s - 1, 0) END)::BIGINT AS s, (CASE WHEN e < size THEN e + 1 ELSE e END)::BIGINT AS e FROM r),
-kept AS (SELECT l.doc_id, string_agg(l.line, chr(10) ORDER BY l.k) AS text FROM l LEFT JOIN x ON x.doc_id = l.doc_id AND l.k BETWEEN x.a AND x.b WHERE x.a IS NULL GROUP BY l.doc_id),
-q AS (SELECT doc_id, sum(e - s) AS n, string_agg(s::VARCHAR || '-' || e::VARCHAR, ',' ORDER BY s) AS spans FROM x GROUP BY doc_id)
-SELECT d.doc_id, coalesce(kept.text, '') AS text, coalesce(q.n, 0)::BIGINT AS removed_chars, coalesce(q.spans, '') AS removed_spans FROM documents d LEFT JOIN kept USING (doc_id) LEFT JOIN q USING (doc_id)"""
-
 _NEGATIVES_SQL = f"""WITH v AS (SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda c: floor(256 * c::DOUBLE)) AS x
   FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
 s AS (SELECT a.vec_id AS anchor_id, v.vec_id, a.label = v.label AS same, list_inner_product(a.x, v.x)::BIGINT AS score FROM v a JOIN v ON a.vec_id <> v.vec_id AND len(a.x) = len(v.x) WHERE a.vec_id % 50 = 0),
@@ -130,4 +119,4 @@ n AS (SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score, row_number
 SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= {hard_negatives.NEGATIVES}"""
 
 #: The other operators have no SQL: sketches, tokenizers, XXH64, page markup, eigenvectors, disguises and trained scores are tested against brute force.
-ORACLE_SQL: dict[str, str] = {"op4_mixing": _MIXING_SQL, "op5_near_vectors": _VECTORS_SQL, "op9_chat": _CHAT_SQL, "op10_line_dedup": _LINES_SQL, "op11_hard_negatives": _NEGATIVES_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_mixing": _MIXING_SQL, "op5_near_vectors": _VECTORS_SQL, "op9_chat": _CHAT_SQL, "op11_hard_negatives": _NEGATIVES_SQL}
