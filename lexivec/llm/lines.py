@@ -12,12 +12,13 @@ stock phrase stays; the spans removed are kept as offsets in the source text.
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -46,6 +47,14 @@ def units(text: str) -> list[tuple[int, int, list[bytes]]]:
     return out
 
 
+_BYTE_ENDS = re.compile(rb"(?<=[.!?])[\x20\x09-\x0D]+|\n")
+
+
+def _unit_words(text: str) -> list[list[bytes]]:
+    """The words of each unit, as :func:`units` has them."""
+    return [w for part in _BYTE_ENDS.split(text.encode("utf-8").lower()) if (w := part.split())]
+
+
 def _form(w: list[bytes]) -> bytes:
     return b" ".join(w)
 
@@ -57,19 +66,25 @@ def _name(w: list[bytes]) -> int:
 def unit_digests(docs: DataFrame) -> DataFrame:
     """``key, text_hash, unit, n, before, after, d1, d2`` for each unit: its
     number, its words, those of its neighbours, its digest; no shuffle."""
-    fields = [("key", pa.int64()), ("text_hash", pa.int64()), *[(c, pa.int32()) for c in ("unit", "n", "before", "after")], ("d1", pa.int64()), ("d2", pa.int64())]
-    out = pa.schema(fields)
+    names = ["key", "text_hash", "unit", "n", "before", "after", "d1", "d2"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in in_slices(batches, 500):
-            rows = []
-            for key, h, text in zip(*(c.to_pylist() for c in b.columns)):
-                found = [w for *_, w in units(text)]
-                sizes = [0, *map(len, found), 0]
-                for k, w in enumerate(found):
-                    d = hashlib.blake2b(_form(w), digest_size=16).digest()
-                    rows.append((key, h, k, len(w), sizes[k], sizes[k + 2], int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True)))
-            yield batch(out, rows)
+            sizes, digests, counts = [], [], []
+            for text in b.column(2).to_pylist():
+                found = _unit_words(text)
+                counts.append(len(found))
+                sizes += [0, *map(len, found), 0]
+                digests += [xxhash.xxh3_128_digest(_form(w)) for w in found]
+            counts = np.array(counts, np.int64)
+            d = np.frombuffer(b"".join(digests), ">i8").astype(np.int64).reshape(-1, 2)
+            start = np.cumsum(counts) - counts
+            unit = np.arange(len(d)) - np.repeat(start, counts)
+            at = np.arange(len(d)) + np.repeat(2 * np.arange(len(counts)) + 1, counts)  # in sizes, which has a zero on either side of a text's
+            sizes = np.array(sizes, np.int32)
+            rows = pa.array(np.repeat(np.arange(len(counts)), counts))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(1).take(rows), pa.array(unit.astype(np.int32)), *[pa.array(sizes[at + k]) for k in (0, -1, 1)],
+                                              pa.array(np.ascontiguousarray(d[:, 0])), pa.array(np.ascontiguousarray(d[:, 1]))], names=names)
 
     return _texts(docs).mapInArrow(run, "key long, text_hash long, unit int, n int, before int, after int, d1 long, d2 long")
 
@@ -78,24 +93,20 @@ def _texts(docs: DataFrame) -> DataFrame:
     return id_and_text(docs).select(plain_key(F.col("doc_id")).alias("key"), F.xxhash64("text").alias("text_hash"), "text")
 
 
-def runs(repeated: list[tuple[int, int, int, int, tuple]], least: int) -> list[tuple[int, int, int, tuple]]:
-    """``(first, last, words, source)`` of each run of repeated units that may
-    reach ``least`` words with its neighbours.  ``repeated``: ``(unit, words,
-    words before, words after, first occurrence)``, sorted.  ``source`` is
-    where the run's longest unit first occurs, moved to the run's first unit."""
-    out = []
-    at = 0
-    while at < len(repeated):
-        end = at + 1
-        while end < len(repeated) and repeated[end][0] == repeated[end - 1][0] + 1:
-            end += 1
-        own = repeated[at:end]
-        n = sum(r[1] for r in own)
-        if n + own[0][2] + own[-1][3] >= least:
-            unit, _, _, _, (key, h, first) = max(own, key=lambda r: (r[1], -r[0]))
-            out.append((own[0][0], own[-1][0], n, (key, h, first - (unit - own[0][0]))))
-        at = end
-    return out
+def runs(doc: np.ndarray, unit: np.ndarray, n: np.ndarray, before: np.ndarray, after: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of repeated units that may reach ``least`` words with their
+    neighbours, as ``(first, last, words, longest)``: indices of the run's
+    first, last and longest (the first of equals) entry, and its words.
+    Entries are sorted by document and unit."""
+    if not len(unit):
+        return (np.empty(0, np.int64),) * 4
+    first = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (unit[1:] != unit[:-1] + 1)])
+    last = np.r_[first[1:], len(unit)] - 1
+    n_words = np.add.reduceat(n.astype(np.int64), first)
+    size = len(unit) + 1
+    longest = size - 1 - np.maximum.reduceat(n.astype(np.int64) * size + (size - 1 - np.arange(len(unit))), first) % size
+    keep = n_words + before[first] + after[last] >= least
+    return first[keep], last[keep], n_words[keep], longest[keep]
 
 
 def run_table(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
@@ -106,15 +117,20 @@ def run_table(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
     first = checkpointed(found.groupBy("d1", "d2").agg(F.min("rank").alias("source"), F.max("rank").alias("last")).where("source <> last").select("d1", "d2", "source"))
     later = found.join(first, ["d1", "d2"]).where("rank <> source")
     per_doc = later.groupBy("key", "text_hash").agg(F.sort_array(F.collect_set(F.struct("unit", "n", "before", "after", "source"))).alias("units"))  # at most a text's units
-    out = pa.schema([(c, pa.int32() if c in ("first", "last", "words", "s_first") else pa.int64()) for c in ("key", "text_hash", "first", "last", "words", "s_key", "s_hash", "s_first")])
+    names = ["key", "text_hash", "first", "last", "words", "s_key", "s_hash", "s_first"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in in_slices(batches, 500):
-            rows = []
-            for key, h, given in zip(*(c.to_pylist() for c in b.columns)):
-                repeated = [(u["unit"], u["n"], u["before"], u["after"], tuple(u["source"].values())) for u in given]
-                rows += [(key, h, a, z, n, *source) for a, z, n, source in runs(repeated, least)]
-            yield batch(out, rows)
+        for b in batches:
+            lists = b.column(2)
+            doc = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+            cells = lists.flatten()
+            unit, n, before, after = (cells.field(c).to_numpy(zero_copy_only=False) for c in ("unit", "n", "before", "after"))
+            s_key, s_hash, s_unit = (cells.field("source").field(c).to_numpy(zero_copy_only=False) for c in ("key", "text_hash", "unit"))
+            first, last, n_words, longest = runs(doc, unit, n, before, after, least)
+            own = pa.array(doc[first] if len(first) else np.empty(0, np.int64))
+            # The source is where the longest unit first occurs, moved to the run's first unit.
+            cols = [unit[first], unit[last], n_words.astype(np.int32), s_key[longest], s_hash[longest], s_unit[longest] - (unit[longest] - unit[first])]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(own), b.column(1).take(own), *map(pa.array, cols)], names=names)
 
     return per_doc.mapInArrow(run, "key long, text_hash long, first int, last int, words int, s_key long, s_hash long, s_first int")
 
@@ -140,7 +156,7 @@ def _beside(docs: DataFrame, at: DataFrame) -> DataFrame:
         for b in in_slices(batches, 500):
             rows = []
             for key, h, text, wanted in zip(*(c.to_pylist() for c in b.columns)):
-                found = [w for *_, w in units(text)]
+                found = _unit_words(text)
 
                 def form(k: int) -> bytes:
                     return _form(found[k]) if 0 <= k < len(found) else b""
