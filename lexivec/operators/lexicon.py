@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexivec.functions import text as T
+from lexivec.operators import scoring
 from lexivec.operators.lookup import lookup_tokens
 from lexivec.session import sized_broadcast
 
@@ -51,10 +52,16 @@ def lexicon_scores(docs: DataFrame, items: Column, lexicon: DataFrame, id_col: s
     net, max_pos, max_neg (absolute), last_nonzero (absolute score of the last
     scored item) and last_score (signed score of the last item, 0 if none).
 
-    Plan: posexplode -> broadcast hash join (lexicon) -> hash aggregate by
-    document.  The aggregate is partial before the shuffle, so only one small
-    row per document and task crosses the network, whatever the text length.
+    Plan: a lexicon of proven size comes to the documents, which stay where
+    they are (:mod:`lexivec.operators.scoring`).  Any other: posexplode, join,
+    hash aggregate by document; the aggregate is partial before the shuffle.
     """
+    held = scoring.unigram_scores(docs, items, scored(lexicon), id_col)
+    return held if held is not None else _scores_by_join(docs, items, lexicon, id_col)
+
+
+def _scores_by_join(docs: DataFrame, items: Column, lexicon: DataFrame, id_col: str) -> DataFrame:
+    """:func:`lexicon_scores` with the lexicon as a table of any size."""
     lex = sized_broadcast(scored(lexicon).where(F.col("score").isNotNull())
                           .select(F.col("term").alias("_key"), F.col("score").alias("_score")))
     exploded = docs.select(F.col(id_col), F.posexplode_outer(items).alias("_pos", "_item"))
@@ -105,15 +112,22 @@ def pair_scores(docs: DataFrame, items: Column, pair_lexicon: DataFrame, id_col:
     order) followed by all unigrams of the (possibly ``_NEG``-marked) tokens.
     A pair with a mark on either side is negated and flips the sign.
 
-    Pairs are never enumerated.  Grams that occur on either side of the pair
-    lexicon are grouped per (document, gram) into sorted chain positions,
-    negated ones marked; each (document, lexicon pair) counts its position
-    pairs by a merge of the two lists, once for all and once for the unmarked
-    positions.  Its last occurrence is the greatest right position with the
-    greatest left one below it.  No window, no pair table, no cache.
+    Pairs are never enumerated: each (document, lexicon pair) counts its
+    position pairs from the sorted positions of its two grams, once for all
+    and once for the unmarked ones.  A lexicon of proven size comes to the
+    documents, which stay where they are; any other is joined.
     """
     lex = (scored(pair_lexicon).join(pair_lexicon.select("term", "left", "right"), "term")
            .where(F.col("score").isNotNull()).select("left", "right", "score"))
+    held = scoring.pair_scores(docs, items, lex, id_col)
+    return held if held is not None else _pairs_by_join(docs, items, lex, id_col)
+
+
+def _pairs_by_join(docs: DataFrame, items: Column, lex: DataFrame, id_col: str) -> DataFrame:
+    """:func:`pair_scores` with ``lex(left, right, score)`` of any size: grams
+    on either side of it are grouped per (document, gram) into sorted chain
+    positions, and lists meet by a merge.  The last occurrence of a pair is
+    the greatest right position with the greatest left one below it."""
     by_left = sized_broadcast(lex.select(F.col("left").alias("g"), "right", "score"))
     sides = sized_broadcast(lex.select(F.explode(F.array("left", "right")).alias("g")).distinct())
     base = docs.select(id_col, items.alias("_t"))

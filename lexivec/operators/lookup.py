@@ -14,6 +14,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexivec.session import bounded_arrow
+
 MAX_KEYS = 1_000_000
 
 
@@ -22,12 +24,12 @@ def lookup_tokens(docs: DataFrame, toks: Column, table: DataFrame, id_col: str =
     """``(id, found)``: for each token of an array, in order, its value in
     ``table(key, value)`` (keys unique), else the entry of ``fallback`` (a
     parallel array) at its place, else null.  A null array counts as empty."""
-    head = table.select("key", "value").where(F.col("key").isNotNull()).limit(max_keys + 1).toArrow()
+    head = bounded_arrow(table.select("key", "value").where(F.col("key").isNotNull()), max_keys)
     listed = lambda c: F.coalesce(c, F.array().cast("array<string>"))
     asked = docs.select(id_col, listed(toks).alias("_t"), *[listed(c).alias("_f") for c in (fallback,) if c is not None])
-    if head.num_rows > max_keys:
+    if head is None:
         return _lookup_by_join(asked, table, id_col)
-    held = docs.sparkSession.sparkContext.broadcast((head["key"].combine_chunks(), head["value"].combine_chunks()))
+    held = docs.sparkSession.sparkContext.broadcast(tuple(pa.concat_arrays(head[c].chunks) if head.num_rows else pa.array([], head.schema.field(c).type) for c in ("key", "value")))
 
     def found(batches):
         keys, values = held.value

@@ -3,15 +3,19 @@
 R1 uses the class-sum identity: with Jacobi updates the class sum is
 invariant, so every word iterates on its own against one precomputed sum
 (one aggregation, no neighbour join).  R2 couples classes through their sums,
-so each iteration aggregates a (#classes x dim) table.  R4 joins the synonym
+which follow a recurrence over one row per class.  R4 joins the synonym
 graph once per iteration; lineage is cut with reliable checkpoints.
-R1/R2 process vectors in long format ``(word, dim, value)``, so huge classes
-are spread over tasks by (class, dim) partial aggregation; R4 keeps whole
-arrays and sums neighbours with a partial vector aggregate.
+R1 processes vectors in long format ``(word, dim, value)``, so huge classes
+are spread over tasks by (class, dim) partial aggregation; R2, R3 and R4 keep
+whole arrays and sum them with a partial vector aggregate.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,27 +51,69 @@ def retrofit_class(vectors: DataFrame, lexicon: DataFrame, a: float = 0.5, b: fl
     return j.select("word", F.col("dim").cast("long").alias("dim"), val.alias("value"))
 
 
+def _class_path(v0: np.ndarray, n: np.ndarray, totals: list[np.ndarray], a: float, b: float, c: float) -> tuple[np.ndarray, np.ndarray]:
+    """Class sums after ``len(totals)`` steps of :func:`retrofit_repel`, and
+    what those steps add to each member besides a multiple of its own vector.
+    ``v0``: original class sums, ``n``: members less one, ``totals``: the sum
+    of all classes before each step."""
+    s, added = v0.copy(), np.zeros_like(v0)
+    live = (n > 0)[:, None]
+    scale = np.where(n > 0, n * (a + b), 1.0)[:, None]
+    for t in totals:
+        pull = (b * s - c * (t - s)) / scale
+        added = np.where(live, pull - b / scale * added, 0.0)
+        # All n + 1 members are pulled alike; of their own vectors each gives back b / scale.
+        s = np.where(live, n[:, None] * a * v0 / scale + (n[:, None] + 1) * pull - b / scale * s, s)
+    return s, added
+
+
 def retrofit_repel(vectors: DataFrame, lexicon: DataFrame, a: float = 1.0, b: float = 1.0, c: float = 1.0,
-                   n_iter: int = 10, checkpoint_every: int = 3) -> DataFrame:
+                   n_iter: int = 10) -> DataFrame:
     """R2: R1 minus ``c`` times the sum of the other classes' words:
     ``q <- (n a q0 + b (S_c - q) - c (T - S_c)) / (n (a + b))``; n = 0 keeps the
-    vector.  Class sums ``S_c`` and total ``T`` are recomputed each iteration
-    (a #classes x dim table, broadcast).  Only lexicon words take part."""
-    ensure_checkpoint_dir(vectors.sparkSession)
-    lex = lexicon.select(F.col("term").alias("word"), "cls").join(vectors.select("word"), "word", "left_semi")
-    sizes = lex.groupBy("cls").agg((F.count(F.lit(1)) - 1).alias("n"))
-    cur = _long(vectors).join(lex, "word").join(sized_broadcast(sizes), "cls").withColumn("q", F.col("v0"))
-    for it in range(n_iter):
-        s = cur.groupBy("cls", "dim").agg(F.sum("q").alias("S"))
-        t = s.groupBy("dim").agg(F.sum("S").alias("T"))
-        st = sized_broadcast(s.join(t, "dim"))
-        n = F.col("n")
-        new_q = (n * a * F.col("v0") + b * (F.col("S") - F.col("q")) - c * (F.col("T") - F.col("S"))) / (n * (a + b))
-        cur = cur.join(st, ["cls", "dim"]).select("word", "cls", "dim", "n", "v0",
-                                                   F.when(n > 0, new_q).otherwise(F.col("v0")).alias("q"))
-        if (it + 1) % checkpoint_every == 0:
-            cur = checkpointed(cur)
-    return cur.select("word", F.col("dim").cast("long").alias("dim"), F.round("q", 6).alias("value"))
+    vector.  Only lexicon words take part.  Output long ``(word, dim, value)``.
+
+    The class sums ``S_c`` follow a recurrence of their own, so the iterations
+    run over one row per class; each sends the driver the total ``T``, a single
+    vector.  A word's vector is then ``alpha_c q0 + G_c``, made in one pass."""
+    lex = lexicon.select(F.col("term").alias("word"), "cls")
+    members = vectors.select("word", "vec").join(lex, "word")
+    sums = members.groupBy("cls").agg(vector_to_array(Summarizer.sum(array_to_vector("vec"))).alias("v0"), (F.count(F.lit(1)) - 1).cast("double").alias("n"))
+    sums = checkpointed(sums)  # one row per class
+    totals: list[np.ndarray] = []
+
+    def path(batches: Iterator[pa.RecordBatch], upto: list[np.ndarray]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
+        for batch in batches:
+            if batch.num_rows:
+                n = batch.column(2).to_numpy()
+                yield batch, n, *_class_path(np.stack(batch.column(1).to_numpy(zero_copy_only=False)), n, upto, a, b, c)
+
+    for _ in range(n_iter):
+        upto = list(totals)
+
+        def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            parts = [s.sum(axis=0) for _, _, s, _ in path(batches, upto)]
+            if parts:
+                yield pa.RecordBatch.from_arrays([pa.array([np.sum(parts, axis=0)], pa.list_(pa.float64()))], names=["t"])
+
+        parts = sums.select("cls", "v0", "n").mapInArrow(partial, "t array<double>")
+        total = parts.groupBy(F.lit(0)).agg(vector_to_array(Summarizer.sum(array_to_vector("t"))).alias("t")).first()
+        if total is None:  # no class
+            break
+        totals.append(np.array(total["t"]))
+
+    def steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, n, _, added in path(batches, totals):
+            back = np.where(n > 0, -b / np.where(n > 0, n * (a + b), 1.0), 0.0)
+            alpha = np.ones(len(n))
+            for _ in totals:
+                alpha = np.where(n > 0, a / (a + b) + back * alpha, 1.0)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(alpha), pa.array(list(added), pa.list_(pa.float64()))], names=["cls", "alpha", "added"])
+
+    kind = lexicon.schema["cls"].dataType.simpleString()
+    moved = sums.select("cls", "v0", "n").mapInArrow(steps, f"cls {kind}, alpha double, added array<double>")
+    done = members.join(sized_broadcast(moved), "cls").select("word", F.zip_with("vec", "added", lambda v, g: F.col("alpha") * v + g).alias("q"))
+    return done.select("word", F.posexplode("q").alias("dim", "q")).select("word", F.col("dim").cast("long").alias("dim"), F.round("q", 6).alias("value"))
 
 
 def retrofit_graph(vectors: DataFrame, edges: DataFrame, n_iter: int = 10, checkpoint_every: int = 3) -> DataFrame:

@@ -1,46 +1,17 @@
 """Word-vector operators: normalisation, cosine, exact k-nearest neighbours,
 closest-in-lexicon scores and ranks, mean vectors.
 
-Similarity search keeps the big side (the vocabulary) distributed: its
-partitions are multiplied block by block against a bounded, size-checked query
-matrix (lexicon words or a sample) with NumPy inside ``mapInPandas``; each
-partition emits its top-k once, and a final window per query keeps the global
-top-k.  No cross join, no pair table.
+Similarity search runs in :mod:`lexivec.operators.similarity`: both sides stay
+distributed and meet in pairs of blocks.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-DEFAULT_MAX_QUERIES = 50_000  # broadcast chunk: 50k x 300 dims x 8 bytes = 120 MB
-ROW_BLOCK, QUERY_BLOCK = 4_096, 1_024  # one block of cosines: 32 MB
-
-
-def _chunked(df: DataFrame, key: str, max_rows: int, run) -> DataFrame:
-    """Apply ``run(chunk) -> DataFrame`` to ``df`` directly when it has at most
-    ``max_rows`` rows, else to consecutive ranges of a global order of ``key``
-    (each at most ``max_rows``); chunk results are written under the
-    checkpoint folder and read back together.  Exact: every row is processed."""
-    import math
-    import uuid
-    from lexivec.operators.ordering import global_index
-    from lexivec.session import ensure_checkpoint_dir
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return run(df)
-    spark = df.sparkSession
-    g = global_index(df, [F.col(key)], "_ci")
-    total = g.count()
-    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/chunks/{uuid.uuid4().hex}"
-    paths = []
-    for c in range(math.ceil(total / max_rows)):
-        part = g.where((F.col("_ci") > c * max_rows) & (F.col("_ci") <= (c + 1) * max_rows)).drop("_ci")
-        path = f"{base}/chunk={c}"
-        run(part).write.mode("overwrite").parquet(path)
-        paths.append(path)
-    return spark.read.parquet(*paths)
+from lexivec.operators import similarity
+from lexivec.operators.similarity import QUERY_BLOCK, ROW_BLOCK
 
 
 def l2_norm(vec: Column) -> Column:
@@ -65,165 +36,42 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / (l2_norm(a) * l2_norm(b))
 
 
-def _bounded_matrix(df: DataFrame, key: str, vec: str, max_rows: int):
-    """Collect a bounded (size-checked) query side as (keys, unit-row matrix)."""
-    rows = df.select(key, vec).limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        raise ValueError(f"query side exceeds {max_rows} rows; sample it or raise max_rows")
-    keys = [r[0] for r in rows]
-    m = np.array([r[1] for r in rows], dtype=np.float64) if rows else np.zeros((0, 1))
-    n = np.linalg.norm(m, axis=1, keepdims=True)
-    n[n == 0] = 1.0
-    return keys, m / n
-
-
-def knn(vectors: DataFrame, queries: DataFrame, k: int, exclude_self: bool = True,
-        max_queries: int = DEFAULT_MAX_QUERIES, exclude_col: str | None = None,
+def knn(vectors: DataFrame, queries: DataFrame, k: int, exclude_self: bool = True, exclude_col: str | None = None,
         row_block: int = ROW_BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
     """Exact cosine top-k neighbours ``(query, word, rank, sim)``.
 
-    ``vectors(word, vec)`` is the searched vocabulary (any size, stays
-    distributed); ``queries(word, vec[, exclude])`` is broadcast in chunks of
-    at most ``max_queries`` rows; ``exclude_col`` names an array of words never
-    returned for that query (analogy inputs).  A task multiplies at most
-    ``row_block`` words by ``query_block`` queries at once, keeps a running
-    top-k, and emits it once.  Ties are broken by word; rank is 1-based.
+    ``vectors(word, vec)`` is the searched vocabulary, ``queries(word, vec[,
+    exclude])`` are the asked vectors, both of any size; ``exclude_col`` names
+    an array of words never returned for that query (analogy inputs).  Ties
+    are broken by word; rank is 1-based.
     """
-    return _chunked(queries, "word", max_queries,
-                    lambda q: _knn_chunk(vectors, q, k, exclude_self, max_queries, exclude_col, row_block, query_block))
-
-
-class _TopK:
-    """The k best words so far of each query in one block of queries."""
-
-    def __init__(self, k: int, n: int):
-        self.k, self.floor = k, np.full(n, -np.inf)
-        self.query, self.sim, self.word = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, "U1")
-
-    def add(self, sims: np.ndarray, words: np.ndarray) -> None:
-        """Fold in ``sims`` (words x queries); -inf marks excluded pairs."""
-        spare = max(sims.shape[0] - self.k, 0)
-        floor = np.maximum(self.floor, np.partition(sims, spare, axis=0)[spare])
-        r, c = np.nonzero((sims >= floor) & np.isfinite(sims))
-        query = np.concatenate([self.query, c])
-        sim = np.concatenate([self.sim, sims[r, c]])
-        word = np.concatenate([self.word, words[r]])
-        order = np.lexsort((word, -sim, query))
-        query = query[order]
-        place = np.arange(len(query)) - np.searchsorted(query, query)
-        kept = order[place < self.k]
-        last = place == self.k - 1
-        self.floor[query[last]] = sim[order[last]]
-        self.query, self.sim, self.word = query[place < self.k], sim[kept], word[kept]
-
-
-def _unit(rows) -> np.ndarray:
-    """Rows of unit length; zero rows stay."""
-    m = np.stack(rows).astype(np.float64)
-    n = np.linalg.norm(m, axis=1, keepdims=True)
-    return m / np.where(n == 0, 1.0, n)
-
+    return similarity.top_k(vectors, queries, k, exclude_self, exclude_col, row_block, query_block)
 
-def _slices(n: int, size: int):
-    return [slice(i, min(i + size, n)) for i in range(0, n, size)]
 
-
-def _knn_chunk(vectors: DataFrame, queries: DataFrame, k: int, exclude_self: bool, max_queries: int,
-               exclude_col: str | None, row_block: int, query_block: int) -> DataFrame:
-    spark = vectors.sparkSession
-    qkeys, qmat = _bounded_matrix(queries, "word", "vec", max_queries)
-    barred: dict[str, list[int]] = {}
-    if exclude_self:
-        for i, w in enumerate(qkeys):
-            barred.setdefault(w, []).append(i)
-    if exclude_col:
-        at = {w: i for i, w in enumerate(qkeys)}
-        for key, words in queries.select("word", exclude_col).limit(max_queries + 1).collect():
-            for w in words or []:
-                barred.setdefault(w, []).append(at[key])
-    bq = spark.sparkContext.broadcast((qkeys, qmat, barred))
-
-    def best(batches):
-        keys, q, bars = bq.value
-        blocks = _slices(len(keys), query_block)
-        tops = [_TopK(k, b.stop - b.start) for b in blocks]
-        for pdf in batches:
-            for rows in _slices(len(pdf), row_block):
-                words = pdf["word"].to_numpy()[rows]
-                v = _unit(pdf["vec"].to_numpy()[rows])
-                hits = [(r, j) for r, w in enumerate(words) for j in bars.get(w, ())]
-                hr, hj = np.array(hits, dtype=np.int64).reshape(-1, 2).T
-                for b, top in zip(blocks, tops):
-                    sims = v @ q[b].T
-                    here = (hj >= b.start) & (hj < b.stop)
-                    sims[hr[here], hj[here] - b.start] = -np.inf
-                    top.add(sims, words.astype(str))
-        names = np.asarray(keys, dtype=object)
-        for b, top in zip(blocks, tops):
-            yield pd.DataFrame({"query": names[b][top.query], "word": top.word.astype(object), "sim": top.sim})
-
-    part = vectors.select("word", "vec").mapInPandas(best, "query string, word string, sim double")
-    w = Window.partitionBy("query").orderBy(F.col("sim").desc(), F.col("word"))
-    top = part.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    return top.select("query", "word", F.col("rank").cast("long").alias("rank"), "sim")
-
-
-def with_classes(df: DataFrame, lexicon: DataFrame, name: str = "_classes") -> DataFrame:
-    """Add the sorted list of a lexicon's classes to every row: a one-row
-    table is broadcast, nothing passes through the driver's program."""
-    one = lexicon.select("cls").distinct().agg(F.array_sort(F.collect_list("cls")).alias(name))
-    return df.join(F.broadcast(one))
-
-
-def closest_class_scores(vectors: DataFrame, lexicon: DataFrame, max_members: int = DEFAULT_MAX_QUERIES,
-                         words: DataFrame | None = None) -> DataFrame:
+def closest_class_scores(vectors: DataFrame, lexicon: DataFrame, words: DataFrame | None = None,
+                         row_block: int = ROW_BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
     """Per word and class, the max cosine to any class member in the
     vocabulary (a member scores 1.0 with itself).  Output ``(word, cls, score)``.
-    The member matrix is broadcast in chunks of at most ``max_members`` rows;
-    chunk maxima are combined with a final max per (word, class).  ``words``
-    may name the words to score: those outside the vocabulary get -1 for every
-    class.  A lexicon without a word in the vocabulary gives no rows for the
-    words inside it."""
-    members = lexicon.join(vectors.withColumnRenamed("word", "term"), "term", "left_semi")
-    mem = members.join(vectors.withColumnRenamed("word", "term"), "term").select("term", "cls", "vec")
+    ``words`` may name the words to score: those outside the vocabulary get -1
+    for every class.  A lexicon without a word in the vocabulary gives no rows
+    for the words inside it."""
+    mem = lexicon.join(vectors.select(F.col("word").alias("term"), "vec"), "term").select(F.col("term").alias("word"), "cls", "vec")
     asked = vectors if words is None else vectors.join(words.select("word").distinct(), "word", "left_semi")
-    parts = _chunked(mem, "term", max_members, lambda m: _class_max_chunk(asked, m, max_members))
-    out = parts.groupBy("word", "cls").agg(F.max("score").alias("score"))
+    out = similarity.class_maxima(asked, mem, row_block, query_block)
     if words is None:
         return out
     unknown = words.select("word").distinct().join(vectors.select("word"), "word", "left_anti")
-    none = with_classes(unknown, mem).select("word", F.explode("_classes").alias("cls"), F.lit(-1.0).alias("score"))
+    none = similarity.with_pieces(unknown, mem, "cls").select("word", "cls", F.lit(-1.0).alias("score"))
     return out.unionByName(none)
 
 
-def _class_max_chunk(vectors: DataFrame, mem: DataFrame, max_members: int) -> DataFrame:
-    rows = mem.limit(max_members + 1).collect()
-    if len(rows) > max_members:
-        raise ValueError("lexicon side too large to broadcast")
-    members: dict[str, list] = {}
-    for r in rows:
-        members.setdefault(r["cls"], []).append(r["vec"])
-    bq = vectors.sparkSession.sparkContext.broadcast({c: _unit(v) for c, v in members.items()})
-
-    def per_class_max(batches):
-        classes = bq.value
-        for pdf in batches:
-            for rows in _slices(len(pdf), ROW_BLOCK):
-                v = _unit(pdf["vec"].to_numpy()[rows])
-                for cls, m in classes.items():
-                    score = np.max([np.max(v @ m[b].T, axis=1) for b in _slices(len(m), QUERY_BLOCK)], axis=0)
-                    yield pd.DataFrame({"word": pdf["word"].to_numpy()[rows], "cls": cls, "score": score})
-
-    return vectors.select("word", "vec").mapInPandas(per_class_max, "word string, cls string, score double")
-
-
 def closest_class_ranks(neighbours: DataFrame, lexicon: DataFrame, topn: int, words: DataFrame) -> DataFrame:
     """For each word and class, ``(rank-1)/topn`` of the closest top-n
     neighbour in that class (D8 fixed: first hit), default 2.0 when the class
     has no word among the neighbours.  ``neighbours`` comes from :func:`knn`."""
     hits = (neighbours.join(lexicon.select(F.col("term").alias("word"), "cls"), "word")
             .groupBy("query", "cls").agg(F.min("rank").alias("r")))
-    grid = with_classes(words.select(F.col("word").alias("query")), lexicon).select("query", F.explode("_classes").alias("cls"))
+    grid = similarity.with_pieces(words.select(F.col("word").alias("query")), lexicon, "cls")
     out = grid.join(hits, ["query", "cls"], "left")
     return out.select(F.col("query").alias("word"), "cls",
                       F.coalesce((F.col("r") - 1) / F.lit(float(topn)), F.lit(2.0)).alias("rank_score"))
@@ -255,29 +103,32 @@ def to_long(df: DataFrame, key: str, vec: str = "vec", digits: int = 6) -> DataF
 
 def analogy_queries(questions: DataFrame, vectors: DataFrame) -> DataFrame:
     """Query vector ``b - a + c`` over unit vectors (normalised), with
-    ``a, b, c`` excluded from the answers.  ``questions(qid, section, a, b, c, d)``;
-    questions with a word outside the vocabulary are dropped."""
+    ``a, b, c`` excluded from the answers.  ``questions(qid, section[,
+    section_no], a, b, c, d)``; questions with a word outside the vocabulary
+    are dropped."""
     u = vectors.select("word", l2_normalize(F.col("vec")).alias("u"))
     j = questions
     for w in ("a", "b", "c"):
         j = j.join(u.select(F.col("word").alias(w), F.col("u").alias(f"u{w}")), w)
     v = F.zip_with(F.zip_with("ub", "ua", lambda x, y: x - y), F.col("uc"), lambda x, y: x + y)
-    return j.select(F.col("qid").alias("word"), "section", "d", l2_normalize(v).alias("vec"),
+    number = F.col("section_no").cast("long") if "section_no" in questions.columns else F.lit(None).cast("long")
+    return j.select(F.col("qid").alias("word"), "section", number.alias("section_no"), "d", l2_normalize(v).alias("vec"),
                     F.array("a", "b", "c").alias("exclude"))
 
 
 def analogy_accuracy(questions: DataFrame, vectors: DataFrame, semantic_sections: int = 5) -> DataFrame:
     """Top-1 answer of every question; accuracy per section and
-    whether the section is semantic (the first ``semantic_sections`` sections
-    in section order) or syntactic."""
+    whether the section is semantic (one of the first ``semantic_sections``
+    with a question left, by ``section_no``, their order in the file) or
+    syntactic.  Without that column sections go by name."""
     q = analogy_queries(questions, vectors)
     top = knn(vectors, q.select("word", "vec", "exclude"), 1, exclude_self=False, exclude_col="exclude")
-    res = q.select(F.col("word").alias("query"), "section", "d").join(top.select("query", F.col("word").alias("answer")),
-                                                                       "query", "left")
-    per = res.groupBy("section").agg(F.count(F.lit(1)).alias("n_questions"),
+    res = q.select(F.col("word").alias("query"), "section", "section_no", "d").join(top.select("query", F.col("word").alias("answer")),
+                                                                                     "query", "left")
+    per = res.groupBy("section").agg(F.count(F.lit(1)).alias("n_questions"), F.min("section_no").alias("section_no"),
                                      F.sum((F.col("answer") == F.col("d")).cast("int")).alias("n_correct"))
     from lexivec.operators.ordering import global_index
-    per = global_index(per, [F.col("section")], "_no")
+    per = global_index(per, [F.col("section_no").asc_nulls_last(), F.col("section")], "_no")
     return per.select("section", F.when(F.col("_no") <= semantic_sections, "semantic").otherwise("syntactic").alias("kind"),
                       F.col("n_questions").cast("long").alias("n_questions"),
                       F.coalesce(F.col("n_correct"), F.lit(0)).cast("long").alias("n_correct"),

@@ -117,7 +117,9 @@ def tweet_tokens_q(spark, sf_dir):
                     F.array_join("tok", " ").alias("tokens"))
 
 
-query("tweet_tokens")(tweet_tokens_q)
+# These texts hold words, dots and commas only; runs of three ASCII letters end where another letter follows.
+query("tweet_tokens", r"""WITH t AS (SELECT conv_id, turn, regexp_extract_all(text, '[A-Za-z]{3,}|[\p{L}]+|\.(?:\s*\.)+|\S') AS tok FROM conversations)
+SELECT conv_id, turn, len(tok)::BIGINT AS n_tokens, lower(array_to_string(tok, ' ')) AS tokens FROM t""")(tweet_tokens_q)
 
 
 def train_word2vec(spark, sf_dir):

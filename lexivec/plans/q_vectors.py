@@ -152,13 +152,14 @@ query("synonyms", """SELECT label::VARCHAR AS cls, string_agg(vec_id::VARCHAR, '
 
 def antonyms(spark, sf_dir):
     """C4: for each word, one row per other class (its antonym list is that
-    class's synonym line).  The other classes are exploded from the
-    class list (no theta join); word lists are not repeated per word, which
+    class's synonym line).  The other classes come in numbered
+    pieces of the class list (no theta join); word lists are not repeated per word, which
     would emit every cross-class word pair."""
+    from lexivec.operators.similarity import with_pieces
     from lexivec.session import sized_broadcast
     lex = S.vector_lexicon(spark, sf_dir)
     sizes = lex.groupBy(F.col("cls").alias("other_cls")).agg(F.count(F.lit(1)).alias("n_antonyms"))
-    w = V.with_classes(lex, lex).select("term", "cls", F.explode(F.array_remove("_classes", F.col("cls"))).alias("other_cls"))
+    w = with_pieces(lex, lex.select(F.col("cls").alias("other_cls")), "other_cls").where("cls <> other_cls")
     return w.join(sized_broadcast(sizes), "other_cls").select("term", "cls", "other_cls", "n_antonyms")
 
 
@@ -169,14 +170,15 @@ SELECT a.term, a.cls, b.cls AS other_cls, b.n_antonyms FROM l a JOIN sz b ON b.c
 
 def _questions(spark, sf_dir):
     """Analogy questions from the vector table: four consecutive ids of a label
-    (section = label)."""
+    (section = label; sections in the order of their first id)."""
     from lexivec.operators.ordering import successors
     e = S.load(spark, sf_dir, "embeddings").select("vec_id", "label")
     n = successors(e, "label", "vec_id", [1, 2, 3])
     q = n.select(F.col("label").cast("string").alias("section"), F.col("vec_id").cast("string").alias("a"),
                  F.col("vec_id_1").cast("string").alias("b"), F.col("vec_id_2").cast("string").alias("c"),
                  F.col("vec_id_3").cast("string").alias("d"))
-    return q.where(F.col("d").isNotNull()).withColumn("qid", F.col("a"))
+    order = e.groupBy(F.col("label").cast("string").alias("section")).agg(F.min("vec_id").alias("section_no"))
+    return q.where(F.col("d").isNotNull()).withColumn("qid", F.col("a")).join(order, "section")
 
 
 def analogy_accuracy(spark, sf_dir):
@@ -195,7 +197,7 @@ best AS (SELECT * FROM (SELECT qv.a, qv.section, qv.d, x.word AS answer,
            row_number() OVER (PARTITION BY qv.a ORDER BY list_cosine_similarity(qv.qv, x.vec) DESC, x.word) AS r
          FROM qv JOIN v x ON x.word NOT IN (qv.a, qv.b, qv.c)) WHERE r = 1),
 per AS (SELECT section, count(*) AS n_questions, sum((answer = d)::INTEGER) AS n_correct FROM best GROUP BY section),
-ranked AS (SELECT *, row_number() OVER (ORDER BY section) AS sr FROM per)
+ranked AS (SELECT per.*, row_number() OVER (ORDER BY o.first) AS sr FROM per JOIN (SELECT label::VARCHAR AS section, min(vec_id) AS first FROM embeddings GROUP BY label) o USING (section))
 SELECT section, CASE WHEN sr <= 5 THEN 'semantic' ELSE 'syntactic' END AS kind, n_questions::BIGINT AS n_questions,
   n_correct::BIGINT AS n_correct, {r6('n_correct / n_questions')} AS accuracy FROM ranked""")(analogy_accuracy)
 

@@ -123,6 +123,15 @@ def sized_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS,
     return F.broadcast(df) if n <= max_rows and size <= max_bytes else df
 
 
+def bounded_arrow(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS, max_bytes: int = DEFAULT_BROADCAST_BYTES):
+    """``df`` as an Arrow table if it provably has at most ``max_rows`` rows
+    and about ``max_bytes`` bytes of payload, else None (nothing but the two
+    numbers reaches the driver then)."""
+    head = df.limit(max_rows + 1)
+    n, size = head.agg(F.count(F.lit(1)), F.coalesce(F.sum(_row_bytes(df)), F.lit(0))).first()
+    return head.toArrow().combine_chunks() if n <= max_rows and size <= max_bytes else None
+
+
 def round6(c):
     """Round a double column to 6 decimals (engine-neutral float comparison)."""
     return F.round(c.cast("double"), 6)

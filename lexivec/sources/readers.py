@@ -85,9 +85,11 @@ SCORE_SCHEMA = Ty.StructType([Ty.StructField("term", Ty.StringType()), Ty.Struct
 
 def read_nrc_scores(spark: SparkSession, path: str, strict: bool = False, pair: bool = False) -> DataFrame:
     """TSV ``term score n m``; malformed rows dropped (S8) or
-    failing (``strict``, S9/S10).  ``pair`` splits ``g1---g2`` keys."""
+    failing (``strict``, S9/S10); a term listed twice keeps its last row.
+    ``pair`` splits ``g1---g2`` keys."""
     df = (spark.read.option("sep", "\t").option("quote", "").option("mode", "FAILFAST" if strict else "DROPMALFORMED")
           .schema(SCORE_SCHEMA).csv(path))
+    df = dedupe_last_wins(df.withColumn("line_no", F.monotonically_increasing_id()), "line_no")
     if pair:
         parts = F.split("term", "---", 2)
         df = df.withColumn("left", parts[0]).withColumn("right", parts[1])
@@ -176,17 +178,34 @@ def read_simlex(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_analogies(spark: SparkSession, path: str) -> DataFrame:
-    """``: section`` lines followed by 4-word questions; the section is
-    carried forward by line order (max section start <= line)."""
-    lines = global_index(_lines(spark, path).select(_strip("value").alias("l"), "line_no"), [F.col("line_no")], "pos")
+    """``: section`` lines followed by 4-word questions; each question
+    gets its section and that section's number in the file (from 1).
+
+    Sections are carried forward within a partition of lines; a table of one
+    row per partition brings the last section of the partitions before it.
+    """
+    lines = _lines(spark, path).select(_strip("value").alias("l"), "line_no", F.shiftright("line_no", 33).alias("part"))
     head = F.col("l").startswith(":")
-    # The table of sections alone is ordered in one task; questions meet their section by line position.
-    sec = lines.where(head).select(_strip(F.expr("substring(l, 2)")).alias("section"), F.col("pos").alias("start"))
-    sec = sec.withColumn("end", F.lead("start").over(Window.orderBy("start")))
-    n = lines.count()
-    at = sec.select("section", F.explode(F.sequence("start", F.coalesce(F.col("end") - 1, F.lit(n)))).alias("pos"))
-    q = lines.where(~head).select(F.split("l", r"\s+").alias("w"), "line_no", "pos").where(F.size("w") == 4)
-    return q.join(at, "pos").select("section", *[F.col("w")[i].alias(c) for i, c in enumerate("abcd")], "line_no")
+    lines = lines.withColumn("own", F.when(head, _strip(F.expr("substring(l, 2)"))))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
+    parts = lines.groupBy("part").agg(F.count("own").alias("n"), F.max_by("own", F.when(head, F.col("line_no"))).alias("last"))
+    parts = parts.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n_before"), F.last("last", ignorenulls=True).over(before).alias("carried"))
+    upto = Window.partitionBy("part").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    at = lines.withColumn("n_own", F.count("own").over(upto)).withColumn("here", F.last("own", ignorenulls=True).over(upto)).join(parts, "part")
+    q = at.where(F.col("own").isNull()).select(F.coalesce("here", "carried").alias("section"), (F.col("n_before") + F.col("n_own")).alias("section_no"), F.split("l", r"\s+").alias("w"), "line_no")
+    q = q.where((F.size("w") == 4) & F.col("section").isNotNull())
+    return q.select("section", "section_no", *[F.col("w")[i].alias(c) for i, c in enumerate("abcd")], "line_no")
+
+
+def read_word_pairs(spark: SparkSession, path: str) -> DataFrame:
+    """Similarity ratings, lines ``w1<TAB>w2<TAB>score``; lines starting
+    with ``#`` and lines of another shape are skipped, a pair listed twice
+    keeps its last score."""
+    p = F.split("value", "\t")
+    lines = _lines(spark, path).where(~F.col("value").startswith("#")).select(p.alias("p"), "line_no").where(F.size("p") == 3)
+    rows = lines.select(F.struct(F.trim(F.col("p")[0]).alias("w1"), F.trim(F.col("p")[1]).alias("w2")).alias("pair"), F.expr("try_cast(trim(p[2]) AS double)").alias("score"), "line_no")
+    last = dedupe_last_wins(rows.where(F.col("score").isNotNull()), "line_no", key="pair")
+    return last.select("pair.w1", "pair.w2", "score")
 
 
 # Lexicon registry -------------------------------------------------------
@@ -207,12 +226,12 @@ def get_lexicon(spark: SparkSession, name: str) -> DataFrame:
 
 def read_mpqa_plus(spark: SparkSession, path: str, row_tag: str = "lexical_entry") -> DataFrame:
     """XML lexicon; per entry ``morpho/name`` -> word and
-    ``evaluation/@subtype`` -> polarity, kept when both are present (Spark's
-    built-in XML source)."""
+    ``evaluation/@subtype`` -> polarity, kept when both are present; a word
+    listed twice keeps its last entry (Spark's built-in XML source)."""
     df = spark.read.format("xml").option("rowTag", row_tag).load(path)
-    return (df.select(F.trim(F.col("morpho.name").cast("string")).alias("term"),
-                      F.col("evaluation._subtype").cast("string").alias("cls"))
-              .where(F.col("term").isNotNull() & F.col("cls").isNotNull()))
+    rows = df.select(F.trim(F.col("morpho.name").cast("string")).alias("term"),
+                     F.col("evaluation._subtype").cast("string").alias("cls"), F.monotonically_increasing_id().alias("entry_no"))
+    return dedupe_last_wins(rows.where(F.col("term").isNotNull() & F.col("cls").isNotNull()), "entry_no")
 
 
 def read_lidilem(spark: SparkSession, path: str, pol_col: int) -> DataFrame:

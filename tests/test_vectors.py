@@ -67,8 +67,8 @@ def test_knn_and_class_scores_chunked_equal_unchunked(spark):
     vec = df.select("word", "vec")
     lex = df.select(F.col("word").alias("term"), "cls")
     a = {(r.query, r.rank): r.word for r in V.knn(vec, vec, 4).collect()}
-    b = {(r.query, r.rank): r.word for r in V.knn(vec, vec, 4, max_queries=7).collect()}
+    b = {(r.query, r.rank): r.word for r in V.knn(vec, vec, 4, row_block=13, query_block=7).collect()}
     assert a == b and len(a) == 160
     c = {(r.word, r.cls): round(r.score, 9) for r in V.closest_class_scores(vec, lex).collect()}
-    d = {(r.word, r.cls): round(r.score, 9) for r in V.closest_class_scores(vec, lex, max_members=6).collect()}
+    d = {(r.word, r.cls): round(r.score, 9) for r in V.closest_class_scores(vec, lex, row_block=14, query_block=6).collect()}
     assert c == d and len(c) == 160
