@@ -97,7 +97,7 @@ def retrofit_repel(vectors: DataFrame, lexicon: DataFrame, a: float = 1.0, b: fl
                 yield pa.RecordBatch.from_arrays([pa.array([np.sum(parts, axis=0)], pa.list_(pa.float64()))], names=["t"])
 
         parts = sums.select("cls", "v0", "n").mapInArrow(partial, "t array<double>")
-        total = parts.groupBy(F.lit(0)).agg(vector_to_array(Summarizer.sum(array_to_vector("t"))).alias("t")).first()
+        total = parts.groupBy(F.lit("all")).agg(vector_to_array(Summarizer.sum(array_to_vector("t"))).alias("t")).first()
         if total is None:  # no class
             break
         totals.append(np.array(total["t"]))
