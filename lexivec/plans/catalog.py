@@ -27,7 +27,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _load_all() -> None:
-    from lexivec.plans import q_text, q_tables, q_vectors, q_eval, q_features, q_misc  # noqa: F401
+    from lexivec.plans import q_text, q_tables, q_vectors, q_eval, q_features, q_misc, q_classifier  # noqa: F401
 
 
 def queries() -> dict[str, QueryFn]:

@@ -15,7 +15,7 @@ from lexivec.operators import ml as M
 from lexivec.operators import vectors as V
 from lexivec.plans.catalog import query
 from lexivec.plans.q_text import marked_tokens
-from lexivec.plans.sqlparts import DOC_TOKENS_CTE, LEXICON_CTE, r6
+from lexivec.plans.sqlparts import CLASS_SCORE_SQL, DOC_TOKENS_CTE, LEXICON_CTE, NEG_MARK_CTE, r6, score_block_cte
 from lexivec.session import ensure_checkpoint_dir
 from lexivec.sources import readers as RD
 from lexivec.sources import sinks as K
@@ -219,13 +219,32 @@ def svd_features(spark, sf_dir):
 query("svd_features")(svd_features)
 
 
+def svd_gram(spark, sf_dir):
+    """M9 at full rank: components keep every row's length and its products
+    with the columns' sums, which SQL gives without an SVD."""
+    from pyspark.ml.feature import VectorAssembler
+    f = VectorAssembler(inputCols=FEATS, outputCol="features").transform(_features(spark, sf_dir))
+    out = M.svd_projection(f, "features", len(FEATS), "doc_id")
+    return out.select("doc_id", F.round(F.aggregate("components", F.lit(0.0), lambda a, x: a + x * x), 3).alias("length2"))
+
+
+query("svd_gram", f"""WITH {LEXICON_CTE}, {DOC_TOKENS_CTE}, {NEG_MARK_CTE},
+{score_block_cte('mk', CLASS_SCORE_SQL, 'blk')},
+d AS (SELECT doc_id, text, string_split(regexp_replace(text, '\\s+', ' ', 'g'), ' ') AS tok FROM documents),
+syn AS (SELECT doc_id, len(list_filter(tok, lambda w: upper(w) = w AND lower(w) <> w)) AS n_caps,
+  len(list_filter(tok, lambda w: len(list_filter(range(1, length(w) - 1), lambda i: substr(w, i, 1) = substr(w, i + 1, 1) AND substr(w, i, 1) = substr(w, i + 2, 1))) > 0)) AS n_elongated,
+  len(regexp_extract_all(text, '!{{2,}}')) AS excl_runs FROM d)
+SELECT doc_id, round({' + '.join(f'{c}::DOUBLE * {c}::DOUBLE' for c in FEATS)}, 3) AS length2
+FROM blk JOIN syn USING (doc_id) JOIN labels USING (doc_id)""")(svd_gram)
+
+
 def bag_ngram_classifier(spark, sf_dir):
     d = S.documents(spark, sf_dir).select("doc_id", T.tokens("text").alias("tok"))
     lab = S.load(spark, sf_dir, "labels").select("doc_id", F.when(F.col("quality") == 1, "positive")
                                                  .otherwise("negative").alias("label"))
-    data = d.join(lab, "doc_id")
-    model = M.mean_vector_classifier(data, "tok", "label").fit(data)
-    return model.transform(data).select("doc_id", "label", F.col("prediction").cast("int").alias("pred"))
+    data = C.holdout_split(d.join(lab, "doc_id"), "doc_id", 0.1)
+    model = M.mean_vector_classifier(data, "tok", "label").fit(data.where("split = 'train'"))
+    return model.transform(data.where("split = 'valid'")).select("doc_id", "label", F.col("prediction").cast("int").alias("pred"))
 
 
 query("bag_ngram_classifier")(bag_ngram_classifier)
