@@ -52,5 +52,5 @@ def test_run_like_its_stages_one_by_one(spark):
 
 def test_every_operator_has_its_query():
     import __spark_entry__ as E
-    assert [f"op{n}_" for n in range(1, 11)] == [q.split("_")[0] + "_" for q in queries.QUERIES]
+    assert [f"op{n}_" for n in range(1, 14)] == [q.split("_")[0] + "_" for q in queries.QUERIES]
     assert set(queries.QUERIES) | {"pipeline"} <= set(E.queries()) and set(queries.ORACLE_SQL) <= set(E.oracle_sql())
