@@ -7,12 +7,12 @@ Per-class positions are global positions minus the class's first position.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexivec.operators.lookup import lookup_tokens
-from lexivec.operators.ordering import global_index, hash_order
+from lexivec.operators.ordering import global_index, hash_order, order_cut
 from lexivec.session import sized_broadcast
 
 
@@ -42,7 +42,6 @@ def top_words(vocab: DataFrame, k: int) -> DataFrame:
     """The ``k`` most frequent words with their ids 1..k (same ids as
     :func:`word_index`).  A distributed top-k (each task keeps k rows, then
     one merge of bounded size) instead of a global order over the vocabulary."""
-    from pyspark.sql import Window
     top = vocab.orderBy(F.col("cnt").desc(), F.col("word")).limit(k)
     return top.withColumn("idx", F.row_number().over(Window.orderBy(F.col("cnt").desc(), F.col("word"))).cast("long"))
 
@@ -156,14 +155,19 @@ def stratified_split(df: DataFrame, cls: str, order: list, ratio: float = 0.9) -
 
 def holdout_split(df: DataFrame, key: str, valid_num: float = 3000, seed: str = "42") -> DataFrame:
     """Exactly ``valid_num`` rows (or ``floor(ratio*n)`` when
-    ``0 <= valid_num <= 1``) to ``valid`` by hash order, the rest ``train``."""
-    g = global_index(df, [hash_order(F.col(key), seed), F.col(key)], "_g")
-    if 0 <= valid_num <= 1:
-        n = df.count()
-        cut = int(n * valid_num)
-    else:
-        cut = int(valid_num)
-    return g.withColumn("split", F.when(F.col("_g") <= cut, F.lit("valid")).otherwise(F.lit("train"))).drop("_g")
+    ``0 <= valid_num <= 1``) to ``valid`` by hash order, the rest ``train``.
+
+    The last valid place of the order is found first (:func:`order_cut`), so
+    rows are neither sorted nor moved: the split is a comparison beside them.
+    ``key`` names a row; rows that share one fall on the same side, with the
+    last place's all valid.  A null key comes first."""
+    n = int(df.count() * valid_num) if 0 <= valid_num <= 1 else int(valid_num)
+    cut = order_cut(df, key, n, seed)
+    if cut is None:
+        return df.withColumn("split", F.lit("valid" if n > 0 else "train"))
+    h, k = F.coalesce(hash_order(F.col(key), seed), F.lit("")), F.col(key)
+    inside = (h < cut[0]) | ((h == cut[0]) & (k.isNull() if cut[1] is None else k <= F.lit(cut[1])))
+    return df.withColumn("split", F.when(inside, F.lit("valid")).otherwise(F.lit("train")))
 
 
 def truncate(df: DataFrame, n: int | None, order: list) -> DataFrame:
@@ -185,11 +189,17 @@ def sample_lexicon(lexicon: DataFrame, n: int, seed: str = "42", key: str = "ter
 
 def class_sample(df: DataFrame, cls: str, key: str, k: int, seed: str = "42") -> DataFrame:
     """At most ``k`` rows per class in hash order (shuffle + truncate).
-    Per-class positions come from the global order, so a huge class is not
-    ranked inside one task."""
-    g = global_index(df, [F.col(cls), hash_order(F.col(key), seed), F.col(key)], "_g")
-    first = g.groupBy(cls).agg(F.min("_g").alias("_first"))
-    return g.join(sized_broadcast(first), cls).where(F.col("_g") - F.col("_first") < k).drop("_g", "_first")
+
+    Each task ranks (class, key) alone and keeps ``k`` a class before the
+    exchange (Spark's group limit), so a class of any size reaches its last
+    task as ``k`` rows a task; whole rows meet the chosen keys by a semi join.
+    ``key`` names a row: rows that share one are chosen together."""
+    h = F.coalesce(hash_order(F.col(key), seed), F.lit(""))
+    place = F.row_number().over(Window.partitionBy("_c").orderBy("_h", "_k"))
+    asked = df.select(F.col(cls).alias("_c"), F.col(key).alias("_k"), h.alias("_h"))
+    chosen = asked.withColumn("_i", place).where(F.col("_i") <= k).select("_c", "_k")
+    same = F.col("_c").eqNullSafe(F.col(cls)) & F.col("_k").eqNullSafe(F.col(key))
+    return df.join(sized_broadcast(chosen), same, "left_semi")
 
 
 def embedding_matrix(index: DataFrame, vectors: DataFrame, max_words: int, dim: int) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from lexivec.functions import text as T
 from lexivec.operators import scoring
 from lexivec.operators.lookup import lookup_tokens
+from lexivec.operators.ordering import global_index
 from lexivec.session import sized_broadcast
 
 # Class names and their scores in categorical lexicons.
@@ -213,10 +214,21 @@ def distant_label(docs: DataFrame, toks: Column, positives: DataFrame, negatives
     return ex.groupBy(id_col).agg(F.min_by("_lab", "_pos").alias("label"), F.min("_pos").cast("long").alias("first_pos"))
 
 
-def invert(lexicon: DataFrame) -> DataFrame:
-    """A2: class -> member list (sorted for determinism) and member count."""
-    return lexicon.groupBy("cls").agg(F.array_sort(F.collect_list("term")).alias("terms"),
-                                      F.count("*").alias("n_terms"))
+PIECE = 1_000  # terms
+
+
+def invert(lexicon: DataFrame, size: int = PIECE) -> DataFrame:
+    """Class -> members in numbered pieces ``(cls, piece, terms,
+    n_terms)`` of at most ``size`` terms, sorted within and over the pieces.
+
+    Places come from one global order, so a class that holds a third of the
+    lexicon is many rows of many tasks; piece ``p`` starts at place ``p *
+    size``.  A null term is no member."""
+    g = global_index(lexicon.where(F.col("term").isNotNull()).select("cls", "term"), [F.col("cls"), F.col("term")], "_g")
+    first = sized_broadcast(g.groupBy("cls").agg(F.min("_g").alias("_first")).withColumnRenamed("cls", "_c"))
+    placed = g.join(first, F.col("cls").eqNullSafe(F.col("_c")))
+    piece = F.floor((F.col("_g") - F.col("_first")) / F.lit(size)).cast("long")
+    return placed.groupBy("cls", piece.alias("piece")).agg(F.array_sort(F.collect_list("term")).alias("terms"), F.count("*").alias("n_terms"))
 
 
 def class_graph(lexicon: DataFrame) -> DataFrame:

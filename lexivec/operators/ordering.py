@@ -47,6 +47,45 @@ def hash_order(key: Column, seed: str = "42") -> Column:
     return F.md5(F.concat(key.cast("string"), F.lit(seed)))
 
 
+HEX_DIGITS = 4  # of a hash that one counting pass parts: 65,536 counts
+FEW_ROWS = 10_000  # that are left for a top-k
+
+
+def order_cut(df: DataFrame, key: str, n: int, seed: str = "42") -> tuple | None:
+    """``(hash, key)`` of the ``n``-th row in hash order (ties by key), None
+    where all rows come before it or ``n`` is not positive.
+
+    Radix selection: rows are counted by the next four hex digits of the hash,
+    the range that holds the place is counted by the four after those, and so
+    on until few rows are left for a top-k.  Nothing is sorted; the driver
+    sees 65,536 counts a pass at most.
+    """
+    if n <= 0:
+        return None
+    rows = df.select(F.coalesce(hash_order(F.col(key), seed), F.lit("")).alias("h"), F.col(key).alias("k"))
+    prefix, before = "", 0
+    while len(prefix) < 32:
+        counts = rows.groupBy(F.substring("h", len(prefix) + 1, HEX_DIGITS).alias("d")).count().orderBy("d").collect()
+        if not prefix and sum(c["count"] for c in counts) <= n:
+            return None
+        for c in counts:
+            if before + c["count"] >= n:
+                break
+            before += c["count"]
+        digits, size = c["d"], c["count"]
+        rows = rows.where(F.substring("h", len(prefix) + 1, HEX_DIGITS) == digits)
+        prefix += digits
+        if size <= FEW_ROWS or not digits:
+            break
+    if not digits:  # rows without a key
+        return "", None
+    if size > FEW_ROWS:  # one hash: its rows share a key
+        found = rows.first()
+    else:
+        found = rows.orderBy("h", "k").limit(n - before).collect()[-1]
+    return found["h"], found["k"]
+
+
 def successors(df: DataFrame, group: str, key: str, steps: list[int]) -> DataFrame:
     """For each row, the ``key`` of the rows ``s`` places later in its group
     (ordered by ``key``), for each ``s`` in ``steps`` (null past the end).

@@ -247,11 +247,12 @@ GROUP BY term""")(lexicon_union)
 
 def lexicon_invert(spark, sf_dir):
     inv = L.invert(S.lexicon(spark, sf_dir).select("term", "cls"))
-    return inv.select("cls", F.array_join("terms", " ").alias("terms"), "n_terms")
+    return inv.select("cls", "piece", F.array_join("terms", " ").alias("terms"), "n_terms")
 
 
-query("lexicon_invert", f"""WITH {LEXICON_CTE}
-SELECT cls, string_agg(term, ' ' ORDER BY term) AS terms, count(*) AS n_terms FROM lex GROUP BY cls""")(lexicon_invert)
+query("lexicon_invert", f"""WITH {LEXICON_CTE},
+p AS (SELECT cls, term, (row_number() OVER (PARTITION BY cls ORDER BY term) - 1) // {L.PIECE} AS piece FROM lex)
+SELECT cls, piece, string_agg(term, ' ' ORDER BY term) AS terms, count(*) AS n_terms FROM p GROUP BY ALL""")(lexicon_invert)
 
 
 def lexicon_graph(spark, sf_dir):

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lexivec.operators import lexicon as L
 from lexivec.operators import retrofit as R
 from lexivec.operators import vectors as V
 from lexivec.plans.catalog import query
@@ -140,14 +141,14 @@ SELECT word, dim, {r6('q')} AS value FROM {_r4_last}""")(retrofit_graph)
 
 
 def synonyms(spark, sf_dir):
-    """One line per class with all its words (sorted)."""
-    lex = S.vector_lexicon(spark, sf_dir)
-    g = lex.groupBy("cls").agg(F.array_sort(F.collect_list("term")).alias("t"), F.count(F.lit(1)).alias("n_words"))
-    return g.select("cls", F.array_join("t", " ").alias("line"), "n_words")
+    """The lines of a synonym list, a class's words (sorted) in pieces."""
+    pieces = L.invert(S.vector_lexicon(spark, sf_dir))
+    return pieces.select("cls", "piece", F.array_join("terms", " ").alias("line"), F.col("n_terms").alias("n_words"))
 
 
-query("synonyms", """SELECT label::VARCHAR AS cls, string_agg(vec_id::VARCHAR, ' ' ORDER BY vec_id::VARCHAR) AS line,
-  count(*) AS n_words FROM embeddings GROUP BY label""")(synonyms)
+query("synonyms", f"""WITH p AS (SELECT label::VARCHAR AS cls, vec_id::VARCHAR AS term,
+  (row_number() OVER (PARTITION BY label ORDER BY vec_id::VARCHAR) - 1) // {L.PIECE} AS piece FROM embeddings)
+SELECT cls, piece, string_agg(term, ' ' ORDER BY term) AS line, count(*) AS n_words FROM p GROUP BY ALL""")(synonyms)
 
 
 def antonyms(spark, sf_dir):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -87,6 +88,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return out
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table of its own in the shared checkpoint folder:
+    computed once, lineage cut, later reads take the columns they need."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def _row_bytes(df: DataFrame) -> Column:
     """Cheap per-row payload estimate from the schema: string/binary octets,
     8 bytes per numeric array element or scalar, JSON length for other nested

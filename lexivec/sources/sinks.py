@@ -22,6 +22,13 @@ def write_lines(df: DataFrame, cols: list[str], path: str, sep: str = " ") -> No
     df.select(F.concat_ws(sep, *[F.col(c).cast("string") for c in cols]).alias("value")).write.mode("overwrite").text(path)
 
 
+def write_class_lists(pieces: DataFrame, path: str) -> None:
+    """K7: lines ``cls<TAB>piece<TAB>terms`` of a lexicon's numbered pieces
+    (``lexicon.invert``), over the files in class and piece order."""
+    lines = pieces.select("cls", "piece", F.array_join("terms", " ").alias("line")).sort("cls", "piece")
+    lines.select(F.concat_ws("\t", "cls", F.col("piece").cast("string"), "line").alias("value")).write.mode("overwrite").text(path)
+
+
 def write_vocab(vocab: DataFrame, path: str) -> None:
     """K5: ``word<TAB>count``, frequency-descending within the sorted output."""
     vocab.orderBy(F.col("cnt").desc(), F.col("word")).write.mode("overwrite").option("sep", "\t").csv(path)
