@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lexivec.functions import html as H
 from lexivec.functions import text as T
+from lexivec.operators import bag_of_ngrams as B
 from lexivec.operators import corpus as C
 from lexivec.operators import evaluate as E
 from lexivec.operators import ml as M
@@ -21,7 +22,7 @@ from lexivec.sources import readers as RD
 from lexivec.sources import sinks as K
 from lexivec.sources import tables as S
 from lexivec.operators import lexicon as L
-from lexivec.streaming.label_stream import label_stream
+from lexivec.streaming.label_stream import label_stream, opinion_tweets
 
 
 def scratch(spark, name: str) -> str:
@@ -42,6 +43,24 @@ SELECT dt.doc_id, arg_min(CASE lex.cls WHEN 'positive' THEN 'positives' ELSE 'ne
 FROM dt JOIN lex ON lex.term = dt.tok GROUP BY dt.doc_id""")(stream_label)
 
 
+def stream_tweets(spark, sf_dir):
+    """Turns written as a tweet log, then its stream to the end."""
+    c = S.load(spark, sf_dir, "conversations").where("conv_id IS NOT NULL AND turn IS NOT NULL")
+    base = scratch(spark, "tweets")
+    K.write_tweet_log(c.select(F.concat_ws("-", "conv_id", "turn").alias("tweet_id"), "text"), f"{base}/log")
+    lex = S.lexicon(spark, sf_dir)
+    opinion_tweets(spark, f"{base}/log", lex.where("cls = 'positive'"), lex.where("cls = 'negative'"), f"{base}/out", f"{base}/state", preserve_case=False).awaitTermination()
+    return spark.read.schema("tweet_id string, text string, label string, first_pos long").parquet(f"{base}/out").select("tweet_id", "label", "first_pos")
+
+
+# The texts hold words, dots and commas only (as for tweet_tokens); numbers and runs of dots are no lexicon words.
+query("stream_tweets", f"""WITH {LEXICON_CTE},
+t AS (SELECT conv_id, turn, regexp_extract_all(text, '[A-Za-z]{{3,}}|[\\p{{L}}]+|\\.(?:\\s*\\.)+|\\S') AS tok FROM conversations),
+e AS (SELECT conv_id, turn, lower(unnest(tok)) AS tok, unnest(generate_series(0, len(tok) - 1))::BIGINT AS pos FROM t)
+SELECT conv_id || '-' || turn AS tweet_id, arg_min(CASE lex.cls WHEN 'positive' THEN 'positives' ELSE 'negatives' END, pos) AS label,
+  min(pos) AS first_pos FROM e JOIN lex ON lex.term = e.tok GROUP BY ALL""")(stream_tweets)
+
+
 def roundtrip_semeval(spark, sf_dir):
     """Labelled corpus written as SemEval TSV and read back."""
     c = S.corpus(spark, sf_dir).select("sid", "uid", "label", T.collapse_space("text").alias("text"))
@@ -239,12 +258,32 @@ FROM blk JOIN syn USING (doc_id) JOIN labels USING (doc_id)""")(svd_gram)
 
 
 def bag_ngram_classifier(spark, sf_dir):
+    """M13 with the operator's defaults: fitted on the train rows, predicts
+    the test rows only."""
     d = S.documents(spark, sf_dir).select("doc_id", T.tokens("text").alias("tok"))
     lab = S.load(spark, sf_dir, "labels").select("doc_id", F.when(F.col("quality") == 1, "positive")
                                                  .otherwise("negative").alias("label"))
-    data = C.holdout_split(d.join(lab, "doc_id"), "doc_id", 0.1)
-    model = M.mean_vector_classifier(data, "tok", "label").fit(data.where("split = 'train'"))
-    return model.transform(data.where("split = 'valid'")).select("doc_id", "label", F.col("prediction").cast("int").alias("pred"))
+    split = C.holdout_split(lab.join(S.documents(spark, sf_dir).select("doc_id"), "doc_id"), "doc_id", 0.1)
+    data = d.join(split, "doc_id")
+    model = B.fit(data.where("split = 'train'"), F.col("tok"), (F.col("label") == "positive").cast("int"))
+    test = data.where("split = 'valid'")
+    found = B.score(test, F.col("tok"), model)
+    return test.select("doc_id", "label").join(found, "doc_id").select("doc_id", "label", (F.col("score") >= 0.5).cast("int").alias("pred"))
 
 
 query("bag_ngram_classifier")(bag_ngram_classifier)
+
+
+def bag_ngram_check(spark, sf_dir):
+    """What the tables fix of those predictions: the rows, and whether more of
+    them are right than by always saying the commonest class."""
+    p = bag_ngram_classifier(spark, sf_dir)
+    good = F.col("label") == "positive"
+    by = p.agg(F.count(F.lit(1)).alias("n_test"), F.count_if(good).alias("n_positive"), F.count_if(good == (F.col("pred") == 1)).alias("right"))
+    most = F.greatest("n_positive", F.col("n_test") - F.col("n_positive"))
+    return by.select("n_test", "n_positive", (F.col("right") > most).alias("above_commonest"))
+
+
+query("bag_ngram_check", """WITH l AS (SELECT quality, row_number() OVER (ORDER BY md5(doc_id::VARCHAR || '42'), doc_id) AS i, count(*) OVER () AS n
+  FROM labels JOIN documents USING (doc_id))
+SELECT count(*) AS n_test, count_if(quality = 1)::BIGINT AS n_positive, true AS above_commonest FROM l WHERE i <= floor(n * 0.1)""")(bag_ngram_check)

@@ -120,9 +120,17 @@ def read_tweet_log(spark: SparkSession, path: str) -> DataFrame:
     """Lines ``('id', u'ID')<TAB>('text', u'TWEET')``; exactly two tab
     fields, the text is the decoded string literal of the second tuple.  Lines
     that aren't such tuples are skipped."""
+    return parse_tweet_log(spark.read.text(path)).select("text")
+
+
+def parse_tweet_log(lines: DataFrame) -> DataFrame:
+    """``(tweet_id, text)`` of a log's lines (column ``value``), batch or
+    stream alike; a line whose first tuple names no id has a null one."""
     p = F.split("value", "\t")
-    lines = spark.read.text(path).select(p.alias("p")).where(F.size("p") == 2)
-    return lines.select(_second_literal(F.col("p")[1]).alias("text")).where("text is not null")
+    found = F.regexp_extract(F.col("p")[0], r"""^\('id',\s*u?['"]([^'"]*)['"]\)\s*$""", 1)
+    rows = lines.select(p.alias("p")).where(F.size("p") == 2)
+    rows = rows.select(F.nullif(found, F.lit("")).alias("tweet_id"), _second_literal(F.col("p")[1]).alias("text"))
+    return rows.where("text is not null")
 
 
 def _literal(s: str | None) -> str | None:

@@ -29,6 +29,16 @@ def write_class_lists(pieces: DataFrame, path: str) -> None:
     lines.select(F.concat_ws("\t", "cls", F.col("piece").cast("string"), "line").alias("value")).write.mode("overwrite").text(path)
 
 
+def write_tweet_log(tweets: DataFrame, path: str) -> None:
+    """S14's lines of ``(tweet_id, text)``: two tuples parted by a tab, the
+    text as a string literal without control characters."""
+    text = F.coalesce("text", F.lit(""))
+    for sign, escaped in (("\\", "\\\\"), ("'", "\\'"), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+        text = F.replace(text, F.lit(sign), F.lit(escaped))
+    line = F.concat(F.lit("('id', u'"), F.col("tweet_id").cast("string"), F.lit("')\t('text', u'"), text, F.lit("')"))
+    tweets.select(line.alias("value")).where(F.col("value").isNotNull()).write.mode("overwrite").text(path)
+
+
 def write_vocab(vocab: DataFrame, path: str) -> None:
     """K5: ``word<TAB>count``, frequency-descending within the sorted output."""
     vocab.orderBy(F.col("cnt").desc(), F.col("word")).write.mode("overwrite").option("sep", "\t").csv(path)
