@@ -7,11 +7,15 @@ distributed and meet in pairs of blocks.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexivec.operators import similarity
 from lexivec.operators.similarity import QUERY_BLOCK, ROW_BLOCK
+from lexivec.session import DEFAULT_BROADCAST_ROWS, bounded_arrow
 
 
 def l2_norm(vec: Column) -> Column:
@@ -84,15 +88,77 @@ def mean_vectors(df: DataFrame, group: str, vec: str = "vec") -> DataFrame:
     return ex.groupBy(group, "dim").agg(F.avg("x").alias("value"))
 
 
-def doc_vectors(docs: DataFrame, toks: Column, vectors: DataFrame, dim: int, id_col: str = "doc_id") -> DataFrame:
+BATCH_VALUES = 1 << 20  # of concatenated vectors in a batch, but for a document that has more
+
+
+def doc_vectors(docs: DataFrame, toks: Column, vectors: DataFrame, dim: int, id_col: str = "doc_id", max_words: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
     """Concatenate the vectors of lower-cased tokens (zeros when missing),
-    in token order.  Output ``(doc_id, vec)``."""
-    ex = (docs.repartition(id_col).select(id_col, F.posexplode_outer(toks).alias("_pos", "_w"))
-              .withColumn("_w", F.lower("_w")))
-    j = ex.join(vectors.select(F.col("word").alias("_w"), F.col("vec").alias("_v")), "_w", "left")
-    zeros = F.array_repeat(F.lit(0.0), dim)
-    g = j.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("_pos", F.coalesce("_v", zeros).alias("_v")))).alias("_xs"))
-    return g.select(id_col, F.flatten(F.transform("_xs", lambda e: e["_v"])).alias("vec"))
+    in token order.  Output ``(id, vec)``; no tokens, or null, give an empty
+    array.  ``vectors(word, vec)`` has a word once and ``dim`` values a vector;
+    null words and vectors are none.
+
+    A proven small vector table comes to the documents, which stay in place.
+    Above that bound each document's distinct words, with their places, are
+    joined to their vectors (hot words are cut by AQE's skew join), so that a
+    vector moves once for a word of a document, and no text moves; there
+    ``id`` names a document."""
+    kind = docs.schema[id_col].dataType.simpleString()
+    low = F.transform(F.coalesce(toks, F.array().cast("array<string>")), lambda w: F.lower(w))
+    asked = docs.select(F.col(id_col).alias("id"), low.alias("_t"))
+    vectors = vectors.where("word IS NOT NULL AND vec IS NOT NULL").select("word", F.col("vec").cast("array<double>").alias("vec"))
+    small = bounded_arrow(vectors, max_words)
+    if small is None:
+        return _doc_vectors_by_join(asked, vectors, dim, id_col, kind)
+    words = pa.concat_arrays(small["word"].chunks) if small.num_rows else pa.array([], pa.string())
+    values = [c.flatten().to_numpy(zero_copy_only=False) for c in small["vec"].chunks]
+    table = np.concatenate([*values, np.zeros(dim)]).reshape(-1, dim)
+    held = docs.sparkSession.sparkContext.broadcast((words, table))
+
+    def run(batches):
+        keys, table = held.value
+        for b in batches:
+            sizes = pc.list_value_length(b.column(1)).to_numpy(zero_copy_only=False)
+            at = 0
+            while at < b.num_rows:
+                upto = at + max(1, int(np.searchsorted(np.cumsum(sizes[at:]) * dim, BATCH_VALUES, "right")))
+                piece = b.slice(at, upto - at)
+                places = pc.fill_null(pc.index_in(piece.column(1).flatten(), value_set=keys), len(table) - 1).to_numpy(zero_copy_only=False)
+                ends = np.concatenate([[0], np.cumsum(sizes[at:upto])]) * dim
+                yield pa.RecordBatch.from_arrays([piece.column(0), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(table[places].ravel()))], [id_col, "vec"])
+                at = upto
+
+    return asked.mapInArrow(run, f"`{id_col}` {kind}, vec array<double>")
+
+
+def _doc_vectors_by_join(asked: DataFrame, vectors: DataFrame, dim: int, id_col: str, kind: str) -> DataFrame:
+    words = asked.mapInArrow(_word_places, f"id {kind}, n int, word string, places array<int>")
+    met = words.join(vectors, "word", "left")
+    cell = F.when(F.col("vec").isNotNull(), F.struct("places", "vec"))
+    found = met.groupBy("id").agg(F.max("n").alias("n"), F.collect_list(cell).alias("cells"))
+
+    def lay(batches):
+        for b in batches:
+            for row in b.to_pylist():
+                out = np.zeros((row["n"], dim))
+                for c in row["cells"]:
+                    out[c["places"]] = c["vec"]
+                yield pa.RecordBatch.from_arrays([pa.array([row["id"]], b.column(0).type), pa.array([out.ravel()], pa.list_(pa.float64()))], [id_col, "vec"])
+
+    return found.mapInArrow(lay, f"`{id_col}` {kind}, vec array<double>")
+
+
+def _word_places(batches):
+    """A row for each distinct word of a document, with its places; one
+    without a word where there is none."""
+    for b in batches:
+        ids, ns, words, places = [], [], [], []
+        for i, toks in enumerate(b.column(1).to_pylist()):
+            where: dict = {}
+            for place, word in enumerate(toks):
+                where.setdefault(word, []).append(place)
+            for word, at in (where or {None: []}).items():
+                ids.append(i), ns.append(len(toks)), words.append(word), places.append(at)
+        yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(ids, pa.int32())), pa.array(ns, pa.int32()), pa.array(words, pa.string()), pa.array(places, pa.list_(pa.int32()))], ["id", "n", "word", "places"])
 
 
 def to_long(df: DataFrame, key: str, vec: str = "vec", digits: int = 6) -> DataFrame:

@@ -18,6 +18,7 @@ from lexivec.plans.catalog import query
 from lexivec.plans.q_text import marked_tokens
 from lexivec.plans.sqlparts import CLASS_SCORE_SQL, DOC_TOKENS_CTE, LEXICON_CTE, NEG_MARK_CTE, r6, score_block_cte
 from lexivec.session import ensure_checkpoint_dir
+from lexivec.sources import cache as CA
 from lexivec.sources import readers as RD
 from lexivec.sources import sinks as K
 from lexivec.sources import tables as S
@@ -61,6 +62,23 @@ SELECT conv_id || '-' || turn AS tweet_id, arg_min(CASE lex.cls WHEN 'positive'
   min(pos) AS first_pos FROM e JOIN lex ON lex.term = e.tok GROUP BY ALL""")(stream_tweets)
 
 
+def preprocess_corpus(spark, sf_dir):
+    """K1/K2: a labelled file, toxic texts as one of the classes that become
+    "neutral", through the preprocessing chain and its cache."""
+    c = S.corpus(spark, sf_dir).join(S.load(spark, sf_dir, "labels").select("doc_id", "toxic"), "doc_id")
+    label = F.when(F.col("toxic") == 1, "objective-OR-neutral").otherwise(F.col("label"))
+    base = scratch(spark, "preprocess")
+    K.write_lines(c.select("sid", "uid", label.alias("label"), T.collapse_space("text").alias("text")), ["sid", "uid", "label", "text"], f"{base}/semeval", sep="\t")
+    done = CA.cached(spark, f"{base}/cache", CA.preprocess, [f"{base}/semeval"])
+    return done.select("sid", "label", F.col("target").cast("long").alias("target"), F.size("tok").cast("long").alias("n_tok"), F.size("tok_neg").cast("long").alias("n_tok_neg"))
+
+
+query("preprocess_corpus", r"""WITH c AS (SELECT d.doc_id::VARCHAR AS sid,
+  CASE WHEN l.toxic = 1 THEN 'neutral' WHEN l.quality = 1 THEN 'positive' ELSE 'negative' END AS label,
+  len(string_split(trim(regexp_replace(d.text, '\s+', ' ', 'g')), ' ')) AS n FROM documents d JOIN labels l USING (doc_id))
+SELECT sid, label, list_position(['positive', 'negative', 'neutral'], label)::BIGINT - 1 AS target, n AS n_tok, n AS n_tok_neg FROM c""")(preprocess_corpus)
+
+
 def roundtrip_semeval(spark, sf_dir):
     """Labelled corpus written as SemEval TSV and read back."""
     c = S.corpus(spark, sf_dir).select("sid", "uid", "label", T.collapse_space("text").alias("text"))

@@ -5,11 +5,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lexivec.functions import text as T
 from lexivec.operators import lexicon as L
 from lexivec.operators import retrofit as R
 from lexivec.operators import vectors as V
 from lexivec.plans.catalog import query
-from lexivec.plans.sqlparts import r6
+from lexivec.plans.sqlparts import DOC_TOKENS_CTE, r6
 from lexivec.sources import tables as S
 
 TOPN = 10
@@ -140,6 +141,29 @@ q0 AS (SELECT lv.word, lv.dim, lv.v0, deg.n, lv.v0 AS q FROM lv LEFT JOIN deg US
 SELECT word, dim, {r6('q')} AS value FROM {_r4_last}""")(retrofit_graph)
 
 
+def _token_keys(spark, sf_dir):
+    """A document's tokens as vector words: a token's length, and "A" and the
+    length for tokens that hold one (no vector has such a word)."""
+    d = S.documents(spark, sf_dir).select("doc_id", T.tokens("text").alias("t"))
+    return d.select("doc_id", F.transform("t", lambda w: F.concat(F.when(F.contains(w, F.lit("a")), F.lit("A")).otherwise(""), F.length(w).cast("string"))).alias("keys"))
+
+
+def doc_vectors(spark, sf_dir):
+    """Whole documents as concatenated vectors: their length, and a sum
+    of all values that counts each by its place."""
+    v = V.doc_vectors(_token_keys(spark, sf_dir), F.col("keys"), S.vectors(spark, sf_dir), 64)
+    placed = F.zip_with("vec", F.sequence(F.lit(0), F.size("vec")), lambda x, i: x * (i % 89 + 1))
+    return v.select("doc_id", F.size("vec").cast("long").alias("n_values"), F.round(F.aggregate(placed, F.lit(0.0), lambda s, x: s + F.coalesce(x, F.lit(0.0))), 3).alias("weighted"))
+
+
+query("doc_vectors", f"""WITH {DOC_TOKENS_CTE},
+k AS (SELECT doc_id, pos, CASE WHEN contains(tok, 'a') THEN NULL ELSE length(tok)::VARCHAR END AS word FROM dt),
+e AS (SELECT vec_id::VARCHAR AS word, unnest(embedding::DOUBLE[]) AS x, unnest(generate_series(0, len(embedding) - 1)) AS d FROM embeddings),
+m AS (SELECT k.doc_id, sum(x * ((k.pos * 64 + d) % 89 + 1)) AS weighted FROM k JOIN e USING (word) GROUP BY k.doc_id)
+SELECT doc_id, n * 64 AS n_values, round(coalesce(weighted, 0), 3) + 0.0 AS weighted
+FROM (SELECT doc_id, count(*) AS n FROM k GROUP BY doc_id) LEFT JOIN m USING (doc_id)""")(doc_vectors)
+
+
 def synonyms(spark, sf_dir):
     """The lines of a synonym list, a class's words (sorted) in pieces."""
     pieces = L.invert(S.vector_lexicon(spark, sf_dir))
