@@ -225,6 +225,30 @@ def register_lexicon(name: str, reader, *args, **kwargs) -> None:
     _REGISTRY[name] = (reader, args, kwargs)
 
 
+def register_named_lexicons(places: dict) -> None:
+    """Register the known lexicons that ``places`` has: name -> path (for
+    ``bing_liu``: class -> path).  Another name raises ``KeyError``."""
+    # The names, and which reader and variant each one takes.
+    known = {
+        "bing_liu": (read_bing_liu, {}),
+        "mpqa": (read_mpqa, {}),
+        "mpqa_plus": (read_mpqa_plus, {}),
+        "nrc_emotion": (read_nrc_emotion, {"polarity": True}),
+        "nrc_emotions": (read_nrc_emotion, {"polarity": False}),
+        "nrc_hashtag_unigram": (read_nrc_scores, {}),
+        "nrc_hashtag_bigram": (read_nrc_scores, {"strict": True}),
+        "nrc_hashtag_pair": (read_nrc_scores, {"strict": True, "pair": True}),
+        "nrc_hashtag_sentimenthashtags": (read_two_columns, {}),
+        "lidilem_adjectifs": (read_lidilem, {"pol_col": 7}),
+        "lidilem_noms": (read_lidilem, {"pol_col": 5}),
+        "lidilem_verbes": (read_lidilem, {"pol_col": 8}),
+        "blogoscopie": (read_two_columns, {"sep": "\t"}),
+    }
+    for name, place in places.items():
+        reader, options = known[name]
+        register_lexicon(name, reader, place, **options)
+
+
 def get_lexicon(spark: SparkSession, name: str) -> DataFrame:
     if name not in _REGISTRY:
         raise KeyError(name)

@@ -102,3 +102,20 @@ def test_document_vectors_both_ways(spark, monkeypatch):
         assert got == want
     assert all(v == [0.0] * len(want[i]) for i, v in ((r.doc_id, r.vec) for r in V.doc_vectors(docs, F.col("t"), vec.limit(0), 2).collect()))
     assert "Exchange" not in V.doc_vectors(docs, F.col("t"), vec, 2)._jdf.queryExecution().executedPlan().toString().replace("REPARTITION_BY_NUM", "").split("MapInArrow")[0]
+
+
+def test_named_lexicons(spark, tmp_path):
+    from lexivec.sources import readers as RD
+    files = {"blogoscopie": "bon mot\tpositive\n", "nrc_emotion": "w\tjoy\t1\nw\tpositive\t1\n", "nrc_emotions": "w\tjoy\t1\nw\tpositive\t1\n",
+             "nrc_hashtag_pair": "a b---c\t0.5\t1\t2\n", "lidilem_noms": "mot;a;b;c;d;pol\nmal;1;1;1;1;negative\n"}
+    for name, text in files.items():
+        (tmp_path / name).write_text(text)
+    (tmp_path / "pos").write_text("good\n")
+    RD.register_named_lexicons({n: str(tmp_path / n) for n in files} | {"bing_liu": {"positive": str(tmp_path / "pos")}})
+    got = {n: [(r.term, r["cls"]) for r in RD.get_lexicon(spark, n).collect()] for n in [*files, "bing_liu"] if n != "nrc_hashtag_pair"}
+    assert got == {"blogoscopie": [("bon mot", "positive")], "nrc_emotion": [("w", "positive")], "nrc_emotions": [("w", "joy")],
+                   "lidilem_noms": [("mal", "negative")], "bing_liu": [("good", "positive")]}
+    assert [(r.left, r.right, r.score) for r in RD.get_lexicon(spark, "nrc_hashtag_pair").collect()] == [("a b", "c", 0.5)]
+    for name in ("mpqa", "other"):
+        with pytest.raises(KeyError):
+            RD.get_lexicon(spark, name) if name == "mpqa" else RD.register_named_lexicons({name: "x"})
