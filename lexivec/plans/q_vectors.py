@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lexivec.functions import text as T
 from lexivec.operators import lexicon as L
+from lexivec.operators import presets as P
 from lexivec.operators import retrofit as R
 from lexivec.operators import vectors as V
 from lexivec.plans.catalog import query
@@ -164,6 +165,33 @@ SELECT doc_id, n * 64 AS n_values, round(coalesce(weighted, 0), 3) + 0.0 AS weig
 FROM (SELECT doc_id, count(*) AS n FROM k GROUP BY doc_id) LEFT JOIN m USING (doc_id)""")(doc_vectors)
 
 
+LABELS = [str(i) for i in range(10)]
+
+
+def closest_block(spark, sf_dir):
+    """M10's vector block: mean closest-class scores of a document's tokens of
+    the kept tags."""
+    d = _token_keys(spark, sf_dir).join(S.documents(spark, sf_dir).select("doc_id", T.tokens("text").alias("t")), "doc_id")
+    tags = F.transform("t", lambda w: S.pos_tag(w, ("SHORT", "MEDIUM", "LONG")))
+    words = d.select(F.explode("keys").alias("word")).select(F.lower("word").alias("word")).distinct()
+    scores = V.closest_class_scores(S.vectors(spark, sf_dir), S.vector_lexicon(spark, sf_dir), words)
+    block = P.closest_block(d, F.col("keys"), scores, LABELS, P.MEAN, tags, ["MEDIUM", "LONG"])
+    return block.select("doc_id", "name", F.round("value", 6).alias("value"))
+
+
+query("closest_block", f"""WITH {DOC_TOKENS_CTE},
+k AS (SELECT doc_id, CASE WHEN contains(tok, 'a') THEN 'a' ELSE '' END || length(tok) AS word FROM dt WHERE length(tok) > 3),
+w AS (SELECT DISTINCT word FROM k),
+c AS (SELECT DISTINCT label::VARCHAR AS cls FROM embeddings),
+s AS (SELECT w.word, m.label::VARCHAR AS cls, max(list_cosine_similarity(e.embedding::DOUBLE[], m.embedding::DOUBLE[])) AS score
+  FROM w JOIN embeddings e ON e.vec_id::VARCHAR = w.word, embeddings m GROUP BY ALL),
+n AS (SELECT doc_id, word, count(*) AS n FROM k GROUP BY ALL),
+f AS (SELECT doc_id, c.cls, sum(n * coalesce(s.score, -1.0)) / sum(n) AS v
+  FROM n CROSS JOIN c LEFT JOIN s ON s.word = n.word AND s.cls = c.cls GROUP BY ALL)
+SELECT doc_id, 'closest-' || c.cls AS name, {r6('coalesce(v, 0)')} AS value
+FROM documents CROSS JOIN c LEFT JOIN f USING (doc_id, cls)""")(closest_block)
+
+
 def synonyms(spark, sf_dir):
     """The lines of a synonym list, a class's words (sorted) in pieces."""
     pieces = L.invert(S.vector_lexicon(spark, sf_dir))
