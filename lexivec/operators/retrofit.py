@@ -5,9 +5,8 @@ invariant, so every word iterates on its own against one precomputed sum
 (one aggregation, no neighbour join).  R2 couples classes through their sums,
 which follow a recurrence over one row per class.  R4 joins the synonym
 graph once per iteration; lineage is cut with reliable checkpoints.
-R1 processes vectors in long format ``(word, dim, value)``, so huge classes
-are spread over tasks by (class, dim) partial aggregation; R2, R3 and R4 keep
-whole arrays and sum them with a partial vector aggregate.
+All keep whole arrays and sum them with a partial vector aggregate, so huge
+classes are spread over tasks.
 """
 
 from __future__ import annotations
@@ -25,30 +24,37 @@ from pyspark.ml.stat import Summarizer
 from lexivec.session import checkpointed, ensure_checkpoint_dir, sized_broadcast
 
 
-def _long(vectors: DataFrame) -> DataFrame:
-    return vectors.select("word", F.posexplode("vec").alias("dim", "v0"))
+def retrofit_class_vectors(vectors: DataFrame, lexicon: DataFrame, a: float = 0.5, b: float = 0.5, n_iter: int = 10) -> DataFrame:
+    """``q <- (n a q0 + b (S - q)) / (n (a + b))`` for each lexicon word
+    with ``n = |class| - 1 > 0`` in-vocabulary class neighbours; ``S`` is the
+    class sum of the original vectors (invariant).  Others keep their vector.
+    Output ``(word, vec)``; words without a vector are left out.
+
+    A class's sum is one partial vector per task before any shuffle, so a
+    class that holds a third of the words is as cheap as another; words meet
+    their class's row by a join of proven size, else AQE's skew join."""
+    v = vectors.where("vec IS NOT NULL").select("word", F.col("vec").cast("array<double>").alias("vec"))
+    held = v.join(lexicon.select(F.col("term").alias("word"), "cls"), "word", "left")
+    stats = held.where("cls IS NOT NULL").groupBy("cls").agg(
+        vector_to_array(Summarizer.sum(array_to_vector("vec"))).alias("S"), (F.count(F.lit(1)) - 1).alias("n"))
+    n = F.col("n").cast("double")
+
+    def moved(v0, s):
+        q = v0
+        for _ in range(n_iter):
+            q = (n * a * v0 + (s - q) * b) / (n * (a + b))
+        return q
+
+    found = held.join(sized_broadcast(stats), "cls", "left")
+    return found.select("word", F.when(n > 0, F.zip_with("vec", "S", moved)).otherwise(F.col("vec")).alias("vec"))
 
 
 def retrofit_class(vectors: DataFrame, lexicon: DataFrame, a: float = 0.5, b: float = 0.5,
                    n_iter: int = 10, digits: int | None = 6) -> DataFrame:
-    """``q <- (n a q0 + b (S - q)) / (n (a + b))`` for each lexicon word
-    with ``n = |class| - 1 > 0`` in-vocabulary class neighbours; ``S`` is the
-    class sum of the original vectors (invariant).  Others keep their vector.
-    Output long ``(word, dim, value)``."""
-    lv = _long(vectors)
-    lex = lexicon.select(F.col("term").alias("word"), "cls").join(vectors.select("word"), "word", "left_semi")
-    members = lv.join(lex, "word")
-    sums = members.groupBy("cls", "dim").agg(F.sum("v0").alias("S"))
-    sizes = lex.groupBy("cls").agg((F.count(F.lit(1)) - 1).alias("n"))
-    stats = sized_broadcast(sums.join(sizes, "cls"))
-    j = lv.join(lex, "word", "left").join(stats, ["cls", "dim"], "left")
-    n, S, v0 = F.col("n"), F.col("S"), F.col("v0")
-    q = v0
-    for _ in range(n_iter):
-        q = (n * a * v0 + b * (S - q)) / (n * (a + b))
-    val = F.when(n > 0, q).otherwise(v0)
-    val = F.round(val, digits) if digits is not None else val
-    return j.select("word", F.col("dim").cast("long").alias("dim"), val.alias("value"))
+    """:func:`retrofit_class_vectors` as long rows ``(word, dim, value)``."""
+    out = retrofit_class_vectors(vectors, lexicon, a, b, n_iter).select("word", F.posexplode("vec").alias("dim", "value"))
+    val = F.round("value", digits) if digits is not None else F.col("value")
+    return out.select("word", F.col("dim").cast("long").alias("dim"), val.alias("value"))
 
 
 def _class_path(v0: np.ndarray, n: np.ndarray, totals: list[np.ndarray], a: float, b: float, c: float) -> tuple[np.ndarray, np.ndarray]:

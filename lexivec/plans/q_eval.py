@@ -210,9 +210,7 @@ def lexicon_grid(spark, sf_dir):
     lexes = _grid_lexicons(spark, sf_dir)
     out = None
     for train, tl in lexes.items():
-        long = R.retrofit_class(vec, tl, 0.5, 0.5, 10, digits=None)
-        rv = (long.groupBy("word").agg(F.array_sort(F.collect_list(F.struct("dim", "value"))).alias("_xs"))
-                  .select("word", F.transform("_xs", lambda x: x["value"]).alias("vec")))
+        rv = R.retrofit_class_vectors(vec, tl, 0.5, 0.5, 10)
         nb = V.knn(rv, rv, TOPN)
         for test, te in lexes.items():
             if test == train:
