@@ -153,8 +153,9 @@ def doc_vectors(spark, sf_dir):
     """Whole documents as concatenated vectors: their length, and a sum
     of all values that counts each by its place."""
     v = V.doc_vectors(_token_keys(spark, sf_dir), F.col("keys"), S.vectors(spark, sf_dir), 64)
-    placed = F.zip_with("vec", F.sequence(F.lit(0), F.size("vec")), lambda x, i: x * (i % 89 + 1))
-    return v.select("doc_id", F.size("vec").cast("long").alias("n_values"), F.round(F.aggregate(placed, F.lit(0.0), lambda s, x: s + F.coalesce(x, F.lit(0.0))), 3).alias("weighted"))
+    cells = v.select("doc_id", F.size("vec").cast("long").alias("n_values"), F.posexplode_outer("vec").alias("i", "x"))
+    weighted = F.coalesce(F.sum(F.col("x") * (F.col("i") % 89 + 1)), F.lit(0.0))
+    return cells.groupBy("doc_id", "n_values").agg(F.round(weighted, 3).alias("weighted"))
 
 
 query("doc_vectors", f"""WITH {DOC_TOKENS_CTE},
