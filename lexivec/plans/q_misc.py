@@ -34,8 +34,9 @@ def scratch(spark, name: str) -> str:
 def stream_label(spark, sf_dir):
     lex = S.lexicon(spark, sf_dir)
     schema = spark.read.parquet(f"{sf_dir}/documents.parquet").schema
-    return label_stream(spark, sf_dir, schema, lex.where("cls = 'positive'"), lex.where("cls = 'negative'"),
-                        glob="documents.parquet")
+    # A glob path names the table whether it is one file or a folder of them; as many files a batch as tasks run.
+    return label_stream(spark, f"{sf_dir}/document[s].parquet", schema, lex.where("cls = 'positive'"), lex.where("cls = 'negative'"),
+                        max_files_per_trigger=spark.sparkContext.defaultParallelism)
 
 
 query("stream_label", f"""WITH {LEXICON_CTE}, {DOC_TOKENS_CTE}

@@ -30,8 +30,9 @@ def label_stream(spark: SparkSession, source_dir: str, schema, positives: DataFr
                  out_dir: str | None = None, id_col: str = "doc_id", text_col: str = "text",
                  max_files_per_trigger: int = 1, glob: str | None = None) -> DataFrame:
     """Run the labelling stream to completion (``availableNow``) over the
-    parquet files of ``source_dir`` (optionally filtered by file ``glob``) and
-    return its output."""
+    parquet files of ``source_dir`` (a folder or a glob path, optionally
+    filtered by file ``glob``) and return its output; a source without files
+    gives no rows."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     run = f"{base}/label_stream/{uuid.uuid4().hex}"
     out_dir = out_dir or f"{run}/out"
@@ -49,6 +50,8 @@ def label_stream(spark: SparkSession, source_dir: str, schema, positives: DataFr
         res = L.distant_label(spread(batch), F.col("tok"), None, None, id_col=id_col, words=words)
         res.write.mode("overwrite").parquet(f"{out_dir}/batch_id={batch_id}")
 
+    # Without files no batch runs; the output has its columns all the same.
+    write_batch(spark.createDataFrame([], normed.schema), -1)
     q = (normed.writeStream.foreachBatch(write_batch)
          .option("checkpointLocation", f"{run}/checkpoint")
          .trigger(availableNow=True).start())
