@@ -220,10 +220,10 @@ def ngrams(toks, n: int, sep: str = " ") -> Column:
 
 
 def char_ngrams(text, n: int) -> Column:
-    """M3: character n-grams of a whole text (whitespace collapsed, lower)."""
-    chars = F.split(F.lower(collapse_space(_col(text))), "", -1)
-    chars = F.filter(chars, lambda ch: ch != "")
-    return ngrams(chars, n, sep="")
+    """M3: character n-grams of a whole text (whitespace collapsed, lower).
+
+    One scan: each match takes one code point and looks ahead at ``n``."""
+    return F.regexp_extract_all(F.lower(collapse_space(_col(text))), F.lit(f"(?s)(?=(.{{{n}}}))."), 1)
 
 
 def sklearn_words(text) -> Column:
