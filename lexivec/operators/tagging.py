@@ -3,8 +3,8 @@
 The reference pipes batches of documents through an external tagger binary and
 gets three aligned tag arrays back.  Here the tagger is any caller-supplied
 Python callable; Spark hands it one Arrow batch of token lists at a time
-(``mapInPandas``: narrow, no shuffle, batch size bounded by
-``spark.sql.execution.arrow.maxRecordsPerBatch``).  No tagger is shipped;
+(``mapInArrow``: narrow, no shuffle, batches of at most ``TOKENS`` tokens or
+one document).  No tagger is shipped;
 :func:`length_tagger` is a stand-in used by the tests and the registered query.
 """
 
@@ -12,10 +12,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
+from lexivec.session import in_slices
+
+TOKENS = 100_000  # that a tagger gets at once, but one whole document
 TAG_COLS = ("pos", "chunk", "ner")
 
 # tokens of a batch -> (pos lists, chunk lists, ner lists), each aligned with the tokens
@@ -28,21 +31,22 @@ def enrich_tags(df: DataFrame, tagger: Tagger, tok_col: str = "tok") -> DataFram
     The tagger sees whole documents (never a prefix) a batch at a time; a tag
     array whose length differs from its token array fails the task."""
     tag_type = ArrayType(StringType())
+    at = df.columns.index(tok_col)
     schema = StructType(list(df.schema.fields) + [StructField(c, tag_type) for c in TAG_COLS])
 
     def run(batches):
-        for pdf in batches:
-            toks = [list(t) if t is not None else [] for t in pdf[tok_col]]
+        for b in in_slices(batches, at, TOKENS):
+            toks = [t if t is not None else [] for t in b.column(at).to_pylist()]
             tags = tagger(toks)
-            out = pdf.copy()
+            found = []
             for name, arrays in zip(TAG_COLS, tags):
                 arrays = [list(a) for a in arrays]
                 if len(arrays) != len(toks) or any(len(a) != len(t) for a, t in zip(arrays, toks)):
                     raise ValueError(f"tagger returned {name} tags not aligned with the tokens")
-                out[name] = pd.Series(arrays, index=pdf.index, dtype=object)
-            yield out
+                found.append(pa.array(arrays, pa.list_(pa.string())))
+            yield pa.RecordBatch.from_arrays([*b.columns, *found], names=schema.names)
 
-    return df.mapInPandas(run, schema)
+    return df.mapInArrow(run, schema)
 
 
 def length_tagger(docs: Sequence[Sequence[str]]):
