@@ -80,10 +80,22 @@ class _Adam:
 
     def step(self, rows, gradient):
         self.steps[rows] += 1
-        self.mean[rows] = 0.9 * self.mean[rows] + 0.1 * gradient
-        self.square[rows] = 0.999 * self.square[rows] + 0.001 * gradient**2
+        # Each table is read and written once; what is read is worked on in place.
+        mean, square = self.mean[rows], self.square[rows]
+        mean *= 0.9
+        mean += 0.1 * gradient
+        self.mean[rows] = mean
+        square *= 0.999
+        square += 0.001 * gradient**2
+        self.square[rows] = square
         t = self.steps[rows][:, None]
-        return self.rate * (self.mean[rows] / (1 - 0.9**t)) / (np.sqrt(self.square[rows] / (1 - 0.999**t)) + 1e-8)
+        mean /= 1 - 0.9**t
+        mean *= self.rate
+        square /= 1 - 0.999**t
+        np.sqrt(square, out=square)
+        square += 1e-8
+        mean /= square
+        return mean
 
 
 def fit(docs: DataFrame, toks: Column, target: Column, n: int = 2, dim: int = 50, epochs: int = 5, batch: int = 32, rate: float = 0.05,
