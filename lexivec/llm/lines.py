@@ -16,7 +16,6 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
@@ -187,13 +186,14 @@ def spans_by_words(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
     left = F.when(F.col("head").eqNullSafe(F.col("s_head")) & ~(same & (F.col("first") - 1 <= F.col("s_last"))), F.col("s_left"))
     right = F.when(F.col("tail").eqNullSafe(F.col("s_tail")) & ~(same & (F.col("s_last") + 1 >= F.col("first"))), F.col("s_right"))
 
-    def reach(before: pd.Series, s_before: pd.Series, after: pd.Series, s_after: pd.Series) -> pd.DataFrame:
-        rows = []
-        for b, sb, a, sa in zip(before, s_before, after, s_after):
-            rows.append((0 if sb is None else _in_common(b.split()[::-1], sb.split()[::-1]), 0 if sa is None else _in_common(a.split(), sa.split())))
-        return pd.DataFrame(rows, columns=["before", "after"], dtype="int32")
+    def reach(before: pa.Array, s_before: pa.Array, after: pa.Array, s_after: pa.Array) -> pa.Array:
+        more = [[], []]
+        for b, sb, a, sa in zip(*(c.to_pylist() for c in (before, s_before, after, s_after))):
+            more[0].append(0 if sb is None else _in_common(b.split()[::-1], sb.split()[::-1]))
+            more[1].append(0 if sa is None else _in_common(a.split(), sa.split()))
+        return pa.StructArray.from_arrays([pa.array(x, pa.int32()) for x in more], names=["before", "after"])
 
-    grown = met.withColumn("more", F.pandas_udf(reach, "before int, after int")(F.col("left"), left, F.col("right"), right))
+    grown = met.withColumn("more", _once(reach, "before int, after int")(F.col("left"), left, F.col("right"), right))
     grown = grown.where(F.col("words") + F.col("more.before") + F.col("more.after") >= least)
     return grown.groupBy("key", "text_hash").agg(F.sort_array(F.collect_set(F.struct("first", "last", "more.before", "more.after"))).alias("runs"))
 
@@ -267,13 +267,23 @@ def remove_repeats(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
     return unpacked(joined, docs.columns, {"text": F.coalesce(F.col("_cut.text"), F.col("_row.text"))}, F.coalesce("_cut.removed", F.array()).alias("_removed"))
 
 
+_CUT = pa.struct([("text", pa.string()), ("removed", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))])
+
+
 def _cutter():
-    """Pandas UDF (text, runs) -> (text, removed spans); null where nothing goes."""
-    def removed(text: pd.Series, given: pd.Series) -> pd.DataFrame:
-        out: list[tuple] = []
-        for t, k in zip(text, given):
+    """Arrow UDF (text, runs) -> (text, removed spans); null where nothing goes."""
+    def removed(text: pa.Array, given: pa.Array) -> pa.Array:
+        out: list[dict] = []
+        for t, k in zip(text.to_pylist(), given.to_pylist()):
             gone = spans(t, [(r["first"], r["last"], r["before"], r["after"]) for r in k]) if t is not None and k is not None else []
-            out.append((cut(t, gone), [{"start": a, "end": b} for a, b in gone]) if gone else (None, None))
-        return pd.DataFrame(out, columns=["text", "removed"])
+            out.append({"text": cut(t, gone), "removed": [{"start": a, "end": b} for a, b in gone]} if gone else {"text": None, "removed": None})
+        return pa.array(out, _CUT)
+
+    return _once(removed, "struct<text: string, removed: array<struct<start: int, end: int>>>")
+
 
-    return F.pandas_udf(removed, "struct<text: string, removed: array<struct<start: int, end: int>>>")
+def _once(f, kind: str):
+    """Arrow UDF that a filter on its result does not run a second time: Spark
+    copies deterministic ones into the filter, and each copy is a worker more
+    to a task."""
+    return F.arrow_udf(f, kind).asNondeterministic()

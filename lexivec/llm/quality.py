@@ -136,13 +136,10 @@ def scores(docs: DataFrame, labels: DataFrame, cut: float = CUT, per_label: int
     the sample's share of label 1 (0.5 without a sample)."""
     voters = docs.sparkSession.sparkContext.broadcast(fit(*labelled_sample(docs, labels, per_label)))
 
-    def run(it: Iterator) -> Iterator:
-        import pandas as pd
+    def run(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in it:
-            parts = [voters.value.scores(texts.iloc[at : at + 500].tolist()) for at in range(0, len(texts), 500)]
-            yield pd.Series(np.concatenate(parts) if parts else [])
+            parts = [voters.value.scores(texts[at : at + 500].to_pylist()) for at in range(0, len(texts), 500)]
+            yield pa.array(np.concatenate(parts) if parts else [], pa.float64())
 
-    import pandas as pd
-    run.__annotations__ = {"it": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    score = F.pandas_udf(run, "double")
+    score = F.arrow_udf(run, "double")
     return docs.withColumn("_score", score(F.coalesce(F.col("text").cast("string"), F.lit(""))))
