@@ -66,25 +66,25 @@ def components(edges: DataFrame, values: DataFrame) -> DataFrame:
     ``values(node, value)``: one row per node.  A node without edges keeps its
     own value; edges of nodes that ``values`` lacks connect all the same.
     """
-    live = checkpointed(edges.where("a <> b").select("a", "b"))
+    live = checkpointed(edges.where("a <> b").select("a", "b"), few=True)
     levels = []
     value = values.select("node", "value")
     while not live.isEmpty():
         seed = F.lit(len(levels))
         stars = live.select("a", "b", F.xxhash64("a", seed).alias("pa"), F.xxhash64("b", seed).alias("pb")).mapInArrow(_stars, "a long, b long")
-        live = checkpointed(stars.distinct())
+        live = checkpointed(stars.distinct(), few=True)
         sides = live.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(
             live.select(F.col("b").alias("node"), F.col("a").alias("other")))
         best = sides.groupBy("node").agg(F.min(F.struct(F.xxhash64("other", seed).alias("p"), F.col("other"))).alias("best"))
         own = F.struct(F.xxhash64("node", seed).alias("p"), F.col("node").alias("other"))
-        to = checkpointed(best.select("node", F.least("best", own)["other"].alias("parent")))
+        to = checkpointed(best.select("node", F.least("best", own)["other"].alias("parent")), few=True)
         levels.append((to, value))
         value = value.join(to, "node", "left").groupBy(F.coalesce("parent", "node").alias("node")).agg(F.min("value").alias("value"))
-        value = checkpointed(value)
+        value = checkpointed(value, few=True)
         ends = live.join(to.select(F.col("node").alias("a"), F.col("parent").alias("pa")), "a").join(
             to.select(F.col("node").alias("b"), F.col("parent").alias("pb")), "b")
-        live = checkpointed(ends.where("pa <> pb").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct())
+        live = checkpointed(ends.where("pa <> pb").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct(), few=True)
     for to, before in reversed(levels):
         up = before.join(to, "node", "left").select("node", F.coalesce("parent", "node").alias("parent"))
-        value = checkpointed(up.join(value.withColumnRenamed("node", "parent"), "parent", "left").select("node", "value"))
+        value = checkpointed(up.join(value.withColumnRenamed("node", "parent"), "parent", "left").select("node", "value"), few=True)
     return value.withColumnRenamed("value", "least")

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lexivec.llm import lines, quality
+from lexivec.llm.components import components
+from lexivec.session import checkpointed
 
 PASSAGE = " ".join(f"word{i}" for i in range(60)) + "."
 
@@ -47,3 +49,12 @@ def test_workers_do_without_pandas():
     names = "lines, quality, simhash, mixing, bpe"
     code = f"import sys, pyspark.worker\nfrom lexivec.llm import {names}\nassert 'pandas' not in sys.modules"
     subprocess.run([sys.executable, "-c", code], check=True, cwd=Path(__file__).parents[1])
+
+
+def test_checkpoints_of_few_files(spark):
+    edges = spark.range(0, 300, 1, 40).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")).where("a % 10 <> 9")
+    kept = checkpointed(edges, few=True)
+    assert kept.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism < edges.rdd.getNumPartitions()
+    assert sorted(kept.collect()) == sorted(edges.collect())
+    values = spark.range(300).select(F.col("id").alias("node"), F.col("id").alias("value"))
+    assert {r.node: r.least for r in components(edges, values).collect()} == {i: i // 10 * 10 for i in range(300)}
