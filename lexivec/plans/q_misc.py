@@ -190,8 +190,9 @@ def projected_word2vec_vocab(spark, sf_dir):
     """Every lexicon word is its class in the corpus the model trains on."""
     lex = S.lexicon(spark, sf_dir)
     d = S.documents(spark, sf_dir).select("doc_id", T.tokens("text").alias("tok"))
-    model = M.projected_word2vec(d, F.col("tok"), lex, vector_size=8, min_count=5, max_iter=1)
-    return _model_words(model, C.vocabulary(L.project_lexicon(d, F.col("tok"), lex).select(F.split("projected", " ").alias("tok")), F.col("tok"), 5))
+    projected = L.project_lexicon(d, F.col("tok"), lex).select(F.split("projected", " ").alias("tok"))
+    counts = written(C.vocabulary(projected, F.col("tok"), 5))
+    return _model_words(M.projected_word2vec(d, F.col("tok"), lex, vector_size=8, max_iter=1, vocab=counts), counts)
 
 
 query("projected_word2vec_vocab", f"""WITH {LEXICON_CTE}, {DOC_TOKENS_CTE}
